@@ -27,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "gatewatch",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GATEWATCH_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
