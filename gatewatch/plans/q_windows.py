@@ -1 +1,201 @@
-"""Queries."""
+"""Order-dependent queries: first row per key, top-k sample, risk mapping,
+scenario phases, pre-mitigation latch, running counters, episodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewatch import constants as K
+from gatewatch.functions import codes as C
+from gatewatch.functions import text as X
+from gatewatch.operators import risk as RK
+from gatewatch.operators.features import spread
+from gatewatch.operators.scans import day_bucket, first_per_key, islands, prefix_scan
+from gatewatch.plans.q_text import _threat_sql
+from gatewatch.plans.registry import query, table
+from gatewatch.plans.sqlviews import DOCREQ, SCORED, WEB, entropy_sql, with_
+from gatewatch.sources.adapters import doc_requests, scored_events, web_requests
+
+CYCLE = float(sum(d for _, d in K.SCENARIO))
+
+
+@query("first_per_key", with_(WEB) + f"""
+SELECT request_uri, row_id, round({entropy_sql('request_uri')}, 6) AS path_entropy,
+       round({entropy_sql('request_args')}, 6) AS args_entropy
+FROM (SELECT *, row_number() OVER (PARTITION BY request_uri ORDER BY row_id) AS rn FROM web) t WHERE rn = 1""")
+def first_per_key_q(spark, sf):
+    """drop_duplicates(request_uri) keeping the first page by id, with its entropies."""
+    w = web_requests(table(spark, sf, "pages"))
+    f = first_per_key(w, ["request_uri"], "row_id", ["row_id", "request_args"])
+    return f.select("request_uri", "row_id", X.round6(X.shannon_entropy("request_uri")).alias("path_entropy"),
+                    X.round6(X.shannon_entropy("request_args")).alias("args_entropy"))
+
+
+@query("entropy_top12", with_(DOCREQ) + f"""
+, typed AS (SELECT row_id, request_uri, round({entropy_sql('request_args')}, 6) AS args_entropy,
+                   {_threat_sql('request_uri', 'request_args', entropy_sql('request_args'))} AS threat_type FROM docreq)
+SELECT threat_type, row_id, request_uri, args_entropy FROM (
+  SELECT *, row_number() OVER (PARTITION BY threat_type ORDER BY row_id) AS rn FROM typed) t
+WHERE rn = 1 ORDER BY args_entropy DESC, row_id LIMIT 12""")
+def entropy_top12(spark, sf):
+    """Anomaly sample: first document per threat type, top 12 by query-string entropy."""
+    d = spread(doc_requests(table(spark, sf, "documents")))
+    ent = X.shannon_entropy("request_args")
+    typed = d.select("row_id", "request_uri", X.round6(ent).alias("args_entropy"),
+                     X.classify_threat("request_uri", "request_args", ent).alias("threat_type"))
+    first = first_per_key(typed, ["threat_type"], "row_id", ["row_id", "request_uri", "args_entropy"])
+    return first.orderBy(F.desc("args_entropy"), "row_id").limit(12)
+
+
+def _bounds_sql():
+    return """, b AS (SELECT quantile_cont(raw_score, 0.05) AS thr, min(raw_score) AS lo, max(raw_score) AS hi FROM scored)"""
+
+
+RISK_SQL = """CASE WHEN raw_score >= thr
+     THEN (1 - (raw_score - thr) / (CASE WHEN hi - thr = 0 THEN 1.0 ELSE hi - thr END)) * 70
+     ELSE 100 - ((raw_score - lo) / (CASE WHEN thr - lo = 0 THEN 1.0 ELSE thr - lo END)) * 30 END"""
+
+
+def _scored(spark, sf):
+    return scored_events(table(spark, sf, "events"))
+
+
+@query("risk_map", with_(SCORED) + _bounds_sql() + f"""
+SELECT row_id, round({RISK_SQL}, 6) AS obs_risk FROM scored, b""")
+def risk_map(spark, sf):
+    """Score -> 0..100 observed risk around the exact 5th-percentile threshold."""
+    sc = _scored(spark, sf)
+    b = RK.score_bounds(sc, "raw_score")
+    return sc.select("row_id", F.round(RK.risk_from_score("raw_score", b["threshold"], b["min"], b["max"],
+                                                          digits=None), 6).alias("obs_risk"))
+
+
+T_SQL = f"(CAST(epoch_us(event_ts) % {int(CYCLE * 1_000_000)} AS DOUBLE) / 1000000.0)"
+
+
+def _mode_sql(t):
+    acc, parts = 0.0, []
+    for name, dur in K.SCENARIO:
+        acc += dur
+        parts.append(f"WHEN {t} < {acc} THEN '{name}'")
+    return f"CASE {' '.join(parts)} ELSE '{K.SCENARIO[-1][0]}' END"
+
+
+def _ladder_sql(t):
+    a, b = K.MITIGATION_STEPS
+    s, span = K.MITIGATION_START, K.MITIGATION_SPAN
+    return f"CASE WHEN {t} < {s} THEN 0 WHEN {t} < {s + span * a} THEN 1 WHEN {t} < {s + span * b} THEN 2 ELSE 3 END"
+
+
+def _clocked(spark, sf):
+    sc = _scored(spark, sf).withColumn("t", RK.scenario_clock("event_ts", CYCLE))
+    return sc.withColumn("mode", RK.scenario_phase("t"))
+
+
+@query("mitigation", with_(SCORED) + f"""
+SELECT row_id, round({T_SQL}, 6) AS t, {_mode_sql(T_SQL)} AS mode, {_ladder_sql(T_SQL)} AS ladder_level FROM scored""")
+def mitigation(spark, sf):
+    """Scenario clock -> phase (half-open lookup, past end = last) and the
+    time-based mitigation ladder for every scored event."""
+    c = _clocked(spark, sf)
+    return c.select("row_id", F.round("t", 6).alias("t"), "mode", RK.mitigation_ladder("t").alias("ladder_level"))
+
+
+LATCH_SQL = with_(SCORED) + _bounds_sql() + f"""
+, c AS (SELECT *, {T_SQL} AS t FROM scored)
+, m AS (SELECT *, {_mode_sql('t')} AS mode,
+               CASE WHEN {_mode_sql('t')} = 'STABILIZE' AND t > {K.LATCH_RESET_AFTER} THEN 0
+                    WHEN pred_risk >= {K.PRED_THRESHOLD} THEN 1 END AS sig FROM c)
+, l AS (SELECT *,
+          coalesce(last_value(sig IGNORE NULLS) OVER w, 0) AS premit_on,
+          sum(CASE WHEN pred_risk >= {K.PRED_THRESHOLD} THEN 1 ELSE 0 END) OVER w AS sets
+        FROM m WINDOW w AS (PARTITION BY ip ORDER BY event_ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+, z AS (SELECT *, CASE WHEN premit_on = 1 THEN {_ladder_sql('t')} ELSE 0 END AS mitigation_level,
+               {RISK_SQL} AS obs FROM l, b)
+"""
+
+
+@query("premit_latch", LATCH_SQL + f"""
+SELECT row_id, ip, mode, CAST(premit_on AS INTEGER) AS premit_on,
+       CASE WHEN pred_risk >= {K.PRED_THRESHOLD} AND sets = 1 THEN 1 ELSE 0 END AS trigger,
+       mitigation_level,
+       round(greatest(0.0, least(100.0, CASE WHEN mode = 'ATTACK_ATTEMPT' AND premit_on = 1 AND mitigation_level = 3
+                                   THEN least(obs, {K.OBS_RISK_CAP}) ELSE obs END)), 6) AS obs_risk
+FROM z""")
+def premit_latch(spark, sf):
+    """Pre-mitigation latch per IP over time (set at risk >= 70, reset in late
+    STABILIZE, reset wins), first trigger, gated mitigation level and the
+    capped observed risk — via the two-phase chunked scan."""
+    c = _clocked(spark, sf)
+    b = RK.score_bounds(c, "raw_score")
+    c = c.withColumn("obs_risk", RK.risk_from_score("raw_score", b["threshold"], b["min"], b["max"], digits=None))
+    lat = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], day_bucket("event_ts"))
+    return lat.select("row_id", "ip", "mode", "premit_on", "trigger", "mitigation_level",
+                      F.round(RK.capped_obs_risk(), 6).alias("obs_risk"))
+
+
+@query("running_counters", with_(SCORED) + """
+SELECT row_id, ip,
+  sum(CASE WHEN action = 'BLOCK' THEN 1 ELSE 0 END) OVER w AS blocked_total,
+  sum(CASE WHEN action = 'ALLOW' THEN 1 ELSE 0 END) OVER w AS passed_total,
+  sum(anomaly) OVER w AS anomalies_total
+FROM scored WINDOW w AS (PARTITION BY ip ORDER BY event_ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_counters(spark, sf):
+    """Monotone counters per IP (blocked, passed, anomalies) as running totals."""
+    sc = _scored(spark, sf)
+    out = prefix_scan(sc, ["ip"], ["event_ts", "row_id"], day_bucket("event_ts"), {
+        "blocked_total": ("sum", (F.col("action") == "BLOCK").cast("long")),
+        "passed_total": ("sum", (F.col("action") == "ALLOW").cast("long")),
+        "anomalies_total": ("sum", F.col("anomaly").cast("long")),
+    })
+    return out.select("row_id", "ip", "blocked_total", "passed_total", "anomalies_total")
+
+
+@query("episodes", with_(SCORED) + """
+, z AS (SELECT *, sum(CASE WHEN anomaly = 0 THEN 1 ELSE 0 END)
+          OVER (PARTITION BY ip ORDER BY event_ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl
+        FROM scored)
+SELECT ip, strftime(min(event_ts), '%Y-%m-%d %H:%M:%S') AS start_ts, strftime(max(event_ts), '%Y-%m-%d %H:%M:%S') AS end_ts,
+       COUNT(*) AS n_rows, CAST(epoch_us(max(event_ts)) - epoch_us(min(event_ts)) AS DOUBLE) / 1e6 AS duration_s
+FROM z WHERE anomaly = 1 GROUP BY ip, isl""")
+def episodes(spark, sf):
+    """Anomaly episodes per IP (gaps and islands): start, end, rows, duration."""
+    sc = _scored(spark, sf)
+    e = islands(sc, ["ip"], ["event_ts", "row_id"], "anomaly", "event_ts", day_bucket("event_ts"))
+    dur = (F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1e6
+    return e.select("ip", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"),
+                    F.date_format("end_ts", "yyyy-MM-dd HH:mm:ss").alias("end_ts"), "n_rows",
+                    dur.cast("double").alias("duration_s"))
+
+
+@query("false_positives", with_(SCORED) + _bounds_sql() + f"""
+SELECT year, month, day, CAST(sum(CASE WHEN {_mode_sql(T_SQL)} = 'NORMAL' AND raw_score < thr THEN 1 ELSE 0 END) AS BIGINT) AS false_positives,
+       CAST(sum(CASE WHEN {_mode_sql(T_SQL)} = 'NORMAL' THEN 1 ELSE 0 END) AS BIGINT) AS normal_rows
+FROM scored, b GROUP BY 1, 2, 3""")
+def false_positives(spark, sf):
+    """Per day: rows in the NORMAL phase scored below the threshold (false positives)."""
+    c = _clocked(spark, sf)
+    b = RK.score_bounds(c, "raw_score")
+    normal = F.col("mode") == "NORMAL"
+    return c.groupBy("year", "month", "day").agg(
+        F.sum((normal & (F.col("raw_score") < F.lit(b["threshold"]))).cast("long")).alias("false_positives"),
+        F.sum(normal.cast("long")).alias("normal_rows"))
+
+
+def _band_sql(h):
+    parts = " ".join(f"WHEN {h} >= {lo} AND {h} <= {hi} THEN {w}" for lo, hi, w in K.HOUR_BANDS)
+    return f"CASE {parts} ELSE {K.HOUR_BAND_ELSE} END"
+
+
+@query("expected_load", f"""
+SELECT CAST((hour(ts) + {K.KST_OFFSET_HOURS}) % 24 AS INTEGER) AS hour_kst,
+       {_band_sql(f'(hour(ts) + {K.KST_OFFSET_HOURS}) % 24')} AS weight,
+       COUNT(*) AS n_events,
+       round(COUNT(*) * {_band_sql(f'(hour(ts) + {K.KST_OFFSET_HOURS}) % 24')}, 6) AS expected_requests
+FROM events GROUP BY 1, 2""")
+def expected_load(spark, sf):
+    """Events per Korea-time hour with the traffic weight of its band."""
+    ev = table(spark, sf, "events")
+    h = F.pmod(F.hour("ts") + K.KST_OFFSET_HOURS, F.lit(24)).cast("int")
+    g = ev.groupBy(h.alias("hour_kst"), C.kst_hour_weight("ts").alias("weight")).agg(F.count(F.lit(1)).alias("n_events"))
+    return g.withColumn("expected_requests", F.round(F.col("n_events") * F.col("weight"), 6))
