@@ -47,8 +47,8 @@ def defense_signals(blocks: DataFrame, ts: str, ip: str = "ip", width: str = "5
 
 
 def alerts(rows: DataFrame, ts: str, ip: str = "ip", count: str = "cnt",
-           reason: str = K.ALERT_MESSAGE, level: str | None = None) -> DataFrame:
+           reason: str = K.ALERT_MESSAGE, level: str | None = None, keep: list | None = None) -> DataFrame:
     """The single alert schema: ts, ip, count, reason, mitigation_level."""
-    return rows.select(F.col(ts).alias("ts"), F.col(ip).alias("ip"), F.col(count).cast("long").alias("count"),
+    return rows.select(*(keep or []), F.col(ts).alias("ts"), F.col(ip).alias("ip"), F.col(count).cast("long").alias("count"),
                        F.lit(reason).alias("reason"),
                        (F.col(level) if level else F.lit(None)).cast("int").alias("mitigation_level"))

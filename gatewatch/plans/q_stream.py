@@ -1 +1,101 @@
-"""Queries."""
+"""Streaming queries: each runs a Structured Streaming job over the events
+files (availableNow trigger, checkpoint under the shared folder) and returns
+the landed result; where SQL can express it the oracle is the batch SQL, so
+stream = batch is checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewatch.operators import forest as FR
+from gatewatch.operators.features import TRAIN_FEATURES
+from gatewatch.plans import q_dashboards, q_windows
+from gatewatch.plans.q_model import _waf_training
+from gatewatch.plans.registry import query, REGISTRY
+from gatewatch.plans.sqlviews import SCORED, with_
+from gatewatch.streaming import jobs as J
+
+
+def _events(spark, sf):
+    return J.file_stream(spark, sf, "events.parquet")
+
+
+@query("stream_hourly", REGISTRY["hourly_rule"].sql)
+def stream_hourly(spark, sf):
+    """Hourly blocks per rule as a watermarked streaming aggregation (update
+    mode, landed per batch); equals the batch dashboard."""
+    return J.hourly_counts(spark, _events(spark, sf))
+
+
+@query("stream_latch", q_windows.LATCH_SQL + """
+SELECT row_id, ip, mode, CAST(premit_on AS INTEGER) AS premit_on,
+       CASE WHEN pred_risk >= 70 AND sets = 1 THEN 1 ELSE 0 END AS trigger, mitigation_level FROM z""")
+def stream_latch(spark, sf):
+    """Pre-mitigation latch per IP with applyInPandasWithState; equals the batch latch."""
+    return J.latch(spark, _events(spark, sf))
+
+
+DAILY_TOP = with_(SCORED) + """
+, daily AS (SELECT year, month, day, ip, cnt, first_ts FROM (
+  SELECT year, month, day, ip, COUNT(*) AS cnt, min(event_ts) AS first_ts,
+         row_number() OVER (PARTITION BY year, month, day ORDER BY COUNT(*) DESC, ip) AS rk
+  FROM scored WHERE anomaly = 1 AND coalesce(ip, '') NOT IN ('', 'unknown')
+  GROUP BY year, month, day, ip) t WHERE rk = 1)
+"""
+
+
+@query("stream_blocklist", DAILY_TOP + """
+SELECT concat(ip, '/32') AS cidr, strftime(min(first_ts), '%Y-%m-%d %H:%M:%S') AS first_seen,
+       CAST(sum(cnt) AS BIGINT) AS hits FROM daily GROUP BY 1""")
+def stream_blocklist(spark, sf):
+    """Detect-and-respond stream: running anomaly counts per (day, ip), top
+    IP per touched day, insert-if-absent /32 block list."""
+    block, _ = J.respond(spark, _events(spark, sf))
+    return block.select("cidr", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"), "hits")
+
+
+@query("stream_alerts", DAILY_TOP + """
+SELECT concat_ws('-', year, month, day) AS day_key, ip, CAST(cnt AS BIGINT) AS count,
+       'AI-based Anomaly Detected' AS reason FROM daily""")
+def stream_alerts(spark, sf):
+    """Alerts (ts, ip, count, reason) for the top anomalous IP of each day, from the stream."""
+    _, alerts = J.respond(spark, _events(spark, sf))
+    return alerts.select("day_key", "ip", "count", "reason")
+
+
+@query("stream_signals", with_(SCORED) + """
+, b AS (SELECT time_bucket(INTERVAL 5 MINUTE, event_ts) AS bs, ip FROM scored
+        WHERE anomaly = 1 AND coalesce(ip, '') NOT IN ('', 'unknown'))
+SELECT strftime(bs, '%Y-%m-%d %H:%M:%S') AS bucket_start, ip, 'DefenseSignal' AS metric, COUNT(*) AS signals
+FROM b GROUP BY bs, ip""")
+def stream_signals(spark, sf):
+    """Defense signals per 5-minute window and IP from the stream."""
+    return J.signals(spark, _events(spark, sf))
+
+
+@query("stream_sessions", with_(SCORED) + """
+, a AS (SELECT ip, event_ts, CASE WHEN lag(event_ts) OVER (PARTITION BY ip ORDER BY event_ts) IS NULL
+                 OR event_ts >= lag(event_ts) OVER (PARTITION BY ip ORDER BY event_ts) + INTERVAL 30 MINUTE
+               THEN 1 ELSE 0 END AS new_s FROM scored WHERE anomaly = 1)
+, s AS (SELECT *, sum(new_s) OVER (PARTITION BY ip ORDER BY event_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM a)
+, g AS (SELECT ip, min(event_ts) AS st, max(event_ts) + INTERVAL 30 MINUTE AS en, COUNT(*) AS n_rows
+        FROM s GROUP BY ip, sid)
+, wm AS (SELECT max(event_ts) - INTERVAL 10 MINUTE AS wmark FROM scored WHERE anomaly = 1)
+SELECT ip, strftime(st, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(en, '%Y-%m-%d %H:%M:%S') AS session_end,
+       n_rows
+FROM g, wm WHERE en <= wmark""")
+def stream_sessions(spark, sf):
+    """Anomaly sessions per IP (30-minute gap) with session_window in a stream;
+    append mode emits the sessions the final watermark (max event time - 10
+    minutes) has closed."""
+    return J.sessions(spark, _events(spark, sf))
+
+
+@query("stream_score")
+def stream_score(spark, sf):
+    """Live scoring: fit the forest on the landed logs, then score each new
+    request in the stream and decide BLOCK / ALLOW / FAIL_OPEN."""
+    from gatewatch.plans.q_model import fit_score
+    df = _waf_training(spark, sf)
+    _, forest, pdf, scaler = fit_score(df, TRAIN_FEATURES, 0.25)
+    return J.score_stream(spark, _events(spark, sf), forest, pdf, scaler, forest.offset)
