@@ -1 +1,153 @@
-"""Queries."""
+"""Unions, nested/JSON access, source round trips, budget, report."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewatch import constants as K
+from gatewatch.functions import codes as C
+from gatewatch.functions import text as X
+from gatewatch.operators import dashboards as D
+from gatewatch.operators import stats as S
+from gatewatch.operators.features import spread
+from gatewatch.operators.scans import first_per_key
+from gatewatch.plans.registry import REGISTRY, query, table
+from gatewatch.plans.sqlviews import SCORED, WAF, with_
+from gatewatch.session import scratch_path
+from gatewatch.sources import files as FS
+from gatewatch.sources import waflogs as WL
+from gatewatch.sources.adapters import doc_requests, scored_events, waf_logs, web_requests
+
+
+@query("mix_union", with_(WAF) + """
+SELECT row_id, 'attack' AS source, terminatingruleid AS rule, CAST(NULL AS DOUBLE) AS uri_len, client_ip
+FROM waf WHERE action = 'BLOCK'
+UNION ALL
+SELECT row_id, 'normal', NULL, CAST(length(uri) AS DOUBLE), NULL FROM waf WHERE action = 'ALLOW'""")
+def mix_union(spark, sf):
+    """Union by name of attack rows and normal rows with different columns
+    (missing columns become null)."""
+    w = waf_logs(table(spark, sf, "events"))
+    attack = w.filter(F.col("action") == "BLOCK").select(
+        "row_id", F.lit("attack").alias("source"), F.col("terminatingruleid").alias("rule"),
+        F.col("httprequest.clientip").alias("client_ip"))
+    normal = w.filter(F.col("action") == "ALLOW").select(
+        "row_id", F.lit("normal").alias("source"), X.text_length("httprequest.uri").cast("double").alias("uri_len"))
+    return attack.unionByName(normal, allowMissingColumns=True)
+
+
+@query("json_props", with_(WAF) + """
+SELECT w.row_id, w.country AS viewer_country, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS k,
+       CASE WHEN w.terminatingruleid LIKE 'AWS-%' THEN w.terminatingruleid END AS group_rule
+FROM waf w JOIN events e ON w.row_id = e.event_id""")
+def json_props(spark, sf):
+    """Nested access: viewer-country header (array of name/value structs),
+    JSON property k, first rule-group id; every row."""
+    ev = table(spark, sf, "events")
+    props = ev.select(F.col("event_id").alias("row_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    base = waf_logs(ev).select(
+        "row_id", C.header_value("httprequest.headers", "cloudfront-viewer-country", "XX").alias("viewer_country"),
+        F.try_element_at("rulegrouplist", F.lit(1))["rulegroupid"].alias("group_rule"))
+    return base.join(props, "row_id")
+
+
+@query("waf_json_roundtrip", REGISTRY["rule_blocks"].sql)
+def waf_json_roundtrip(spark, sf):
+    """Land the logs as JSON partitioned by year/month/day/hour, read them
+    back with the explicit nested schema and string partition columns, and
+    answer the blocks-per-rule dashboard from the files."""
+    w = waf_logs(table(spark, sf, "events")).drop("row_id", "event_ts")
+    out = scratch_path(spark, "landing/waf_json")
+    WL.land(w, out, fmt="json")
+    back = WL.read_landed(spark, out, fmt="json")
+    return D.rule_blocks(back)
+
+
+@query("scored_roundtrip", with_(SCORED) + """
+SELECT year, month, day, COUNT(*) AS n, CAST(sum(anomaly) AS BIGINT) AS anomalies FROM scored
+WHERE year = '2024' AND month = '01' GROUP BY 1, 2, 3""")
+def scored_roundtrip(spark, sf):
+    """Scored-event sink (JSON, year/month/day folders) and scan with
+    partition predicates (string partition values), counts per day."""
+    sc = scored_events(table(spark, sf, "events")).select(
+        "event_time", F.lit("NORMAL").alias("mode"), "ip", "pred_risk", F.col("pred_risk").alias("obs_risk"),
+        F.lit(0).alias("premit_on"), F.lit(0).alias("mitigation_level"), "anomaly", "raw_score",
+        "year", "month", "day")
+    out = scratch_path(spark, "landing/scored")
+    FS.write_scored(sc, out, mode="overwrite")
+    back = FS.read_scored(spark, out, year="2024", month="01")
+    return back.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n"),
+                                                    F.sum("anomaly").cast("long").alias("anomalies"))
+
+
+@query("csv_roundtrip", with_(WAF) + """
+SELECT terminatingruleid, CAST(coalesce(CASE country WHEN 'KR' THEN 0 WHEN 'NL' THEN 1 WHEN 'US' THEN 2 END, 99) AS INTEGER) AS country_code,
+       COUNT(*) AS n, CAST(sum(length(uri)) AS BIGINT) AS uri_len_sum
+FROM waf GROUP BY 1, 2""")
+def csv_roundtrip(spark, sf):
+    """Flat log CSV sink with header and the typed CSV scan back; rows per
+    rule and country code."""
+    w = waf_logs(table(spark, sf, "events"))
+    flat = w.select(F.date_format("event_ts", "mm:ss.S").alias("event_time"),
+                    F.col("httprequest.clientip").alias("source_ip"),
+                    F.col("httprequest.country").alias("source_country"),
+                    F.col("httprequest.uri").alias("request_uri"), "terminatingruleid", "action",
+                    C.country_code("httprequest.country").cast("int").alias("country_code"),
+                    C.rule_code("terminatingruleid").cast("int").alias("rule_code"),
+                    X.text_length("httprequest.uri").cast("int").alias("uri_len"))
+    out = scratch_path(spark, "landing/csv")
+    FS.write_csv(flat, out)
+    back = FS.read_csv(spark, out, FS.WAF_FLAT_SCHEMA)
+    return back.groupBy("terminatingruleid", "country_code").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("uri_len").cast("long").alias("uri_len_sum"))
+
+
+@query("metrics_roundtrip", REGISTRY["before_after"].sql)
+def metrics_roundtrip(spark, sf):
+    """Evaluation metrics written as a one-object-per-line JSON (flat) and
+    read back as the metrics table."""
+    sc = scored_events(table(spark, sf, "events"))
+    m = S.eval_summary(sc.withColumn("y_pred", F.col("anomaly")), "y_pred", geo_rule=K.RULE_GEO)
+    m = m.withColumns({c: F.round(F.col(c), 6) for c in ("precision", "recall", "f1_score", "fpr")})
+    out = scratch_path(spark, "landing/metrics")
+    FS.write_metrics(m, out, flat=True)
+    return FS.read_metrics(spark, out).select(*m.columns)
+
+
+BUDGET_LIMIT = 50_000_000.0
+
+
+@query("budget_alert", f"""
+SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 6) AS cost,
+       round(sum(o_totalprice) * 100.0 / {BUDGET_LIMIT}, 6) AS pct_of_limit,
+       sum(o_totalprice) * 100.0 / {BUDGET_LIMIT} > {K.BUDGET_ALERT_PCT} AS alert
+FROM orders GROUP BY 1""")
+def budget_alert(spark, sf):
+    """Monthly spend (order totals) against a limit; alert above 80 %."""
+    o = table(spark, sf, "orders")
+    g = o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum("o_totalprice").alias("c"))
+    pct = F.col("c") * 100.0 / F.lit(BUDGET_LIMIT)
+    return g.select("month", F.round("c", 6).alias("cost"), F.round(pct, 6).alias("pct_of_limit"),
+                    (pct > K.BUDGET_ALERT_PCT).alias("alert"))
+
+
+@query("analysis_report")
+def analysis_report(spark, sf):
+    """Threat analysis report as text lines: sentinel line, normal-URI sample
+    (first per path, 8), anomaly sample (first per type, top 12 by entropy),
+    counts per type."""
+    w = spread(web_requests(table(spark, sf, "pages")))
+    normals = first_per_key(w, ["request_uri"], "row_id", ["row_id", "request_args"]).select(
+        "request_uri", F.round(X.shannon_entropy("request_uri"), 6).alias("path_entropy"),
+        F.round(X.shannon_entropy("request_args"), 6).alias("args_entropy")).orderBy("request_uri").limit(8)
+    d = spread(doc_requests(table(spark, sf, "documents")))
+    ent = X.shannon_entropy("request_args")
+    typed = d.select("row_id", "request_uri", F.round(ent, 6).alias("args_entropy"),
+                     X.classify_threat("request_uri", "request_args", ent).alias("type"))
+    sample = first_per_key(typed, ["type"], "row_id", ["request_uri", "args_entropy"]).orderBy(
+        F.desc("args_entropy")).limit(12)
+    counts = D.value_counts(typed, "type")
+    lines = FS.report_lines("AI Security Threat Analysis Report",
+                            [("normal URI sample", normals), ("anomaly sample", sample), ("detections per type", counts)])
+    FS.write_text(lines, scratch_path(spark, "reports/analysis"))
+    return lines
