@@ -254,6 +254,14 @@ def score(df: DataFrame, forest: Forest, out: str = "score", nodes_pdf: pd.DataF
     return df.withColumn(out, _score(*[F.col(c).cast("double") for c in forest.features]))
 
 
+def offset_of(scored: DataFrame, contamination: float, score_col: str = "score") -> float:
+    """The decision offset of a scored frame (materialised once, then the
+    exact quantile reads the stored scores)."""
+    from gatewatch.session import materialize
+    return quantile_scalars(materialize(scored.select(score_col), "offset_scores"), score_col,
+                            {"q": contamination})["q"]
+
+
 def threshold(scored: DataFrame, contamination: float, score_col: str = "score",
               offset: float | None = None) -> tuple[DataFrame, float]:
     """offset = exact contamination-quantile; decision and -1/1 prediction."""

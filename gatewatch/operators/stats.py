@@ -205,15 +205,22 @@ def contamination_sweep(df: DataFrame, score: str, group: str, contams: list[flo
                       (F.col("mean_other") - F.lit(q[f"c{i}"])).alias("other_mean"))
              for i, c in enumerate(contams)]
     long = wide.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    long = long.withColumns({"score_iqr": F.lit(float(iqr)), "stability_warning": F.lit(iqr < K.STABILITY_IQR_LIMIT)})
+    return recommend(long)
+
+
+def recommend(sweep: DataFrame) -> DataFrame:
+    """Mark the recommended contamination: the first (smallest) one whose
+    SQLi mean decision is below the other group's and whose flagged share is
+    within 20-30 %; 0.25 when none qualifies. ``sweep`` has one row per
+    contamination value (a handful of rows)."""
+    from pyspark.sql import Window
     lo, hi = K.RECOMMEND_PCT_RANGE
     ok = ((F.col("sqli_mean") < F.col("other_mean")) & (F.col("flagged_pct") >= lo) & (F.col("flagged_pct") <= hi))
-    long = long.withColumns({"score_iqr": F.lit(float(iqr)), "stability_warning": F.lit(iqr < K.STABILITY_IQR_LIMIT),
-                             "_ok": ok})
-    from pyspark.sql import Window
-    w = Window.partitionBy()  # six rows: a global window is one tiny partition
-    first_ok = F.min(F.when(F.col("_ok"), F.col("contamination"))).over(w)
+    w = Window.partitionBy()  # one row per swept value: a tiny table
+    first_ok = F.min(F.when(ok, F.col("contamination"))).over(w)
     rec = F.coalesce(first_ok, F.lit(K.RECOMMENDED_DEFAULT))
-    return long.withColumn("recommended", F.col("contamination") == rec).drop("_ok")
+    return sweep.withColumn("recommended", F.col("contamination") == rec)
 
 
 def weighted_offset(nodes: DataFrame, offset: str = "offset", n: str = "n_samples") -> DataFrame:

@@ -13,7 +13,7 @@ from gatewatch.operators.features import spread
 from gatewatch.operators.scans import first_per_key
 from gatewatch.plans.registry import REGISTRY, query, table
 from gatewatch.plans.sqlviews import SCORED, WAF, with_
-from gatewatch.session import scratch_path
+from gatewatch.session import materialize, scratch_path
 from gatewatch.sources import files as FS
 from gatewatch.sources import waflogs as WL
 from gatewatch.sources.adapters import doc_requests, scored_events, waf_logs, web_requests
@@ -133,17 +133,17 @@ def budget_alert(spark, sf):
 
 @query("analysis_report")
 def analysis_report(spark, sf):
-    """Threat analysis report as text lines: sentinel line, normal-URI sample
-    (first per path, 8), anomaly sample (first per type, top 12 by entropy),
-    counts per type."""
+    """Threat analysis report as text lines: normal-URI sample (first per
+    path, 8), anomaly sample (first per type, top 12 by entropy), counts per
+    type; also written as a text file."""
     w = spread(web_requests(table(spark, sf, "pages")))
     normals = first_per_key(w, ["request_uri"], "row_id", ["row_id", "request_args"]).select(
         "request_uri", F.round(X.shannon_entropy("request_uri"), 6).alias("path_entropy"),
         F.round(X.shannon_entropy("request_args"), 6).alias("args_entropy")).orderBy("request_uri").limit(8)
     d = spread(doc_requests(table(spark, sf, "documents")))
     ent = X.shannon_entropy("request_args")
-    typed = d.select("row_id", "request_uri", F.round(ent, 6).alias("args_entropy"),
-                     X.classify_threat("request_uri", "request_args", ent).alias("type"))
+    typed = materialize(d.select("row_id", "request_uri", F.round(ent, 6).alias("args_entropy"),
+                                 X.classify_threat("request_uri", "request_args", ent).alias("type")), "typed_docs")
     sample = first_per_key(typed, ["type"], "row_id", ["request_uri", "args_entropy"]).orderBy(
         F.desc("args_entropy")).limit(12)
     counts = D.value_counts(typed, "type")

@@ -15,6 +15,7 @@ from gatewatch.operators.features import TRAIN_FEATURES, URI4_FEATURES, spread,
 from gatewatch.plans.registry import query, table
 from gatewatch.plans.sqlviews import SCORED, WEB, entropy_sql, with_
 from gatewatch.sources import models as MS
+from gatewatch.session import materialize
 from gatewatch.sources.adapters import waf_logs, web_requests
 
 # a fixed 3-tree forest over (uri_len, path_entropy), psi = 10
@@ -71,6 +72,7 @@ def _waf_training(spark, sf):
 
 def fit_score(df, features, contamination, n_trees=None, max_samples=None, max_features=1.0, seed=42,
               scale=True, hyper=True):
+    df = materialize(df, "features")
     n = df.count()
     scaled, scaler = FR.standardize(df, features) if scale else (df, None)
     hp = FR.safe_hyperparams(n) if hyper else {}
@@ -78,7 +80,7 @@ def fit_score(df, features, contamination, n_trees=None, max_samples=None, max_f
                     max_samples=max_samples or hp.get("max_samples"),
                     max_features=hp.get("max_features", max_features), seed=seed, n_rows=n)
     nodes_pdf = FR.collect_nodes(forest)
-    scored = FR.score(scaled, forest, nodes_pdf=nodes_pdf)
+    scored = materialize(FR.score(scaled, forest, nodes_pdf=nodes_pdf), "scores")
     out, off = FR.threshold(scored, contamination)
     forest.offset = off
     return out, forest, nodes_pdf, scaler
@@ -124,7 +126,7 @@ def fedavg_merge(spark, sf):
     proportion to node size with the weighted offset, score all rows."""
     df = _waf_training(spark, sf)
     scaled, _ = FR.standardize(df, TRAIN_FEATURES)
-    split = FD.position_split(scaled, "row_id", FED_FRACTIONS).cache()
+    split = materialize(FD.position_split(scaled, "row_id", FED_FRACTIONS), "fed_split")
     sizes = {r["node"]: r["n"] for r in split.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
     forests, rows = {}, []
     for node, n in sorted(sizes.items()):
@@ -132,7 +134,7 @@ def fedavg_merge(spark, sf):
         f = FR.fit(part, TRAIN_FEATURES, n_trees=100, max_samples=max(16, int(n * 0.6)), seed=42, n_rows=n)
         pdf = FR.collect_nodes(f)
         f.nodes = spark.createDataFrame(pdf, schema=FR.NODE_SCHEMA)
-        sc, off = FR.threshold(FR.score(part, f, nodes_pdf=pdf), 0.15)
+        off = FR.offset_of(FR.score(part, f, nodes_pdf=pdf), 0.15)
         forests[str(node)] = f
         rows.append((str(node), int(n), 100, float(off), len(TRAIN_FEATURES)))
     params = spark.createDataFrame(rows, "node_id string, n_samples long, n_trees int, offset double, n_features int")

@@ -60,3 +60,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Used where an expensive frame (features, model scores) feeds several
+    jobs (counts, quantile sampling, joins): it is computed once, the lineage
+    is cut, and a lost executor does not force recomputation."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{name}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -61,8 +61,16 @@ def read_json_logs(spark: SparkSession, paths, with_corrupt: bool = True,
 
 
 def count_malformed(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.sum(F.col("_corrupt_record").isNotNull().cast("long")).alias("malformed"))
+    """Rows and malformed lines (raw text kept, parsed fields null). The
+    parsed ``timestamp`` is referenced too: Spark refuses queries that read
+    only the corrupt-record column of raw JSON."""
+    bad = F.col("_corrupt_record").isNotNull() & F.col("timestamp").isNull()
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(bad.cast("long")).alias("malformed"))
+
+
+def valid_logs(df: DataFrame) -> DataFrame:
+    """Rows that parsed (no corrupt text, a timestamp present)."""
+    return df.filter(F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull())
 
 
 def projected_values(kind: str, spec, digits: int = 2) -> list[str]:
@@ -90,8 +98,4 @@ def read_landed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     """Read a landed table keeping the partition values as strings ('05'
     stays '05'): the partition columns are declared in the schema."""
     schema = T.StructType(WAF_SCHEMA.fields + [T.StructField(p, T.StringType()) for p in PARTITIONS])
-    r = spark.read.format(fmt)
-    if fmt == "json":
-        r = r.schema(schema)
-    df = r.load(path)
-    return df.withColumns({p: F.col(p).cast("string") for p in PARTITIONS})
+    return spark.read.format(fmt).schema(schema).load(path)
