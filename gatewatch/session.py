@@ -34,6 +34,7 @@ def get_spark(master: str | None = None, app: str = "gatewatch",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -72,3 +73,38 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"tables/{name}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the gatewatch package to the executors' Python workers once per
+    session (zip in the shared folder + ``addPyFile``), so Arrow UDFs and
+    grouped-map functions import it wherever the job was launched from."""
+    import hashlib
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    files = []
+    for root, _, names in os.walk(pkg_dir):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(root, n))
+    h = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            h.update(f.encode() + fh.read())
+    target = f"{checkpoint_dir(spark)}/pkg/gatewatch-{h.hexdigest()[:12]}.zip"
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    if not os.path.exists(target):
+        tmp = target + f".{uuid.uuid4().hex[:6]}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.join("gatewatch", os.path.relpath(f, pkg_dir)))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
