@@ -52,3 +52,14 @@ def alerts(rows: DataFrame, ts: str, ip: str = "ip", count: str = "cnt",
     return rows.select(*(keep or []), F.col(ts).alias("ts"), F.col(ip).alias("ip"), F.col(count).cast("long").alias("count"),
                        F.lit(reason).alias("reason"),
                        (F.col(level) if level else F.lit(None)).cast("int").alias("mitigation_level"))
+
+
+def mitigation_gate(df: DataFrame, level: str = "mitigation_level") -> DataFrame:
+    """Only rows at mitigation level >= 1 reach the preventer."""
+    return df.filter(F.col(level) >= 1)
+
+
+def sample_one(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """One row drawn at random but reproducibly: the smallest seeded hash of
+    the key (a per-partition top-1, then a 1-row merge)."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(1)

@@ -231,3 +231,8 @@ def weighted_offset(nodes: DataFrame, offset: str = "offset", n: str = "n_sample
     return nodes.withColumns({"weight": F.col(n) / tot,
                               "global_offset": F.sum(F.col(offset) * F.col(n)).over(w) / tot,
                               "total_samples": tot})
+
+
+def as_percent(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Panel scaling: ratio columns times 100 (``<name>_pct``)."""
+    return df.withColumns({f"{c}_pct": F.col(c) * 100.0 for c in cols})

@@ -199,3 +199,47 @@ def expected_load(spark, sf):
     h = F.pmod(F.hour("ts") + K.KST_OFFSET_HOURS, F.lit(24)).cast("int")
     g = ev.groupBy(h.alias("hour_kst"), C.kst_hour_weight("ts").alias("weight")).agg(F.count(F.lit(1)).alias("n_events"))
     return g.withColumn("expected_requests", F.round(F.col("n_events") * F.col("weight"), 6))
+
+
+@query("premit_alerts", LATCH_SQL + """
+SELECT ip, COUNT(*) AS count, max(mitigation_level) AS mitigation_level,
+       'AI Risk' AS reason FROM z WHERE mitigation_level >= 1 GROUP BY ip""")
+def premit_alerts(spark, sf):
+    """Preventer hand-off: rows past the mitigation gate (level >= 1) as
+    alerts per IP with their highest level."""
+    from gatewatch.operators import response as RS
+    c = _clocked(spark, sf)
+    lat = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], day_bucket("event_ts"))
+    return (RS.mitigation_gate(lat).groupBy("ip")
+            .agg(F.count(F.lit(1)).alias("count"), F.max("mitigation_level").alias("mitigation_level"))
+            .withColumn("reason", F.lit("AI Risk")))
+
+
+@query("mean_entropy", with_(WEB) + f"""
+SELECT round(avg({entropy_sql('request_uri')}), 6) AS mean_uri_entropy, COUNT(*) AS n FROM web""")
+def mean_entropy(spark, sf):
+    """Mean URI (path) entropy over all pages."""
+    w = spread(web_requests(table(spark, sf, "pages")))
+    return w.agg(F.round(F.avg(X.shannon_entropy("request_uri")), 6).alias("mean_uri_entropy"),
+                 F.count(F.lit(1)).alias("n"))
+
+
+@query("anomaly_rate", with_(SCORED) + """
+SELECT CAST(sum(CASE WHEN raw_score < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_anomaly, COUNT(*) AS n,
+       round(avg(CASE WHEN raw_score < 0 THEN 1.0 ELSE 0.0 END), 6) AS anomaly_rate,
+       round(avg(CASE WHEN raw_score < 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS anomaly_rate_pct
+FROM scored""")
+def anomaly_rate(spark, sf):
+    """Anomaly count and rate of the -1/1 predictions (decision < 0), also in percent."""
+    from gatewatch.operators import stats as S
+    sc = _scored(spark, sf).withColumn("prediction", F.when(F.col("raw_score") < 0, -1).otherwise(1))
+    r = S.as_percent(S.anomaly_rate(sc), ["anomaly_rate"])
+    return r.select("n_anomaly", "n", F.round("anomaly_rate", 6).alias("anomaly_rate"),
+                    F.round("anomaly_rate_pct", 6).alias("anomaly_rate_pct"))
+
+
+@query("random_sample")
+def random_sample(spark, sf):
+    """One scored event drawn reproducibly (seeded hash order) over the whole table."""
+    from gatewatch.operators import response as RS
+    return RS.sample_one(_scored(spark, sf), "row_id").select("row_id", "ip", "pred_risk", "raw_score")
