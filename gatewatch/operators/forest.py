@@ -94,24 +94,45 @@ def _u(cols: list[Column]) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(_HASH_MOD)).cast("double") / float(_HASH_MOD)
 
 
+def _map_lit(d: dict, key: Column, cast: str) -> Column:
+    from itertools import chain
+    m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in d.items()))
+    return F.element_at(m, key).cast(cast)
+
+
 def tree_samples(df: DataFrame, row_id: str, n_rows: int, n_trees: int, psi: int, seed: int,
-                 forest: str | None = None) -> DataFrame:
+                 forest: str | None = None, per_forest: dict | None = None) -> DataFrame:
     """(tree_id, row) pairs: each tree gets exactly min(psi, n) rows, drawn
-    by hash so the draw is the same under any partitioning or retry."""
-    psi = min(psi, n_rows)
-    f = min(1.0, (psi + 4.0 * math.sqrt(psi) + 8.0) / max(n_rows, 1))
-    p_any = min(1.0, n_trees * f)
+    by hash so the draw is the same under any partitioning or retry.
+    ``per_forest`` = {forest value: (n_rows, psi, n_trees)} fits several
+    forests (one per value of ``forest``) in the same pass."""
     rid = F.col(row_id).cast("long")
     keys = [rid, F.lit(seed)] + ([F.col(forest)] if forest else [])
-    cand = df if p_any >= 1.0 else df.filter(_u(keys) < F.lit(p_any))
-    q = f / p_any
-    pick = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                    lambda t: _u(keys + [t, F.lit(seed + 1)]) < F.lit(q))
-    pairs = cand.withColumn("tree_id", F.explode(pick)).withColumn(
-        "_ord", F.xxhash64(rid, F.col("tree_id"), F.lit(seed + 2)))
+    if per_forest is None:
+        per_forest = {None: (n_rows, psi, n_trees)}
+    prm = {}
+    for k, (n_k, psi_k, t_k) in per_forest.items():
+        psi_k = min(psi_k, n_k)
+        f = min(1.0, (psi_k + 4.0 * math.sqrt(psi_k) + 8.0) / max(n_k, 1))
+        p_any = min(1.0, t_k * f)
+        prm[k] = (psi_k, t_k, p_any, f / p_any)
+    if forest and None not in prm:
+        fk = F.col(forest).cast("string")
+        p_any_c = _map_lit({str(k): v[2] for k, v in prm.items()}, fk, "double")
+        q_c = _map_lit({str(k): v[3] for k, v in prm.items()}, fk, "double")
+        t_c = _map_lit({str(k): v[1] for k, v in prm.items()}, fk, "int")
+        psi_c = _map_lit({str(k): v[0] for k, v in prm.items()}, fk, "int")
+    else:
+        psi_k, t_k, p_any, q = prm[None]
+        p_any_c, q_c, t_c, psi_c = F.lit(p_any), F.lit(q), F.lit(t_k), F.lit(psi_k)
+    cand = df.filter(_u(keys) < p_any_c)
+    pick = F.filter(F.sequence(F.lit(0), t_c - 1), lambda t: _u(keys + [t, F.lit(seed + 1)]) < q_c)
+    pairs = cand.withColumn("tree_id", F.explode(pick)).withColumns({
+        "_ord": F.xxhash64(rid, F.col("tree_id"), F.lit(seed + 2)), "_psi": psi_c})
     part = ([forest] if forest else []) + ["tree_id"]
     w = Window.partitionBy(*part).orderBy("_ord", row_id)
-    return pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).drop("_rn", "_ord")
+    return (pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_psi"))
+            .drop("_rn", "_ord", "_psi"))
 
 
 # ------------------------------------------------------------------ tree build
@@ -151,15 +172,17 @@ def build_tree(X: np.ndarray, feats: np.ndarray, max_depth: int, rng: np.random.
     return left, right, feat, thr, ns
 
 
-def _builder(features: list[str], psi: int, max_features: float, seed: int, forest_col: str | None):
+def _builder(features: list[str], psi: int, max_features: float, seed: int, forest_col: str | None,
+             psi_by_forest: dict | None = None):
     d = len(features)
     k = max(1, int(max_features * d)) if isinstance(max_features, float) else int(max_features)
     k = min(k, d)
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree_id"].iloc[0])
         fid = str(pdf[forest_col].iloc[0]) if forest_col else ""
+        psi_f = psi_by_forest.get(fid, psi) if psi_by_forest else psi
+        max_depth = int(math.ceil(math.log2(max(psi_f, 2))))
         fseed = int.from_bytes(fid.encode()[:8].ljust(8, b"\0"), "little") % (1 << 31)
         rng = np.random.default_rng([seed, tree_id, fseed])
         X = pdf[features].to_numpy(dtype=np.float64)
@@ -196,6 +219,34 @@ def fit(df: DataFrame, features: list[str], n_trees: int = 200, max_samples: int
     return Forest(nodes=nodes, features=features, max_samples=psi, n_trees=n_trees)
 
 
+def fit_many(df: DataFrame, features: list[str], forest: str, params: dict, max_features: float = 1.0,
+             seed: int = 42, row_id: str = "row_id") -> dict[str, Forest]:
+    """Fit one forest per value of ``forest`` in a single job;
+    ``params`` = {value: (n_rows, max_samples, n_trees)}. Returns the
+    forests with their node tables (one collect of all nodes, bounded by
+    sum of T * 2psi)."""
+    prm = {str(k): (n, min(cap_psi, n, MAX_SAMPLES_CAP), t) for k, (n, cap_psi, t) in params.items()}
+    cols = [row_id] + features + [forest]
+    base = df.select(*cols).withColumn(forest, F.col(forest).cast("string"))
+    samples = tree_samples(base, row_id, 0, 0, 0, seed, forest, per_forest=prm)
+    nodes = samples.groupBy(forest, "tree_id").applyInPandas(
+        _builder(features, 0, max_features, seed, forest, {k: v[1] for k, v in prm.items()}), schema=NODE_SCHEMA)
+    bound = sum(t * 2 * psi for _, psi, t in prm.values())
+    pdf = nodes.toPandas()
+    if len(pdf) > bound:
+        raise ValueError(f"forests larger than their bound ({len(pdf)} > {bound})")
+    out = {}
+    spark = df.sparkSession
+    for k in sorted(prm):
+        n, psi, t = prm[k]
+        sub = pdf[pdf["forest_id"] == k].reset_index(drop=True)
+        f = Forest(nodes=spark.createDataFrame(sub, schema=NODE_SCHEMA), features=features, max_samples=psi,
+                   n_trees=t, forest_ids=[k])
+        f.nodes_pdf = sub
+        out[k] = f
+    return out
+
+
 # -------------------------------------------------------------------- scoring
 def pack(nodes_pdf: pd.DataFrame) -> dict:
     """Node table -> flat arrays with per-tree root offsets (children made global)."""

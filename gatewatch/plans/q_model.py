@@ -15,6 +15,7 @@ from gatewatch.operators.features import TRAIN_FEATURES, URI4_FEATURES, spread,
 from gatewatch.plans.registry import query, table
 from gatewatch.plans.sqlviews import SCORED, WEB, entropy_sql, with_
 from gatewatch.sources import models as MS
+from gatewatch.operators.quantiles import exact_quantiles
 from gatewatch.session import materialize
 from gatewatch.sources.adapters import waf_logs, web_requests
 
@@ -128,15 +129,17 @@ def fedavg_merge(spark, sf):
     scaled, _ = FR.standardize(df, TRAIN_FEATURES)
     split = materialize(FD.position_split(scaled, "row_id", FED_FRACTIONS), "fed_split")
     sizes = {r["node"]: r["n"] for r in split.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
-    forests, rows = {}, []
-    for node, n in sorted(sizes.items()):
-        part = split.filter(F.col("node") == node)
-        f = FR.fit(part, TRAIN_FEATURES, n_trees=100, max_samples=max(16, int(n * 0.6)), seed=42, n_rows=n)
-        pdf = FR.collect_nodes(f)
-        f.nodes = spark.createDataFrame(pdf, schema=FR.NODE_SCHEMA)
-        off = FR.offset_of(FR.score(part, f, nodes_pdf=pdf), 0.15)
-        forests[str(node)] = f
-        rows.append((str(node), int(n), 100, float(off), len(TRAIN_FEATURES)))
+    # one job fits every node's forest (each on its own rows only)
+    forests = FR.fit_many(split, TRAIN_FEATURES, "node",
+                          {str(k): (n, max(16, int(n * 0.6)), 100) for k, n in sizes.items()}, seed=42)
+    scored_parts = None
+    for node, f in forests.items():
+        part = FR.score(split.filter(F.col("node") == int(node)), f, nodes_pdf=f.nodes_pdf)
+        scored_parts = part if scored_parts is None else scored_parts.unionByName(part)
+    scored_nodes = materialize(scored_parts.select("node", "score"), "fed_node_scores")
+    offs = {str(r["node"]): r["off"] for r in
+            exact_quantiles(scored_nodes, "score", {"off": 0.15}, by=["node"]).collect()}
+    rows = [(k, int(sizes[int(k)]), 100, float(offs[k]), len(TRAIN_FEATURES)) for k in sorted(forests)]
     params = spark.createDataFrame(rows, "node_id string, n_samples long, n_trees int, offset double, n_features int")
     FD.validate_compatibility(params)
     merged = FD.merge(forests, params)
