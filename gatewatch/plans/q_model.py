@@ -154,7 +154,7 @@ FED_SQL = with_(SCORED) + """
 , s AS (SELECT row_id, raw_score, CASE WHEN rk < floor(n * 0.6) THEN 1 WHEN rk < floor(n * 0.85) THEN 2 ELSE 3 END AS node FROM r)
 , p AS (SELECT CAST(node AS VARCHAR) AS node_id, COUNT(*) AS n_samples, quantile_cont(raw_score, 0.15) AS "offset",
                100 AS n_trees FROM s GROUP BY node)
-, q AS (SELECT *, n_samples * 1.0 / sum(n_samples) OVER () AS weight, sum(n_samples) OVER () AS total_samples,
+, q AS (SELECT *, n_samples * 1.0 / sum(n_samples) OVER () AS weight, CAST(sum(n_samples) OVER () AS BIGINT) AS total_samples,
                sum("offset" * n_samples) OVER () / sum(n_samples) OVER () AS global_offset,
                COUNT(*) OVER () AS nodes FROM p)
 """

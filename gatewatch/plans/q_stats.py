@@ -203,7 +203,7 @@ def sentinel_rethreshold(spark, sf):
 
 
 def _sweep_sql():
-    rows = " UNION ALL ".join(f"SELECT {c} AS contamination" for c in K.CONTAMINATION_SWEEP)
+    rows = " UNION ALL ".join(f"SELECT CAST({c} AS DOUBLE) AS contamination" for c in K.CONTAMINATION_SWEEP)
     lo, hi = K.RECOMMEND_PCT_RANGE
     offs = ", ".join(f"quantile_cont(raw_score, {c}) AS o{i}" for i, c in enumerate(K.CONTAMINATION_SWEEP))
     pick = " ".join(f"WHEN {c} THEN o{i}" for i, c in enumerate(K.CONTAMINATION_SWEEP))

@@ -136,9 +136,9 @@ def premit_latch(spark, sf):
 
 @query("running_counters", with_(SCORED) + """
 SELECT row_id, ip,
-  sum(CASE WHEN action = 'BLOCK' THEN 1 ELSE 0 END) OVER w AS blocked_total,
-  sum(CASE WHEN action = 'ALLOW' THEN 1 ELSE 0 END) OVER w AS passed_total,
-  sum(anomaly) OVER w AS anomalies_total
+  CAST(sum(CASE WHEN action = 'BLOCK' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS blocked_total,
+  CAST(sum(CASE WHEN action = 'ALLOW' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS passed_total,
+  CAST(sum(anomaly) OVER w AS BIGINT) AS anomalies_total
 FROM scored WINDOW w AS (PARTITION BY ip ORDER BY event_ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_counters(spark, sf):
     """Monotone counters per IP (blocked, passed, anomalies) as running totals."""
@@ -188,11 +188,10 @@ def _band_sql(h):
 
 
 @query("expected_load", f"""
-SELECT CAST((hour(ts) + {K.KST_OFFSET_HOURS}) % 24 AS INTEGER) AS hour_kst,
-       {_band_sql(f'(hour(ts) + {K.KST_OFFSET_HOURS}) % 24')} AS weight,
-       COUNT(*) AS n_events,
-       round(COUNT(*) * {_band_sql(f'(hour(ts) + {K.KST_OFFSET_HOURS}) % 24')}, 6) AS expected_requests
-FROM events GROUP BY 1, 2""")
+SELECT hour_kst, weight, COUNT(*) AS n_events, round(COUNT(*) * weight, 6) AS expected_requests
+FROM (SELECT CAST((hour(ts) + {K.KST_OFFSET_HOURS}) % 24 AS INTEGER) AS hour_kst,
+             CAST({_band_sql(f'(hour(ts) + {K.KST_OFFSET_HOURS}) % 24')} AS DOUBLE) AS weight FROM events) t
+GROUP BY 1, 2""")
 def expected_load(spark, sf):
     """Events per Korea-time hour with the traffic weight of its band."""
     ev = table(spark, sf, "events")

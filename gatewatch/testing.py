@@ -80,3 +80,21 @@ def compare(spark_pdf: pd.DataFrame, oracle_pdf: pd.DataFrame, tol: float = 1e-6
     if bad:
         problems.append(f"{bad} differing rows")
     return problems
+
+
+_SPARK_FAMILY = {"bigint": "int", "int": "int32", "smallint": "int", "tinyint": "int", "double": "float",
+                 "float": "float", "string": "str", "boolean": "bool", "timestamp": "ts", "timestamp_ntz": "ts",
+                 "date": "date"}
+_DUCK_FAMILY = {"BIGINT": "int", "INTEGER": "int32", "SMALLINT": "int", "TINYINT": "int", "DOUBLE": "float",
+                "FLOAT": "float", "VARCHAR": "str", "BOOLEAN": "bool", "TIMESTAMP": "ts", "DATE": "date"}
+
+
+def type_mismatches(spark_dtypes: list[tuple[str, str]], duck_rel) -> list[str]:
+    """Column type families that differ between a Spark result and DuckDB."""
+    d = {c: str(t).split("(")[0] for c, t in zip(duck_rel.columns, duck_rel.types)}
+    out = []
+    for c, t in spark_dtypes:
+        a, b = _SPARK_FAMILY.get(t, t), _DUCK_FAMILY.get(d.get(c, "MISSING"), d.get(c, "MISSING"))
+        if a != b:
+            out.append(f"{c}: spark={t} duck={d.get(c)}")
+    return out

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from gatewatch.plans.registry import all_queries
-from gatewatch.testing import compare, duck
+from gatewatch.testing import compare, duck, type_mismatches
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
@@ -31,8 +31,10 @@ def test_contract(spark):
 @pytest.mark.parametrize("name", sorted(n for n, q in all_queries().items() if q.sql))
 def test_oracle(spark, name):
     q = all_queries()[name]
-    pdf = q.build(spark, SF).toPandas()
-    assert compare(pdf, duck(SF).sql(q.sql).df()) == []
+    df = q.build(spark, SF)
+    rel = duck(SF).sql(q.sql)
+    assert type_mismatches(df.dtypes, rel) == []
+    assert compare(df.toPandas(), rel.df()) == []
 
 
 @pytest.mark.parametrize("name", sorted(n for n, q in all_queries().items() if not q.sql and n not in SLOW))
