@@ -9,14 +9,18 @@ with one group holding a third of 100 TB that map does not fit. Here:
    and sort within partitions;
 2. number the rows with ``monotonically_increasing_id`` (partition id in the
    upper bits, position in the lower bits);
-3. count rows per (partition, group): a table of about
-   #partitions + #groups rows; a prefix sum over it gives each block's
-   global start rank inside its group;
+3. write the numbered rows (group keys, value, id: a narrow table) to the
+   shared folder once, so every later branch sees the same numbering (range
+   bounds are sampled per exchange and may differ between two exchanges);
+   count rows per (partition, group): a table of about #partitions +
+   #groups rows; a prefix sum over it gives each block's global start rank
+   inside its group;
 4. keep only the rows whose rank is one of the wanted ranks (floor and
    ceil of (n-1)p) through a join with the small target table, and
    interpolate.
 
-Only the sorted data is shuffled once; everything else is small.
+The (group, value) columns are shuffled and written once; everything else
+is small.
 """
 
 from __future__ import annotations
@@ -48,10 +52,11 @@ def ranked(df: DataFrame, value: str, by: Sequence[str] = (), tiebreak: str | No
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = list(dict.fromkeys(by + [value] + ([tiebreak] if tiebreak else [])))
     base = df.select(*[F.col(c) for c in cols]).filter(F.col(value).isNotNull())
-    srt = (base.repartitionByRange(n_parts, *cols)
-           .sortWithinPartitions(*cols)
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT)))
+    from gatewatch.session import materialize
+    srt = materialize(base.repartitionByRange(n_parts, *cols)
+                      .sortWithinPartitions(*cols)
+                      .withColumn("_mid", F.monotonically_increasing_id())
+                      .withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT)), "ranked")
     gk = [f"_g{i}" for i in range(len(by))]
     blocks = (srt.groupBy("_pid", *by).agg(F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_cnt"))
               .toDF("_bpid", *gk, "_base", "_cnt"))

@@ -56,7 +56,7 @@ def scenario_clock(ts: str, cycle_seconds: float | None = None) -> Column:
     return F.pmod(micros, F.lit(int(cyc * 1_000_000))).cast("double") / 1_000_000.0
 
 
-def premitigation(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column,
+def premitigation(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column | None,
                   risk: str = "pred_risk", mode: str = "mode", t: str = "t",
                   threshold: float = K.PRED_THRESHOLD, reset_after: float = K.LATCH_RESET_AFTER) -> DataFrame:
     """Latch per key: ON when risk >= threshold, OFF in STABILIZE after

@@ -4,8 +4,15 @@ when one key holds a large share of the rows.
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to
 one task. Here the scan is done in two phases:
 
-1. rows are partitioned by (key, time bucket); each bucket is scanned
-   locally with a window (one shuffle of the data);
+1. rows are cut into chunks and each chunk is scanned locally with a window.
+   The default chunk is a range partition of (key, order): its bounds come
+   from a sample, so a key holding a third of all rows is split into
+   balanced pieces whatever its time span. The chunk id is written with the
+   rows to the shared folder once, so both phases read the same assignment
+   (range bounds are sampled per exchange and may differ between two
+   exchanges of the same data). A time bucket (e.g. the day) can be given
+   instead: deterministic, no extra write, one shuffle less, balanced when
+   hot keys span many buckets;
 2. one summary row per (key, bucket) — the bucket's sum or last non-null
    value — is prefix-combined over the buckets of the key (a small table:
    one row per key-bucket), giving each bucket its carry-in;
@@ -24,13 +31,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_scan(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column,
-                values: dict[str, tuple[str, Column]]) -> DataFrame:
+def prefix_scan(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column | None,
+                values: dict[str, tuple[str, Column]], partitions: int | None = None) -> DataFrame:
     """Add one column per entry of ``values``: name -> (kind, expr), kind
     'sum' (running sum, inclusive) or 'last' (last non-null so far, inclusive).
-    Rows are ordered by ``order`` (which must be unique within a key)."""
+    Rows are ordered by ``order`` (which must be unique within a key).
+    ``bucket`` None = range-partition chunks (balanced under any skew)."""
     key, order = list(key), list(order)
-    d = df.withColumn("_bk", bucket)
+    if bucket is None:
+        from gatewatch.session import materialize
+        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        d = materialize(df.repartitionByRange(n, *key, *order).withColumn("_bk", F.spark_partition_id()),
+                        "scan_chunks")
+    else:
+        d = df.withColumn("_bk", bucket)
     tmp = {name: f"_x_{i}" for i, name in enumerate(values)}
     d = d.withColumns({tmp[n]: expr for n, (kind, expr) in values.items()})
     w_loc = Window.partitionBy(*key, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -87,7 +101,7 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: str, cols: Sequence[
 
 
 def islands(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str, ts: str,
-            bucket: Column) -> DataFrame:
+            bucket: Column | None = None) -> DataFrame:
     """Episodes = maximal runs of flag = 1 per key. A row's island id is the
     running count of flag = 0 rows before it (prefix_scan), so each run shares
     one id; runs then aggregate with partial aggregation."""

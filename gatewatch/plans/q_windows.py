@@ -10,7 +10,7 @@ from gatewatch.functions import codes as C
 from gatewatch.functions import text as X
 from gatewatch.operators import risk as RK
 from gatewatch.operators.features import spread
-from gatewatch.operators.scans import day_bucket, first_per_key, islands, prefix_scan
+from gatewatch.operators.scans import first_per_key, islands, prefix_scan
 from gatewatch.plans.q_text import _threat_sql
 from gatewatch.plans.registry import query, table
 from gatewatch.plans.sqlviews import DOCREQ, SCORED, WEB, entropy_sql, with_
@@ -129,7 +129,7 @@ def premit_latch(spark, sf):
     c = _clocked(spark, sf)
     b = RK.score_bounds(c, "raw_score")
     c = c.withColumn("obs_risk", RK.risk_from_score("raw_score", b["threshold"], b["min"], b["max"], digits=None))
-    lat = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], day_bucket("event_ts"))
+    lat = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], None)
     return lat.select("row_id", "ip", "mode", "premit_on", "trigger", "mitigation_level",
                       F.round(RK.capped_obs_risk(), 6).alias("obs_risk"))
 
@@ -143,7 +143,7 @@ FROM scored WINDOW w AS (PARTITION BY ip ORDER BY event_ts, row_id ROWS BETWEEN
 def running_counters(spark, sf):
     """Monotone counters per IP (blocked, passed, anomalies) as running totals."""
     sc = _scored(spark, sf)
-    out = prefix_scan(sc, ["ip"], ["event_ts", "row_id"], day_bucket("event_ts"), {
+    out = prefix_scan(sc, ["ip"], ["event_ts", "row_id"], None, {
         "blocked_total": ("sum", (F.col("action") == "BLOCK").cast("long")),
         "passed_total": ("sum", (F.col("action") == "ALLOW").cast("long")),
         "anomalies_total": ("sum", F.col("anomaly").cast("long")),
@@ -161,7 +161,7 @@ FROM z WHERE anomaly = 1 GROUP BY ip, isl""")
 def episodes(spark, sf):
     """Anomaly episodes per IP (gaps and islands): start, end, rows, duration."""
     sc = _scored(spark, sf)
-    e = islands(sc, ["ip"], ["event_ts", "row_id"], "anomaly", "event_ts", day_bucket("event_ts"))
+    e = islands(sc, ["ip"], ["event_ts", "row_id"], "anomaly", "event_ts", None)
     dur = (F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1e6
     return e.select("ip", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"),
                     F.date_format("end_ts", "yyyy-MM-dd HH:mm:ss").alias("end_ts"), "n_rows",
@@ -208,7 +208,7 @@ def premit_alerts(spark, sf):
     alerts per IP with their highest level."""
     from gatewatch.operators import response as RS
     c = _clocked(spark, sf)
-    lat = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], day_bucket("event_ts"))
+    lat = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], None)
     return (RS.mitigation_gate(lat).groupBy("ip")
             .agg(F.count(F.lit(1)).alias("count"), F.max("mitigation_level").alias("mitigation_level"))
             .withColumn("reason", F.lit("AI Risk")))

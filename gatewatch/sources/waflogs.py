@@ -89,9 +89,15 @@ def projected_glob(root: str, years: list[str], months: list[str], days: list[st
     return f"{root.rstrip('/')}/{alt(years)}/{alt(months)}/{alt(days)}/{alt(hours)}/"
 
 
-def land(df: DataFrame, out: str, fmt: str = "parquet") -> None:
-    """Write logs as a Hive-partitioned table (year/month/day/hour strings)."""
-    df.write.mode("overwrite").partitionBy(*PARTITIONS).format(fmt).save(out)
+def land(df: DataFrame, out: str, fmt: str = "parquet", partitions: int | None = None) -> None:
+    """Write logs as a Hive-partitioned table (year/month/day/hour strings).
+
+    Rows are first range-partitioned on (partition columns, timestamp): each
+    task then writes a few contiguous hour folders (not one file per task per
+    hour), and a hot hour is split across tasks by the sampled bounds."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(n, *PARTITIONS, "timestamp")
+     .write.mode("overwrite").partitionBy(*PARTITIONS).format(fmt).save(out))
 
 
 def read_landed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
