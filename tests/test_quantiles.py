@@ -68,3 +68,16 @@ def test_islands(spark):
     df = spark.createDataFrame(pdf)
     e = islands(df, ["k"], ["ts", "id"], "f", "ts", F.date_trunc("day", "ts")).toPandas()
     assert sorted(zip(e["k"], e["n_rows"])) == [("a", 1), ("a", 1), ("a", 2), ("b", 2)]
+
+
+def test_range_chunks_match_day_buckets(spark):
+    """Regression: the latch over range chunks (stored chunk ids) equals the
+    latch over day buckets, with extra columns pruned differently per branch."""
+    from gatewatch.operators import risk as RK
+    from gatewatch.operators.scans import day_bucket
+    from gatewatch.plans import q_windows as QW
+    c = QW._clocked(spark, "/root/testdata/sf0.01").withColumn("extra", F.col("raw_score") * 2)
+    a = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], None).select("row_id", "premit_on", "trigger", "extra")
+    b = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], day_bucket("event_ts")).select(
+        "row_id", "premit_on", "trigger", "extra")
+    assert sorted(a.collect()) == sorted(b.collect())
