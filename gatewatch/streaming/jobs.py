@@ -141,26 +141,34 @@ def latch(spark: SparkSession, events: DataFrame, cycle: float | None = None) ->
 # ------------------------------------------------------------------ respond
 def respond(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Detect-and-respond loop. A streaming count per (day, ip) of anomalies
-    (state = one row per day and IP); each micro-batch merges its updated
-    counts into a counts table, recomputes the top IP of the touched days,
-    writes alerts, and appends the absent /32 entries to the block list.
-    Returns (block list, alerts)."""
+    lives in the aggregation state (one row per day and IP); update mode
+    hands each micro-batch the (day, ip) rows whose counts changed. Counts
+    only grow, so a day's top IP after the batch is the best of its previous
+    top and the batch's updated rows — the sink keeps just one row per day
+    (no re-read of history), writes alerts for the touched days, and appends
+    the absent /32 entries to the block list. Returns (block list, alerts)."""
     from gatewatch.sources.adapters import scored_events
     sc = scored_events(events).filter((F.col("anomaly") == 1) & RS.valid_ip("ip"))
     counts = sc.groupBy("year", "month", "day", "ip").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("event_ts").alias("first_ts"))
     root = scratch_path(spark, "tables/respond")
-    counts_dir, block_dir, alert_dir = f"{root}/counts", f"{root}/blocklist", f"{root}/alerts"
+    top_dir, block_dir, alert_dir = f"{root}/top", f"{root}/blocklist", f"{root}/alerts"
     block_schema = "cidr string, first_seen timestamp_ntz, hits long"
+    top_schema = "year string, month string, day string, ip string, cnt long, first_ts timestamp_ntz"
+    days = ["year", "month", "day"]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{counts_dir}/batch_id={batch_id}")
-        days = batch.select("year", "month", "day").distinct()
-        cur = latest_by_key(s, counts_dir, ["year", "month", "day", "ip"]).join(days, ["year", "month", "day"])
-        w = Window.partitionBy("year", "month", "day").orderBy(F.desc("cnt"), F.asc("ip"))
-        top = cur.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
-        RS.alerts(top, "first_ts", "ip", "cnt", keep=[F.concat_ws("-", "year", "month", "day").alias("day_key")]) \
+        prev = latest_by_key(s, top_dir, days, schema=top_schema) if batch_id > 0 else \
+            s.createDataFrame([], top_schema)
+        touched = batch.select(*days).distinct()
+        cand = prev.join(touched, days, "left_semi").select(*days, "ip", "cnt", "first_ts") \
+            .unionByName(batch.select(*days, "ip", "cnt", "first_ts"))
+        w = Window.partitionBy(*days).orderBy(F.desc("cnt"), F.asc("ip"))
+        top = cand.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
+        top.write.mode("overwrite").parquet(f"{top_dir}/batch_id={batch_id}")
+        top = s.read.parquet(f"{top_dir}/batch_id={batch_id}")
+        RS.alerts(top, "first_ts", "ip", "cnt", keep=[F.concat_ws("-", *days).alias("day_key")]) \
             .write.mode("overwrite").parquet(f"{alert_dir}/batch_id={batch_id}")
         current = latest_by_key(s, block_dir, ["cidr"], schema=block_schema) if batch_id > 0 else \
             s.createDataFrame([], block_schema)
