@@ -43,6 +43,10 @@ XSS_PAYLOADS = [
     "q=<svg onload=alert(1)>",
 ]
 
+# --- request headers ------------------------------------------------------------
+VIEWER_COUNTRY_HEADER = "cloudfront-viewer-country"
+UNKNOWN_COUNTRY = "XX"
+
 # --- text features -----------------------------------------------------------
 SPECIAL_CHARS_REGEX = r"[<>{}\[\]()*&%$!?]"
 RISK_KEYWORDS = ["script", "select", "union", "drop", "admin", "etc/passwd", "../"]

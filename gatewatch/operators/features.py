@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewatch import constants as K
 from gatewatch.functions import codes as C
 from gatewatch.functions import text as X
 
@@ -82,7 +83,7 @@ def uri4_frame(df: DataFrame, uri: str = "request_uri") -> DataFrame:
 def edge_frame(df: DataFrame, country_map: dict, uri: str = "uri", headers: str = "headers") -> DataFrame:
     """Edge feature set: country from the viewer-country header (default 'XX',
     unseen -> max+1), rule code fixed 0, URI length and entropy, rule entropy."""
-    country = C.header_value(headers, "cloudfront-viewer-country", "XX")
+    country = C.header_value(headers, K.VIEWER_COUNTRY_HEADER, K.UNKNOWN_COUNTRY)
     return df.withColumns({
         "country_code": C.edge_country_code(country, country_map),
         "rule_code": F.lit(0.0),

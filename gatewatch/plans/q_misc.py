@@ -46,7 +46,7 @@ def json_props(spark, sf):
     ev = table(spark, sf, "events")
     props = ev.select(F.col("event_id").alias("row_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
     base = waf_logs(ev).select(
-        "row_id", C.header_value("httprequest.headers", "cloudfront-viewer-country", "XX").alias("viewer_country"),
+        "row_id", C.header_value("httprequest.headers", K.VIEWER_COUNTRY_HEADER, K.UNKNOWN_COUNTRY).alias("viewer_country"),
         F.try_element_at("rulegrouplist", F.lit(1))["rulegroupid"].alias("group_rule"))
     return base.join(props, "row_id")
 

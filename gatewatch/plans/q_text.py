@@ -203,7 +203,7 @@ FROM waf""")
 def encode_codes(spark, sf):
     """Ordinal country and rule codes; edge variant maps unseen countries to max+1."""
     w = waf_logs(table(spark, sf, "events"))
-    country = C.header_value("httprequest.headers", "cloudfront-viewer-country", "XX")
+    country = C.header_value("httprequest.headers", K.VIEWER_COUNTRY_HEADER, K.UNKNOWN_COUNTRY)
     return w.select("row_id",
                     C.country_code("httprequest.country").cast("long").alias("country_code"),
                     C.rule_code("terminatingruleid").cast("long").alias("rule_code"),

@@ -82,7 +82,7 @@ def waf_logs(events: DataFrame) -> DataFrame:
     method = F.when(F.col("event_type").isin("purchase", "signup"), F.lit("POST")).otherwise(F.lit("GET"))
     headers = F.array(
         F.struct(F.lit("host").alias("name"), F.lit("app.example.com").alias("value")),
-        F.struct(F.lit("cloudfront-viewer-country").alias("name"), country.alias("value")),
+        F.struct(F.lit(K.VIEWER_COUNTRY_HEADER).alias("name"), country.alias("value")),
     )
     rulegroups = F.when(
         rule.startswith("AWS-"),
@@ -97,7 +97,7 @@ def waf_logs(events: DataFrame) -> DataFrame:
         F.col("ts").alias("event_ts"),
         F.unix_millis(ts_ltz).alias("timestamp"),
         F.lit(1).alias("formatversion"),
-        F.lit("devsecops-waf").alias("webaclid"),
+        F.lit("web-acl-1").alias("webaclid"),
         rule.alias("terminatingruleid"),
         F.when(rule.startswith("AWS-"), F.lit("MANAGED_RULE_GROUP"))
          .when(rule == K.RULE_DEFAULT, F.lit("REGULAR")).otherwise(F.lit("RATE_BASED")).alias("terminatingruletype"),
