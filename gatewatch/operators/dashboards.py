@@ -11,7 +11,7 @@ are deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch import constants as K
@@ -89,15 +89,23 @@ def top_anomalous_ip(scored: DataFrame, year: str, month: str, day: str) -> Data
             .orderBy(F.desc("cnt"), F.asc("ip")).limit(1))
 
 
+def top_per_group(df: DataFrame, group: list[str], count: str, key: str, extra: list[str] = ()) -> DataFrame:
+    """Top-1 row per group by ``count`` desc, ties to the smallest ``key``,
+    as a ``min_by`` aggregate over (-count, key): it combines map-side, so a
+    group with millions of candidate keys is never sorted in one task."""
+    pick = F.struct(F.col(key).alias("_key"), F.col(count).alias("_cnt"), *[F.col(c) for c in extra])
+    order = F.struct((-F.col(count)).alias("_neg"), F.col(key).alias("_k"))
+    return (df.groupBy(*group).agg(F.min_by(pick, order).alias("_top"))
+            .select(*group, F.col("_top._key").alias(key), F.col("_top._cnt").alias(count),
+                    *[F.col(f"_top.{c}").alias(c) for c in extra]))
+
+
 def top_anomalous_ip_per_day(scored: DataFrame) -> DataFrame:
-    """The daily report for every day at once: count per (day, ip) with a
-    partial aggregate, then rank inside each day. The ranked input holds one
-    row per (day, ip), so no day's raw rows meet in one task."""
+    """The daily report for every day at once: count per (day, ip), then the
+    top IP of each day (both steps are partial aggregates)."""
     counts = (scored.filter(F.col("anomaly") == 1)
               .groupBy("year", "month", "day", "ip").agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("year", "month", "day").orderBy(F.desc("cnt"), F.asc("ip"))
-    return (counts.withColumn("rk", F.row_number().over(w))
-            .filter(F.col("rk") == 1).drop("rk"))
+    return top_per_group(counts, ["year", "month", "day"], "cnt", "ip")
 
 
 def distinct_anomalous_ips(scored: DataFrame, approx: bool = False) -> DataFrame:

@@ -3,7 +3,7 @@ defense signals and alerts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch import constants as K
@@ -27,8 +27,10 @@ def append_absent(current: DataFrame, incoming: DataFrame, key: str = "cidr") ->
     """Insert-if-absent: rows of ``incoming`` whose key is not in ``current``
     (left anti join), de-duplicated on the key (earliest first_seen wins)."""
     new = incoming.join(current.select(key), key, "left_anti")
-    w = Window.partitionBy(key).orderBy(F.col("first_seen").asc_nulls_last())
-    return new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    cols = [c for c in new.columns if c != key]
+    first = F.min_by(F.struct(*[F.col(c) for c in cols]),
+                     F.struct(F.col("first_seen").isNull(), F.col("first_seen")))
+    return new.groupBy(key).agg(first.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "cidr") -> DataFrame:

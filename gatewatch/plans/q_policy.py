@@ -233,9 +233,7 @@ def blocklist_append(spark, sf):
     sc = scored_events(table(spark, sf, "events"))
     counts = (sc.filter(F.col("anomaly") == 1).groupBy("year", "month", "day", "ip")
               .agg(F.count(F.lit(1)).alias("cnt"), F.min("event_ts").alias("first_ts")))
-    from pyspark.sql import Window
-    w = Window.partitionBy("year", "month", "day").orderBy(F.desc("cnt"), F.asc("ip"))
-    daily = counts.withColumn("rk", F.row_number().over(w)).filter("rk = 1")
+    daily = D.top_per_group(counts, ["year", "month", "day"], "cnt", "ip", extra=["first_ts"])
     cur = RS.block_candidates(daily.filter(F.col("day") <= "10"), ts="first_ts")
     inc = RS.block_candidates(daily, ts="first_ts")
     out = RS.upsert(cur.withColumn("origin", F.lit("existing")), inc.withColumn("origin", F.lit("appended")))

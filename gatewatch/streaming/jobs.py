@@ -164,8 +164,7 @@ def respond(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFram
         touched = batch.select(*days).distinct()
         cand = prev.join(touched, days, "left_semi").select(*days, "ip", "cnt", "first_ts") \
             .unionByName(batch.select(*days, "ip", "cnt", "first_ts"))
-        w = Window.partitionBy(*days).orderBy(F.desc("cnt"), F.asc("ip"))
-        top = cand.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
+        top = D.top_per_group(cand, days, "cnt", "ip", extra=["first_ts"])
         top.write.mode("overwrite").parquet(f"{top_dir}/batch_id={batch_id}")
         top = s.read.parquet(f"{top_dir}/batch_id={batch_id}")
         RS.alerts(top, "first_ts", "ip", "cnt", keep=[F.concat_ws("-", *days).alias("day_key")]) \
