@@ -4,10 +4,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gatewatch import constants as K
 from gatewatch.functions import text as X
 from gatewatch.operators import federated as FD
 from gatewatch.operators import forest as FR

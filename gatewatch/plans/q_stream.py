@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatewatch.operators import forest as FR
 from gatewatch.operators.features import TRAIN_FEATURES
-from gatewatch.plans import q_dashboards, q_windows
+from gatewatch.plans import q_dashboards, q_windows  # noqa: F401 (registers hourly_rule first)
 from gatewatch.plans.q_model import _waf_training
 from gatewatch.plans.registry import query, REGISTRY
 from gatewatch.plans.sqlviews import SCORED, with_

@@ -14,13 +14,6 @@ from gatewatch.plans.registry import query, table
 from gatewatch.plans.sqlviews import DOCREQ, WAF, WEB, entropy_sql, restore_args_sql, with_
 from gatewatch.sources.adapters import doc_requests, waf_logs, web_requests
 
-R6 = 6
-
-
-def _sql_list(xs):
-    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
-
-
 def _sql_any_contains(expr, words):
     return "(" + " OR ".join(f"contains({expr}, '{w}')" for w in words) + ")"
 
