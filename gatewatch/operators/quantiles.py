@@ -49,7 +49,8 @@ def ranked(df: DataFrame, value: str, by: Sequence[str] = (), tiebreak: str | No
     (group keys renamed ``_g0.._gk``, ``_n``)."""
     by = list(by)
     spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    from gatewatch.session import range_partitions
+    n_parts = partitions or range_partitions(df)
     cols = list(dict.fromkeys(by + [value] + ([tiebreak] if tiebreak else [])))
     base = df.select(*[F.col(c) for c in cols]).filter(F.col(value).isNotNull())
     from gatewatch.session import materialize

@@ -40,7 +40,8 @@ def prefix_scan(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket:
     key, order = list(key), list(order)
     if bucket is None:
         from gatewatch.session import materialize
-        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        from gatewatch.session import range_partitions
+        n = partitions or range_partitions(df)
         d = materialize(df.repartitionByRange(n, *key, *order).withColumn("_bk", F.spark_partition_id()),
                         "scan_chunks")
     else:

@@ -108,3 +108,12 @@ def ship_package(spark: SparkSession) -> None:
         os.replace(tmp, target)
     sc.addPyFile(target)
     _SHIPPED.add(key)
+
+
+def range_partitions(df) -> int:
+    """Partitions for an explicit range repartition (AQE does not coalesce
+    those): the shuffle setting, but not more than the larger of the cluster's
+    parallelism and the input's partition count (small inputs stay small)."""
+    spark = df.sparkSession
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(conf, max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())))

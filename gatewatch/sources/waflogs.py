@@ -95,7 +95,8 @@ def land(df: DataFrame, out: str, fmt: str = "parquet", partitions: int | None =
     Rows are first range-partitioned on (partition columns, timestamp): each
     task then writes a few contiguous hour folders (not one file per task per
     hour), and a hot hour is split across tasks by the sampled bounds."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from gatewatch.session import range_partitions
+    n = partitions or range_partitions(df)
     (df.repartitionByRange(n, *PARTITIONS, "timestamp")
      .write.mode("overwrite").partitionBy(*PARTITIONS).format(fmt).save(out))
 

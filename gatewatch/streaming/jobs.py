@@ -44,12 +44,24 @@ def file_stream(spark: SparkSession, folder: str, name: str, fmt: str = "parquet
 
 
 def run_available(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None],
-                  output_mode: str = "append", spark: SparkSession | None = None) -> str:
-    """Process everything available now, then stop. Returns the checkpoint."""
+                  output_mode: str = "append", spark: SparkSession | None = None,
+                  state_partitions: int | None = None) -> str:
+    """Process everything available now, then stop. Returns the checkpoint.
+
+    Stateful operators keep their partition count for the life of the
+    checkpoint and AQE does not re-plan them, so the count is set when the
+    query starts: ``state_partitions`` or the cluster's parallelism (the
+    caller's shuffle setting is restored right after the start)."""
     spark = spark or df.sparkSession
     ckpt = scratch_path(spark, f"streams/{name}")
-    q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, prev)
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
