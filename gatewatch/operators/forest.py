@@ -74,13 +74,14 @@ def safe_hyperparams(n_samples: int, base_trees: int = 200, cap: int = MAX_SAMPL
 # ---------------------------------------------------------------- standardise
 def standardize(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
     """(x - mean) / population std, a std of 0 becomes 1. One aggregate pass;
-    the 2 x d statistics come back as the fitted scaler."""
+    the 2 x d statistics (and the row count) come back as the fitted scaler."""
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
+                 F.count(F.lit(1)).alias("n")).first()
     mean = [float(row[f"m{i}"] or 0.0) for i in range(len(cols))]
     scale = [float(row[f"s{i}"]) if row[f"s{i}"] else 1.0 for i in range(len(cols))]
     out = df.withColumns({c: (F.col(c) - F.lit(mean[i])) / F.lit(scale[i]) for i, c in enumerate(cols)})
-    return out, {"features": list(cols), "mean": mean, "scale": scale}
+    return out, {"features": list(cols), "mean": mean, "scale": scale, "n": int(row["n"])}
 
 
 def apply_scaler(df: DataFrame, scaler: dict) -> DataFrame:

@@ -72,8 +72,11 @@ def _waf_training(spark, sf):
 def fit_score(df, features, contamination, n_trees=None, max_samples=None, max_features=1.0, seed=42,
               scale=True, hyper=True):
     df = materialize(df, "features")
-    n = df.count()
-    scaled, scaler = FR.standardize(df, features) if scale else (df, None)
+    if scale:
+        scaled, scaler = FR.standardize(df, features)
+        n = scaler["n"]
+    else:
+        scaled, scaler, n = df, None, df.count()
     hp = FR.safe_hyperparams(n) if hyper else {}
     forest = FR.fit(scaled, features, n_trees=n_trees or hp.get("n_estimators", 100),
                     max_samples=max_samples or hp.get("max_samples"),
@@ -123,7 +126,7 @@ def fedavg_merge(spark, sf):
     """Federated merge: split the log rows 60/25/15 by position, fit one
     forest per node on its own rows (contamination .15), merge trees in
     proportion to node size with the weighted offset, score all rows."""
-    df = _waf_training(spark, sf)
+    df = materialize(_waf_training(spark, sf), "features")
     scaled, _ = FR.standardize(df, TRAIN_FEATURES)
     split = materialize(FD.position_split(scaled, "row_id", FED_FRACTIONS), "fed_split")
     sizes = {r["node"]: r["n"] for r in split.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
