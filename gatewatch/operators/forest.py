@@ -250,34 +250,51 @@ def fit_many(df: DataFrame, features: list[str], forest: str, params: dict, max_
 
 # -------------------------------------------------------------------- scoring
 def pack(nodes_pdf: pd.DataFrame) -> dict:
-    """Node table -> flat arrays with per-tree root offsets (children made global)."""
+    """Node table -> flat arrays for the vectorised walk. Children become
+    global indices and leaves point to themselves (feature 0, threshold
+    +inf), so a fixed number of steps (the forest's depth) needs no mask."""
     p = nodes_pdf.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
     trees = p["tree_id"].to_numpy()
     starts = np.flatnonzero(np.r_[True, trees[1:] != trees[:-1]])
     base = np.repeat(starts, np.diff(np.r_[starts, len(p)]))
     left = p["left"].to_numpy(np.int64)
     right = p["right"].to_numpy(np.int64)
-    return {"left": np.where(left >= 0, left + base, -1), "right": np.where(right >= 0, right + base, -1),
-            "feature": p["feature"].to_numpy(np.int64), "threshold": p["threshold"].to_numpy(np.float64),
-            "leaf_c": c_factor_np(p["n_node_samples"].to_numpy()), "roots": starts.astype(np.int64)}
-
-
-def path_lengths(arr: dict, X: np.ndarray) -> np.ndarray:
-    """Mean path length E[h(x)] over all trees for each row of X."""
-    m = X.shape[0]
-    node = np.broadcast_to(arr["roots"], (m, arr["roots"].size)).copy()
-    depth = np.zeros(node.shape, dtype=np.float64)
-    rows = np.arange(m)[:, None]
-    left, right, feat, thr = arr["left"], arr["right"], arr["feature"], arr["threshold"]
+    leaf = left < 0
+    idx = np.arange(len(p), dtype=np.int64)
+    left_g = np.where(leaf, idx, left + base)
+    right_g = np.where(leaf, idx, right + base)
+    depth, frontier = 0, starts.astype(np.int64)
     while True:
-        active = left[node] >= 0
-        if not active.any():
+        frontier = frontier[~leaf[frontier]]
+        if frontier.size == 0:
             break
-        f = np.where(active, feat[node], 0)
-        go_left = X[rows, f] <= thr[node]
-        node = np.where(active, np.where(go_left, left[node], right[node]), node)
-        depth += active
-    return (depth + arr["leaf_c"][node]).mean(axis=1)
+        frontier = np.concatenate([left_g[frontier], right_g[frontier]])
+        depth += 1
+    return {"left": left_g.astype(np.int32), "right": right_g.astype(np.int32),
+            "feature": np.where(leaf, 0, p["feature"].to_numpy(np.int64)).astype(np.int32),
+            "threshold": np.where(leaf, np.inf, p["threshold"].to_numpy(np.float64)),
+            "leaf_c": c_factor_np(p["n_node_samples"].to_numpy()), "roots": starts.astype(np.int32),
+            "max_depth": depth}
+
+
+def path_lengths(arr: dict, X: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Mean path length E[h(x)] over all trees for each row of X: all trees
+    advance one level per step over a (rows x trees) node matrix."""
+    out = np.empty(X.shape[0])
+    left, right, feat, thr = arr["left"], arr["right"], arr["feature"], arr["threshold"]
+    for s in range(0, X.shape[0], block):
+        xs = X[s:s + block]
+        m = xs.shape[0]
+        flat = np.ascontiguousarray(xs.T).ravel()  # feature-major: value of (row r, feature f) at f*m + r
+        node = np.broadcast_to(arr["roots"], (m, arr["roots"].size)).copy()
+        depth = np.zeros(node.shape, dtype=np.int16)
+        row = np.arange(m, dtype=np.int32)[:, None]
+        for _ in range(arr["max_depth"]):
+            nxt = np.where(flat[feat[node] * m + row] <= thr[node], left[node], right[node])
+            depth += nxt != node
+            node = nxt
+        out[s:s + m] = (depth + arr["leaf_c"][node]).mean(axis=1)
+    return out
 
 
 def collect_nodes(forest: Forest) -> pd.DataFrame:
