@@ -46,10 +46,14 @@ def class_entropy(text) -> Column:
     """Entropy over four character classes: letters, digits, space/tab, other."""
     s = F.coalesce(_col(text), F.lit(""))
     n = F.char_length(s)
-    alpha = F.regexp_count(s, F.lit(r"\p{L}"))
-    digit = F.regexp_count(s, F.lit(r"\p{Nd}"))
-    special = F.regexp_count(s, F.lit(r"[^\p{L}\p{N} \t]"))
-    space = F.regexp_count(s, F.lit(r"[ \t]"))
+
+    def kept(cls_complement: str) -> Column:
+        # characters of a class = length after removing runs of everything else
+        return F.char_length(F.regexp_replace(s, cls_complement, ""))
+    alpha = kept(r"\P{L}+")
+    digit = kept(r"\P{Nd}+")
+    special = n - F.char_length(F.regexp_replace(s, r"[^\p{L}\p{N} \t]+", ""))
+    space = kept(r"[^ \t]+")
     return entropy_of_counts([alpha, digit, special, space], n)
 
 
