@@ -71,3 +71,14 @@ def test_csv_and_metrics_roundtrip(spark, tmp_path):
     m = spark.createDataFrame([(1, 0.5, [1, 2])], "n long, p double, arr array<int>")
     FS.write_metrics(m, str(tmp_path / "m"), flat=True)
     assert FS.read_metrics(spark, str(tmp_path / "m")).columns == ["n", "p"]
+
+
+def test_api_access_logs(spark, tmp_path):
+    p = tmp_path / "api.json"
+    p.write_text('{"requestId": "r1", "ip": "1.2.3.4", "requestTime": "02/Dec/2026:10:00:00 +0000", '
+                 '"httpMethod": "GET", "resourcePath": "/predict", "status": "200", "protocol": "HTTP/1.1", '
+                 '"responseLength": "42"}\n{broken\n')
+    df = FS.read_api_logs(spark, str(p))
+    assert df.columns == [f.name for f in FS.API_LOG_SCHEMA.fields]
+    rows = df.filter(F.col("requestId").isNotNull()).collect()
+    assert len(rows) == 1 and rows[0]["status"] == "200"
