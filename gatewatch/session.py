@@ -113,7 +113,15 @@ def ship_package(spark: SparkSession) -> None:
 def range_partitions(df) -> int:
     """Partitions for an explicit range repartition (AQE does not coalesce
     those): the shuffle setting, but not more than the larger of the cluster's
-    parallelism and the input's partition count (small inputs stay small)."""
+    parallelism and the optimizer's size estimate / maxPartitionBytes, so
+    small inputs stay small. Uses plan statistics only: asking ``df.rdd``
+    for its partitions would run the upstream shuffle stages under AQE."""
     spark = df.sparkSession
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(conf, max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no statistics: fall back to the setting
+        return conf
+    per = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
+    by_size = -(-size // max(per, 1))
+    return max(1, min(conf, max(spark.sparkContext.defaultParallelism, by_size)))
