@@ -80,6 +80,12 @@ def top_clients(logs: DataFrame, k: int = 10, **part) -> DataFrame:
             .limit(k))
 
 
+def day_partition(run_date) -> dict:
+    """The zero-padded year / month / day partition values of a run date
+    (the analyzer's "today"); the date is an argument so runs repeat."""
+    return {"year": f"{run_date.year:04d}", "month": f"{run_date.month:02d}", "day": f"{run_date.day:02d}"}
+
+
 def top_anomalous_ip(scored: DataFrame, year: str, month: str, day: str) -> DataFrame:
     """The IP with most anomalies in one day partition (0 or 1 row);
     ties go to the smallest IP text."""

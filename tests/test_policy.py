@@ -68,3 +68,15 @@ def test_blocklist_upsert(spark):
     top = spark.createDataFrame([("10.0.0.1", 5), ("10.0.0.2", 4), ("unknown", 9), ("", 1)], "ip string, cnt long")
     out = RS.upsert(cur, RS.block_candidates(top))
     assert sorted(r["cidr"] for r in out.collect()) == ["10.0.0.1/32", "10.0.0.2/32"]
+
+
+def test_day_partition_and_today_filter(spark):
+    import datetime
+    from gatewatch.operators import dashboards as D
+    p = D.day_partition(datetime.date(2024, 1, 5))
+    assert p == {"year": "2024", "month": "01", "day": "05"}
+    from gatewatch.sources.adapters import scored_events
+    sc = scored_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    one = D.top_anomalous_ip(sc, **p).collect()
+    per_day = {(r["year"], r["month"], r["day"]): (r["ip"], r["cnt"]) for r in D.top_anomalous_ip_per_day(sc).collect()}
+    assert [(r["ip"], r["cnt"]) for r in one] == ([per_day[("2024", "01", "05")]] if ("2024", "01", "05") in per_day else [])
