@@ -80,9 +80,12 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Send the gatewatch package to the executors' Python workers once per
-    session (zip in the shared folder + ``addPyFile``), so Arrow UDFs and
-    grouped-map functions import it wherever the job was launched from."""
+    session, so Arrow UDFs and grouped-map functions import it wherever the
+    job was launched from. The zip is built in memory and written to the
+    shared folder through the Hadoop FileSystem API (works for local, HDFS or
+    object-store URIs), then added with ``addPyFile``."""
     import hashlib
+    import io
     import zipfile
     sc = spark.sparkContext
     key = sc.applicationId
@@ -95,17 +98,24 @@ def ship_package(spark: SparkSession) -> None:
             if n.endswith(".py"):
                 files.append(os.path.join(root, n))
     h = hashlib.sha1()
-    for f in sorted(files):
-        with open(f, "rb") as fh:
-            h.update(f.encode() + fh.read())
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(files):
+            with open(f, "rb") as fh:
+                data = fh.read()
+            h.update(f.encode() + data)
+            z.writestr(os.path.join("gatewatch", os.path.relpath(f, pkg_dir)), data)
     target = f"{checkpoint_dir(spark)}/pkg/gatewatch-{h.hexdigest()[:12]}.zip"
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    if not os.path.exists(target):
-        tmp = target + f".{uuid.uuid4().hex[:6]}.part"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in files:
-                z.write(f, os.path.join("gatewatch", os.path.relpath(f, pkg_dir)))
-        os.replace(tmp, target)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        tmp = jvm.org.apache.hadoop.fs.Path(target + f".{uuid.uuid4().hex[:6]}.part")
+        out = fs.create(tmp, True)
+        out.write(bytearray(buf.getvalue()))
+        out.close()
+        if not fs.rename(tmp, path) and not fs.exists(path):
+            raise OSError(f"could not publish {target}")
     sc.addPyFile(target)
     _SHIPPED.add(key)
 

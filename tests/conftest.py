@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,7 +12,8 @@ SF_ORACLE = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    ckpt = tempfile.mkdtemp(prefix="gatewatch-test-ckpt-")
+
+    from gatewatch.session import checkpoint_dir
     s = (SparkSession.builder.master("local[*]").appName("gatewatch-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.session.timeZone", "UTC")
@@ -21,8 +21,8 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.checkpoint.dir", ckpt)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    checkpoint_dir(s)  # the session's shared folder; a scratch one only if unset
     yield s
     s.stop()
