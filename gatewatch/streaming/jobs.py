@@ -196,18 +196,25 @@ def respond(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFram
 def score_stream(spark: SparkSession, events: DataFrame, forest, nodes_pdf, scaler: dict,
                  offset: float) -> DataFrame:
     """Score each new request with the broadcast forest; BLOCK / ALLOW /
-    FAIL_OPEN by the offset decision."""
+    FAIL_OPEN by the offset decision. Scoring runs per micro-batch inside
+    ``foreachBatch``: the batch is a static frame there, so a thin batch (one
+    small file = one partition) is spread over the task slots before the
+    CPU-heavy Arrow UDF, and a large one is left as it is."""
     from gatewatch.operators import forest as FR
-    from gatewatch.operators.features import training_frame
+    from gatewatch.operators.features import spread, training_frame
     from gatewatch.sources.adapters import waf_logs
     w = waf_logs(events).select("row_id", "terminatingruleid", "action", F.col("httprequest.country").alias("country"),
                                 F.col("httprequest.uri").alias("uri"), F.col("httprequest.clientip").alias("ip"))
-    feats = FR.apply_scaler(training_frame(w), scaler)
-    scored = FR.score(feats, forest, nodes_pdf=nodes_pdf)
-    out = scored.select("row_id", "ip", F.round("score", 6).alias("score"),
-                        FR.edge_action("score", "offset", offset=offset).alias("edge_action"))
+    feats = FR.apply_scaler(training_frame(w), scaler).select("row_id", "ip", *scaler["features"])
     folder = scratch_path(spark, "tables/scores")
-    run_available(out, "scores", batch_folder_sink(folder), output_mode="append")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        scored = FR.score(spread(batch), forest, nodes_pdf=nodes_pdf)
+        out = scored.select("row_id", "ip", F.round("score", 6).alias("score"),
+                            FR.edge_action("score", "offset", offset=offset).alias("edge_action"))
+        out.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    run_available(feats, "scores", sink, output_mode="append")
     return spark.read.parquet(folder).drop("batch_id")
 
 
