@@ -124,3 +124,14 @@ def quantile_scalars(df: DataFrame, value: str, probs: dict[str, float]) -> dict
     """Global exact quantiles as Python floats (one small row to the driver)."""
     row = exact_quantiles(df, value, probs).first()
     return {k: (row[k] if row is not None else None) for k in probs}
+
+
+def approx_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
+                     accuracy: int = 10000) -> DataFrame:
+    """The same shape as ``exact_quantiles`` from ``percentile_approx``: a
+    bounded-memory sketch per group that merges map-side (rank error about
+    n / accuracy). For dashboards where the exact pass is not needed."""
+    names = list(probs)
+    arr = F.percentile_approx(F.col(value), [float(probs[n]) for n in names], accuracy)
+    agg = (df.groupBy(*by) if by else df.groupBy()).agg(arr.alias("_q"))
+    return agg.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])

@@ -81,3 +81,14 @@ def test_range_chunks_match_day_buckets(spark):
     b = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], day_bucket("event_ts")).select(
         "row_id", "premit_on", "trigger", "extra")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_approx_quantiles_close(skewed):
+    from gatewatch.operators.quantiles import approx_quantiles
+    pdf, df = skewed
+    got = {r["g"]: r for r in approx_quantiles(df, "v", {"q25": 0.25, "med": 0.5}, by=["g"]).collect()}
+    for g, sub in pdf.groupby("g"):
+        vals = np.sort(sub["v"].to_numpy())
+        for name, p in (("q25", 0.25), ("med", 0.5)):
+            rank = np.searchsorted(vals, got[g][name], side="left") / len(vals)
+            assert abs(rank - p) < 0.01
