@@ -3,7 +3,7 @@ and print one JSON line with per-query seconds.
 
 Each query's plan is executed in full with the ``noop`` sink (no collect to
 the driver). ``scoring_ms_per_row`` times the forest's Arrow scoring pass
-alone over the log table (the reference publishes 0.016 ms per row).
+alone over the log table (the published figure to compare with is 0.016 ms per row).
 """
 
 from __future__ import annotations

@@ -64,7 +64,7 @@ def add_codes(df: DataFrame, country: str = "country", rule: str = "terminatingr
 
 
 def training_frame(df: DataFrame, features: list[str] = TRAIN_FEATURES) -> DataFrame:
-    """Codes + entropies; null features become 0 (numbers) as in the reference."""
+    """Codes + entropies; null numeric features become 0."""
     out = add_entropy_features(add_codes(df))
     require_columns(out, features)
     return out.na.fill(0.0, subset=features)

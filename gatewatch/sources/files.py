@@ -60,7 +60,7 @@ def read_scored(spark: SparkSession, root: str, year: str | None = None, month:
 
 # ----------------------------------------------------------------------- CSV
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header; empty fields are null (NaN in the reference)."""
+    """CSV with a header; empty fields are null."""
     r = spark.read.option("header", True).option("nullValue", "").option("mode", "PERMISSIVE")
     return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
 
