@@ -101,13 +101,15 @@ def flatten_findings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def severity_rollup(findings: DataFrame) -> DataFrame:
-    """Findings per severity (and failed only), plus per-rule counts pivoted by severity."""
+    """Findings and failed findings per severity."""
     return findings.groupBy("severity").agg(
         F.count(F.lit(1)).alias("findings"),
         F.sum((~F.coalesce(F.col("passed"), F.lit(False))).cast("long")).alias("failed"))
 
 
 def severity_by_rule(findings: DataFrame, levels=("CRITICAL", "HIGH", "MEDIUM", "LOW")) -> DataFrame:
+    """Findings per rule, one column per severity (fixed pivot values, so no
+    extra pass to discover them)."""
     return findings.groupBy("rule_id").pivot("severity", list(levels)).count().na.fill(0)
 
 
