@@ -48,20 +48,29 @@ def run_available(df: DataFrame, name: str, sink: Callable[[DataFrame, int], Non
                   state_partitions: int | None = None) -> str:
     """Process everything available now, then stop. Returns the checkpoint.
 
-    Stateful operators keep their partition count for the life of the
-    checkpoint and AQE does not re-plan them, so the count is set when the
-    query starts: ``state_partitions`` or the cluster's parallelism (the
-    caller's shuffle setting is restored right after the start)."""
+    Stateful operators keep their partition count and state store for the
+    life of the checkpoint, and AQE does not re-plan them, so both are set
+    when the query starts: ``state_partitions`` or the cluster's parallelism,
+    and the RocksDB state store (state off the JVM heap, on local disk, with
+    changes checkpointed to the shared folder) unless the session already
+    names a provider. The caller's settings are restored after the start."""
     spark = spark or df.sparkSession
     ckpt = scratch_path(spark, f"streams/{name}")
     key = "spark.sql.shuffle.partitions"
-    prev = spark.conf.get(key)
+    prov = "spark.sql.streaming.stateStore.providerClass"
+    prev, prev_prov = spark.conf.get(key), spark.conf.get(prov, None)
     spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    if not prev_prov or "HDFSBackedStateStoreProvider" in prev_prov:
+        spark.conf.set(prov, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     finally:
         spark.conf.set(key, prev)
+        if prev_prov:
+            spark.conf.set(prov, prev_prov)
+        else:
+            spark.conf.unset(prov)
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
