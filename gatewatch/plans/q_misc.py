@@ -131,7 +131,37 @@ def budget_alert(spark, sf):
                     (pct > K.BUDGET_ALERT_PCT).alias("alert"))
 
 
-@query("analysis_report")
+
+def _report_sql():
+    from gatewatch.plans.q_text import _threat_sql
+    from gatewatch.plans.sqlviews import DOCREQ, WEB, entropy_sql
+    bar = "=" * 70
+    return with_(WEB, DOCREQ) + f"""
+, normals AS (SELECT request_uri, round({entropy_sql('request_uri')}, 6) AS pe,
+                     round({entropy_sql('request_args')}, 6) AS ae
+              FROM (SELECT *, row_number() OVER (PARTITION BY request_uri ORDER BY row_id) AS rn FROM web) t
+              WHERE rn = 1 ORDER BY request_uri LIMIT 8)
+, typed AS (SELECT row_id, request_uri, round({entropy_sql('request_args')}, 6) AS args_entropy,
+                   {_threat_sql('request_uri', 'request_args', entropy_sql('request_args'))} AS type FROM docreq)
+, sample AS (SELECT type, request_uri, args_entropy
+             FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY row_id) AS rn FROM typed) t
+             WHERE rn = 1 ORDER BY args_entropy DESC, type LIMIT 12)
+, counts AS (SELECT type, COUNT(*) AS cnt FROM typed GROUP BY type)
+SELECT 0 AS sec, CAST(0 AS BIGINT) AS ln, '{bar}' AS value
+UNION ALL SELECT 0, 1, 'AI Security Threat Analysis Report'
+UNION ALL SELECT 0, 2, '{bar}'
+UNION ALL SELECT 1, 0, '[normal URI sample]'
+UNION ALL SELECT 1, row_number() OVER (ORDER BY request_uri),
+                 concat_ws('  ', request_uri, CAST(pe AS VARCHAR), CAST(ae AS VARCHAR)) FROM normals
+UNION ALL SELECT 2, 0, '[anomaly sample]'
+UNION ALL SELECT 2, row_number() OVER (ORDER BY args_entropy DESC, type),
+                 concat_ws('  ', type, request_uri, CAST(args_entropy AS VARCHAR)) FROM sample
+UNION ALL SELECT 3, 0, '[detections per type]'
+UNION ALL SELECT 3, row_number() OVER (ORDER BY cnt DESC, type), concat_ws('  ', type, CAST(cnt AS VARCHAR))
+FROM counts"""
+
+
+@query("analysis_report", _report_sql())
 def analysis_report(spark, sf):
     """Threat analysis report as text lines: normal-URI sample (first per
     path, 8), anomaly sample (first per type, top 12 by entropy), counts per
@@ -145,7 +175,7 @@ def analysis_report(spark, sf):
     typed = materialize(d.select("row_id", "request_uri", F.round(ent, 6).alias("args_entropy"),
                                  X.classify_threat("request_uri", "request_args", ent).alias("type")), "typed_docs")
     sample = first_per_key(typed, ["type"], "row_id", ["request_uri", "args_entropy"]).orderBy(
-        F.desc("args_entropy")).limit(12)
+        F.desc("args_entropy"), "type").limit(12)
     counts = D.value_counts(typed, "type")
     lines = FS.report_lines("AI Security Threat Analysis Report",
                             [("normal URI sample", normals), ("anomaly sample", sample), ("detections per type", counts)])

@@ -126,10 +126,13 @@ def report_lines(title: str, sections: list[tuple[str, DataFrame]]) -> DataFrame
     spark = sections[0][1].sparkSession
     parts = [spark.createDataFrame([(0, 0, "=" * 70), (0, 1, title), (0, 2, "=" * 70)],
                                    "sec int, ln long, value string")]
+    from pyspark.sql import Window
     for i, (header, df) in enumerate(sections, start=1):
         cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-        body = df.select(F.concat_ws("  ", *cols).alias("value"))
-        body = body.withColumn("ln", F.monotonically_increasing_id() + 1).withColumn("sec", F.lit(i))
+        body = df.select(F.concat_ws("  ", *cols).alias("value"), F.monotonically_increasing_id().alias("_o"))
+        # line numbers 1..k in the section's order (sections are small: samples, counts)
+        body = body.withColumn("ln", F.row_number().over(Window.orderBy("_o")).cast("long")) \
+            .withColumn("sec", F.lit(i))
         head = spark.createDataFrame([(i, 0, f"[{header}]")], "sec int, ln long, value string")
         parts.append(head)
         parts.append(body.select("sec", "ln", "value"))
