@@ -87,3 +87,24 @@ def test_position_split(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 + 3).alias("row_id"))
     sizes = {r["node"]: r["count"] for r in FD.position_split(df, "row_id", [0.6, 0.25, 0.15]).groupBy("node").count().collect()}
     assert sizes == {1: 600, 2: 250, 3: 150}
+
+
+def test_edge_frame(spark):
+    from gatewatch.operators.features import EDGE_FEATURES, edge_frame
+    hdr = "array<struct<name:string,value:string>>"
+    df = spark.createDataFrame([("/api/users", [("CloudFront-Viewer-Country", "NL")]), ("/", [])],
+                               f"uri string, headers {hdr}")
+    out = edge_frame(df, {"KR": 0, "NL": 1, "US": 2}).select(*EDGE_FEATURES).collect()
+    assert [r["country_code"] for r in out] == [1.0, 3.0]  # unseen / missing header -> max + 1
+    assert [r["uri_len"] for r in out] == [10.0, 1.0]
+    assert out[0]["uri_entropy"] == pytest.approx(2.921928, abs=1e-6)
+    h = -(2 / 3 * math.log2(2 / 3) + 1 / 3 * math.log2(1 / 3))  # entropy of '0b0'
+    assert all(r["rule_code"] == 0.0 and r["rule_entropy"] == pytest.approx(h) for r in out)
+
+
+def test_severity_by_rule(spark):
+    from gatewatch.sources import files as FS
+    f = spark.createDataFrame([("r1", "HIGH"), ("r1", "LOW"), ("r2", "HIGH"), ("r2", "HIGH")],
+                              "rule_id string, severity string")
+    got = {r["rule_id"]: (r["CRITICAL"], r["HIGH"], r["MEDIUM"], r["LOW"]) for r in FS.severity_by_rule(f).collect()}
+    assert got == {"r1": (0, 1, 0, 1), "r2": (0, 2, 0, 0)}
