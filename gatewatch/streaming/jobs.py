@@ -43,9 +43,20 @@ def file_stream(spark: SparkSession, folder: str, name: str, fmt: str = "parquet
     return r.load(folder)
 
 
+def job_paths(spark: SparkSession, name: str, root: str | None) -> tuple[str, str]:
+    """(checkpoint, output folder) of a streaming job. With ``root`` both are
+    stable, so a rerun resumes from the checkpoint and each new file is
+    processed once across runs; without it a fresh scratch pair is used
+    (a self-contained run over everything available)."""
+    if root:
+        return f"{root.rstrip('/')}/_checkpoint", f"{root.rstrip('/')}/out"
+    base = scratch_path(spark, f"streams/{name}")
+    return f"{base}/_checkpoint", f"{base}/out"
+
+
 def run_available(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None],
                   output_mode: str = "append", spark: SparkSession | None = None,
-                  state_partitions: int | None = None) -> str:
+                  state_partitions: int | None = None, checkpoint: str | None = None) -> str:
     """Process everything available now, then stop. Returns the checkpoint.
 
     Stateful operators keep their partition count and state store for the
@@ -55,7 +66,7 @@ def run_available(df: DataFrame, name: str, sink: Callable[[DataFrame, int], Non
     changes checkpointed to the shared folder) unless the session already
     names a provider. The caller's settings are restored after the start."""
     spark = spark or df.sparkSession
-    ckpt = scratch_path(spark, f"streams/{name}")
+    ckpt = checkpoint or scratch_path(spark, f"streams/{name}")
     key = "spark.sql.shuffle.partitions"
     prov = "spark.sql.streaming.stateStore.providerClass"
     prev, prev_prov = spark.conf.get(key), spark.conf.get(prov, None)
@@ -98,16 +109,17 @@ def latest_by_key(spark: SparkSession, out: str, key: list[str], schema=None) ->
 
 
 # ------------------------------------------------------------ hourly counts
-def hourly_counts(spark: SparkSession, events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+def hourly_counts(spark: SparkSession, events: DataFrame, watermark: str = WATERMARK,
+                  root: str | None = None) -> DataFrame:
     """Blocks per (hour window, rule) from a stream of raw events."""
     from gatewatch.sources.adapters import waf_logs
     w = waf_logs(events)
     b = D.blocked(w).select(F.timestamp_millis("timestamp").alias("ts"), F.col("terminatingruleid").alias("rule"))
     agg = (b.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour").alias("w"), "rule")
            .agg(F.count(F.lit(1)).alias("cnt")))
-    out = scratch_path(spark, "tables/hourly")
+    ckpt, out = job_paths(spark, "hourly", root)
     flat = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("block_hour"), "rule", "cnt")
-    run_available(flat, "hourly", batch_folder_sink(out), output_mode="update")
+    run_available(flat, "hourly", batch_folder_sink(out), output_mode="update", checkpoint=ckpt)
     return latest_by_key(spark, out, ["block_hour", "rule"])
 
 
@@ -146,7 +158,7 @@ def _latch_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
                         "premit_on": out_on, "trigger": out_trig, "mitigation_level": out_lvl})
 
 
-def latch(spark: SparkSession, events: DataFrame, cycle: float | None = None) -> DataFrame:
+def latch(spark: SparkSession, events: DataFrame, cycle: float | None = None, root: str | None = None) -> DataFrame:
     """Pre-mitigation latch per IP as a stateful stream; each micro-batch's
     rows of a key are processed in (event time, id) order."""
     from gatewatch.sources.adapters import scored_events
@@ -154,13 +166,13 @@ def latch(spark: SparkSession, events: DataFrame, cycle: float | None = None) ->
     sc = sc.withColumn("mode", RK.scenario_phase("t")).select("row_id", "ip", "event_ts", "pred_risk", "mode", "t")
     st = sc.groupBy("ip").applyInPandasWithState(_latch_fn, LATCH_OUT, LATCH_STATE, "append",
                                                  GroupStateTimeout.NoTimeout)
-    out = scratch_path(spark, "tables/latch")
-    run_available(st, "latch", batch_folder_sink(out), output_mode="append")
+    ckpt, out = job_paths(spark, "latch", root)
+    run_available(st, "latch", batch_folder_sink(out), output_mode="append", checkpoint=ckpt)
     return spark.read.parquet(out).drop("batch_id")
 
 
 # ------------------------------------------------------------------ respond
-def respond(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def respond(spark: SparkSession, events: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Detect-and-respond loop. A streaming count per (day, ip) of anomalies
     lives in the aggregation state (one row per day and IP); update mode
     hands each micro-batch the (day, ip) rows whose counts changed. Counts
@@ -172,8 +184,8 @@ def respond(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFram
     sc = scored_events(events).filter((F.col("anomaly") == 1) & RS.valid_ip("ip"))
     counts = sc.groupBy("year", "month", "day", "ip").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("event_ts").alias("first_ts"))
-    root = scratch_path(spark, "tables/respond")
-    top_dir, block_dir, alert_dir = f"{root}/top", f"{root}/blocklist", f"{root}/alerts"
+    ckpt, out = job_paths(spark, "respond", root)
+    top_dir, block_dir, alert_dir = f"{out}/top", f"{out}/blocklist", f"{out}/alerts"
     block_schema = "cidr string, first_seen timestamp_ntz, hits long"
     top_schema = "year string, month string, day string, ip string, cnt long, first_ts timestamp_ntz"
     days = ["year", "month", "day"]
@@ -195,7 +207,7 @@ def respond(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFram
         new = RS.append_absent(current, RS.block_candidates(top, ts="first_ts"))
         new.write.mode("overwrite").parquet(f"{block_dir}/batch_id={batch_id}")
 
-    run_available(counts, "respond", sink, output_mode="update")
+    run_available(counts, "respond", sink, output_mode="update", checkpoint=ckpt)
     block = latest_by_key(spark, block_dir, ["cidr"], schema=block_schema)
     alerts = latest_by_key(spark, alert_dir, ["day_key"])
     return block, alerts
@@ -203,7 +215,7 @@ def respond(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFram
 
 # -------------------------------------------------------------- live scoring
 def score_stream(spark: SparkSession, events: DataFrame, forest, nodes_pdf, scaler: dict,
-                 offset: float) -> DataFrame:
+                 offset: float, root: str | None = None) -> DataFrame:
     """Score each new request with the broadcast forest; BLOCK / ALLOW /
     FAIL_OPEN by the offset decision. Scoring runs per micro-batch inside
     ``foreachBatch``: the batch is a static frame there, so a thin batch (one
@@ -215,7 +227,7 @@ def score_stream(spark: SparkSession, events: DataFrame, forest, nodes_pdf, scal
     w = waf_logs(events).select("row_id", "terminatingruleid", "action", F.col("httprequest.country").alias("country"),
                                 F.col("httprequest.uri").alias("uri"), F.col("httprequest.clientip").alias("ip"))
     feats = FR.apply_scaler(training_frame(w), scaler).select("row_id", "ip", *scaler["features"])
-    folder = scratch_path(spark, "tables/scores")
+    ckpt, folder = job_paths(spark, "scores", root)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         scored = FR.score(spread(batch), forest, nodes_pdf=nodes_pdf)
@@ -223,13 +235,13 @@ def score_stream(spark: SparkSession, events: DataFrame, forest, nodes_pdf, scal
                             FR.edge_action("score", "offset", offset=offset).alias("edge_action"))
         out.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
-    run_available(feats, "scores", sink, output_mode="append")
+    run_available(feats, "scores", sink, output_mode="append", checkpoint=ckpt)
     return spark.read.parquet(folder).drop("batch_id")
 
 
 # ------------------------------------------------------------------ signals
 def signals(spark: SparkSession, events: DataFrame, width: str = "5 minutes",
-            watermark: str = WATERMARK) -> DataFrame:
+            watermark: str = WATERMARK, root: str | None = None) -> DataFrame:
     from gatewatch.sources.adapters import scored_events
     sc = scored_events(events).filter((F.col("anomaly") == 1) & RS.valid_ip("ip"))
     sc = sc.withColumn("ts", F.col("event_ts").cast("timestamp"))
@@ -237,14 +249,14 @@ def signals(spark: SparkSession, events: DataFrame, width: str = "5 minutes",
            .agg(F.count(F.lit(1)).alias("signals")))
     flat = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("bucket_start"), "ip",
                       F.lit(K.DEFENSE_METRIC).alias("metric"), "signals")
-    out = scratch_path(spark, "tables/signals")
-    run_available(flat, "signals", batch_folder_sink(out), output_mode="update")
+    ckpt, out = job_paths(spark, "signals", root)
+    run_available(flat, "signals", batch_folder_sink(out), output_mode="update", checkpoint=ckpt)
     return latest_by_key(spark, out, ["bucket_start", "ip"])
 
 
 # ----------------------------------------------------------------- sessions
 def sessions(spark: SparkSession, events: DataFrame, gap: str = "30 minutes",
-             watermark: str = WATERMARK) -> DataFrame:
+             watermark: str = WATERMARK, root: str | None = None) -> DataFrame:
     """Anomaly sessions per IP: anomalous requests closer than ``gap`` join
     one session (session_window); start, end and size per session."""
     from gatewatch.sources.adapters import scored_events
@@ -253,9 +265,9 @@ def sessions(spark: SparkSession, events: DataFrame, gap: str = "30 minutes",
            .agg(F.count(F.lit(1)).alias("n_rows")))
     flat = agg.select("ip", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
                       F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n_rows")
-    out = scratch_path(spark, "tables/sessions")
+    ckpt, out = job_paths(spark, "sessions", root)
     # append mode: a session is emitted once the watermark passes its end
-    run_available(flat, "sessions", batch_folder_sink(out), output_mode="append")
+    run_available(flat, "sessions", batch_folder_sink(out), output_mode="append", checkpoint=ckpt)
     try:
         return spark.read.parquet(out).drop("batch_id")
     except Exception:  # noqa: BLE001 - no session closed yet
