@@ -204,6 +204,7 @@ class Forest:
     n_trees: int
     forest_ids: list[str] = field(default_factory=lambda: [""])
     offset: float | None = None
+    nodes_pdf: pd.DataFrame | None = None  # the collected node table, when already on the driver
 
 
 def fit(df: DataFrame, features: list[str], n_trees: int = 200, max_samples: int | None = None,
