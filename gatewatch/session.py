@@ -129,7 +129,8 @@ def range_partitions(df) -> int:
     spark = df.sparkSession
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = v if isinstance(v, int) else int(v.toString())  # py4j may already convert BigInt
     except Exception:  # noqa: BLE001 - no statistics: fall back to the setting
         return conf
     per = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
