@@ -92,3 +92,16 @@ def test_approx_quantiles_close(skewed):
         for name, p in (("q25", 0.25), ("med", 0.5)):
             rank = np.searchsorted(vals, got[g][name], side="left") / len(vals)
             assert abs(rank - p) < 0.01
+
+
+def test_range_partitions_follow_input_size(spark):
+    """Small inputs are not scattered over the shuffle setting (plan
+    statistics are read without running the plan)."""
+    from gatewatch.session import range_partitions
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        n = range_partitions(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert 1 <= n <= spark.sparkContext.defaultParallelism
