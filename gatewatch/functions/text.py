@@ -33,6 +33,28 @@ def shannon_entropy(text) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.abs(h))
 
 
+def shannon_entropy_runs(text) -> Column:
+    """The same entropy from run lengths: sort the characters once, fold
+    the runs into S = sum(c * log2 c) with a struct accumulator, then
+    H = log2(n) - S / n. O(n log n) per string; the fold's lambdas refer
+    only to their own arguments (an outer column inside a lambda is
+    re-evaluated per element)."""
+    s = F.coalesce(_col(text), F.lit(""))
+    n = F.char_length(s).cast("double")
+    init = F.struct(F.lit("").alias("p"), F.lit(0).cast("long").alias("r"), F.lit(0.0).alias("acc"))
+
+    def clog(r):
+        return F.when(r > 0, r.cast("double") * F.log2(r.cast("double"))).otherwise(F.lit(0.0))
+
+    def step(acc, x):
+        same = x == acc["p"]
+        return F.struct(x.alias("p"), F.when(same, acc["r"] + 1).otherwise(F.lit(1).cast("long")).alias("r"),
+                        F.when(same, acc["acc"]).otherwise(acc["acc"] + clog(acc["r"])).alias("acc"))
+
+    total = F.aggregate(F.array_sort(F.split(s, "")), init, step, lambda acc: acc["acc"] + clog(acc["r"]))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.abs(F.log2(n) - total / n))
+
+
 def entropy_of_counts(counts: list[Column], total: Column) -> Column:
     """Entropy of a fixed list of class counts (zero counts contribute 0)."""
     h = F.lit(0.0)

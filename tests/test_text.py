@@ -98,3 +98,11 @@ def test_restore_args_is_partition_independent(spark):
     b = sorted(df.repartition(7).select("row_id", X.restore_args("rule", "row_id").alias("a")).collect())
     assert a == b
     assert {r["a"] for r in a if r["row_id"] % 3 == 2} == {""}
+
+
+def test_runs_entropy_equals_default(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    d = d.unionByName(spark.createDataFrame([(None,), ("",), ("a",), ("abab",), ("ééab",)], "text string"))
+    bad = d.select(F.round(X.shannon_entropy("text"), 9).alias("a"),
+                   F.round(X.shannon_entropy_runs("text"), 9).alias("b")).filter("a != b").count()
+    assert bad == 0
