@@ -103,11 +103,11 @@ def hypergeometric_sql(n_all: str, n_kind: str, n_draw: str, u: str) -> str:
         'b', least(least({n_kind}, {n_draw}), cast(ceil({n_draw} * ({n_kind} / cast(greatest({n_all}, 1L) as double)) + 12 * SD + 2) as bigint)))"""
     sd = (f"sqrt(greatest(0D, {n_draw} * ({n_kind} / cast(greatest({n_all}, 1L) as double)) * (1 - {n_kind} / cast(greatest({n_all}, 1L) as double))"
           f" * (({n_all} - {n_draw}) / cast(greatest({n_all} - 1, 1L) as double))))")
-    ratio = (f"(cast({n_kind} - k as double) * ({n_draw} - k)) / (cast(k + 1 as double) * ({n_all} - {n_kind} - {n_draw} + k + 1))")
-    total = f"aggregate(sequence(s.a, s.b), named_struct('p', 1D, 't', 0D), (z, k) -> named_struct('p', if(k < s.b, z.p * {ratio}, 0D), 't', z.t + z.p), z -> z.t)"
-    pick = (f"aggregate(sequence(s.a, s.b), named_struct('p', 1D, 't', 0D, 'x', s.a), (z, k) -> named_struct("
-            f"'p', if(k < s.b, z.p * {ratio}, 0D), 't', z.t + z.p, 'x', if(z.t < {u} * w, k, z.x)), z -> z.x)")
-    return _let(support.replace("SD", sd), "s", f"if(s.a >= s.b, s.a, {_let(total, 'w', pick)})")
+    ratio = (f"(cast({n_kind} - hk as double) * ({n_draw} - hk)) / (cast(hk + 1 as double) * ({n_all} - {n_kind} - {n_draw} + hk + 1))")
+    total = f"aggregate(sequence(hs.a, hs.b), named_struct('p', 1D, 't', 0D), (hz, hk) -> named_struct('p', if(hk < hs.b, hz.p * {ratio}, 0D), 't', hz.t + hz.p), hz -> hz.t)"
+    pick = (f"aggregate(sequence(hs.a, hs.b), named_struct('p', 1D, 't', 0D, 'x', hs.a), (hz, hk) -> named_struct("
+            f"'p', if(hk < hs.b, hz.p * {ratio}, 0D), 't', hz.t + hz.p, 'x', if(hz.t < {u} * hw, hk, hz.x)), hz -> hz.x)")
+    return _let(support.replace("SD", sd), "hs", f"if(hs.a >= hs.b, hs.a, {_let(total, 'hw', pick)})")
 
 
 def split_tree(counts: DataFrame, n_shards: int) -> DataFrame:
