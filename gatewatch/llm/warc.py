@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatewatch.llm.common import materialize
+from gatewatch.llm.common import broadcast_if_small, materialize
 
 VERSION = "WARC/1.1"
 MAGIC = VERSION + "\r\n"
@@ -61,6 +61,7 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     first = (pages.select("page_id", F.octet_length(body).alias("bytes"), sha1_base32(body.cast("binary")).alias("_d"))
              .where(F.col("bytes") >= min_bytes).groupBy("_d").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("_d", "_first"))
+    first = broadcast_if_small(materialize(first, "warc-repeated"), 64)  # else pages are shuffled by digest
     one = one.join(first, (F.col("digest") == F.col("_d")) & (F.col("bytes") >= min_bytes), "left")
     revisit = F.col("_d").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
