@@ -69,13 +69,14 @@ def paths(messages: DataFrame) -> DataFrame:
     parents = ids.select(F.col("tree").alias("_kt"), F.col("parent").alias("_kn")).where("_kn IS NOT NULL").distinct()
     grown = ids.join(parents, F.col("tree").eqNullSafe(F.col("_kt")) & (F.col("node") == F.col("_kn")), "left_anti").select(
         "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    reach, up = 1, materialize(up, "chat-up")
-    while not up.where("to IS NOT NULL").isEmpty():
-        step = up.where("to IS NOT NULL").select(F.col("tree").alias("_kt"), F.col("node").alias("_kn"), F.col("to").alias("_to"))
+    # pointers that still lead to a message; a message leaves when its pointer passes the root
+    reach, up = 1, materialize(up.where("to IS NOT NULL"), "chat-up")
+    while not up.isEmpty():
+        step = up.select(F.col("tree").alias("_kt"), F.col("node").alias("_kn"), F.col("to").alias("_to"))
         on = F.col("tree").eqNullSafe(F.col("_kt"))
         more = grown.join(step, on & (F.col("node") == F.col("_kn"))).select("tree", "leaf", F.col("_to").alias("node"), (F.col("up") + reach).alias("up"))
         grown = materialize(grown.unionByName(more), "chat-paths")
-        up = materialize(up.join(step, on & (F.col("to") == F.col("_kn")), "left").select("tree", "node", F.col("_to").alias("to")), "chat-up")
+        up = materialize(up.join(step, on & (F.col("to") == F.col("_kn"))).select("tree", "node", F.col("_to").alias("to")), "chat-up")
         reach *= 2
     return grown
 
