@@ -9,7 +9,7 @@ from gatewatch.session import checkpoint_dir, materialize, ship_package  # noqa:
 
 #: Arrow batches sent to Python are bounded by bytes, not only by rows, so a
 #: run of very long texts does not pile up in one worker.
-ARROW_BATCH_BYTES = "16m"
+ARROW_BATCH_BYTES = "4m"
 
 #: White space of the word contracts: space and 0x09-0x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"

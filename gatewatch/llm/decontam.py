@@ -39,7 +39,7 @@ from gatewatch.llm.common import prepare, tokens
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: contaminated: SHARE * hit words >= words
 SHARE = 20
 

@@ -117,11 +117,19 @@ def fuse(ev: DataFrame, langs: list[str]) -> DataFrame:
     """Posteriors of pages from their evidence; reads ``ev`` several times, so
     pass a stored table."""
     n = len(langs)
+    if not n:  # nothing learned, nothing to say
+        none = F.lit(None)
+        return ev.select("page_id", none.cast("string").alias("lang"), none.cast("double").alias("confidence"), none.cast("string").alias("text_lang"),
+                         F.nullif(F.col("declared"), F.lit("")).alias("declared"), "suffix", "host")
     sums = [F.sum(F.get("text", F.lit(k))).alias(f"s{k}") for k in range(n)]
     table = lambda *by: ev.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums).select(
         *by, F.struct(F.col("n"), F.array(*[F.col(f"s{k}") for k in range(n)]).alias("s")).alias("_".join(["all", *by])))
     kinds = {c: max(1, ev.select(c).distinct().count()) for c in ("declared", "suffix")}
-    x = ev.withColumn("_one", F.lit(1)).join(F.broadcast(table().withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
+    every = table().first()
+    if every is None:  # no pages
+        return fuse(ev, [])
+    every = every["all"]  # one row of one number per language
+    x = ev.withColumn("all", F.struct(F.lit(every["n"]).alias("n"), F.array(*[F.lit(v or 0.0) for v in every["s"]]).alias("s")))
     for by in ("domain", "host", "declared", "suffix"):
         x = x.join(table(by), by)
 
@@ -146,7 +154,7 @@ def fuse(ev: DataFrame, langs: list[str]) -> DataFrame:
     mul = lambda a, b: F.zip_with(a, b, lambda p, q: p * q)
     x = x.withColumn("joint", mul(mul(F.col("prior"), F.transform("text", lambda p: F.greatest(p, F.lit(1e-300)))), mul(F.col("l_declared"), F.col("l_suffix"))))
     x = x.withColumn("z", F.aggregate("joint", F.lit(0.0), lambda a, b: a + b))
-    names = F.array(*[F.lit(v) for v in langs]) if n else F.array().cast("array<string>")
+    names = F.array(*[F.lit(v) for v in langs])
     best = lambda c: F.get(names, (F.array_position(F.col(c), F.array_max(c)) - 1).cast("int"))
     return x.select("page_id", best("joint").alias("lang"), (F.array_max("joint") / F.col("z")).alias("confidence"),
                     best("text").alias("text_lang"), F.nullif(F.col("declared"), F.lit("")).alias("declared"), "suffix", "host")
