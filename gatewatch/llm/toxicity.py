@@ -104,7 +104,7 @@ def fit_machine(x: list[list[int]], y: list[int], names, factors=FACTORS, steps=
         z = w0[0] + m @ w + 0.5 * ((mv ** 2).sum(1) - (m @ (v ** 2)).sum(1))
         g = count / total * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - share)
         mg = m.T @ g
-        grads = [np.array([g.sum()]), mg + L2 / n * w, m.T @ (g[:, None] * mv) - v * mg[:, None] + L2 * v]
+        grads = [np.array([g.sum()]), mg + L2 / max(n, 1) * w, m.T @ (g[:, None] * mv) - v * mg[:, None] + L2 * v]
         for k, d in enumerate(grads):
             mom[k] = 0.9 * mom[k] + 0.1 * d
             sq[k] = 0.999 * sq[k] + 0.001 * d * d
