@@ -95,14 +95,25 @@ def batch_folder_sink(out: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def latest_by_key(spark: SparkSession, out: str, key: list[str], schema=None) -> DataFrame:
-    """Current value per key of an update-mode result landed by batch."""
-    try:
-        df = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - nothing landed
+def landed(spark: SparkSession, out: str, schema, before: int | None = None) -> DataFrame:
+    """The batches landed under ``out`` (those with an id under ``before``);
+    empty only when nothing has been landed. Any other failure is raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    ids = sorted(int(x.split("=")[1]) for x in found if x.startswith("batch_id="))
+    ids = [i for i in ids if before is None or i < before]
+    if not ids:
         if schema is None:
-            raise
-        return spark.createDataFrame([], schema)
+            raise FileNotFoundError(f"nothing landed in {out}")
+        empty = spark.createDataFrame([], schema)
+        return empty.withColumn("batch_id", F.lit(0))
+    return spark.read.option("basePath", out).parquet(*[f"{out}/batch_id={i}" for i in ids])
+
+
+def latest_by_key(spark: SparkSession, out: str, key: list[str], schema=None, before: int | None = None) -> DataFrame:
+    """Current value per key of an update-mode result landed by batch."""
+    df = landed(spark, out, schema, before)
     cols = [c for c in df.columns if c not in key and c != "batch_id"]
     latest = df.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v"))
     return latest.select(*key, "_v.*")
@@ -177,9 +188,12 @@ def respond(spark: SparkSession, events: DataFrame, root: str | None = None) ->
     lives in the aggregation state (one row per day and IP); update mode
     hands each micro-batch the (day, ip) rows whose counts changed. Counts
     only grow, so a day's top IP after the batch is the best of its previous
-    top and the batch's updated rows — the sink keeps just one row per day
-    (no re-read of history), writes alerts for the touched days, and appends
-    the absent /32 entries to the block list. Returns (block list, alerts)."""
+    top and the batch's updated rows. The sink reads the tops and block-list
+    entries landed by earlier batches (one row per touched day or new address
+    each), writes alerts for the touched days, and appends the absent /32
+    entries to the block list. A batch reads only batches before it and
+    overwrites its own folders, so a replay gives the same rows. Returns
+    (block list, alerts)."""
     from gatewatch.sources.adapters import scored_events
     sc = scored_events(events).filter((F.col("anomaly") == 1) & RS.valid_ip("ip"))
     counts = sc.groupBy("year", "month", "day", "ip").agg(
@@ -192,8 +206,8 @@ def respond(spark: SparkSession, events: DataFrame, root: str | None = None) ->
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        prev = latest_by_key(s, top_dir, days, schema=top_schema) if batch_id > 0 else \
-            s.createDataFrame([], top_schema)
+        # only batches before this one: a replayed batch must not read its own rows
+        prev = latest_by_key(s, top_dir, days, schema=top_schema, before=batch_id)
         touched = batch.select(*days).distinct()
         cand = prev.join(touched, days, "left_semi").select(*days, "ip", "cnt", "first_ts") \
             .unionByName(batch.select(*days, "ip", "cnt", "first_ts"))
@@ -202,8 +216,7 @@ def respond(spark: SparkSession, events: DataFrame, root: str | None = None) ->
         top = s.read.parquet(f"{top_dir}/batch_id={batch_id}")
         RS.alerts(top, "first_ts", "ip", "cnt", keep=[F.concat_ws("-", *days).alias("day_key")]) \
             .write.mode("overwrite").parquet(f"{alert_dir}/batch_id={batch_id}")
-        current = latest_by_key(s, block_dir, ["cidr"], schema=block_schema) if batch_id > 0 else \
-            s.createDataFrame([], block_schema)
+        current = latest_by_key(s, block_dir, ["cidr"], schema=block_schema, before=batch_id)
         new = RS.append_absent(current, RS.block_candidates(top, ts="first_ts"))
         new.write.mode("overwrite").parquet(f"{block_dir}/batch_id={batch_id}")
 
@@ -268,7 +281,4 @@ def sessions(spark: SparkSession, events: DataFrame, gap: str = "30 minutes",
     ckpt, out = job_paths(spark, "sessions", root)
     # append mode: a session is emitted once the watermark passes its end
     run_available(flat, "sessions", batch_folder_sink(out), output_mode="append", checkpoint=ckpt)
-    try:
-        return spark.read.parquet(out).drop("batch_id")
-    except Exception:  # noqa: BLE001 - no session closed yet
-        return spark.createDataFrame([], "ip string, session_start string, session_end string, n_rows long")
+    return landed(spark, out, "ip string, session_start string, session_end string, n_rows long").drop("batch_id")
