@@ -319,7 +319,8 @@ def score(df: DataFrame, forest: Forest, out: str = "score", nodes_pdf: pd.DataF
     def _score(*cols: pd.Series) -> pd.Series:
         X = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols]) if d else np.zeros((len(cols[0]), 0))
         h = path_lengths(arr.value, X)
-        return pd.Series(-np.power(2.0, -h / cpsi))
+        # a missing feature gives no score (the edge decision fails open)
+        return pd.Series(-np.power(2.0, -h / cpsi)).where(~np.isnan(X).any(axis=1))
 
     return df.withColumn(out, _score(*[F.col(c).cast("double") for c in forest.features]))
 

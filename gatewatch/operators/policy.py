@@ -101,18 +101,20 @@ def cidr_table(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
     return cidrs.select(plen.alias("plen"), net.alias("net")).dropDuplicates()
 
 
-def cidr_member_flag(df: DataFrame, ip: str, cidrs: DataFrame, prefix_lengths: list[int],
+def cidr_member_flag(df: DataFrame, ip: str, cidrs: DataFrame, prefix_lengths: list[int] | None = None,
                      flag: str = "in_set") -> DataFrame:
     """Flag rows whose IP lies in any CIDR of a (data-derived) table.
 
-    Equi-join on (plen, ip >> (32 - plen)) for each prefix length present
+    The prefix lengths are taken from the table (33 at most);
+    ``prefix_lengths`` restricts the table to some of them. Equi-join on (plen, ip >> (32 - plen)) for each prefix length present
     (a handful; at most 33), each as a left join of the distinct
     (plen, net) keys, so no range join and no row duplication."""
     v = ipv4_to_long(F.col(ip))
     out = df.withColumn("_ipv", v)
     keys = cidr_table(cidrs)
     hit = F.lit(False)
-    for i, p in enumerate(sorted(set(prefix_lengths))):
+    present = {r[0] for r in keys.select("plen").distinct().collect()} & set(range(33))
+    for i, p in enumerate(sorted(present if prefix_lengths is None else present & set(prefix_lengths))):
         k = keys.filter(F.col("plen") == p).select(F.col("net").alias(f"_n{i}"), F.lit(True).alias(f"_h{i}"))
         out = out.join(k, F.shiftright(out["_ipv"], 32 - p) == k[f"_n{i}"], "left").drop(f"_n{i}")
         hit = hit | F.coalesce(F.col(f"_h{i}"), F.lit(False))

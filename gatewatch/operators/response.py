@@ -61,20 +61,15 @@ def mitigation_gate(df: DataFrame, level: str = "mitigation_level") -> DataFrame
     return df.filter(F.col(level) >= 1)
 
 
-LEHMER_MOD = 2147483647  # 2^31 - 1
-LEHMER_MUL = 48271
-
-
-def lehmer(key, seed: int = 42):
-    """One step of the Lehmer (MINSTD) generator seeded by the key: a
-    reproducible pseudo-random order that any SQL engine computes alike
-    (all products stay below 2^47, no overflow)."""
+def seeded_order(key, seed: int = 42):
+    """A reproducible pseudo-random order that any SQL engine computes alike:
+    the md5 of seed and key."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.pmod(k + F.lit(seed), F.lit(LEHMER_MOD)) * F.lit(LEHMER_MUL), F.lit(LEHMER_MOD))
+    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")).cast("binary"))
 
 
 def sample_one(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """One row drawn at random but reproducibly: the smallest seeded
     pseudo-random value of the key (a per-partition top-1, then a 1-row
     merge)."""
-    return df.orderBy(lehmer(key, seed), F.col(key)).limit(1)
+    return df.orderBy(seeded_order(key, seed), F.col(key)).limit(1)

@@ -44,11 +44,10 @@ def json_props(spark, sf):
     """Nested access: viewer-country header (array of name/value structs),
     JSON property k, first rule-group id; every row."""
     ev = table(spark, sf, "events")
-    props = ev.select(F.col("event_id").alias("row_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    base = waf_logs(ev).select(
+    logs = waf_logs(ev.select("*", F.get_json_object("props", "$.k").cast("long").alias("k")), keep=["k"])
+    return logs.select(
         "row_id", C.header_value("httprequest.headers", K.VIEWER_COUNTRY_HEADER, K.UNKNOWN_COUNTRY).alias("viewer_country"),
-        F.try_element_at("rulegrouplist", F.lit(1))["rulegroupid"].alias("group_rule"))
-    return base.join(props, "row_id")
+        F.try_element_at("rulegrouplist", F.lit(1))["rulegroupid"].alias("group_rule"), "k")
 
 
 @query("waf_json_roundtrip", REGISTRY["rule_blocks"].sql)

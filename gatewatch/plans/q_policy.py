@@ -210,7 +210,7 @@ def cidr_trusted(spark, sf):
     w = waf_logs(ev).select("row_id", F.col("httprequest.clientip").alias("client_ip"))
     w = w.withColumn("trusted", P.in_cidrs("client_ip", TRUSTED))
     cidrs = RS.block_candidates(D.top_anomalous_ip_per_day(scored_events(ev))).select("cidr")
-    f = P.cidr_member_flag(w, "client_ip", cidrs, [32], flag="in_block_cidrs")
+    f = P.cidr_member_flag(w, "client_ip", cidrs, flag="in_block_cidrs")
     return f.select("row_id", "trusted", "in_block_cidrs")
 
 

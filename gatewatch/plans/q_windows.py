@@ -239,7 +239,7 @@ def anomaly_rate(spark, sf):
 
 @query("random_sample", with_(SCORED) + """
 SELECT row_id, ip, pred_risk, raw_score FROM scored
-ORDER BY (((row_id + 42) % 2147483647) * 48271) % 2147483647, row_id LIMIT 1""")
+ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 1""")
 def random_sample(spark, sf):
     """One scored event drawn reproducibly (seeded hash order) over the whole table."""
     from gatewatch.operators import response as RS

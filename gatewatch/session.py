@@ -16,10 +16,10 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, app: str = "gatewatch",
               shuffle_partitions: int | None = None) -> SparkSession:
-    master = master or os.environ.get("GATEWATCH_MASTER", "local[8]")
+    master = master or os.environ.get("GATEWATCH_MASTER")
     parts = shuffle_partitions or int(os.environ.get("GATEWATCH_SHUFFLE_PARTITIONS", "8"))
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,6 +31,11 @@ def get_spark(master: str | None = None, app: str = "gatewatch",
         .config("spark.driver.memory", os.environ.get("GATEWATCH_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
+    # spark-submit hands its master to the JVM as a system property; only a
+    # plain Python start without one runs locally
+    if master or ("PYSPARK_GATEWAY_PORT" not in os.environ and "SPARK_MASTER" not in os.environ
+                  and SparkSession.getActiveSession() is None):
+        builder = builder.master(master or "local[8]")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -41,16 +46,18 @@ def get_spark(master: str | None = None, app: str = "gatewatch",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, streaming state and landed tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets a scratch folder
-    only where it is unset (local runs and tests).
+    Reads ``spark.checkpoint.dir`` from the session. A scratch folder is made
+    only where it is unset and the master is local (local runs and tests): on
+    a cluster a folder of one machine is not shared, so that is an error.
     """
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
-        if path and path.startswith("file:"):
-            path = path[len("file:"):]
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="gatewatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -122,9 +129,9 @@ def ship_package(spark: SparkSession) -> None:
 
 def range_partitions(df) -> int:
     """Partitions for an explicit range repartition (AQE does not coalesce
-    those): the shuffle setting, but not more than the larger of the cluster's
-    parallelism and the optimizer's size estimate / maxPartitionBytes, so
-    small inputs stay small. Uses plan statistics only: asking ``df.rdd``
+    those): the optimizer's size estimate / maxPartitionBytes, and at least the
+    smaller of the shuffle setting and the cluster's parallelism, so small
+    inputs stay small and large ones are not held to the setting. Uses plan statistics only: asking ``df.rdd``
     for its partitions would run the upstream shuffle stages under AQE."""
     spark = df.sparkSession
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -133,6 +140,6 @@ def range_partitions(df) -> int:
         size = v if isinstance(v, int) else int(v.toString())  # py4j may already convert BigInt
     except Exception:  # noqa: BLE001 - no statistics: fall back to the setting
         return conf
-    per = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
-    by_size = -(-size // max(per, 1))
-    return max(1, min(conf, max(spark.sparkContext.defaultParallelism, by_size)))
+    per = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        str(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
+    return max(min(conf, spark.sparkContext.defaultParallelism), -(-size // max(per, 1)), 1)

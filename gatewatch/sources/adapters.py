@@ -74,8 +74,9 @@ def partition_parts(ts) -> dict:
             "day": zero_pad(F.dayofmonth(t), 2), "hour": zero_pad(F.hour(t), 2)}
 
 
-def waf_logs(events: DataFrame) -> DataFrame:
-    """``events`` as nested WAF access-log records (+ row_id, event_ts)."""
+def waf_logs(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``events`` as nested WAF access-log records (+ row_id, event_ts and
+    the columns named in ``keep``)."""
     rule = stand_in_rule("event_type")
     action = F.when(F.col("event_type") == "view", F.lit("ALLOW")).otherwise(F.lit("BLOCK"))
     country = stand_in_country("user_id")
@@ -117,6 +118,7 @@ def waf_logs(events: DataFrame) -> DataFrame:
         F.array(F.struct(F.concat(F.lit("awswaf:clientip:geo:country:"), country).alias("name"))).alias("labels"),
         parts["year"].alias("year"), parts["month"].alias("month"),
         parts["day"].alias("day"), parts["hour"].alias("hour"),
+        *(keep or []),
     )
 
 

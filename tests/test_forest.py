@@ -88,3 +88,14 @@ def test_hyperparams():
     assert FR.safe_hyperparams(50)["n_estimators"] == 300
     assert FR.safe_hyperparams(10)["max_samples"] == 16
     assert FR.safe_hyperparams(10 ** 9)["max_samples"] == FR.MAX_SAMPLES_CAP
+
+
+def test_missing_feature_fails_open(spark):
+    from pyspark.sql import functions as F
+    from gatewatch.operators import forest as FR
+    df = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    f = FR.fit(df, ["a", "b"], n_trees=5, max_samples=64, n_rows=300)
+    holes = df.withColumn("a", F.when(F.col("row_id") > 0, F.col("a"))).filter("row_id < 3")
+    out = FR.score(holes, f).withColumn("act", FR.edge_action("score", "offset", offset=0.0))
+    got = {r["row_id"]: (r["score"] is None, r["act"]) for r in out.collect()}
+    assert got[0] == (True, "FAIL_OPEN") and not got[1][0] and got[1][1] == "BLOCK"

@@ -80,3 +80,19 @@ def test_day_partition_and_today_filter(spark):
     one = D.top_anomalous_ip(sc, **p).collect()
     per_day = {(r["year"], r["month"], r["day"]): (r["ip"], r["cnt"]) for r in D.top_anomalous_ip_per_day(sc).collect()}
     assert [(r["ip"], r["cnt"]) for r in one] == ([per_day[("2024", "01", "05")]] if ("2024", "01", "05") in per_day else [])
+
+
+def test_cidr_table_lengths_come_from_the_table(spark):
+    ips = ["10.0.0.7", "10.9.9.9", "11.0.0.200", "11.0.0.100", "12.0.0.1", "bad", None]
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "row_id long, ip string")
+    table = spark.createDataFrame([("10.0.0.0/24",), ("11.0.0.128/25",), ("12.0.0.1/32",), ("10.0.0.0/24",), (None,)], "cidr string")
+    got = {r["row_id"]: r["m"] for r in P.cidr_member_flag(df, "ip", table, flag="m").collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
+    wide = spark.createDataFrame([("10.0.0.0/8",)], "cidr string")
+    assert {r["row_id"] for r in P.cidr_member_flag(df, "ip", wide, flag="m").collect() if r["m"]} == {0, 1}
+
+
+def test_random_sample_is_not_the_smallest_id(spark):
+    from gatewatch.operators.response import sample_one
+    drawn = {sample_one(spark.range(1000), "id", seed=k).first()[0] for k in range(8)}
+    assert len(drawn) > 4 and drawn != {0}

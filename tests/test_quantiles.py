@@ -105,3 +105,17 @@ def test_range_partitions_follow_input_size(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
     assert 1 <= n <= spark.sparkContext.defaultParallelism
+
+
+def test_range_partitions_read_size_suffixes_and_are_not_capped(spark):
+    from gatewatch.session import range_partitions
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    conf = "spark.sql.files.maxPartitionBytes"
+    prev = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "256m")
+        small = range_partitions(ev)
+        spark.conf.set(conf, "4k")
+        assert range_partitions(ev) > int(spark.conf.get("spark.sql.shuffle.partitions")) >= small
+    finally:
+        spark.conf.set(conf, prev)
