@@ -7,6 +7,8 @@ codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +19,9 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def shannon_entropy(text) -> Column:
-    """-sum p*log2(p) over the code points of ``text``; null/'' give 0.0.
-
-    Counts come from the length drop when one distinct character is removed,
+def shannon_entropy_counts(text) -> Column:
+    """``shannon_entropy`` by counting every distinct character, cheap for
+    short strings of few characters. Counts come from the length drop when one distinct character is removed,
     so the per-string cost is (#distinct chars) x (length), all JVM-side.
     ``abs`` keeps the single-character case at +0.0 rather than -0.0.
     """
@@ -33,8 +34,10 @@ def shannon_entropy(text) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.abs(h))
 
 
-def shannon_entropy_runs(text) -> Column:
-    """The same entropy from run lengths: sort the characters once, fold
+def shannon_entropy(text) -> Column:
+    """-sum p*log2(p) over the code points of ``text``; null/'' give 0.0.
+
+    From run lengths: sort the characters once, fold
     the runs into S = sum(c * log2 c) with a struct accumulator, then
     H = log2(n) - S / n. O(n log n) per string; the fold's lambdas refer
     only to their own arguments (an outer column inside a lambda is
@@ -64,6 +67,12 @@ def entropy_of_counts(counts: list[Column], total: Column) -> Column:
     return F.when(total > 0, F.abs(h)).otherwise(F.lit(0.0))
 
 
+#: Digits outside the decimal class (superscripts, circled digits, ...): every
+#: character with a digit value that is not of class Nd.
+OTHER_DIGITS = "".join(chr(c) for c in range(0x110000)
+                       if unicodedata.digit(chr(c), None) is not None and unicodedata.category(chr(c)) != "Nd")
+
+
 def class_entropy(text) -> Column:
     """Entropy over four character classes: letters, digits, space/tab, other."""
     s = F.coalesce(_col(text), F.lit(""))
@@ -73,7 +82,7 @@ def class_entropy(text) -> Column:
         # characters of a class = length after removing runs of everything else
         return F.char_length(F.regexp_replace(s, cls_complement, ""))
     alpha = kept(r"\P{L}+")
-    digit = kept(r"\P{Nd}+")
+    digit = kept(r"[^\p{Nd}" + OTHER_DIGITS + "]+")
     special = n - F.char_length(F.regexp_replace(s, r"[^\p{L}\p{N} \t]+", ""))
     space = kept(r"[^ \t]+")
     return entropy_of_counts([alpha, digit, special, space], n)

@@ -71,7 +71,7 @@ def _class_entropy_sql(expr):
     s = f"coalesce({expr}, '')"
     cnt = {
         "a": f"length(regexp_extract_all({s}, '\\p{{L}}'))",
-        "d": f"length(regexp_extract_all({s}, '\\p{{Nd}}'))",
+        "d": f"length(regexp_extract_all({s}, '[\\p{{Nd}}{X.OTHER_DIGITS}]'))",
         "o": f"length(regexp_extract_all({s}, '[^\\p{{L}}\\p{{N}} \\t]'))",
         "s": f"length(regexp_extract_all({s}, '[ \\t]'))",
     }

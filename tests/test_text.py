@@ -100,9 +100,18 @@ def test_restore_args_is_partition_independent(spark):
     assert {r["a"] for r in a if r["row_id"] % 3 == 2} == {""}
 
 
-def test_runs_entropy_equals_default(spark):
+def test_entropy_by_counts_equals_default(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
     d = d.unionByName(spark.createDataFrame([(None,), ("",), ("a",), ("abab",), ("ééab",)], "text string"))
     bad = d.select(F.round(X.shannon_entropy("text"), 9).alias("a"),
-                   F.round(X.shannon_entropy_runs("text"), 9).alias("b")).filter("a != b").count()
+                   F.round(X.shannon_entropy_counts("text"), 9).alias("b")).filter("a != b").count()
     assert bad == 0
+
+
+def test_class_entropy_counts_every_digit(spark):
+    import math
+    u = "a²③४9b-"
+    classes = [sum(c.isalpha() for c in u), sum(c.isdigit() for c in u), sum(not c.isalnum() and c not in " \t" for c in u)]
+    want = -sum(k / len(u) * math.log2(k / len(u)) for k in classes if k)
+    got = spark.createDataFrame([(u,)], "u string").select(X.class_entropy("u")).first()[0]
+    assert classes == [2, 4, 1] and abs(got - want) < 1e-12
