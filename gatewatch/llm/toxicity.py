@@ -1,6 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms (lower-cased words) are hashed into buckets. One pass over all labelled
+Terms (lower-cased words, and the first STEMS bytes of longer ones) are hashed
+into buckets. One pass over all labelled
 training documents counts, per bucket, how many toxic and other documents
 hold it; buckets whose share differs clearly from the base rate (a z score
 over ``MIN_Z``, the ``N_BUCKETS`` strongest) are the inputs. The machine
@@ -36,6 +37,7 @@ from pyspark.sql import types as T
 from gatewatch.llm.common import broadcast_if_small, materialize, prepare, tokens
 
 BITS = 20
+STEMS = (5, 7)
 N_BUCKETS = 256
 MIN_Z = 4.0
 MIN_DOCS = 5
@@ -50,9 +52,11 @@ HELD_OUT = 2
 
 
 def buckets(text: str | None) -> set[int]:
-    """Hashed terms of a text."""
-    mask = (1 << BITS) - 1
-    return {zlib.crc32(w) & mask for w in set(tokens(text))}
+    """Hashed terms of a text: its words and the beginnings of longer ones,
+    so that inflected forms share a term."""
+    mask, words = (1 << BITS) - 1, set(tokens(text))
+    stems = {b"^" + w[:n] for w in words for n in STEMS if len(w) > n}
+    return {zlib.crc32(w) & mask for w in words | stems}
 
 
 def held_out(doc_id):
