@@ -95,6 +95,16 @@ def top_anomalous_ip(scored: DataFrame, year: str, month: str, day: str) -> Data
             .orderBy(F.desc("cnt"), F.asc("ip")).limit(1))
 
 
+def daily_report(scored: DataFrame, run_date) -> DataFrame:
+    """One row for the run date's partition: the top anomalous IP with status
+    ``ok``, or ``no_data`` when the day has no anomaly."""
+    part = day_partition(run_date)
+    top = top_anomalous_ip(scored, **part)
+    return top.agg(F.max("ip").alias("ip"), F.max("cnt").alias("cnt")).select(
+        F.lit("-".join(part.values())).alias("run_day"),
+        F.when(F.col("cnt").isNull(), F.lit("no_data")).otherwise(F.lit("ok")).alias("status"), "ip", "cnt")
+
+
 def top_per_group(df: DataFrame, group: list[str], count: str, key: str, extra: list[str] = ()) -> DataFrame:
     """Top-1 row per group by ``count`` desc, ties to the smallest ``key``,
     as a ``min_by`` aggregate over (-count, key): it combines map-side, so a

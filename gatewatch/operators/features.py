@@ -82,13 +82,15 @@ def uri4_frame(df: DataFrame, uri: str = "request_uri") -> DataFrame:
 
 def edge_frame(df: DataFrame, country_map: dict, uri: str = "uri", headers: str = "headers") -> DataFrame:
     """Edge feature set: country from the viewer-country header (default 'XX',
-    unseen -> max+1), rule code fixed 0, URI length and entropy, rule entropy."""
+    unseen -> max+1), rule code fixed 0, URI length and entropy, rule entropy.
+    A null URI has null features: it cannot be scored (the edge fails open)."""
+    known = F.col(uri).isNotNull()
     country = C.header_value(headers, K.VIEWER_COUNTRY_HEADER, K.UNKNOWN_COUNTRY)
     return df.withColumns({
         "country_code": C.edge_country_code(country, country_map),
         "rule_code": F.lit(0.0),
-        "uri_len": X.text_length(uri).cast("double"),
-        "uri_entropy": X.shannon_entropy(uri),
+        "uri_len": F.when(known, X.text_length(uri).cast("double")),
+        "uri_entropy": F.when(known, X.shannon_entropy(uri)),
         "rule_entropy": X.rule_code_entropy(F.lit(0)),
     })
 

@@ -48,6 +48,12 @@ def defense_signals(blocks: DataFrame, ts: str, ip: str = "ip", width: str = "5
                     "ip", F.lit(K.DEFENSE_METRIC).alias("metric"), "signals"))
 
 
+def signal_points(blocks: DataFrame, ts: str, ip: str = "ip") -> DataFrame:
+    """One metric point per block: name, AttackIP dimension, value 1, Count."""
+    return blocks.select(F.col(ts).alias("ts"), F.lit(K.DEFENSE_METRIC).alias("metric"), F.col(ip).alias("attack_ip"),
+                         F.lit(1.0).alias("value"), F.lit("Count").alias("unit"))
+
+
 def alerts(rows: DataFrame, ts: str, ip: str = "ip", count: str = "cnt",
            reason: str = K.ALERT_MESSAGE, level: str | None = None, keep: list | None = None) -> DataFrame:
     """The single alert schema: ts, ip, count, reason, mitigation_level."""

@@ -136,10 +136,10 @@ def _report_sql():
     from gatewatch.plans.sqlviews import DOCREQ, WEB, entropy_sql
     bar = "=" * 70
     return with_(WEB, DOCREQ) + f"""
-, normals AS (SELECT request_uri, round({entropy_sql('request_uri')}, 6) AS pe,
+, normals AS (SELECT row_id, request_uri, round({entropy_sql('request_uri')}, 6) AS pe,
                      round({entropy_sql('request_args')}, 6) AS ae
               FROM (SELECT *, row_number() OVER (PARTITION BY request_uri ORDER BY row_id) AS rn FROM web) t
-              WHERE rn = 1 ORDER BY request_uri LIMIT 8)
+              WHERE rn = 1 ORDER BY row_id LIMIT 8)
 , typed AS (SELECT row_id, request_uri, round({entropy_sql('request_args')}, 6) AS args_entropy,
                    {_threat_sql('request_uri', 'request_args', entropy_sql('request_args'))} AS type FROM docreq)
 , sample AS (SELECT type, request_uri, args_entropy
@@ -150,7 +150,7 @@ SELECT 0 AS sec, CAST(0 AS BIGINT) AS ln, '{bar}' AS value
 UNION ALL SELECT 0, 1, 'AI Security Threat Analysis Report'
 UNION ALL SELECT 0, 2, '{bar}'
 UNION ALL SELECT 1, 0, '[normal URI sample]'
-UNION ALL SELECT 1, row_number() OVER (ORDER BY request_uri),
+UNION ALL SELECT 1, row_number() OVER (ORDER BY row_id),
                  concat_ws('  ', request_uri, CAST(pe AS VARCHAR), CAST(ae AS VARCHAR)) FROM normals
 UNION ALL SELECT 2, 0, '[anomaly sample]'
 UNION ALL SELECT 2, row_number() OVER (ORDER BY args_entropy DESC, type),
@@ -163,12 +163,12 @@ FROM counts"""
 @query("analysis_report", _report_sql())
 def analysis_report(spark, sf):
     """Threat analysis report as text lines: normal-URI sample (first per
-    path, 8), anomaly sample (first per type, top 12 by entropy), counts per
+    path, the 8 first rows), anomaly sample (first per type, top 12 by entropy), counts per
     type; also written as a text file."""
     w = spread(web_requests(table(spark, sf, "pages")))
-    normals = first_per_key(w, ["request_uri"], "row_id", ["row_id", "request_args"]).select(
+    normals = first_per_key(w, ["request_uri"], "row_id", ["row_id", "request_args"]).orderBy("row_id").limit(8).select(
         "request_uri", F.round(X.shannon_entropy("request_uri"), 6).alias("path_entropy"),
-        F.round(X.shannon_entropy("request_args"), 6).alias("args_entropy")).orderBy("request_uri").limit(8)
+        F.round(X.shannon_entropy("request_args"), 6).alias("args_entropy"))
     d = spread(doc_requests(table(spark, sf, "documents")))
     ent = X.shannon_entropy("request_args")
     typed = materialize(d.select("row_id", "request_uri", F.round(ent, 6).alias("args_entropy"),

@@ -140,9 +140,11 @@ def prf_metrics(spark, sf):
                ["precision", "recall", "f1_score", "fpr"])
 
 
-@query("before_after", with_(SCORED) + f"""
+def eval_sql(pred: str, src: str) -> str:
+    """The evaluation summary of ``src`` with the 0/1 prediction ``pred``."""
+    return f"""
 , d AS (SELECT terminatingruleid = '{K.RULE_SQLI}' AS is_sqli, terminatingruleid = '{K.RULE_GEO}' AS is_geoblock,
-               CASE WHEN terminatingruleid = '{K.RULE_SQLI}' THEN 1 ELSE 0 END AS y_true, anomaly AS y_pred, action FROM scored)
+               CASE WHEN terminatingruleid = '{K.RULE_SQLI}' THEN 1 ELSE 0 END AS y_true, {pred} AS y_pred, action FROM {src})
 , c AS (SELECT COUNT(*) AS n_total, CAST(sum(CAST(is_sqli AS INT)) AS BIGINT) AS n_sqli,
                CAST(sum(CAST(is_geoblock AS INT)) AS BIGINT) AS n_geoblock,
                CAST(sum(CASE WHEN action = 'ALLOW' THEN 1 ELSE 0 END) AS BIGINT) AS n_normal,
@@ -154,7 +156,10 @@ def prf_metrics(spark, sf):
                CAST(sum(CASE WHEN is_geoblock AND y_pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS geoblock_ai_flagged,
                CAST(sum(CASE WHEN y_pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_ai_flagged FROM d)
 SELECT *, {PRF_SQL}, n_sqli AS before_waf_detections, n_sqli + fp AS after_waf_ai_detections,
-       fp AS after_ai_additional_detections FROM c""")
+       fp AS after_ai_additional_detections FROM c"""
+
+
+@query("before_after", with_(SCORED) + eval_sql("anomaly", "scored"))
 def before_after(spark, sf):
     """Evaluation job: data-set counts, confusion on non-geo rows (SQLi = attack,
     anomaly flag = prediction), metrics, geo rows flagged, before/after counts."""

@@ -83,10 +83,30 @@ def write_metrics(df: DataFrame, path: str, flat: bool = False) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_metrics_document(experiments: DataFrame, groups: DataFrame, key: str, path: str) -> None:
+    """Nested metrics sink: one JSON document with the ``experiments`` array
+    and a ``groups`` map. Both inputs are reports of a handful of rows."""
+    e = experiments.agg(F.array_sort(F.collect_list(F.struct(*experiments.columns))).alias("experiments"))
+    vals = F.struct(*[c for c in groups.columns if c != key])
+    g = groups.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), vals))).alias("groups"))
+    both = e.unionByName(g, allowMissingColumns=True)
+    doc = both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("experiments", "groups")])
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_metrics_document(spark: SparkSession, path: str, experiment: T.StructType, group: T.StructType) -> DataFrame:
+    """The nested document back, one row per experiment plus the group map."""
+    schema = T.StructType([T.StructField("experiments", T.ArrayType(experiment)),
+                           T.StructField("groups", T.MapType(T.StringType(), group))])
+    return spark.read.schema(schema).json(path).select(F.explode("experiments").alias("e"), "groups").select("e.*", "groups")
+
+
 # -------------------------------------------------------------- scan reports
-def flatten_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Nested scan report (multi-line JSON, ``results`` array) -> flat rows."""
-    raw = spark.read.option("multiLine", True).json(path)
+def flatten_findings(spark: SparkSession, path: str, multi_line: bool = True, schema=None) -> DataFrame:
+    """Nested scan reports (``results`` arrays) -> flat rows. A report is one
+    multi-line document per file, or one document per line (splittable)."""
+    r = spark.read.option("multiLine", multi_line)
+    raw = (r.schema(schema) if schema else r).json(path)
     r = raw.select(F.explode("results").alias("r"))
     return r.select(
         F.col("r.location.filename").alias("file"),

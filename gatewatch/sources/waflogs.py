@@ -101,6 +101,29 @@ def land(df: DataFrame, out: str, fmt: str = "parquet", partitions: int | None =
      .write.mode("overwrite").partitionBy(*PARTITIONS).format(fmt).save(out))
 
 
+def deliver(lines: DataFrame, out: str) -> None:
+    """Raw text lines (``value`` + partition columns) under
+    ``out/yyyy/mm/dd/hh/``, the layout of a log delivery: Spark writes
+    ``year=yyyy/...`` folders, which are then renamed on the file system (one
+    rename per folder; the data are not touched)."""
+    lines.repartition(*PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).text(out)
+    spark = lines.sparkSession
+    hpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hpath(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    level = [out.rstrip("/")]
+    for part in PARTITIONS:
+        nxt = []
+        for folder in level:
+            for st in fs.listStatus(hpath(folder)):
+                name = st.getPath().getName()
+                if name.startswith(part + "="):
+                    to = f"{folder}/{name.split('=', 1)[1]}"
+                    if not fs.rename(st.getPath(), hpath(to)):
+                        raise OSError(f"could not rename to {to}")
+                    nxt.append(to)
+        level = nxt
+
+
 def read_landed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read a landed table keeping the partition values as strings ('05'
     stays '05'): the partition columns are declared in the schema."""
