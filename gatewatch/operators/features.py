@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gatewatch import constants as K
 from gatewatch.functions import codes as C
 from gatewatch.functions import text as X
+from gatewatch.session import partition_bytes, plan_bytes
 
 TRAIN_FEATURES = ["country_code", "rule_code", "uri_len", "path_entropy", "args_entropy"]
 EDGE_FEATURES = ["country_code", "rule_code", "uri_len", "uri_entropy", "rule_entropy"]
@@ -20,11 +21,14 @@ URI4_FEATURES = ["uri_length", "special_chars", "risk_keyword", "uri_entropy"]
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than task slots before
-    CPU-heavy per-row work. A no-op on large inputs (they already split)."""
+    """Round-robin an input too small to give every task slot a split before
+    CPU-heavy per-row work. Larger inputs are left as they are: their scan
+    already splits. Rows are the same either way; the size is the plan's
+    estimate, no job runs."""
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    size = plan_bytes(df)
+    if size is not None and size < want * partition_bytes(spark):
         return df.repartition(want)
     return df
 

@@ -46,6 +46,9 @@ NODE_SCHEMA = T.StructType([
 ])
 MAX_SAMPLES_CAP = 4096
 _HASH_MOD = 1 << 30
+#: A node's bytes on the driver, and the most that may be sent there.
+NODE_BYTES = 48
+COLLECT_BYTES = 256 << 20
 
 
 def c_factor_np(n):
@@ -209,10 +212,12 @@ class Forest:
 
 def fit(df: DataFrame, features: list[str], n_trees: int = 200, max_samples: int | None = None,
         max_features: float = 1.0, seed: int = 42, row_id: str = "row_id", n_rows: int | None = None,
-        forest: str | None = None, cap: int = MAX_SAMPLES_CAP) -> Forest:
-    """Fit T isolation trees (per value of ``forest`` when given)."""
+        forest: str | None = None) -> Forest:
+    """Fit T isolation trees (per value of ``forest`` when given). A given
+    ``max_samples`` is honoured in full: a tree's rows are one task's group,
+    so it bounds the group."""
     n = n_rows if n_rows is not None else df.count()
-    psi = min(cap, max_samples if max_samples else min(256, n), n)
+    psi = min(max_samples if max_samples else min(256, n), n)
     cols = [row_id] + features + ([forest] if forest else [])
     samples = tree_samples(df.select(*cols), row_id, n, n_trees, psi, seed, forest)
     keys = ([forest] if forest else []) + ["tree_id"]
@@ -227,16 +232,13 @@ def fit_many(df: DataFrame, features: list[str], forest: str, params: dict, max_
     ``params`` = {value: (n_rows, max_samples, n_trees)}. Returns the
     forests with their node tables (one collect of all nodes, bounded by
     sum of T * 2psi)."""
-    prm = {str(k): (n, min(cap_psi, n, MAX_SAMPLES_CAP), t) for k, (n, cap_psi, t) in params.items()}
+    prm = {str(k): (n, min(psi, n), t) for k, (n, psi, t) in params.items()}
     cols = [row_id] + features + [forest]
     base = df.select(*cols).withColumn(forest, F.col(forest).cast("string"))
     samples = tree_samples(base, row_id, 0, 0, 0, seed, forest, per_forest=prm)
     nodes = samples.groupBy(forest, "tree_id").applyInPandas(
         _builder(features, 0, max_features, seed, forest, {k: v[1] for k, v in prm.items()}), schema=NODE_SCHEMA)
-    bound = sum(t * 2 * psi for _, psi, t in prm.values())
-    pdf = nodes.toPandas()
-    if len(pdf) > bound:
-        raise ValueError(f"forests larger than their bound ({len(pdf)} > {bound})")
+    pdf = _checked(nodes, sum(t * 2 * psi for _, psi, t in prm.values()))
     out = {}
     spark = df.sparkSession
     for k in sorted(prm):
@@ -298,13 +300,20 @@ def path_lengths(arr: dict, X: np.ndarray, block: int = 4096) -> np.ndarray:
     return out
 
 
+def _checked(nodes: DataFrame, bound: int) -> pd.DataFrame:
+    """The node table on the driver, its rows counted (on the stored table)
+    before they are sent: at most ``bound`` and ``COLLECT_BYTES``."""
+    from gatewatch.session import materialize
+    stored = materialize(nodes, "forest_nodes")
+    n = stored.count()
+    if n > bound or n * NODE_BYTES > COLLECT_BYTES:
+        raise ValueError(f"forest of {n} nodes is over its bound ({bound} nodes, {COLLECT_BYTES} bytes)")
+    return stored.toPandas()
+
+
 def collect_nodes(forest: Forest) -> pd.DataFrame:
     """The node table to the driver: at most T * 2psi rows by construction."""
-    bound = forest.n_trees * (2 * forest.max_samples) * max(1, len(forest.forest_ids))
-    pdf = forest.nodes.toPandas()
-    if len(pdf) > bound:
-        raise ValueError(f"forest larger than its bound ({len(pdf)} > {bound})")
-    return pdf
+    return _checked(forest.nodes, forest.n_trees * (2 * forest.max_samples) * max(1, len(forest.forest_ids)))
 
 
 def score(df: DataFrame, forest: Forest, out: str = "score", nodes_pdf: pd.DataFrame | None = None) -> DataFrame:

@@ -126,7 +126,7 @@ def score_summary(df: DataFrame, score: str) -> DataFrame:
                   F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n"),
                   *[F.lit(v).cast("double").alias(k) for k, v in q.items()],
                   F.lit(iqr).cast("double").alias("iqr"),
-                  F.lit(iqr < K.STABILITY_IQR_LIMIT).alias("stability_warning"))
+                  F.lit(round(iqr, 4) < K.STABILITY_IQR_LIMIT).alias("stability_warning"))
 
 
 def le_histogram(df: DataFrame, score: str, bounds: list[float] = K.SCORE_HISTOGRAM_BOUNDS) -> DataFrame:
@@ -205,18 +205,20 @@ def contamination_sweep(df: DataFrame, score: str, group: str, contams: list[flo
                       (F.col("mean_other") - F.lit(q[f"c{i}"])).alias("other_mean"))
              for i, c in enumerate(contams)]
     long = wide.select(F.explode(F.array(*items)).alias("x")).select("x.*")
-    long = long.withColumns({"score_iqr": F.lit(float(iqr)), "stability_warning": F.lit(iqr < K.STABILITY_IQR_LIMIT)})
+    long = long.withColumns({"score_iqr": F.lit(float(iqr)), "stability_warning": F.lit(round(iqr, 4) < K.STABILITY_IQR_LIMIT)})
     return recommend(long)
 
 
 def recommend(sweep: DataFrame) -> DataFrame:
-    """Mark the recommended contamination: the first (smallest) one whose
-    SQLi mean decision is below the other group's and whose flagged share is
-    within 20-30 %; 0.25 when none qualifies. ``sweep`` has one row per
+    """Mark the recommended contamination, compared on the reported figures
+    (means to 4 digits, % to 1): the first (smallest) one whose SQLi mean
+    decision is below the other group's and whose flagged share is within
+    20-30 %; 0.25 when none qualifies. ``sweep`` has one row per
     contamination value (a handful of rows)."""
     from pyspark.sql import Window
     lo, hi = K.RECOMMEND_PCT_RANGE
-    ok = ((F.col("sqli_mean") < F.col("other_mean")) & (F.col("flagged_pct") >= lo) & (F.col("flagged_pct") <= hi))
+    pct = F.round("flagged_pct", 1)
+    ok = (F.round("sqli_mean", 4) < F.round("other_mean", 4)) & (pct >= lo) & (pct <= hi)
     w = Window.partitionBy()  # one row per swept value: a tiny table
     first_ok = F.min(F.when(ok, F.col("contamination"))).over(w)
     rec = F.coalesce(first_ok, F.lit(K.RECOMMENDED_DEFAULT))

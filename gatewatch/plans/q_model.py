@@ -132,7 +132,7 @@ def fedavg_merge(spark, sf):
     sizes = {r["node"]: r["n"] for r in split.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
     # one job fits every node's forest (each on its own rows only)
     forests = FR.fit_many(split, TRAIN_FEATURES, "node",
-                          {str(k): (n, max(16, int(n * 0.6)), 100) for k, n in sizes.items()}, seed=42)
+                          {str(k): (n, FR.safe_hyperparams(n)["max_samples"], 100) for k, n in sizes.items()}, seed=42)
     scored_parts = None
     for node, f in forests.items():
         part = FR.score(split.filter(F.col("node") == int(node)), f, nodes_pdf=f.nodes_pdf)

@@ -51,7 +51,7 @@ SELECT round(min(raw_score), 6) AS min_score, round(max(raw_score), 6) AS max_sc
        round(quantile_cont(raw_score, 0.05), 6) AS q05, round(quantile_cont(raw_score, 0.25), 6) AS q25,
        round(quantile_cont(raw_score, 0.75), 6) AS q75,
        round(quantile_cont(raw_score, 0.75) - quantile_cont(raw_score, 0.25), 6) AS iqr,
-       (quantile_cont(raw_score, 0.75) - quantile_cont(raw_score, 0.25)) < 0.05 AS stability_warning
+       round(quantile_cont(raw_score, 0.75) - quantile_cont(raw_score, 0.25), 4) < 0.05 AS stability_warning
 FROM scored""")
 def iqr_flag(spark, sf):
     """Score min/max/mean, exact q05/q25/q75, IQR and the IQR < 0.05 stability flag."""
@@ -223,8 +223,8 @@ def _sweep_sql():
 , x AS (SELECT contamination, round(off, 6) AS "offset", CAST(nf AS BIGINT) AS n_flagged,
                round(nf * 100.0 / n, 6) AS flagged_pct, round(m - off, 6) AS score_mean,
                round(ms - off, 6) AS sqli_mean, round(mo - off, 6) AS other_mean,
-               round(iqr, 6) AS score_iqr, iqr < {K.STABILITY_IQR_LIMIT} AS stability_warning,
-               (ms - off) < (mo - off) AND nf * 100.0 / n >= {lo} AND nf * 100.0 / n <= {hi} AS ok FROM r)
+               round(iqr, 6) AS score_iqr, round(iqr, 4) < {K.STABILITY_IQR_LIMIT} AS stability_warning,
+               round(ms - off, 4) < round(mo - off, 4) AND round(nf * 100.0 / n, 1) BETWEEN {lo} AND {hi} AS ok FROM r)
 SELECT contamination, "offset", n_flagged, flagged_pct, score_mean, sqli_mean, other_mean, score_iqr,
        stability_warning,
        contamination = coalesce((SELECT min(contamination) FROM x WHERE ok), {K.RECOMMENDED_DEFAULT}) AS recommended

@@ -127,6 +127,21 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def plan_bytes(df) -> int | None:
+    """The optimizer's size estimate of ``df`` (no job runs); None if unknown."""
+    try:
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return v if isinstance(v, int) else int(v.toString())  # py4j may already convert BigInt
+    except Exception:  # noqa: BLE001 - no statistics
+        return None
+
+
+def partition_bytes(spark: SparkSession) -> int:
+    """``spark.sql.files.maxPartitionBytes`` as a number (it may say 256m)."""
+    return max(1, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        str(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))))
+
+
 def range_partitions(df) -> int:
     """Partitions for an explicit range repartition (AQE does not coalesce
     those): the optimizer's size estimate / maxPartitionBytes, and at least the
@@ -135,11 +150,7 @@ def range_partitions(df) -> int:
     for its partitions would run the upstream shuffle stages under AQE."""
     spark = df.sparkSession
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = v if isinstance(v, int) else int(v.toString())  # py4j may already convert BigInt
-    except Exception:  # noqa: BLE001 - no statistics: fall back to the setting
+    size = plan_bytes(df)
+    if size is None:  # fall back to the setting
         return conf
-    per = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        str(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
-    return max(min(conf, spark.sparkContext.defaultParallelism), -(-size // max(per, 1)), 1)
+    return max(min(conf, spark.sparkContext.defaultParallelism), -(-size // partition_bytes(spark)), 1)

@@ -99,3 +99,11 @@ def test_missing_feature_fails_open(spark):
     out = FR.score(holes, f).withColumn("act", FR.edge_action("score", "offset", offset=0.0))
     got = {r["row_id"]: (r["score"] is None, r["act"]) for r in out.collect()}
     assert got[0] == (True, "FAIL_OPEN") and not got[1][0] and got[1][1] == "BLOCK"
+
+
+def test_explicit_sample_size_and_bound(spark, blob, monkeypatch):
+    f = FR.fit(blob, ["x", "y", "z"], n_trees=2, max_samples=2500, seed=1)
+    assert f.max_samples == 2500
+    monkeypatch.setattr(FR, "COLLECT_BYTES", 100)
+    with pytest.raises(ValueError):
+        FR.collect_nodes(f)
