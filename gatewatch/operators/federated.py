@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.operators import forest as FR
 from gatewatch.operators.quantiles import rank_values
+from gatewatch.session import materialize
 
 
 def position_split(df: DataFrame, order: str, fractions: list[float], out: str = "node") -> DataFrame:
@@ -76,17 +77,20 @@ def merge(node_forests: dict[str, FR.Forest], params: DataFrame, seed: int = 42)
     nodes = tables[0]
     for t in tables[1:]:
         nodes = nodes.unionByName(t)
+    q = q.withColumn("first_tree", F.coalesce(F.sum("k").over(  # one row per node
+        Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     trees = nodes.select("node_id_src", "tree_id").distinct()
-    wt = Window.partitionBy("node_id_src").orderBy(F.xxhash64(F.lit(seed), F.col("node_id_src"), F.col("tree_id")),
-                                                    "tree_id")
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("node_id_src"), F.lit("m"),
+                             F.col("tree_id").cast("string")).cast("binary"))
+    wt = Window.partitionBy("node_id_src").orderBy(draw, "tree_id")
     chosen = (trees.withColumn("_r", F.row_number().over(wt))
-              .join(q.select(F.col("node_id").alias("node_id_src"), "k"), "node_id_src")
-              .filter(F.col("_r") <= F.col("k")))
-    renum = chosen.withColumn(
-        "global_tree", (F.dense_rank().over(Window.orderBy("node_id_src", "tree_id")) - 1).cast("int"))
-    merged = (nodes.join(renum.select("node_id_src", "tree_id", "global_tree"), ["node_id_src", "tree_id"])
+              .join(q.select(F.col("node_id").alias("node_id_src"), "k", "first_tree"), "node_id_src")
+              .filter(F.col("_r") <= F.col("k"))
+              .withColumn("global_tree", (F.col("first_tree") + F.col("_r") - 1).cast("int")))
+    merged = (nodes.join(chosen.select("node_id_src", "tree_id", "global_tree"), ["node_id_src", "tree_id"])
               .select(F.lit("global").alias("forest_id"), F.col("global_tree").alias("tree_id"), "node_id",
                       "left", "right", "feature", "threshold", "n_node_samples"))
+    merged = materialize(merged, "fed_nodes")
     first = next(iter(node_forests.values()))
     offset = q.select("global_offset").first()["global_offset"]
     n_sel = sum(f.n_trees for f in node_forests.values())

@@ -1,20 +1,29 @@
 """Isolation forest on Spark (Liu, Ting, Zhou 2008): standardise, fit, score,
 threshold.
 
-Fit
-  * the sample of each tree is drawn by hashing (row_id, tree, seed): an O(n)
-    narrow filter keeps the candidate rows (probability about T*psi/n), and
-    only they evaluate the per-tree test, so the exploded (row, tree) pairs
-    number about T*psi whatever n is; a window over each tree's few
-    candidates trims it to exactly psi rows;
-  * ``groupBy(forest, tree).applyInPandas`` builds each tree from at most psi
-    rows (psi is capped, default 4096) in NumPy;
-  * the result is a node table (forest_id, tree_id, node_id, left, right,
-    feature [global index], threshold, n_node_samples).
+Every random choice is an md5 of (seed, forest, what, tree, ...), so a fit is
+the same under any partitioning, retry or engine.
+
+Sample
+  * the draw of a row for a tree is the first 52 bits of such an md5; a tree
+    takes the psi rows of smallest draw, exactly. The cut is found by counting
+    draws per leading bits and ranking only the rows of the bucket it falls in;
+  * a tree sees a subset of the features; equal rows of a tree are merged into
+    one with a weight, before the shuffle.
+Build, level by level
+  * one aggregate per level (rows, min and max per feature) over the nodes that
+    hold more than ``LOCAL_ROWS`` distinct rows; their rows move to the child
+    by a join, whose hot nodes are split by the skew join;
+  * a node of at most ``LOCAL_ROWS`` is finished in one task with the same
+    choices, so the parameter bounds a task's memory and changes no result;
+  * the result is a stored node table (forest_id, tree_id, node_id [children
+    2i, 2i+1], left, right, feature, threshold, n_node_samples).
 Score
-  * the node table (at most T * 2psi rows, bounded by the parameters) is
-    broadcast once; an Arrow ``pandas_udf`` walks all trees for a batch of
-    rows at once (vectorised over rows x trees).
+  * the nodes are counted first; up to ``COLLECT_BYTES`` they are broadcast and
+    an Arrow ``pandas_udf`` walks all trees for a batch of rows, beyond it each
+    level is a join of (row, tree) pairs with the node table;
+  * path lengths are summed as whole numbers of 1e-12, so both ways and any
+    order give the same score.
 Threshold
   * offset = exact contamination-quantile of the scores (distributed),
     decision = score - offset, prediction = -1 when decision < 0.
@@ -22,6 +31,7 @@ Threshold
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
@@ -37,15 +47,19 @@ from gatewatch.operators.quantiles import quantile_scalars
 NODE_SCHEMA = T.StructType([
     T.StructField("forest_id", T.StringType()),
     T.StructField("tree_id", T.IntegerType()),
-    T.StructField("node_id", T.IntegerType()),
-    T.StructField("left", T.IntegerType()),
-    T.StructField("right", T.IntegerType()),
+    T.StructField("node_id", T.LongType()),
+    T.StructField("left", T.LongType()),
+    T.StructField("right", T.LongType()),
     T.StructField("feature", T.IntegerType()),
     T.StructField("threshold", T.DoubleType()),
-    T.StructField("n_node_samples", T.IntegerType()),
+    T.StructField("n_node_samples", T.LongType()),
 ])
-MAX_SAMPLES_CAP = 4096
-_HASH_MOD = 1 << 30
+#: Most distinct rows of a node that one task finishes.
+LOCAL_ROWS = 1 << 16
+#: Digits of the features a fit sees: equal values must compare equal.
+DIGITS = 9
+_DRAW_BITS = 52
+_H_UNIT = 10 ** 12
 #: A node's bytes on the driver, and the most that may be sent there.
 NODE_BYTES = 48
 COLLECT_BYTES = 256 << 20
@@ -66,10 +80,10 @@ def c_factor(n: float) -> float:
     return float(c_factor_np([n])[0])
 
 
-def safe_hyperparams(n_samples: int, base_trees: int = 200, cap: int = MAX_SAMPLES_CAP) -> dict:
-    """Size-dependent parameters: psi = max(16, int(0.6 n)) capped, trees =
+def safe_hyperparams(n_samples: int, base_trees: int = 200) -> dict:
+    """Size-dependent parameters: psi = max(16, int(0.6 n)), trees =
     min(500, base + max(0, (100 - n) * 2)), 70 % of the features per tree."""
-    return {"max_samples": min(cap, max(16, int(n_samples * 0.6))),
+    return {"max_samples": max(16, int(n_samples * 0.6)),
             "max_features": 0.7,
             "n_estimators": min(base_trees + max(0, (100 - n_samples) * 2), 500)}
 
@@ -92,113 +106,162 @@ def apply_scaler(df: DataFrame, scaler: dict) -> DataFrame:
                            for i, c in enumerate(scaler["features"])})
 
 
-# ------------------------------------------------------------------- sampling
-def _u(cols: list[Column]) -> Column:
-    """Uniform [0,1) from a hash of the given columns."""
-    return F.pmod(F.xxhash64(*cols), F.lit(_HASH_MOD)).cast("double") / float(_HASH_MOD)
+# ---------------------------------------------------------------------- draws
+def _md5(*parts) -> Column:
+    """md5 of the parts joined by ':' (portable to other engines)."""
+    cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.md5(F.concat_ws(":", *cols).cast("binary"))
+
+
+def _draw(*parts) -> Column:
+    return F.conv(F.substring(_md5(*parts), 1, _DRAW_BITS // 4), 16, 10).cast("long")
+
+
+def _md5_py(*parts) -> str:
+    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
 
 
-def _map_lit(d: dict, key: Column, cast: str) -> Column:
-    from itertools import chain
-    m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in d.items()))
-    return F.element_at(m, key).cast(cast)
+def tree_features(seed: int, forest: str, tree: int, d: int, k: int) -> list[bool]:
+    """Which of the d features a tree sees: the k of smallest md5."""
+    order = sorted(range(d), key=lambda j: _md5_py(seed, forest, "f", tree, j))
+    return [j in order[:k] for j in range(d)]
 
 
+# ------------------------------------------------------------------- sampling
 def tree_samples(df: DataFrame, row_id: str, n_rows: int, n_trees: int, psi: int, seed: int,
                  forest: str | None = None, per_forest: dict | None = None) -> DataFrame:
-    """(tree_id, row) pairs: each tree gets exactly min(psi, n) rows, drawn
-    by hash so the draw is the same under any partitioning or retry.
-    ``per_forest`` = {forest value: (n_rows, psi, n_trees)} fits several
-    forests (one per value of ``forest``) in the same pass."""
+    """(forest_id, tree_id, row): each tree gets exactly min(psi, n) rows, those
+    of smallest draw (ties by row id). ``per_forest`` = {forest value: (n_rows,
+    psi, n_trees)} samples several forests (one per value of ``forest``) at once.
+
+    The cut per tree is found in two counting passes and sent back as one row
+    per tree; the last pass is a filter, without a shuffle."""
+    spark = df.sparkSession
+    prm = per_forest or {"": (n_rows, psi, n_trees)}
+    fid = F.col(forest).cast("string") if forest else F.lit("")
+    bits = min(20, max(0, math.ceil(math.log2(max(n for n, _, _ in prm.values()) / 1000 + 1))))
     rid = F.col(row_id).cast("long")
-    keys = [rid, F.lit(seed)] + ([F.col(forest)] if forest else [])
-    if per_forest is None:
-        per_forest = {None: (n_rows, psi, n_trees)}
-    prm = {}
-    for k, (n_k, psi_k, t_k) in per_forest.items():
-        psi_k = min(psi_k, n_k)
-        f = min(1.0, (psi_k + 4.0 * math.sqrt(psi_k) + 8.0) / max(n_k, 1))
-        p_any = min(1.0, t_k * f)
-        prm[k] = (psi_k, t_k, p_any, f / p_any)
-    if forest and None not in prm:
-        fk = F.col(forest).cast("string")
-        p_any_c = _map_lit({str(k): v[2] for k, v in prm.items()}, fk, "double")
-        q_c = _map_lit({str(k): v[3] for k, v in prm.items()}, fk, "double")
-        t_c = _map_lit({str(k): v[1] for k, v in prm.items()}, fk, "int")
-        psi_c = _map_lit({str(k): v[0] for k, v in prm.items()}, fk, "int")
-    else:
-        psi_k, t_k, p_any, q = prm[None]
-        p_any_c, q_c, t_c, psi_c = F.lit(p_any), F.lit(q), F.lit(t_k), F.lit(psi_k)
-    cand = df.filter(_u(keys) < p_any_c)
-    pick = F.filter(F.sequence(F.lit(0), t_c - 1), lambda t: _u(keys + [t, F.lit(seed + 1)]) < q_c)
-    pairs = cand.withColumn("tree_id", F.explode(pick)).withColumns({
-        "_ord": F.xxhash64(rid, F.col("tree_id"), F.lit(seed + 2)), "_psi": psi_c})
-    part = ([forest] if forest else []) + ["tree_id"]
-    w = Window.partitionBy(*part).orderBy("_ord", row_id)
-    return (pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_psi"))
-            .drop("_rn", "_ord", "_psi"))
+
+    def pairs(cuts: DataFrame) -> DataFrame:
+        # one row per tree of a forest: bounded by the parameters
+        trees = cuts.groupBy("forest_id").agg(F.collect_list(F.struct(
+            *[c for c in cuts.columns if c != "forest_id"])).alias("_t"))
+        return (df.withColumn("forest_id", fid).join(F.broadcast(trees), "forest_id")
+                .select(*[c for c in df.columns if c != "forest_id"], "forest_id", F.explode("_t").alias("_c"))
+                .select("*", "_c.*").drop("_c")
+                .withColumn("_u", _draw(seed, F.col("forest_id"), "s", F.col("tree_id"), rid))
+                .withColumn("_b", F.shiftright("_u", _DRAW_BITS - bits)))
+
+    keys = ["forest_id", "tree_id"]
+    w = Window.partitionBy(*keys)
+    goal = spark.createDataFrame([(k, t, min(p, n)) for k, (n, p, nt) in prm.items() for t in range(nt)],
+                                 "forest_id string, tree_id int, _psi long")
+    hist = (pairs(goal).groupBy(*keys, "_psi", "_b").agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_cum", F.sum("_n").over(w.orderBy("_b"))))
+    buckets = hist.filter("_cum >= _psi AND _cum - _n < _psi").select(
+        *keys, F.col("_b").alias("_cut"), (F.col("_psi") - F.col("_cum") + F.col("_n")).alias("_need")).collect()
+    buckets = spark.createDataFrame(buckets, "forest_id string, tree_id int, _cut long, _need long")
+    last = (pairs(buckets).filter("_b = _cut").withColumn("_rid", rid)
+            .withColumn("_rn", F.row_number().over(w.orderBy("_u", "_rid"))).filter("_rn = _need")
+            .select(*keys, F.col("_u").alias("_cu"), F.col("_rid").alias("_cr"))).collect()
+    cuts = spark.createDataFrame(last, "forest_id string, tree_id int, _cu long, _cr long")
+    return (pairs(cuts).filter((F.col("_u") < F.col("_cu")) | ((F.col("_u") == F.col("_cu")) & (rid <= F.col("_cr"))))
+            .drop("_u", "_b", "_cu", "_cr"))
 
 
 # ------------------------------------------------------------------ tree build
-def build_tree(X: np.ndarray, feats: np.ndarray, max_depth: int, rng: np.random.Generator):
-    """Arrays (left, right, feature, threshold, n_node_samples) of one
-    isolation tree; features index the columns of X (global indices)."""
-    left, right, feat, thr, ns = [], [], [], [], []
-    stack = [(np.arange(X.shape[0]), 0, -1, False)]
-    order = []
-    # iterative pre-order build
+def _threshold(lo, hi, draw):
+    """A cut in [lo, hi): both sides keep a row."""
+    t = lo + draw / float(1 << _DRAW_BITS) * (hi - lo)
+    return t if t < hi else lo
+
+
+def build_node(X: np.ndarray, w: np.ndarray, root: int, max_depth: int, forest: str, tree: int, seed: int):
+    """Node rows (node, left, right, feature, threshold, n) below ``root`` for
+    the weighted distinct rows X; a node's feature and cut are md5 draws."""
+    out = []
+    stack = [(np.arange(X.shape[0]), root)]
     while stack:
-        idx, depth, parent, is_right = stack.pop()
-        nid = len(ns)
-        left.append(-1); right.append(-1); feat.append(-2); thr.append(-2.0); ns.append(len(idx))
-        if parent >= 0:
-            if is_right:
-                right[parent] = nid
-            else:
-                left[parent] = nid
-        order.append(nid)
-        if len(idx) <= 1 or depth >= max_depth:
-            continue
-        sub = X[idx][:, feats]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.nonzero(hi > lo)[0]
-        if usable.size == 0:
-            continue
-        j = usable[rng.integers(usable.size)]
-        t = rng.uniform(lo[j], hi[j])
-        go_left = sub[:, j] <= t
-        if go_left.all() or (~go_left).all():
-            continue
-        feat[nid] = int(feats[j])
-        thr[nid] = float(t)
-        stack.append((idx[~go_left], depth + 1, nid, True))
-        stack.append((idx[go_left], depth + 1, nid, False))
-    return left, right, feat, thr, ns
-
-
-def _builder(features: list[str], psi: int, max_features: float, seed: int, forest_col: str | None,
-             psi_by_forest: dict | None = None):
-    d = len(features)
-    k = max(1, int(max_features * d)) if isinstance(max_features, float) else int(max_features)
-    k = min(k, d)
+        idx, node = stack.pop()
+        n = int(w[idx].sum())
+        feat, thr = -2, -2.0
+        if len(idx) > 1 and node.bit_length() - 1 < max_depth:
+            sub = X[idx]
+            lo, hi = sub.min(axis=0), sub.max(axis=0)
+            usable = np.flatnonzero(hi > lo)
+            if usable.size:
+                feat = int(min(usable, key=lambda j: _md5_py(seed, forest, "n", tree, node, j)))
+                thr = float(_threshold(lo[feat], hi[feat],
+                                       int(_md5_py(seed, forest, "t", tree, node)[:_DRAW_BITS // 4], 16)))
+                go = sub[:, feat] <= thr
+                stack.append((idx[~go], 2 * node + 1))
+                stack.append((idx[go], 2 * node))
+        inner = feat >= 0
+        out.append((node, 2 * node if inner else -1, 2 * node + 1 if inner else -1, feat, thr, n))
+    return out
+
+
+def _finisher(d: int, seed: int):
+    xs = [f"_x{j}" for j in range(d)]
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree_id = int(pdf["tree_id"].iloc[0])
-        fid = str(pdf[forest_col].iloc[0]) if forest_col else ""
-        psi_f = psi_by_forest.get(fid, psi) if psi_by_forest else psi
-        max_depth = int(math.ceil(math.log2(max(psi_f, 2))))
-        fseed = int.from_bytes(fid.encode()[:8].ljust(8, b"\0"), "little") % (1 << 31)
-        rng = np.random.default_rng([seed, tree_id, fseed])
-        X = pdf[features].to_numpy(dtype=np.float64)
-        feats = np.sort(rng.choice(d, size=k, replace=False)) if k < d else np.arange(d)
-        left, right, feat, thr, ns = build_tree(X, feats, max_depth, rng)
-        n = len(ns)
-        return pd.DataFrame({"forest_id": [fid] * n, "tree_id": [tree_id] * n,
-                             "node_id": np.arange(n, dtype=np.int32), "left": left, "right": right,
-                             "feature": feat, "threshold": thr, "n_node_samples": ns})
+        fid, tree = str(pdf["forest_id"].iloc[0]), int(pdf["tree_id"].iloc[0])
+        rows = build_node(pdf[xs].to_numpy(dtype=np.float64), pdf["_w"].to_numpy(), int(pdf["_node"].iloc[0]),
+                          int(pdf["_depth"].iloc[0]), fid, tree, seed)
+        node, left, right, feat, thr, n = zip(*rows)
+        return pd.DataFrame({"forest_id": fid, "tree_id": tree, "node_id": node, "left": left, "right": right,
+                             "feature": feat, "threshold": thr, "n_node_samples": n})
     return fn
 
 
+def grow(rows: DataFrame, d: int, seed: int, local_rows: int | None = None) -> DataFrame:
+    """The stored node table of the trees over ``rows`` (forest_id, tree_id,
+    _depth, _x0.., _w: weighted distinct rows)."""
+    from gatewatch.session import materialize
+    local_rows = local_rows or LOCAL_ROWS
+    keys = ["forest_id", "tree_id", "_node"]
+    node = F.col("_node")
+    active = materialize(rows.withColumn("_node", F.lit(1).cast("long")), "forest_rows")
+    parts, level = [], 0
+    while True:
+        big = (active.groupBy(*keys, "_depth")
+               .agg(F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_n"),
+                    *[f(f"_x{j}").alias(f"{n}{j}") for j in range(d) for f, n in ((F.min, "_lo"), (F.max, "_hi"))])
+               .filter((F.col("_rows") > local_rows) & (F.lit(level) < F.col("_depth"))))
+        cand = F.filter(F.array(*[F.struct(
+            _md5(seed, F.col("forest_id"), "n", F.col("tree_id"), node, j).alias("m"), F.lit(j).alias("j"),
+            F.col(f"_lo{j}").alias("lo"), F.col(f"_hi{j}").alias("hi")) for j in range(d)]),
+            lambda c: c["hi"] > c["lo"])
+        u = _draw(seed, F.col("forest_id"), "t", F.col("tree_id"), node).cast("double") / float(1 << _DRAW_BITS)
+        c = F.col("_c")
+        cut = c["lo"] + F.col("_u") * (c["hi"] - c["lo"])
+        big = (big.withColumns({"_c": F.array_min(cand), "_u": u})
+               .select(*keys, "_n", c["j"].alias("_f"), F.when(cut < c["hi"], cut).otherwise(c["lo"]).alias("_t")))
+        big = materialize(big, "forest_splits")
+        if big.isEmpty():
+            break
+        parts.append(big.select("forest_id", "tree_id", node.alias("node_id"), (node * 2).alias("left"),
+                                (node * 2 + 1).alias("right"), F.col("_f").alias("feature"),
+                                F.col("_t").alias("threshold"), F.col("_n").alias("n_node_samples")))
+        x = F.element_at(F.array(*[F.col(f"_x{j}") for j in range(d)]), F.col("_f") + 1)
+        active = materialize(
+            active.join(big.drop("_n"), keys, "left")
+            .withColumn("_node", F.when(F.col("_f").isNull(), node).otherwise(
+                node * 2 + F.when(x <= F.col("_t"), 0).otherwise(1)))
+            .drop("_f", "_t"), "forest_rows")
+        level += 1
+    # a node at the depth limit is a leaf, whatever its size
+    full = F.length(F.bin("_node")) - 1 >= F.col("_depth")
+    parts.append(active.filter(full).groupBy(*keys).agg(F.sum("_w").alias("n"))
+                 .select("forest_id", "tree_id", node.alias("node_id"), F.lit(-1).cast("long").alias("left"),
+                         F.lit(-1).cast("long").alias("right"), F.lit(-2).alias("feature"),
+                         F.lit(-2.0).alias("threshold"), F.col("n").alias("n_node_samples")))
+    nodes = active.filter(~full).groupBy(*keys).applyInPandas(_finisher(d, seed), schema=NODE_SCHEMA)
+    for p in parts:
+        nodes = nodes.unionByName(p)
+    return materialize(nodes, "forest_nodes")
+
+
 @dataclass
 class Forest:
     nodes: DataFrame
@@ -207,48 +270,47 @@ class Forest:
     n_trees: int
     forest_ids: list[str] = field(default_factory=lambda: [""])
     offset: float | None = None
-    nodes_pdf: pd.DataFrame | None = None  # the collected node table, when already on the driver
+
+
+def _fit(df: DataFrame, features: list[str], prm: dict, max_features: float, seed: int, row_id: str,
+         forest: str | None, local_rows: int | None) -> DataFrame:
+    d = len(features)
+    k = min(d, max(1, int(max_features * d)) if isinstance(max_features, float) else int(max_features))
+    base = df.select(F.col(row_id).alias("_row"), *([F.col(forest).cast("string").alias("_forest")] if forest else []),
+                     *[F.round(F.col(c).cast("double"), DIGITS).alias(f"_x{j}") for j, c in enumerate(features)])
+    samples = tree_samples(base, "_row", 0, 0, 0, seed, "_forest" if forest else None, per_forest=prm)
+    trees = df.sparkSession.createDataFrame(
+        [(f, t, max(1, math.ceil(math.log2(max(min(psi, n), 2)))), tree_features(seed, f, t, d, k))
+         for f, (n, psi, n_trees) in prm.items() for t in range(n_trees)],
+        "forest_id string, tree_id int, _depth int, _use array<boolean>")
+    # a feature the tree does not see is constant: its rows merge
+    seen = samples.join(F.broadcast(trees), ["forest_id", "tree_id"]).select(
+        "forest_id", "tree_id", "_depth",
+        *[F.when(F.col("_use")[j], F.col(f"_x{j}")).otherwise(F.lit(0.0)).alias(f"_x{j}") for j in range(d)])
+    rows = seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("_w"))
+    return grow(rows, d, seed, local_rows)
 
 
 def fit(df: DataFrame, features: list[str], n_trees: int = 200, max_samples: int | None = None,
         max_features: float = 1.0, seed: int = 42, row_id: str = "row_id", n_rows: int | None = None,
-        forest: str | None = None) -> Forest:
-    """Fit T isolation trees (per value of ``forest`` when given). A given
-    ``max_samples`` is honoured in full: a tree's rows are one task's group,
-    so it bounds the group."""
+        local_rows: int | None = None) -> Forest:
+    """Fit T isolation trees of psi = ``max_samples`` rows each (default
+    min(256, n)); any size is honoured in full. Features must not be null.
+    No rows, no nodes."""
     n = n_rows if n_rows is not None else df.count()
     psi = min(max_samples if max_samples else min(256, n), n)
-    cols = [row_id] + features + ([forest] if forest else [])
-    samples = tree_samples(df.select(*cols), row_id, n, n_trees, psi, seed, forest)
-    keys = ([forest] if forest else []) + ["tree_id"]
-    nodes = samples.groupBy(*keys).applyInPandas(
-        _builder(features, psi, max_features, seed, forest), schema=NODE_SCHEMA)
+    nodes = _fit(df, features, {"": (n, psi, n_trees)}, max_features, seed, row_id, None, local_rows)
     return Forest(nodes=nodes, features=features, max_samples=psi, n_trees=n_trees)
 
 
 def fit_many(df: DataFrame, features: list[str], forest: str, params: dict, max_features: float = 1.0,
-             seed: int = 42, row_id: str = "row_id") -> dict[str, Forest]:
-    """Fit one forest per value of ``forest`` in a single job;
-    ``params`` = {value: (n_rows, max_samples, n_trees)}. Returns the
-    forests with their node tables (one collect of all nodes, bounded by
-    sum of T * 2psi)."""
+             seed: int = 42, row_id: str = "row_id", local_rows: int | None = None) -> dict[str, Forest]:
+    """Fit one forest per value of ``forest`` in one pass; ``params`` = {value:
+    (n_rows, max_samples, n_trees)}. The forests share one stored node table."""
     prm = {str(k): (n, min(psi, n), t) for k, (n, psi, t) in params.items()}
-    cols = [row_id] + features + [forest]
-    base = df.select(*cols).withColumn(forest, F.col(forest).cast("string"))
-    samples = tree_samples(base, row_id, 0, 0, 0, seed, forest, per_forest=prm)
-    nodes = samples.groupBy(forest, "tree_id").applyInPandas(
-        _builder(features, 0, max_features, seed, forest, {k: v[1] for k, v in prm.items()}), schema=NODE_SCHEMA)
-    pdf = _checked(nodes, sum(t * 2 * psi for _, psi, t in prm.values()))
-    out = {}
-    spark = df.sparkSession
-    for k in sorted(prm):
-        n, psi, t = prm[k]
-        sub = pdf[pdf["forest_id"] == k].reset_index(drop=True)
-        f = Forest(nodes=spark.createDataFrame(sub, schema=NODE_SCHEMA), features=features, max_samples=psi,
-                   n_trees=t, forest_ids=[k])
-        f.nodes_pdf = sub
-        out[k] = f
-    return out
+    nodes = _fit(df, features, prm, max_features, seed, row_id, forest, local_rows)
+    return {k: Forest(nodes=nodes.filter(F.col("forest_id") == k), features=features, max_samples=prm[k][1],
+                      n_trees=prm[k][2], forest_ids=[k]) for k in sorted(prm)}
 
 
 # -------------------------------------------------------------------- scoring
@@ -258,14 +320,17 @@ def pack(nodes_pdf: pd.DataFrame) -> dict:
     +inf), so a fixed number of steps (the forest's depth) needs no mask."""
     p = nodes_pdf.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
     trees = p["tree_id"].to_numpy()
+    ids = p["node_id"].to_numpy(np.int64)
     starts = np.flatnonzero(np.r_[True, trees[1:] != trees[:-1]])
-    base = np.repeat(starts, np.diff(np.r_[starts, len(p)]))
     left = p["left"].to_numpy(np.int64)
     right = p["right"].to_numpy(np.int64)
     leaf = left < 0
-    idx = np.arange(len(p), dtype=np.int64)
-    left_g = np.where(leaf, idx, left + base)
-    right_g = np.where(leaf, idx, right + base)
+    left_g = np.arange(len(p), dtype=np.int64)
+    right_g = left_g.copy()
+    for s, e in zip(starts, np.r_[starts[1:], len(p)]):
+        inner = np.flatnonzero(~leaf[s:e]) + s
+        left_g[inner] = s + np.searchsorted(ids[s:e], left[inner])
+        right_g[inner] = s + np.searchsorted(ids[s:e], right[inner])
     depth, frontier = 0, starts.astype(np.int64)
     while True:
         frontier = frontier[~leaf[frontier]]
@@ -276,7 +341,7 @@ def pack(nodes_pdf: pd.DataFrame) -> dict:
     return {"left": left_g.astype(np.int32), "right": right_g.astype(np.int32),
             "feature": np.where(leaf, 0, p["feature"].to_numpy(np.int64)).astype(np.int32),
             "threshold": np.where(leaf, np.inf, p["threshold"].to_numpy(np.float64)),
-            "leaf_c": c_factor_np(p["n_node_samples"].to_numpy()), "roots": starts.astype(np.int32),
+            "leaf_h": np.rint(c_factor_np(p["n_node_samples"].to_numpy()) * _H_UNIT).astype(np.int64), "roots": starts.astype(np.int32),
             "max_depth": depth}
 
 
@@ -296,30 +361,35 @@ def path_lengths(arr: dict, X: np.ndarray, block: int = 4096) -> np.ndarray:
             nxt = np.where(flat[feat[node] * m + row] <= thr[node], left[node], right[node])
             depth += nxt != node
             node = nxt
-        out[s:s + m] = (depth + arr["leaf_c"][node]).mean(axis=1)
+        out[s:s + m] = depth.sum(axis=1, dtype=np.int64) * _H_UNIT + arr["leaf_h"][node].sum(axis=1)
+    out /= float(_H_UNIT) * arr["roots"].size
     return out
 
 
-def _checked(nodes: DataFrame, bound: int) -> pd.DataFrame:
-    """The node table on the driver, its rows counted (on the stored table)
-    before they are sent: at most ``bound`` and ``COLLECT_BYTES``."""
-    from gatewatch.session import materialize
-    stored = materialize(nodes, "forest_nodes")
-    n = stored.count()
-    if n > bound or n * NODE_BYTES > COLLECT_BYTES:
-        raise ValueError(f"forest of {n} nodes is over its bound ({bound} nodes, {COLLECT_BYTES} bytes)")
-    return stored.toPandas()
+def collect_nodes(forest: Forest) -> pd.DataFrame:
+    """The node table on the driver, its rows counted before they are sent:
+    at most T * 2psi by construction, and ``COLLECT_BYTES``."""
+    pdf = driver_nodes(forest)
+    if pdf is None:
+        raise ValueError(f"the forest's nodes are over {COLLECT_BYTES} bytes; score(df, forest) joins them instead")
+    return pdf
 
 
-def collect_nodes(forest: Forest) -> pd.DataFrame:
-    """The node table to the driver: at most T * 2psi rows by construction."""
-    return _checked(forest.nodes, forest.n_trees * (2 * forest.max_samples) * max(1, len(forest.forest_ids)))
+def driver_nodes(forest: Forest) -> pd.DataFrame | None:
+    """The node table on the driver, or None where it is over ``COLLECT_BYTES``."""
+    if forest.nodes.count() * NODE_BYTES > COLLECT_BYTES:
+        return None
+    return forest.nodes.toPandas()
 
 
 def score(df: DataFrame, forest: Forest, out: str = "score", nodes_pdf: pd.DataFrame | None = None) -> DataFrame:
-    """Append -2^(-E[h(x)]/c(psi)) (sklearn's score_samples) as ``out``."""
+    """Append -2^(-E[h(x)]/c(psi)) (sklearn's score_samples) as ``out``.
+    Without ``nodes_pdf`` the forest's stored nodes are counted: a large
+    forest is joined level by level, with the same result."""
     spark = df.sparkSession
-    pdf = nodes_pdf if nodes_pdf is not None else collect_nodes(forest)
+    pdf = nodes_pdf if nodes_pdf is not None else driver_nodes(forest)
+    if pdf is None:
+        return score_by_join(df, forest, out)
     arr = spark.sparkContext.broadcast(pack(pdf))
     cpsi = c_factor(forest.max_samples)
     d = len(forest.features)
@@ -334,6 +404,39 @@ def score(df: DataFrame, forest: Forest, out: str = "score", nodes_pdf: pd.DataF
     return df.withColumn(out, _score(*[F.col(c).cast("double") for c in forest.features]))
 
 
+def score_by_join(df: DataFrame, forest: Forest, out: str = "score") -> DataFrame:
+    """``score`` for a forest of any size: every (row, tree) pair joins its
+    node, one stored step per level, until all pairs have met a leaf."""
+    from gatewatch.functions.codes import c_factor as c_col
+    from gatewatch.session import materialize
+    spark = df.sparkSession
+    nodes = forest.nodes.select("tree_id", "node_id", "left", "right", "feature", "threshold", "n_node_samples")
+    # one row per tree: bounded by the parameters
+    roots = [(r["tree_id"], r["root"]) for r in nodes.groupBy("tree_id").agg(F.min("node_id").alias("root")).collect()]
+    base = materialize(df.withColumn("_uid", F.monotonically_increasing_id()), "score_rows")
+    x = F.array(*[F.col(c).cast("double") for c in forest.features])
+    whole = ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
+    tree = F.explode(F.array(*[F.struct(F.lit(t).alias("tree_id"), F.lit(r).cast("long").alias("node_id"))
+                               for t, r in roots]))
+    pairs = base.filter(whole).select("_uid", x.alias("_x"), tree.alias("_t")).select("_uid", "_x", "_t.*")
+    found, level = None, 0
+    while True:
+        step = materialize(pairs.join(nodes, ["tree_id", "node_id"]), "score_step")
+        h = F.round(c_col(F.col("n_node_samples")) * float(_H_UNIT), 0).cast("long") + F.lit(level * _H_UNIT)
+        leaves = step.filter("left < 0").groupBy("_uid").agg(F.sum(h).alias("_h"))
+        found = leaves if found is None else found.unionByName(leaves)
+        inner = step.filter("left >= 0")
+        if inner.isEmpty():
+            break
+        go_left = F.element_at("_x", F.col("feature") + 1) <= F.col("threshold")
+        pairs = inner.select("_uid", "_x", "tree_id",
+                             F.when(go_left, F.col("left")).otherwise(F.col("right")).alias("node_id"))
+        level += 1
+    mean = F.sum("_h").cast("double") / (float(_H_UNIT) * len(roots))
+    total = found.groupBy("_uid").agg((-F.pow(F.lit(2.0), -mean / F.lit(c_factor(forest.max_samples)))).alias(out))
+    return base.join(total, "_uid", "left").drop("_uid")
+
+
 def offset_of(scored: DataFrame, contamination: float, score_col: str = "score") -> float:
     """The decision offset of a scored frame (materialised once, then the
     exact quantile reads the stored scores)."""

@@ -81,7 +81,7 @@ def fit_score(df, features, contamination, n_trees=None, max_samples=None, max_f
     forest = FR.fit(scaled, features, n_trees=n_trees or hp.get("n_estimators", 100),
                     max_samples=max_samples or hp.get("max_samples"),
                     max_features=hp.get("max_features", max_features), seed=seed, n_rows=n)
-    nodes_pdf = FR.collect_nodes(forest)
+    nodes_pdf = FR.driver_nodes(forest)
     scored = materialize(FR.score(scaled, forest, nodes_pdf=nodes_pdf), "scores")
     out, off = FR.threshold(scored, contamination)
     forest.offset = off
@@ -135,7 +135,7 @@ def fedavg_merge(spark, sf):
                           {str(k): (n, FR.safe_hyperparams(n)["max_samples"], 100) for k, n in sizes.items()}, seed=42)
     scored_parts = None
     for node, f in forests.items():
-        part = FR.score(split.filter(F.col("node") == int(node)), f, nodes_pdf=f.nodes_pdf)
+        part = FR.score(split.filter(F.col("node") == int(node)), f)
         scored_parts = part if scored_parts is None else scored_parts.unionByName(part)
     scored_nodes = materialize(scored_parts.select("node", "score"), "fed_node_scores")
     offs = {str(r["node"]): r["off"] for r in
@@ -144,8 +144,7 @@ def fedavg_merge(spark, sf):
     params = spark.createDataFrame(rows, "node_id string, n_samples long, n_trees int, offset double, n_features int")
     FD.validate_compatibility(params)
     merged = FD.merge(forests, params)
-    mpdf = FR.collect_nodes(merged.forest)
-    scored = FR.score(split, merged.forest, nodes_pdf=mpdf)
+    scored = FR.score(split, merged.forest)
     out, _ = FR.threshold(scored, 0.15, offset=merged.offset)
     return out.select("row_id", "node", F.round("score", 6).alias("score"), "prediction")
 

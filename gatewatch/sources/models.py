@@ -51,7 +51,7 @@ def export_json(nodes: DataFrame, meta: dict) -> DataFrame:
                                              "n_node_samples")))
     per_tree = nodes.groupBy("tree_id").agg(s.alias("n"))
     return per_tree.select("tree_id", F.to_json(F.struct(
-        F.col("n.left").alias("children_left"), F.col("n.right").alias("children_right"),
+        F.col("n.node_id").alias("node_id"), F.col("n.left").alias("children_left"), F.col("n.right").alias("children_right"),
         F.col("n.feature").alias("feature"), F.col("n.threshold").alias("threshold"),
         F.col("n.n_node_samples").alias("n_node_samples"),
         F.lit(int(meta["max_samples"])).alias("max_samples"))).alias("json"))

@@ -87,7 +87,7 @@ def test_hyperparams():
     assert FR.safe_hyperparams(1800) == {"max_samples": 1080, "max_features": 0.7, "n_estimators": 200}
     assert FR.safe_hyperparams(50)["n_estimators"] == 300
     assert FR.safe_hyperparams(10)["max_samples"] == 16
-    assert FR.safe_hyperparams(10 ** 9)["max_samples"] == FR.MAX_SAMPLES_CAP
+    assert FR.safe_hyperparams(10 ** 9)["max_samples"] == 600_000_000
 
 
 def test_missing_feature_fails_open(spark):
@@ -107,3 +107,44 @@ def test_explicit_sample_size_and_bound(spark, blob, monkeypatch):
     monkeypatch.setattr(FR, "COLLECT_BYTES", 100)
     with pytest.raises(ValueError):
         FR.collect_nodes(f)
+
+
+def _table(forest):
+    return forest.nodes.toPandas().sort_values(["forest_id", "tree_id", "node_id"]).reset_index(drop=True)
+
+
+def test_levels_equal_local_build(spark, blob):
+    """Distributed levels and one-task trees make the same nodes; a tree's
+    root holds exactly psi rows and every split's children add up."""
+    kw = dict(n_trees=4, max_samples=1800, max_features=0.7, seed=7)
+    a = _table(FR.fit(blob, ["x", "y", "z"], **kw))
+    b = _table(FR.fit(blob, ["x", "y", "z"], local_rows=300, **kw))
+    pd.testing.assert_frame_equal(a, b)
+    size = {(r.tree_id, r.node_id): r.n_node_samples for r in a.itertuples()}
+    assert all(size[t, 1] == 1800 for t in range(4))
+    for r in a.itertuples():
+        if r.left > 0:
+            assert size[r.tree_id, r.left] + size[r.tree_id, r.right] == r.n_node_samples
+            assert min(size[r.tree_id, r.left], size[r.tree_id, r.right]) > 0
+    assert a["node_id"].max() < 2 ** (math.ceil(math.log2(1800)) + 1)
+    assert all(a[a["tree_id"] == t]["feature"].loc[lambda f: f >= 0].nunique() <= 2 for t in range(4))
+
+
+def test_equal_rows_and_one_hot_value(spark):
+    df = spark.range(900).select(F.col("id").alias("row_id"),
+                                 F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(0).cast("double").alias("a"))
+    t = _table(FR.fit(df, ["a"], n_trees=3, max_samples=600, local_rows=20))
+    u = _table(FR.fit(df, ["a"], n_trees=3, max_samples=600))
+    pd.testing.assert_frame_equal(t, u)
+    same = FR.fit(df.withColumn("a", F.lit(1.0)), ["a"], n_trees=2, max_samples=600)
+    assert _table(same)["n_node_samples"].tolist() == [600, 600]
+
+
+def test_score_by_join_equals_broadcast(spark, blob, monkeypatch):
+    f = FR.fit(blob, ["x", "y", "z"], n_trees=3, max_samples=64, seed=2)
+    rows = blob.limit(200).withColumn("x", F.when(F.col("row_id") != 4, F.col("x")))
+    a = {r["row_id"]: r["score"] for r in FR.score(rows, f).collect()}
+    monkeypatch.setattr(FR, "COLLECT_BYTES", 100)
+    b = {r["row_id"]: r["score"] for r in FR.score(rows, f).collect()}
+    assert a.keys() == b.keys() and a[4] is None and b[4] is None
+    assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a if k != 4)
