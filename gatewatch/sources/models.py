@@ -77,7 +77,7 @@ def native_score_expr(nodes_pdf: pd.DataFrame, features: list[str], psi: int) ->
                 return F.lit(depth + FR.c_factor(r.n_node_samples))
             return F.when(F.col(features[int(r.feature)]).cast("double") <= F.lit(float(r.threshold)),
                           walk(int(r.left), depth + 1)).otherwise(walk(int(r.right), depth + 1))
-        trees.append(walk(0, 0))
+        trees.append(walk(min(rows), 0))
     total = trees[0]
     for x in trees[1:]:
         total = total + x
