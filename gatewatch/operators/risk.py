@@ -58,19 +58,23 @@ def scenario_clock(ts: str, cycle_seconds: float | None = None) -> Column:
 
 def premitigation(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column | None,
                   risk: str = "pred_risk", mode: str = "mode", t: str = "t",
-                  threshold: float = K.PRED_THRESHOLD, reset_after: float = K.LATCH_RESET_AFTER) -> DataFrame:
+                  threshold: float = K.PRED_THRESHOLD, reset_after: float = K.LATCH_RESET_AFTER,
+                  carry: DataFrame | None = None, sets: str | None = None) -> DataFrame:
     """Latch per key: ON when risk >= threshold, OFF in STABILIZE after
     ``reset_after`` seconds (reset wins on the same row), else hold; starts
     OFF. ``trigger`` marks the first ON ever per key. Adds premit_on,
-    trigger, mitigation_level."""
+    trigger, mitigation_level, and the running number of ONs as ``sets``.
+    ``carry`` (key, premit_on, sets) is the state that earlier rows left."""
     set_ = F.col(risk) >= F.lit(threshold)
     reset = (F.col(mode) == "STABILIZE") & (F.col(t) > F.lit(reset_after))
     signal = F.when(reset, F.lit(0)).when(set_, F.lit(1))
     out = prefix_scan(df, key, order, bucket, {
         "_state": ("last", signal),
         "_sets": ("sum", set_.cast("long")),
-    })
+    }, initial=carry.select(*key, F.col("premit_on").alias("_state"), F.col("sets").alias("_sets")) if carry is not None else None)
     on = F.coalesce(F.col("_state"), F.lit(0))
+    if sets:
+        out = out.withColumn(sets, F.col("_sets"))
     return out.withColumns({
         "premit_on": on.cast("int"),
         "trigger": (set_ & (F.col("_sets") == 1)).cast("int"),

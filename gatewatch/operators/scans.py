@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 
 
 def prefix_scan(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column | None,
-                values: dict[str, tuple[str, Column]], partitions: int | None = None) -> DataFrame:
+                values: dict[str, tuple[str, Column]], partitions: int | None = None,
+                initial: DataFrame | None = None) -> DataFrame:
     """Add one column per entry of ``values``: name -> (kind, expr), kind
     'sum' (running sum, inclusive) or 'last' (last non-null so far, inclusive).
     Rows are ordered by ``order`` (which must be unique within a key).
-    ``bucket`` None = range-partition chunks (balanced under any skew)."""
+    ``bucket`` None = range-partition chunks (balanced under any skew).
+    ``initial`` (key columns + one per name; one row per key) is what an
+    earlier scan ended with, carried into every chunk of its key."""
     key, order = list(key), list(order)
     if bucket is None:
         from gatewatch.session import materialize
@@ -64,6 +67,10 @@ def prefix_scan(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket:
         else:
             aggs.append(F.max_by(x, F.when(x.isNotNull(), ordkey)).alias(f"_s_{tmp[n]}"))
     summary = d.groupBy(*key, "_bk").agg(*aggs)
+    if initial is not None:  # a null chunk sorts before all others
+        start = initial.select(*key, F.lit(None).cast(summary.schema["_bk"].dataType).alias("_bk"),
+                               *[F.col(n).alias(f"_s_{tmp[n]}") for n in values])
+        summary = summary.unionByName(start)
     w_prev = Window.partitionBy(*key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for n, (kind, _) in values.items():

@@ -30,7 +30,7 @@ def stream_hourly(spark, sf):
 SELECT row_id, ip, mode, CAST(premit_on AS INTEGER) AS premit_on,
        CASE WHEN pred_risk >= 70 AND sets = 1 THEN 1 ELSE 0 END AS trigger, mitigation_level FROM z""")
 def stream_latch(spark, sf):
-    """Pre-mitigation latch per IP with applyInPandasWithState; equals the batch latch."""
+    """Pre-mitigation latch per IP, state carried between micro-batches; equals the batch latch."""
     return J.latch(spark, _events(spark, sf))
 
 

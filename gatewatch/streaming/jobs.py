@@ -6,7 +6,7 @@ and lands results with ``foreachBatch`` into folders named by batch id, so a
 replayed batch overwrites its own output (idempotent sinks).
 
 * hourly_counts   — blocks per (hour window, rule), watermark, update mode
-* latch           — pre-mitigation latch per IP (applyInPandasWithState)
+* latch           — pre-mitigation latch per IP (chunked scan per micro-batch)
 * respond         — running (day, ip) anomaly counts -> top IP per day ->
                     alerts + insert-if-absent /32 block list
 * score_stream    — live scoring with a broadcast forest + edge decision
@@ -16,18 +16,16 @@ replayed batch overwrites its own output (idempotent sinks).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatewatch import constants as K
 from gatewatch.operators import dashboards as D
 from gatewatch.operators import response as RS
 from gatewatch.operators import risk as RK
-from gatewatch.session import scratch_path
+from gatewatch.session import materialize, scratch_path
 
 WATERMARK = "10 minutes"
 
@@ -95,9 +93,9 @@ def batch_folder_sink(out: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def landed(spark: SparkSession, out: str, schema, before: int | None = None) -> DataFrame:
-    """The batches landed under ``out`` (those with an id under ``before``);
-    empty only when nothing has been landed. Any other failure is raised."""
+def landed(spark: SparkSession, out: str, schema, before: int | None = None, newest: bool = False) -> DataFrame:
+    """The batches landed under ``out`` (those with an id under ``before``, or
+    the newest of them); empty only when nothing has been landed. Any other failure is raised."""
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
@@ -108,6 +106,8 @@ def landed(spark: SparkSession, out: str, schema, before: int | None = None) ->
             raise FileNotFoundError(f"nothing landed in {out}")
         empty = spark.createDataFrame([], schema)
         return empty.withColumn("batch_id", F.lit(0))
+    if newest:
+        ids = ids[-1:]
     return spark.read.option("basePath", out).parquet(*[f"{out}/batch_id={i}" for i in ids])
 
 
@@ -119,6 +119,20 @@ def latest_by_key(spark: SparkSession, out: str, key: list[str], schema=None, be
     return latest.select(*key, "_v.*")
 
 
+def snapshot(spark: SparkSession, folder: str, schema, before: int) -> DataFrame:
+    """The newest snapshot under ``folder`` of a batch before ``before``: one
+    folder is read, whatever the number of batches."""
+    df = landed(spark, folder, schema, before, newest=True)
+    return df.drop("batch_id")
+
+
+def merge_snapshot(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with the same key."""
+    cols = [c for c in new.columns if c not in key]
+    both = old.select(*key, *cols, F.lit(0).alias("_g")).unionByName(new.select(*key, *cols, F.lit(1).alias("_g")))
+    return both.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("_g")).alias("_v")).select(*key, "_v.*")
+
+
 # ------------------------------------------------------------ hourly counts
 def hourly_counts(spark: SparkSession, events: DataFrame, watermark: str = WATERMARK,
                   root: str | None = None) -> DataFrame:
@@ -135,51 +149,36 @@ def hourly_counts(spark: SparkSession, events: DataFrame, watermark: str = WATER
 
 
 # -------------------------------------------------------------------- latch
-LATCH_OUT = "row_id long, ip string, mode string, premit_on int, trigger int, mitigation_level int"
-LATCH_STATE = "premit_on int, sets long"
-
-
-def _latch_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    on, sets = (state.get if state.exists else (0, 0))
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["event_ts", "row_id"], kind="stable")
-    risk = pdf["pred_risk"].to_numpy()
-    mode = pdf["mode"].to_numpy()
-    t = pdf["t"].to_numpy()
-    a, b = K.MITIGATION_STEPS
-    s, span = K.MITIGATION_START, K.MITIGATION_SPAN
-    out_on, out_trig, out_lvl = [], [], []
-    for i in range(len(pdf)):
-        is_set = risk[i] >= K.PRED_THRESHOLD
-        trig = 0
-        if is_set:
-            sets += 1
-            trig = 1 if sets == 1 else 0
-            on = 1
-        if mode[i] == "STABILIZE" and t[i] > K.LATCH_RESET_AFTER:
-            on = 0
-        lvl = 0
-        if on:
-            x = t[i]
-            lvl = 0 if x < s else 1 if x < s + span * a else 2 if x < s + span * b else 3
-        out_on.append(on)
-        out_trig.append(trig)
-        out_lvl.append(lvl)
-    state.update((int(on), int(sets)))
-    yield pd.DataFrame({"row_id": pdf["row_id"].astype("int64"), "ip": pdf["ip"], "mode": pdf["mode"],
-                        "premit_on": out_on, "trigger": out_trig, "mitigation_level": out_lvl})
+LATCH_STATE = "ip string, premit_on int, sets long"
 
 
 def latch(spark: SparkSession, events: DataFrame, cycle: float | None = None, root: str | None = None) -> DataFrame:
-    """Pre-mitigation latch per IP as a stateful stream; each micro-batch's
-    rows of a key are processed in (event time, id) order."""
+    """Pre-mitigation latch per IP over a stream. Each micro-batch runs the
+    chunked scan (an IP's rows are split over tasks) in (event time, id) order,
+    starting from the state (last value, number of ONs) that the batches before
+    it left per IP; the new state is written as one snapshot per batch. A
+    replayed batch reads the same snapshot and overwrites its own folders."""
     from gatewatch.sources.adapters import scored_events
     sc = scored_events(events).withColumn("t", RK.scenario_clock("event_ts", cycle))
     sc = sc.withColumn("mode", RK.scenario_phase("t")).select("row_id", "ip", "event_ts", "pred_risk", "mode", "t")
-    st = sc.groupBy("ip").applyInPandasWithState(_latch_fn, LATCH_OUT, LATCH_STATE, "append",
-                                                 GroupStateTimeout.NoTimeout)
-    ckpt, out = job_paths(spark, "latch", root)
-    run_available(st, "latch", batch_folder_sink(out), output_mode="append", checkpoint=ckpt)
-    return spark.read.parquet(out).drop("batch_id")
+    ckpt, base = job_paths(spark, "latch", root)
+    out, state = f"{base}/rows", f"{base}/state"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        carry = snapshot(s, state, LATCH_STATE, batch_id)
+        order = ["event_ts", "row_id"]
+        lat = RK.premitigation(materialize(batch, "latch_batch"), ["ip"], order, None, carry=carry, sets="sets")
+        lat.select("row_id", "ip", "event_ts", "mode", "premit_on", "trigger", "mitigation_level", "sets") \
+            .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        done = s.read.parquet(f"{out}/batch_id={batch_id}")
+        last = done.groupBy("ip").agg(F.max_by(F.struct("premit_on", "sets"), F.struct(*order)).alias("_v"))
+        merge_snapshot(carry, last.select("ip", "_v.*"), ["ip"]) \
+            .write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+
+    run_available(sc, "latch", sink, output_mode="append", checkpoint=ckpt)
+    return landed(spark, out, "row_id long, ip string, event_ts timestamp_ntz, mode string, premit_on int, trigger int, "
+                  "mitigation_level int, sets long").drop("batch_id", "event_ts", "sets")
 
 
 # ------------------------------------------------------------------ respond
@@ -188,12 +187,11 @@ def respond(spark: SparkSession, events: DataFrame, root: str | None = None) ->
     lives in the aggregation state (one row per day and IP); update mode
     hands each micro-batch the (day, ip) rows whose counts changed. Counts
     only grow, so a day's top IP after the batch is the best of its previous
-    top and the batch's updated rows. The sink reads the tops and block-list
-    entries landed by earlier batches (one row per touched day or new address
-    each), writes alerts for the touched days, and appends the absent /32
-    entries to the block list. A batch reads only batches before it and
-    overwrites its own folders, so a replay gives the same rows. Returns
-    (block list, alerts)."""
+    top and the batch's updated rows. The sink reads one snapshot of
+    the tops and one of the block list, as the batch before left them, writes
+    alerts for the touched days, and appends the absent /32 entries to the
+    block list. A batch reads only snapshots before it and overwrites its own
+    folders, so a replay gives the same rows. Returns (block list, alerts)."""
     from gatewatch.sources.adapters import scored_events
     sc = scored_events(events).filter((F.col("anomaly") == 1) & RS.valid_ip("ip"))
     counts = sc.groupBy("year", "month", "day", "ip").agg(
@@ -207,7 +205,7 @@ def respond(spark: SparkSession, events: DataFrame, root: str | None = None) ->
     def sink(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         # only batches before this one: a replayed batch must not read its own rows
-        prev = latest_by_key(s, top_dir, days, schema=top_schema, before=batch_id)
+        prev = snapshot(s, f"{top_dir}_all", top_schema, batch_id)
         touched = batch.select(*days).distinct()
         cand = prev.join(touched, days, "left_semi").select(*days, "ip", "cnt", "first_ts") \
             .unionByName(batch.select(*days, "ip", "cnt", "first_ts"))
@@ -216,12 +214,13 @@ def respond(spark: SparkSession, events: DataFrame, root: str | None = None) ->
         top = s.read.parquet(f"{top_dir}/batch_id={batch_id}")
         RS.alerts(top, "first_ts", "ip", "cnt", keep=[F.concat_ws("-", *days).alias("day_key")]) \
             .write.mode("overwrite").parquet(f"{alert_dir}/batch_id={batch_id}")
-        current = latest_by_key(s, block_dir, ["cidr"], schema=block_schema, before=batch_id)
-        new = RS.append_absent(current, RS.block_candidates(top, ts="first_ts"))
-        new.write.mode("overwrite").parquet(f"{block_dir}/batch_id={batch_id}")
+        merge_snapshot(prev, top, days).write.mode("overwrite").parquet(f"{top_dir}_all/batch_id={batch_id}")
+        current = snapshot(s, block_dir, block_schema, batch_id)
+        RS.upsert(current, RS.block_candidates(top, ts="first_ts")) \
+            .write.mode("overwrite").parquet(f"{block_dir}/batch_id={batch_id}")
 
     run_available(counts, "respond", sink, output_mode="update", checkpoint=ckpt)
-    block = latest_by_key(spark, block_dir, ["cidr"], schema=block_schema)
+    block = landed(spark, block_dir, block_schema, newest=True).drop("batch_id")
     alerts = latest_by_key(spark, alert_dir, ["day_key"])
     return block, alerts
 
