@@ -29,8 +29,9 @@ are the connected components.
 Hot groups: copies collapse before the shuffle; buckets are met by
 map-side-combined minima and by joins that AQE splits; blocks are salted.
 Documents without words form classes by equal text only; null texts are equal
-to each other. Null ids are allowed; a class is named by its smallest id.
-Repeated rows are copies. Extra columns are ignored or passed through.
+to each other. Null ids are allowed. A class carries its smallest id (null when
+all are), which does not identify it: an id may occur with unrelated texts. Its
+key is its smallest text digest. Repeated rows are copies. Extra columns are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -280,27 +281,30 @@ def links(docs: DataFrame, nodes: DataFrame, id_col="doc_id", text_col="text") -
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, digest, class_id, class_size) of every document; class_id is the
-    smallest id of the class."""
+    """(id, digest, class_key, class_id, class_size, texts) of every document;
+    class_key is the smallest digest of the class and identifies it, class_id
+    its smallest id."""
     rows, nodes = nodes_of(docs, id_col, text_col)
     label = links(docs, nodes, id_col, text_col)
     named = nodes.join(label, "node", "left").select("digest", "rep_id", "copies", F.coalesce("comp", "node").alias("comp"))
     named = materialize(named, "near-comps")
-    classes = named.groupBy("comp").agg(F.min("rep_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
-    return rows.join(named.join(classes, "comp").select("digest", "class_id", "class_size", "texts"), "digest").select(
-        "id", "digest", "class_id", "class_size", "texts")
+    classes = named.groupBy("comp").agg(F.min("digest").alias("class_key"), F.min("rep_id").alias("class_id"),
+                                        F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
+    return rows.join(named.join(classes, "comp").select("digest", "class_key", "class_id", "class_size", "texts"), "digest").select(
+        "id", "digest", "class_key", "class_id", "class_size", "texts")
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One document of every class, the one with the smallest id; columns of
-    ``docs``. Rows repeated with that id leave one."""
+    """One document of every class, the one with the smallest id (any before
+    null), then the smallest digest; columns of ``docs``. Rows repeated with
+    that id and text leave one."""
     found = near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id")))
-    # the smallest digest among rows of the smallest id, in case an id repeats with other text
-    keep = materialize(found.groupBy("class_id").agg(F.min("digest").alias("_d"), F.count(F.lit(1)).alias("_n")), "near-keep")
+    keep = found.groupBy("class_key").agg(F.first("class_id").alias("__near_c"), F.min("digest").alias("_d"), F.count(F.lit(1)).alias("_n"))
+    keep = materialize(keep.drop("class_key"), "near-keep")
     digest = F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))
     hit = docs.withColumn("__near_d", digest).join(
-        broadcast_if_small(keep.withColumnRenamed("class_id", "__near_c"), 40), (F.col("__near_d") == F.col("_d")) & F.col(id_col).eqNullSafe(F.col("__near_c")))
+        broadcast_if_small(keep, 40), (F.col("__near_d") == F.col("_d")) & F.col(id_col).eqNullSafe(F.col("__near_c")))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     once = hit.where("_n = 1").select(*cols)
-    more = hit.where("_n > 1").dropDuplicates(["__near_d"]).select(*cols)
+    more = hit.where("_n > 1").dropDuplicates(["__near_d"]).select(*cols)  # a digest is in one class only
     return once.unionByName(more)

@@ -89,7 +89,7 @@ FROM l GROUP BY conv_id
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return minhash.near_duplicates(source_table(spark, sf_dir, "documents")).select(
-        F.col("id").alias("doc_id"), "class_id", "class_size", F.col("texts").alias("class_texts"))
+        F.col("id").alias("doc_id"), F.lower(F.hex("class_key")).alias("class_key"), "class_id", "class_size", F.col("texts").alias("class_texts"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert M.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_ids_and_one_id_with_two_texts_stay_apart(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)),
+            (7, text(4)), (8, text(3)), (9, text(5)), (None, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in M.keep_one(docs).collect()) == sorted(
+        [(0, text(0)), (0, text(1)), (0, text(2)), (7, text(3)), (7, text(4)), (9, text(5))])
+    got = M.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and len({bytes(r["class_key"]) for r in got}) == 6
+    assert sorted(Counter(bytes(r["class_key"]) for r in got).values()) == [1, 1, 2, 2, 2, 2]
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(4)
     h = np.sort(rng.integers(0, 2**63, 60).astype(np.uint64))
