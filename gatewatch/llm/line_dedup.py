@@ -1,17 +1,20 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by content-defined, overlapping chunks.
 
-A text's lines are hashed; a rolling hash over the hashes of the last WINDOW
-lines chooses chunk boundaries (about every MEAN lines). Boundaries depend on
-nearby lines only, so they shift along with the text and the same passage is
-cut the same way wherever it stands. Chunks of MIN_LINES lines or more that
-occur again anywhere are removed, except the first occurrence (smallest id,
-then text digest, then line), after their bytes are compared with it.
+Every MIN_LINES neighbouring lines are a chunk, so chunks overlap. They are cut
+by their lines alone, shift along with the text, and are the same wherever a
+passage stands; none of a passage's lines hangs on where a boundary falls. A
+chunk that occurs again anywhere is removed, except its first occurrence
+(smallest id, then text digest, then line), after their bytes are compared.
+So every later copy of a passage of MIN_LINES lines or more goes whole. A
+repeated line between lines that do not repeat with it stays. The text of a
+removed line always stays at an earlier place.
 
 Steps: one pass emits (chunk hash, document, line); a map-side-combined
 aggregate finds repeated hashes and each one's first occurrence; chunk texts
-are made again for those only and compared byte by byte with the first
-occurrence's, by a join that AQE splits when a chunk is in very many
-documents; the removals of a document are joined back to its text.
+are made for those only, from the documents that hold them, and compared byte
+by byte with the first occurrence's, by a join that AQE splits when a chunk is
+in very many documents; overlapping removals of a document are merged into
+runs and joined back to its text.
 
 Null texts stay null, empty ones empty; both have no chunk to remove (an empty
 text has one empty line). Rows equal in id and text are one document and are
@@ -21,7 +24,6 @@ treated alike. Extra columns pass through; internal ones begin ``__ld_``.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,37 +32,16 @@ from pyspark.sql import types as T
 
 from gatewatch.llm.common import broadcast_if_small, materialize, prepare
 
-WINDOW = 2
-MEAN = 4
 MIN_LINES = 2
-#: Base of the rolling hash, modulo a Mersenne prime.
-BASE, MOD = 1_000_003, (1 << 61) - 1
-
-
-def boundaries(lines: list[bytes]) -> list[int]:
-    """Ends (exclusive) of the chunks of some lines."""
-    top, h, ends = pow(BASE, WINDOW, MOD), 0, []
-    hashes = [int.from_bytes(hashlib.blake2b(x, digest_size=7).digest(), "big") for x in lines]
-    for k, x in enumerate(hashes):
-        h = (h * BASE + x) % MOD
-        if k >= WINDOW:
-            h = (h - hashes[k - WINDOW] * top) % MOD
-        if zlib.crc32(h.to_bytes(8, "big")) % MEAN == 0:
-            ends.append(k + 1)
-    return ends if ends and ends[-1] == len(lines) else [*ends, len(lines)]
 
 
 def chunks(text: str | None) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of the multi-line chunks of a text."""
+    """(first line, lines, bytes) of the chunks of a text."""
     if text is None:
         return []
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    out, a = [], 0
-    for b in boundaries(lines):
-        if b - a >= MIN_LINES and any(x.strip() for x in lines[a:b]):
-            out.append((a, b - a, b"\n".join(lines[a:b])))
-        a = b
-    return out
+    cut = ((a, lines[a:a + MIN_LINES]) for a in range(len(lines) - MIN_LINES + 1))
+    return [(a, MIN_LINES, b"\n".join(x)) for a, x in cut if any(y.strip() for y in x)]
 
 
 def _digest(c: Column) -> Column:
@@ -87,26 +68,38 @@ def removals(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     first = found.groupBy("h").agg(F.min(F.struct("id", "d", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = materialize(first.select("h", "first"), "lines-repeated")
 
-    def full(batches):
+    hits = materialize(found.join(broadcast_if_small(first, 64), "h").withColumn(
+        "is_first", F.struct("id", "d", "line").eqNullSafe(F.col("first"))).select("h", "id", "d", "line", "is_first").distinct(), "lines-hits")
+    want = hits.groupBy(F.col("id").alias("wi"), F.col("d").alias("wd")).agg(F.collect_list(F.struct("line", "h", "is_first")).alias("want"))
+
+    def bodies(batches):
         for batch in batches:
-            at, h, line, n, body = [], [], [], [], []
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                for a, m, b in chunks(t):
-                    at.append(k), h.append(hashlib.blake2b(b, digest_size=16).digest()), line.append(a), n.append(m), body.append(b)
+            at, h, line, first, body = [], [], [], [], []
+            for k, (t, want) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                own = t.encode("utf-8", "surrogatepass").split(b"\n")
+                for x in want:
+                    at.append(k), h.append(x["h"]), line.append(x["line"]), first.append(x["is_first"])
+                    body.append(b"\n".join(own[x["line"]:x["line"] + MIN_LINES]))
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), batch.column(0).take(at), batch.column(1).take(at),
-                                              pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], names=["h", "id", "d", "line", "n", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()),
+                                              pa.array(first, pa.bool_()), pa.array(body, pa.binary())], names=["h", "id", "d", "line", "is_first", "body"])
 
-    text = src.mapInArrow(full, T.StructType().add("h", "binary").add("id", id_type).add("d", "binary").add("line", "integer").add("n", "integer").add("body", "binary"))
-    text = materialize(text.join(broadcast_if_small(first, 64), "h").withColumn("is_first", F.struct("id", "d", "line").eqNullSafe(F.col("first"))), "lines-chunks")
+    held = src.join(want, F.col("id").eqNullSafe(F.col("wi")) & (F.col("d") == F.col("wd"))).select("id", "d", "t", "want")
+    text = materialize(held.mapInArrow(bodies, T.StructType().add("h", "binary").add("id", id_type).add("d", "binary").add("line", "integer")
+                                       .add("is_first", "boolean").add("body", "binary")), "lines-chunks")
     keeper = text.where("is_first").select("h", F.col("body").alias("kept")).dropDuplicates(["h"])
-    gone = text.where("NOT is_first").select("h", "id", "d", "line", "n", "body").join(keeper, "h").where("body = kept")
-    return gone.select("id", "d", "line", "n").distinct().groupBy("id", "d").agg(F.sort_array(F.collect_list(F.struct("line", "n"))).alias("gone"))
+    gone = text.where("NOT is_first").select("h", "id", "d", "line", "body").join(keeper, "h").where("body = kept")
+    gone = gone.groupBy("id", "d").agg(F.sort_array(F.collect_set("line")).alias("s"))
+    # chunks that overlap or touch are one run
+    return gone.select("id", "d", F.expr(f"""zip_with(
+        filter(s, (x, k) -> k = 0 OR x - s[k - 1] > {MIN_LINES}),
+        filter(s, (x, k) -> k = size(s) - 1 OR s[k + 1] - x > {MIN_LINES}),
+        (a, b) -> named_struct('line', a, 'n', b + {MIN_LINES} - a))""").alias("gone"))
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """All columns of ``docs`` with the text cleaned, plus ``__ld_lines``,
-    ``__ld_removed_lines`` and ``__ld_removed_chunks``."""
+    ``__ld_removed_lines`` and ``__ld_removed_chunks`` (runs of chunks)."""
     gone = materialize(removals(docs, id_col, text_col).select(F.col("id").alias("__ld_i"), F.col("d").alias("__ld_d"), F.col("gone").alias("__ld_gone")), "lines-gone")
     t = F.col(text_col)
     out = docs.withColumn("__ld_k", _digest(t)).join(

@@ -43,6 +43,23 @@ def test_line_dedup(spark):
     assert L.drop_repeated_chunks(docs.limit(0)).count() == 0
 
 
+def test_later_copies_of_short_passages_go_whole(spark):
+    line = lambda *k: " ".join(f"w{'_'.join(map(str, k))}_{j}" for j in range(26))
+    rows, want = [], {}
+    for n in range(2, 7):
+        for copy in range(3):
+            i = 10 * n + copy
+            head, tail = [line("own", i, k) for k in range(copy)], [line("end", i)]
+            rows.append((i, "\n".join([*head, *[line("p", n, k) for k in range(n)], *tail])))
+            want[i] = "\n".join(head + tail) if copy else rows[-1][1]
+    rows += [(100 + k, "\n".join([line("a", k), line("single"), line("b", k)])) for k in range(3)]
+    want |= dict(rows[-3:])
+    got = L.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert all(r["__ld_removed_chunks"] == (r["doc_id"] < 100 and r["doc_id"] % 10 > 0) for r in got)
+    assert sum(r["__ld_removed_lines"] for r in got) == 2 * sum(range(2, 7))
+
+
 def test_same_hash_other_bytes_stays(spark, monkeypatch):
     class Same:
         def __init__(self, b, digest_size):
