@@ -48,7 +48,10 @@ def key_of(col: Column) -> Column:
 BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes: int, array: str | None = None, item_bytes: int = 0) -> DataFrame:
     """Hint a broadcast only after counting the rows of a stored or cheap
-    table; beyond the bound the join shuffles, with the same result."""
-    return F.broadcast(df) if df.count() * (row_bytes + 32) <= BROADCAST_BYTES else df
+    table (and the items of its ``array`` column, if it has one); beyond the
+    bound the join shuffles, with the same result."""
+    items = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    n, held = df.agg(F.count(F.lit(1)), items).first()
+    return F.broadcast(df) if n * (row_bytes + 32) + held * item_bytes <= BROADCAST_BYTES else df

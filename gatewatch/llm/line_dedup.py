@@ -103,7 +103,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text") -> D
     gone = materialize(removals(docs, id_col, text_col).select(F.col("id").alias("__ld_i"), F.col("d").alias("__ld_d"), F.col("gone").alias("__ld_gone")), "lines-gone")
     t = F.col(text_col)
     out = docs.withColumn("__ld_k", _digest(t)).join(
-        broadcast_if_small(gone, 64), F.col(id_col).eqNullSafe(F.col("__ld_i")) & (F.col("__ld_k") == F.col("__ld_d")) & t.isNotNull(), "left")
+        broadcast_if_small(gone, 64, "__ld_gone", 24), F.col(id_col).eqNullSafe(F.col("__ld_i")) & (F.col("__ld_k") == F.col("__ld_d")) & t.isNotNull(), "left")
     lines = F.split(t, "\n")
     # keep what lies between the removed runs, each run bounds the next
     clean = F.expr(f"""CASE WHEN __ld_gone IS NULL THEN `{text_col}` ELSE array_join(flatten(transform(

@@ -60,6 +60,15 @@ def test_later_copies_of_short_passages_go_whole(spark):
     assert sum(r["__ld_removed_lines"] for r in got) == 2 * sum(range(2, 7))
 
 
+def test_removed_runs_count_against_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr("gatewatch.llm.common.BROADCAST_BYTES", 20_000)
+    text = lambda k, runs: "\n".join(x for j in range(runs) for x in (f"p{j}", f"q{j}", f"own {k} {j}"))
+    for runs, hinted in ((500, False), (5, True)):
+        out = L.drop_repeated_chunks(spark.createDataFrame([(k, text(k, runs)) for k in range(3)], "doc_id long, text string"))
+        assert ("strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()) == hinted
+        assert sorted(r["__ld_removed_chunks"] for r in out.collect()) == [0, runs, runs]
+
+
 def test_same_hash_other_bytes_stays(spark, monkeypatch):
     class Same:
         def __init__(self, b, digest_size):
