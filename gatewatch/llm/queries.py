@@ -6,11 +6,27 @@ operator to whole tables and derives the columns of its contract.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewatch.llm import chat, decontam, langid, line_dedup, minhash, mixing, quality, sharding, toxicity, warc
-from gatewatch.llm.common import materialize, source_table
+from gatewatch.llm import (
+    chat,
+    decontam,
+    langid,
+    line_dedup,
+    minhash,
+    mixing,
+    ngram_join,
+    periodic,
+    quality,
+    sharding,
+    toxicity,
+    variants,
+    warc,
+)
+from gatewatch.llm.common import NON_SPACE, materialize, source_table
 from gatewatch.session import scratch_path
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -169,6 +185,123 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), s.alias("score"), (s >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Texts of the contract: where crc32(doc_id) divides by ten, the words from
+    a on repeat the p words from a on. A null doc_id leaves the text as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit("(" + NON_SPACE + ")"), F.lit(1)))
+    d = docs.withColumn("__h", h).withColumn("__w", words)
+    n, g = F.size("__w"), F.floor(F.col("__h") / 10)
+    d = d.withColumn("__a", F.when(n > 0, g % n).cast("int"))
+    d = d.withColumn("__p", (1 + F.floor((n - F.col("__a")) / (3 + g % 8))).cast("int"))
+    left = n - F.col("__a")
+    part = F.slice("__w", F.col("__a") + 1, F.col("__p"))
+    tail = F.slice(F.flatten(F.array_repeat(part, F.ceil(left / F.col("__p")).cast("int"))), F.lit(1), left)
+    made = F.array_join(F.concat(F.slice("__w", F.lit(1), F.col("__a")), tail), " ")
+    return d.withColumn("text", F.coalesce(F.when(F.col("__a").isNotNull(), made), F.col("text"))).drop("__h", "__w", "__a", "__p")
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of every byte (reflected polynomial EDB88320), by its rule."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text of code points under 256."""
+    points = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+    step = f"xor(s >> 8, ({_crc_table()}::BIGINT[])[CAST(xor(s, CAST(b AS BIGINT)) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_transform({points}, lambda x: CAST(x AS BIGINT)), lambda s, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document."""
+    docs = source_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.find_runs(with_periodic_tails(docs)).select("doc_id", *periodic.digest_columns())
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             coalesce({_crc32_sql("CAST(doc_id AS VARCHAR)")}, 1) AS h FROM documents),
+e AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, (h // 10) % 8 AS g8 FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g8) AS p FROM e),
+t AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) ELSE ws END AS ws FROM p),
+w AS (SELECT rid, i, ws[i + 1] AS w FROM (SELECT rid, ws, unnest(range(0, n)) AS i FROM t)),
+-- stretches of words that come four times in the text, then in the stretch
+f1 AS (SELECT rid, i, w, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS s FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS c FROM w) WHERE c >= 4),
+f2 AS (SELECT rid, s, i, w, i - row_number() OVER (PARTITION BY rid, s ORDER BY i) AS s2 FROM (SELECT *, count(*) OVER (PARTITION BY rid, s, w) AS c FROM f1) WHERE c >= 4),
+f3 AS (SELECT rid, s, s2, i, w, count(*) OVER (PARTITION BY rid, s, s2) AS m FROM f2),
+eq AS (SELECT x.rid, x.i, y.i - x.i AS q FROM f3 x JOIN f3 y ON x.rid = y.rid AND x.s = y.s AND x.s2 = y.s2 AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.m WHERE x.m >= 6),
+isl AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM eq) GROUP BY rid, q, k),
+runs AS (SELECT rid, start, length, min(q) AS period FROM isl WHERE length >= greatest(6, 4 * q) GROUP BY rid, start, length),
+top AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) AS o FROM runs),
+said AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS s FROM w ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(said.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM t LEFT JOIN said USING (rid) LEFT JOIN kept USING (rid) LEFT JOIN (SELECT * FROM top WHERE o = 1) USING (rid)
+"""
+
+
+def one_deleted(key: str, word: str) -> str:
+    """The contract's spelling of a lower-cased run: in one of 199 cases a code
+    point is missing."""
+    h = zlib.crc32(f"{key}:{word}".encode("utf-8", "surrogatepass"))
+    if h % 199:
+        return word
+    k = h % len(word)
+    return word[:k] + word[k + 1:]
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    words = variants.count_words(source_table(spark, sf_dir, "documents"), spelled=one_deleted)
+    return variants.group_variants(words)
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS w FROM documents),
+c AS (SELECT w, n, length(w) AS m, {_crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM (SELECT doc_id, w, count(*) AS n FROM r GROUP BY doc_id, w)),
+s AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % m) || substr(w, h % m + 2) ELSE w END AS word FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+del AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+one AS (SELECT DISTINCT del.word AS x, v.word AS y FROM del JOIN v ON del.d = v.word),
+near AS (SELECT x, y FROM one UNION SELECT y, x FROM one UNION SELECT a.word, b.word FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT x, y, ny, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY ny DESC, encode(y)) AS o
+         FROM (SELECT near.*, v.n AS ny FROM near JOIN v ON near.y = v.word)),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN ny >= 5 * n THEN y END AS form, CASE WHEN ny >= 5 * n THEN ny END AS form_n
+      FROM v LEFT JOIN (SELECT * FROM best WHERE o = 1) ON x = word),
+up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON f.word = up.word JOIN f z ON z.word = up.root AND z.form IS NULL
+"""
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share their four-word shingles."""
+    out = ngram_join.link_documents(source_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+k AS (SELECT rid, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS key FROM s GROUP BY rid),
+u AS (SELECT key, min(rid) AS rid, any_value(n) AS n FROM k GROUP BY key),
+su AS (SELECT s.rid, g, n FROM s JOIN u USING (rid)),
+l AS (SELECT x.rid AS x, y.rid AS y FROM su x JOIN su y ON x.g = y.g AND x.rid < y.rid AND 100 * x.n >= 85 * y.n AND 100 * y.n >= 85 * x.n
+      GROUP BY x.rid, y.rid, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT rid AS x, rid AS y FROM u UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+lows AS (SELECT key, min(doc_id) AS low FROM k JOIN d USING (rid) GROUP BY key),
+comp AS (SELECT ux.key, min(lows.low) AS component_id FROM reach JOIN u ux ON ux.rid = reach.x JOIN u uy ON uy.rid = reach.y JOIN lows ON lows.key = uy.key GROUP BY ux.key)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, CASE WHEN k.n IS NULL THEN d.doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN k USING (rid) LEFT JOIN comp USING (key)
+"""
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, None),
     "op2_language_id": (op2_language_id, None),
@@ -180,4 +313,7 @@ QUERIES = {
     "op8_sharding": (op8_sharding, OP8_SQL),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_periodic_runs": (op11_periodic_runs, OP11_SQL),
+    "op12_spelling_variants": (op12_spelling_variants, OP12_SQL),
+    "op13_ngram_join": (op13_ngram_join, OP13_SQL),
 }
