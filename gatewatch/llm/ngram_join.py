@@ -20,8 +20,11 @@ link when 100 * |both| >= PERCENT * |either|; components of links are classes.
    in common. The dual traversal goes down pairs of nodes and prunes those
    whose size ranges are too far apart, or where that maximum is under the
    overlap that the smallest sizes need.
-4. The traversal runs twice. First every tree is met by its first document
-   only; what survives is verified exactly and joined to components. Then the
+4. Surviving pairs are tested once more, by the same bound, with bitmaps of at
+   least twice as many bits as shingles (folded to one length), which keeps
+   texts out of the shuffle; the rest is verified exactly on the whole sets.
+5. The traversal runs twice. First every tree is met by its first document
+   only, and what links is joined to components. Then the
    trees that still hold more than one component are traversed against
    themselves, where node pairs of one and the same component are pruned too.
    So copies are not expanded into pairs and no link between components is lost.
@@ -108,6 +111,25 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(seen).tobytes()
 
 
+def fine_bitmap(shingles: np.ndarray) -> bytes:
+    """As many bits as the next power of two over twice the set's size."""
+    width = max(BITS, 1 << (2 * len(shingles)).bit_length())
+    seen = np.zeros(width, np.uint8)
+    seen[(shingles >> _U(8)) & _U(width - 1)] = 1
+    return np.packbits(seen, bitorder="little").tobytes()
+
+
+def may_overlap(x: bytes, y: bytes, nx: int, ny: int, percent: int = PERCENT) -> bool:
+    """Whether two sets of these sizes and fine bitmaps may link."""
+    a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] | a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] | b[len(b) // 2:]
+    most = int(np.bitwise_count(a & b).sum()) + min(nx - int(np.bitwise_count(a).sum()), ny - int(np.bitwise_count(b).sum()))
+    return (100 + percent) * most >= percent * (nx + ny)
+
+
 def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     if not len(x) or not len(y):
         return False
@@ -196,76 +218,83 @@ def tree_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, size: np.n
 
 # ---- Spark ---------------------------------------------------------------------
 
-def _signed(texts, hot: np.ndarray, percent: int):
-    """Arrow arrays of set digest, size, dealing shingles and bitmap."""
-    keys, sizes, tokens, bits = [], [], [], []
-    for text in texts:
-        s = shingle_set(text.as_py())
-        keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-        sizes.append(len(s))
-        tokens.append(prefix(s, hot, percent).view(np.int64))
-        bits.append(bitmap(s))
-    return [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-
-
 def sets_of(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(id, text_key, key, n, tokens, bits) of every row: digests of the text
-    and of the set, set size, the shingles it is dealt by, its bitmap."""
+    """(id, text_key, key, n, tokens, bits, fine) of every row: digests of the
+    text and of the set, set size, the shingles it is dealt by, its bitmaps."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("text_key"), F.col(text_col).alias("t"))
     none = np.empty(0, _U)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_signed(batch.column(2), none, percent)],
-                                             names=["id", "text_key", "key", "n", "tokens", "bits"])
+            made: list = [[], [], [], [], []]
+            for text in batch.column(2):
+                s = shingle_set(text.as_py())
+                for out, v in zip(made, (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), prefix(s, none, percent).view(np.int64), bitmap(s), fine_bitmap(s))):
+                    out.append(v)
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(made, kinds)]],
+                                             names=["id", "text_key", "key", "n", "tokens", "bits", "fine"])
 
     return src.mapInArrow(run, T.StructType([
         src.schema["id"], T.StructField("text_key", T.BinaryType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()),
-        T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())]))
+        T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType()), T.StructField("fine", T.BinaryType())]))
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of the wanted nodes, by their row's id and text digest."""
-    want = nodes.join(wanted.distinct(), "node").select("node", F.col("rep.text_key").alias("_t"), F.col("rep.id").alias("_r"))
+    """(node, text) of the wanted nodes, by their row's id and text digest.
+    Where rows with both repeat, one of them is taken."""
+    want = nodes.join(wanted.distinct(), "node").select("node", "same", F.col("rep.text_key").alias("_t"), F.col("rep.id").alias("_r"))
     want = materialize(want, "join-wanted")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("_m", F.unhex(F.md5("text")))
-    hit = src.join(broadcast_if_small(want, 40), (F.col("_m") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_r")))
-    return materialize(hit.select("node", "text").dropDuplicates(["node"]), "join-texts")
+    hit = src.join(broadcast_if_small(want, 48), (F.col("_m") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_r")))
+    return hit.where("same = 1").select("node", "text").unionByName(hit.where("same > 1").select("node", "text").dropDuplicates(["node"]))
 
 
-def dealt(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int, hot_size: int = HOT) -> DataFrame:
-    """(node, token) rows, with the hot shingles put last: those that too many
-    nodes are dealt by are found, the nodes they touch are dealt anew, and again
-    for what has become hot by that. At most MOST_HOT shingles are collected."""
+def dealt(docs: DataFrame, nodes: DataFrame, rows: DataFrame, id_col: str, text_col: str, percent: int, hot_size: int = HOT) -> DataFrame:
+    """(node, token) rows of the shingles that may have a tree, after the hot
+    ones were put last: shingles that too many nodes are dealt by are found,
+    the nodes they touch are dealt anew, and again for what has become hot by
+    that. ``rows`` is (node, token) in the order of hashes. At most MOST_HOT
+    shingles are collected."""
     spark = docs.sparkSession
-    rows = nodes.select("node", F.explode("tokens").alias("token"))
-    hot, fresh, done = np.empty(0, np.int64), rows, None
-
-    def again(batches, order):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(batch.column(1), order, percent)[2]], names=["node", "tokens"])
+    counts = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "join-counts")
+    hot, often, moved = np.empty(0, np.int64), counts, None
+    named = lambda values: F.broadcast(spark.createDataFrame([(int(v),) for v in values], "token long"))
+
+    def anew(order):
+        def run(batches):
+            none = np.empty(0, _U)
+            for batch in batches:
+                node, token = [], []
+                for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    s = shingle_set(text.as_py())
+                    now = prefix(s, order, percent)
+                    now = now[np.isin(now, order) | ~np.isin(now, prefix(s, none, percent))]
+                    node.append(np.full(len(now), k, np.int64))
+                    token.append(now.view(np.int64))
+                if node:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(token))], names=["node", "token"])
+        return run
 
     for _ in range(HOT_ROUNDS):
-        often = fresh.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot_size)
-        often = often.orderBy(F.desc("c"), "token").limit(MOST_HOT).select("token").collect()
-        more = np.setdiff1d(np.array([r["token"] for r in often], np.int64), hot)[:MOST_HOT - len(hot)]
+        top = often.where(F.col("c") > hot_size).orderBy(F.desc("c"), "token").limit(MOST_HOT).select("token").collect()
+        more = np.setdiff1d(np.array([r["token"] for r in top], np.int64), hot)[:MOST_HOT - len(hot)]
         if not len(more):
             break
         hot = np.union1d(hot, more)
-        order = np.sort(hot.view(_U))
-        held = F.broadcast(spark.createDataFrame([(int(h),) for h in more], "token long"))
-        now = rows if done is None else _replaced(rows, done)
-        touched = materialize(now.join(held, "token", "left_semi").select("node").distinct(), "join-touched")
-        texts = texts_of(docs, nodes, touched, id_col, text_col)
-        moved = materialize(texts.mapInArrow(lambda b, o=order: again(b, o), "node long, tokens array<long>"), "join-moved")
-        fresh = moved.select("node", F.explode("tokens").alias("token"))
-        done = moved if done is None else materialize(done.join(touched, "node", "left_anti").unionByName(moved), "join-moved")
-    return rows if done is None else _replaced(rows, done)
-
-
-def _replaced(rows: DataFrame, done: DataFrame) -> DataFrame:
-    return rows.join(broadcast_if_small(done.select("node"), 8), "node", "left_anti").unionByName(done.select("node", F.explode("tokens").alias("token")))
+        now = rows if moved is None else rows.unionByName(moved)
+        touched = materialize(now.join(named(more), "token", "left_semi").select("node").distinct(), "join-touched")
+        # what a touched node is dealt by besides its smallest hashes
+        fresh = texts_of(docs, nodes, touched, id_col, text_col).mapInArrow(anew(np.sort(hot.view(_U))), "node long, token long")
+        kept = None if moved is None else moved.join(broadcast_if_small(touched, 8), "node", "left_anti")
+        moved = materialize(fresh if kept is None else kept.unionByName(fresh), "join-moved")
+        often = moved.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    if moved is None:
+        return rows.join(counts.select("token"), "token", "left_semi")
+    cold = rows.join(named(hot), "token", "left_anti")
+    alive = counts.select("token").union(moved.select("token")).distinct()
+    return cold.unionByName(moved).join(alive, "token", "left_semi")
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
@@ -303,6 +332,20 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     return spread.mapInArrow(run, "x long, y long").distinct()
 
 
+def refine(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their fine bitmaps (node, n, fine)."""
+    a = fine.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("fine").alias("fx"))
+    b = fine.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("fine").alias("fy"))
+
+    def run(batches):
+        for batch in batches:
+            ok = [may_overlap(fx, fy, nx, ny, percent) for nx, fx, ny, fy in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            at = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["x", "y"])
+
+    return pairs.join(a, "x").join(b, "y").select("x", "y", "nx", "fx", "ny", "fy").mapInArrow(run, "x long, y long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets."""
     a = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
@@ -327,30 +370,36 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("x").alias("node")).union(pairs.select("y"))
-
-
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK, hot_size: int = HOT) -> DataFrame:
     """(id, n, key, component, component_id) of every row: set size, the set's
     digest, the class (null for an empty set) and its smallest id (the row's
     own for an empty set)."""
-    rows = materialize(sets_of(docs, id_col, text_col, percent), "join-sets")
-    rep = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key"))
-    full = rows.where("n > 0").groupBy("key").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
-    nodes = materialize(full.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
-    token_rows = dealt(docs, nodes, id_col, text_col, percent, hot_size)
-    trees = token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low")).where("c > 1")
+    rows = materialize(sets_of(docs, id_col, text_col, percent).withColumn("row", F.monotonically_increasing_id()), "join-sets")
+    same = rows.where("n > 0").groupBy("key", "id", "text_key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("same"))
+    rep = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "text_key", "same"))
+    nodes = same.groupBy("key").agg(rep.alias("rep")).select("key", "rep", F.col("rep.row").alias("node"), F.col("rep.same").alias("same"))
+    nodes = materialize(nodes, "join-nodes")
+    of_nodes = rows.withColumnRenamed("row", "node").join(broadcast_if_small(nodes.select("node"), 8), "node", "left_semi")
+    dealt_rows = dealt(docs, nodes, of_nodes.select("node", F.explode("tokens").alias("token")), id_col, text_col, percent, hot_size)
+    dealt_rows = materialize(dealt_rows, "join-dealt")
+    trees = dealt_rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low")).where("c > 1")
     trees = materialize(trees, "join-trees")
-    members = materialize(token_rows.join(trees, "token").withColumn("nb", F.ceil(F.col("c") / block)).withColumn("blk", F.expr("pmod(xxhash64(node), nb)")), "join-members")
-    held = materialize(nodes.select("node", "n", "bits").join(members.select("node").distinct(), "node"), "join-signatures")
-    signed = broadcast_if_small(held, 96)
+    members = materialize(dealt_rows.join(trees, "token").withColumn("nb", F.ceil(F.col("c") / block)).withColumn("blk", F.expr("pmod(xxhash64(node), nb)")), "join-members")
+    held = of_nodes.select("node", "n", "bits", "fine").join(broadcast_if_small(members.select("node").distinct(), 8), "node", "left_semi")
+    held = materialize(held, "join-signatures")
+    signed, fine = broadcast_if_small(held.select("node", "n", "bits"), 96), held.select("node", "n", "fine")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(refine(pairs, fine, percent), "join-refined")
+        ends = pairs.select(F.col("x").alias("node")).union(pairs.select("y"))
+        return materialize(verify(pairs, texts_of(docs, nodes, ends, id_col, text_col), percent), "join-links")
+
     # first: a tree's first document against the blocks of the tree
     firsts = trees.select("token", F.col("low").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / block) - 1)).alias("i"), F.lit(0).alias("side"))
     others = members.where("node <> low").select("token", "node", F.col("blk").alias("i"), F.lit(1).alias("side"))
     seed = firsts.unionByName(others).withColumn("j", F.col("i")).join(signed, "node").withColumn("comp", F.col("node"))
     pairs = materialize(candidates(seed, percent), "join-pairs")
-    first = materialize(verify(pairs, texts_of(docs, nodes, _ends(pairs), id_col, text_col), percent), "join-links")
+    first = linked(pairs)
     label = components(first)
     # then: trees of more than one component against themselves
     named = members.where("c > 2").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -359,8 +408,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = named.join(mixed, "token", "left_semi").withColumn("o", F.explode(F.expr("sequence(0L, nb - 1)")))
     rest = rest.select("token", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "comp",
                        F.when(F.col("blk") == F.col("o"), F.lit(2)).when(F.col("blk") < F.col("o"), F.lit(0)).otherwise(F.lit(1)).alias("side"))
-    more = materialize(candidates(rest.join(signed, "node"), percent).join(pairs, ["x", "y"], "left_anti"), "join-pairs")
-    more = materialize(verify(more, texts_of(docs, nodes, _ends(more), id_col, text_col), percent), "join-links")
+    more = linked(candidates(rest.join(signed, "node"), percent).join(pairs, ["x", "y"], "left_anti"))
     if not more.isEmpty():
         label = components(first.unionByName(more))
     named = nodes.select("key", "node", F.col("rep.id").alias("rep_id")).join(label, "node", "left").select("key", "rep_id", F.coalesce("comp", "node").alias("component"))

@@ -87,6 +87,19 @@ def test_traversal_prunes_and_loses_no_link():
     assert not len(J.tree_pairs(np.zeros(n, int), np.full(n, 2), np.arange(n), size, bits, np.zeros(n, int))[0])
 
 
+def test_fine_bitmaps_lose_no_link():
+    rng = np.random.default_rng(5)
+    pruned = 0
+    for _ in range(300):
+        base = rng.integers(0, 2**63, rng.integers(1, 1500), dtype=np.uint64)
+        x = np.unique(base[rng.random(len(base)) > rng.choice([0, .05, .3])])
+        y = np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0, .05, .3])], rng.integers(0, 2**63, 3, dtype=np.uint64)]))
+        ok = J.may_overlap(J.fine_bitmap(x), J.fine_bitmap(y), len(x), len(y))
+        assert ok or not J.links(x, y)
+        pruned += not ok
+    assert pruned > 50
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(4)
     for _ in range(300):
