@@ -1,26 +1,28 @@
 """Exact quantiles (linear interpolation, as NumPy's default and SQL's
-``quantile_cont``) without gathering any group into one task.
+``quantile_cont``) by counting: a radix selection over the order-preserving
+bits of the values.
 
 Spark's ``percentile`` keeps a value->count map per group inside one task;
-with one group holding a third of 100 TB that map does not fit. Here:
-
-1. range-partition the rows on (group keys, value, tie-break) — the range
-   bounds come from a sample, so a hot group is split across many tasks —
-   and sort within partitions;
-2. number the rows with ``monotonically_increasing_id`` (partition id in the
-   upper bits, position in the lower bits);
-3. write the numbered rows (group keys, value, id: a narrow table) to the
-   shared folder once, so every later branch sees the same numbering (range
-   bounds are sampled per exchange and may differ between two exchanges);
-   count rows per (partition, group): a table of about #partitions +
-   #groups rows; a prefix sum over it gives each block's global start rank
-   inside its group;
-4. keep only the rows whose rank is one of the wanted ranks (floor and
-   ceil of (n-1)p) through a join with the small target table, and
-   interpolate.
-
-The (group, value) columns are shuffled and written once; everything else
-is small.
+with one group holding a third of 100 TB that map does not fit, and a sort
+shuffles and stores every row. Here no row is shuffled or stored:
+
+1. a value becomes a long that sorts as the value does (``order_bits``);
+2. a pass counts the rows of every (group, top 16 bits), with the smallest and
+   largest value of each such bucket. Counts combine map-side, so a task sends
+   at most 65,536 rows per group, however many rows the group has;
+3. running sums over that histogram give, for all wanted ranks of all groups
+   at once, the bucket that holds the rank. The rank is found if the bucket
+   holds one value, or if it is the bucket's first or last rank;
+4. the other ranks go on inside their buckets with the next 16 bits: a pass
+   counts only the rows of such buckets (a semi-join with a table of one row
+   per open rank). After four passes at most a bucket is one value.
+
+Each pass reads the input once: pass a stored frame where computing it is
+dear (model scores). Histograms are checkpointed in the shared folder; only
+the number of open ranks goes to the driver.
+
+Nulls are left out; NaN sorts above all; -0.0 is 0.0; a null group key is a
+group. Whole numbers, dates and timestamps select exactly too.
 """
 
 from __future__ import annotations
@@ -29,80 +31,123 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-_PID_SHIFT = 33
-
-
-def _null_safe_on(left: DataFrame, right: DataFrame, lkeys: Sequence[str],
-                  rkeys: Sequence[str]) -> Column | None:
-    cond = None
-    for a, b in zip(lkeys, rkeys):
-        c = left[a].eqNullSafe(right[b])
-        cond = c if cond is None else cond & c
+from pyspark.sql import types as T
+
+#: Bits that are left out of the bucket number in each pass.
+SHIFTS = (48, 32, 16, 0)
+#: Open buckets up to which the counting pass broadcasts their table.
+BROADCAST_ROWS = 100_000
+
+
+def order_bits(value: Column, kind: T.DataType) -> Column:
+    """A long in the order of the values: the bits of a double's magnitude,
+    signed; whole numbers as they are; dates and timestamps as their count."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return value.cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp"))
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        raise TypeError(f"no counting order for {kind.simpleString()}")
+    v = value.cast("double")
+    a, two = F.abs(v), F.lit(2.0)
+    near = F.floor(F.log2(a))  # may be off by one at powers of two
+    e = F.when(F.pow(two, near) > a, near - 1).when(F.pow(two, near + 1) <= a, near + 1).otherwise(near)
+    normal = (e + 1023) * F.lit(1 << 52) + ((a / F.pow(two, e) - 1.0) * float(1 << 52)).cast("long")
+    tiny = (a * float(2.0**537) * float(2.0**537)).cast("long")
+    bits = (F.when(a == 0.0, F.lit(0).cast("long")).when(a < float(2.0**-1022), tiny)
+            .when(a == float("inf"), F.lit(2047 << 52)).otherwise(normal))
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -bits).otherwise(bits)
+
+
+def group_columns(by: Sequence[str]) -> list[str]:
+    """Names of the group keys inside, and of a constant that joins have where
+    there is no key."""
+    return [f"_g{i}" for i in range(len(by))] + ["_all"]
+
+
+def _on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+    cond = F.lit(True)
+    for a, b in pairs:
+        cond = cond & left[a].eqNullSafe(right[b])
     return cond
 
 
-def ranked(df: DataFrame, value: str, by: Sequence[str] = (), tiebreak: str | None = None,
-           partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` (non-null ``value``) with their 0-based rank inside the
-    group (``_rank``) and the group size (``_n``); plus the sizes table
-    (group keys renamed ``_g0.._gk``, ``_n``)."""
-    by = list(by)
-    spark = df.sparkSession
-    from gatewatch.session import range_partitions
-    n_parts = partitions or range_partitions(df)
-    cols = list(dict.fromkeys(by + [value] + ([tiebreak] if tiebreak else [])))
-    base = df.select(*[F.col(c) for c in cols]).filter(F.col(value).isNotNull())
-    from gatewatch.session import materialize
-    srt = materialize(base.repartitionByRange(n_parts, *cols)
-                      .sortWithinPartitions(*cols)
-                      .withColumn("_mid", F.monotonically_increasing_id())
-                      .withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT)), "ranked")
-    gk = [f"_g{i}" for i in range(len(by))]
-    blocks = (srt.groupBy("_pid", *by).agg(F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_cnt"))
-              .toDF("_bpid", *gk, "_base", "_cnt"))
-    w_prefix = Window.partitionBy(*gk).orderBy("_bpid").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*gk)
-    blocks = blocks.select(
-        "_bpid", *gk, "_base",
-        F.coalesce(F.sum("_cnt").over(w_prefix), F.lit(0)).alias("_before"),
-        F.sum("_cnt").over(w_all).alias("_n"))
-    on = _null_safe_on(srt, blocks, by + ["_pid"], gk + ["_bpid"])
-    out = srt.join(blocks, on, "inner").select(
-        *[F.col(c) for c in cols],
-        (F.col("_before") + F.col("_mid") - F.col("_base")).alias("_rank"),
-        F.col("_n"))
-    sizes = blocks.groupBy(*gk).agg(F.max("_n").alias("_n"))
-    return out, sizes
+def _histogram(rows: DataFrame, keys: Sequence[str], shift: int) -> DataFrame:
+    """Buckets of (keys, bits above ``shift``): count, smallest and largest
+    value, rows before the bucket among those with the same keys."""
+    h = rows.groupBy(*keys, F.shiftright("_k", shift).alias("_p")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return h.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).checkpoint()
+
+
+def select_ranks(df: DataFrame, value: str, wanted: Callable[[DataFrame], DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """(group_columns, _pos, _value) for 0-based ranks: ``wanted`` turns the
+    table of group sizes (group_columns, _n) into rows (group_columns, _pos);
+    ranks outside a group are left out."""
+    same = group_columns(by)
+    kind = df.schema[value].dataType
+    rows = df.select(*[F.col(c).alias(g) for c, g in zip(by, same)], F.lit(0).alias("_all"), F.col(value).alias("_v"))
+    rows = rows.where("_v IS NOT NULL").withColumn("_k", order_bits(F.col("_v"), kind))
+    hist = _histogram(rows, same, SHIFTS[0])
+    left = wanted(hist.groupBy(*same).agg(F.sum("_c").alias("_n"))).select(*same, "_pos").distinct().withColumn("_rank", F.col("_pos"))
+    found = None
+    for level, shift in enumerate(SHIFTS):
+        keys = same + (["_in"] if level else [])
+        h = hist.toDF(*[f"_h{c}" for c in hist.columns])
+        hit = left.join(h, _on(left, h, [(c, f"_h{c}") for c in keys]) & (F.col("_rank") >= F.col("_h_before")) & (F.col("_rank") < F.col("_h_before") + F.col("_h_c")))
+        rest = F.col("_rank") - F.col("_h_before")
+        got = (F.when((F.col("_h_min") == F.col("_h_max")) | (rest == 0), F.col("_h_min"))
+               .when(rest == F.col("_h_c") - 1, F.col("_h_max")))
+        if shift == 0:
+            got = F.col("_h_min")
+        step = hit.select(*same, "_pos", rest.alias("_rank"), F.col("_h_p").alias("_in"), got.alias("_value")).checkpoint()
+        done = step.where("_value IS NOT NULL").select(*same, "_pos", "_value")
+        found = done if found is None else found.unionByName(done)
+        left = step.where("_value IS NULL").drop("_value")
+        open_ranks = left.count()
+        if not open_ranks:
+            return found
+        active = left.select(*[F.col(c).alias(f"_a{c}") for c in [*same, "_in"]]).distinct()
+        if open_ranks <= BROADCAST_ROWS:
+            active = F.broadcast(active)
+        inside = rows.withColumn("_in", F.shiftright("_k", shift))
+        inside = inside.join(active, _on(inside, active, [(c, f"_a{c}") for c in [*same, "_in"]]), "left_semi")
+        hist = _histogram(inside, [*same, "_in"], SHIFTS[level + 1])
+    return found
 
 
 def rank_values(df: DataFrame, value: str, targets: Callable[[Column], dict[str, tuple[Column, Column, Column]]],
                 by: Sequence[str] = (), tiebreak: str | None = None) -> DataFrame:
     """Generic: ``targets(n)`` gives name -> (lo rank, hi rank, weight) columns
     from the group size ``n``; result = v[lo] + weight * (v[hi] - v[lo]),
-    one row per non-empty group with one column per name."""
+    one row per non-empty group with one column per name. Equal values have
+    equal results in any order, so ``tiebreak`` changes nothing."""
     by = list(by)
-    rows, sizes = ranked(df, value, by, tiebreak)
-    gk = [f"_g{i}" for i in range(len(by))]
-    spec = targets(F.col("_n"))
-    t = sizes.select(*gk, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_name"), lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"),
-                 wgt.cast("double").alias("_w"))
-        for name, (lo, hi, wgt) in spec.items()])).alias("_t")).select(*gk, "_t.*")
-    pos = t.select(*gk, "_name", "_lo", "_hi", "_w",
-                   F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_pos"))
-    on = _null_safe_on(rows, pos, by, gk)
-    eq = rows["_rank"] == pos["_pos"]
-    on = eq if on is None else on & eq
-    picked = rows.join(pos, on, "inner").select(
-        *[F.col(c) for c in by], "_name", "_lo", "_hi", "_w", "_pos", F.col(value).alias("_v"))
-    per = picked.groupBy(*by, "_name").agg(
-        F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_pos") == F.col("_hi"), F.col("_v"))).alias("_vhi"),
-        F.max("_w").alias("_w"))
-    per = per.withColumn("_q", F.col("_vlo") + F.col("_w") * (F.col("_vhi") - F.col("_vlo")))
-    names = list(spec)
-    return per.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == nm, F.col("_q"))).alias(nm) for nm in names])
+    gk = group_columns(by)
+    held: list[DataFrame] = []
+
+    def wanted(sizes: DataFrame) -> DataFrame:
+        spec = targets(F.col("_n"))
+        t = sizes.select(*gk, F.explode(F.array(*[
+            F.struct(F.lit(name).alias("_name"), lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"), wgt.cast("double").alias("_w"))
+            for name, (lo, hi, wgt) in spec.items()])).alias("_t")).select(*gk, "_t.*")
+        held.append(t)
+        return t.select(*gk, F.explode(F.array("_lo", "_hi")).alias("_pos"))
+
+    values = select_ranks(df, value, wanted, by).toDF(*[f"_v{g}" for g in gk], "_at", "_value")
+    t = held[0].withColumn("_pos", F.explode(F.array_distinct(F.array("_lo", "_hi"))))
+    pairs = [(g, f"_v{g}") for g in gk] + [("_pos", "_at")]
+    per = t.join(values, _on(t, values, pairs)).groupBy(*gk, "_name").agg(
+        F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("_value"))).alias("_vlo"),
+        F.max(F.when(F.col("_pos") == F.col("_hi"), F.col("_value"))).alias("_vhi"), F.max("_w").alias("_w"))
+    moved = F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo").cast("double")).otherwise(F.col("_vlo") + F.col("_w") * (F.col("_vhi") - F.col("_vlo")))
+    per = per.withColumn("_q", moved)
+    names = list(targets(F.col("_n")))
+    out = per.groupBy(*gk).agg(*[F.max(F.when(F.col("_name") == nm, F.col("_q"))).alias(nm) for nm in names])
+    return out.select(*[F.col(g).alias(c) for g, c in zip(gk, by)], *names)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
@@ -130,7 +175,7 @@ def approx_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Seq
                      accuracy: int = 10000) -> DataFrame:
     """The same shape as ``exact_quantiles`` from ``percentile_approx``: a
     bounded-memory sketch per group that merges map-side (rank error about
-    n / accuracy). For dashboards where the exact pass is not needed."""
+    n / accuracy). For dashboards where the exact passes are not needed."""
     names = list(probs)
     arr = F.percentile_approx(F.col(value), [float(probs[n]) for n in names], accuracy)
     agg = (df.groupBy(*by) if by else df.groupBy()).agg(arr.alias("_q"))

@@ -43,6 +43,62 @@ def test_rank_lookup(skewed):
     assert got == sorted(pdf["id"])[int(len(pdf) * 0.6)]
 
 
+def test_order_bits_sort_as_the_values(spark):
+    from pyspark.sql import types as T
+
+    from gatewatch.operators.quantiles import order_bits
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.integers(0, 2**64, 4000, dtype=np.uint64).view(np.float64), rng.normal(size=500),
+                        2.0 ** np.arange(-1074, 1024), -(2.0 ** np.arange(-1074, 1024)), np.nextafter(2.0 ** np.arange(-1000, 1000), 0),
+                        [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308]])
+    v = v[~np.isnan(v)]
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", order_bits(F.col("v"), T.DoubleType()).alias("k"))
+    got = np.array([(r["v"], r["k"]) for r in df.collect()], dtype=[("v", "f8"), ("k", "i8")])
+    raw = np.abs(got["v"]).view(np.int64)
+    assert (got["k"] == np.where(got["v"] < 0, -raw, raw)).all()
+    nan = spark.createDataFrame([(float("nan"),)], "v double").select(order_bits(F.col("v"), T.DoubleType())).first()[0]
+    assert nan > got["k"].max()
+
+
+def test_quantiles_of_wide_and_dense_values(spark):
+    rng = np.random.default_rng(12)
+    n = 4000
+    v = np.where(rng.random(n) < .5, 1 + rng.integers(0, 40, n) * 2.0**-52, 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n))
+    g = np.where(rng.random(n) < .34, None, rng.choice(["a", "b"], n))
+    pdf = pd.DataFrame({"g": g, "v": v})
+    df = spark.createDataFrame([(x, float(y), "c") for x, y in zip(g, v)] + [("a", None, "c"), ("empty", None, "c")], "g string, v double, _k string")
+    probs = {f"p{i}": float(p) for i, p in enumerate([0, .01, .25, .4999, .5, .75, .999, 1])}
+    got = {r["g"]: r for r in exact_quantiles(df, "v", probs, by=["g"]).collect()}
+    assert set(got) == {None, "a", "b"}
+    for k, sub in [(x, pdf[pdf["g"].isna()] if x is None else pdf[pdf["g"] == x]) for x in got]:
+        s = np.sort(sub["v"])
+        for name, p in probs.items():
+            h = (len(s) - 1) * p
+            lo, hi = int(np.floor(h)), int(np.ceil(h))
+            assert got[k][name] == (s[lo] if s[lo] == s[hi] else s[lo] + (h - lo) * (s[hi] - s[lo]))
+    assert exact_quantiles(df.limit(0), "v", probs, by=["g"]).count() == 0
+
+
+def test_ranks_of_whole_numbers_and_times(spark):
+    ids = list(range(-500, 4500, 7))
+    df = spark.createDataFrame([(i,) for i in ids], "i long").withColumn("t", F.timestamp_seconds("i"))
+    at = lambda n: {"x": (F.floor(n * 0.3), F.floor(n * 0.3), F.lit(0.0))}
+    k = int(len(ids) * 0.3)
+    assert rank_values(df, "i", at).first()["x"] == ids[k]
+    from gatewatch.operators.quantiles import select_ranks
+    got = select_ranks(df, "t", lambda s: s.withColumn("_pos", F.lit(k).cast("long"))).first()["_value"]
+    assert got.timestamp() == ids[k]
+
+
+def test_selection_shuffles_counts_not_rows(spark, skewed):
+    _, df = skewed
+    import gatewatch.operators.quantiles as Q
+    assert "materialize" not in open(Q.__file__).read()
+    rows = df.select(F.lit(0).alias("_all"), F.col("v").alias("_v")).withColumn("_k", Q.order_bits(F.col("_v"), df.schema["v"].dataType))
+    plan = rows.groupBy("_all", F.shiftright("_k", 48)).agg(F.count(F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "rangepartitioning" not in plan
+
+
 def test_prefix_scan_matches_single_pass(spark):
     rng = np.random.default_rng(3)
     n = 3000
