@@ -44,23 +44,24 @@ def test_rank_lookup(skewed):
 
 
 def test_order_bits_sort_as_the_values(spark):
-    from pyspark.sql import types as T
-
     from gatewatch.operators.quantiles import order_bits
     rng = np.random.default_rng(11)
     v = np.concatenate([rng.integers(0, 2**64, 4000, dtype=np.uint64).view(np.float64), rng.normal(size=500),
                         2.0 ** np.arange(-1074, 1024), -(2.0 ** np.arange(-1074, 1024)), np.nextafter(2.0 ** np.arange(-1000, 1000), 0),
                         [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308]])
     v = v[~np.isnan(v)]
-    df = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", order_bits(F.col("v"), T.DoubleType()).alias("k"))
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    df = order_bits(df, "v", "k")
     got = np.array([(r["v"], r["k"]) for r in df.collect()], dtype=[("v", "f8"), ("k", "i8")])
     raw = np.abs(got["v"]).view(np.int64)
     assert (got["k"] == np.where(got["v"] < 0, -raw, raw)).all()
-    nan = spark.createDataFrame([(float("nan"),)], "v double").select(order_bits(F.col("v"), T.DoubleType())).first()[0]
+    nan = order_bits(spark.createDataFrame([(float("nan"),)], "v double"), "v", "k").first()["k"]
     assert nan > got["k"].max()
 
 
-def test_quantiles_of_wide_and_dense_values(spark):
+@pytest.mark.parametrize("local", [0, 300, 1 << 16])
+def test_quantiles_of_wide_and_dense_values(spark, monkeypatch, local):
+    monkeypatch.setattr("gatewatch.operators.quantiles.LOCAL_ROWS", local)
     rng = np.random.default_rng(12)
     n = 4000
     v = np.where(rng.random(n) < .5, 1 + rng.integers(0, 40, n) * 2.0**-52, 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n))
@@ -86,7 +87,7 @@ def test_ranks_of_whole_numbers_and_times(spark):
     k = int(len(ids) * 0.3)
     assert rank_values(df, "i", at).first()["x"] == ids[k]
     from gatewatch.operators.quantiles import select_ranks
-    got = select_ranks(df, "t", lambda s: s.withColumn("_pos", F.lit(k).cast("long"))).first()["_value"]
+    got = select_ranks(df, "t", lambda n: F.array(F.struct(F.lit(k).cast("long").alias("pos")))).first()["_value"]
     assert got.timestamp() == ids[k]
 
 
@@ -94,7 +95,7 @@ def test_selection_shuffles_counts_not_rows(spark, skewed):
     _, df = skewed
     import gatewatch.operators.quantiles as Q
     assert "materialize" not in open(Q.__file__).read()
-    rows = df.select(F.lit(0).alias("_all"), F.col("v").alias("_v")).withColumn("_k", Q.order_bits(F.col("_v"), df.schema["v"].dataType))
+    rows = Q.order_bits(df.select(F.lit(0).alias("_all"), F.col("v").alias("_v")), "_v", "_k")
     plan = rows.groupBy("_all", F.shiftright("_k", 48)).agg(F.count(F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "rangepartitioning" not in plan
 
