@@ -8,7 +8,7 @@ membership comes in two forms:
 * literal lists (trusted ranges, reputation ranges): per distinct prefix
   length an ``isin`` over the shifted address — an InSet hash probe, no join;
 * data-derived tables (the AI block list, which grows with the data): an
-  equi-join on the address (or on (prefix, network) for CIDR tables). No
+  equi-join on the address (or on its /16 bucket for CIDR tables). No
   static broadcast hint: AQE measures the built side at runtime and
   broadcasts it only under ``spark.sql.autoBroadcastJoinThreshold``,
   otherwise keeps the shuffle join.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewatch import constants as K
@@ -101,25 +101,51 @@ def cidr_table(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
     return cidrs.select(plen.alias("plen"), net.alias("net")).dropDuplicates()
 
 
+def cidr_intervals(cidrs: DataFrame, col: str = "cidr", prefix_lengths: list[int] | None = None) -> DataFrame:
+    """CIDR text table -> disjoint address intervals (bucket, lo, hi), cut at
+    /16 buckets and merged.
+
+    A prefix of up to 16 bits covers whole buckets: those are listed once. The
+    others lie in one bucket each, where a sweep by their first address, with
+    the running maximum of the last one, joins what overlaps or touches. A
+    bucket holds at most 32,768 intervals, whatever the table's size. Entries
+    that are no CIDR, or longer than /32, are left out."""
+    keys = cidr_table(cidrs, col).where("net IS NOT NULL AND plen BETWEEN 0 AND 32")
+    if prefix_lengths is not None:
+        keys = keys.where(F.col("plen").isin(list(prefix_lengths)))
+    wide = keys.where("plen <= 16").select(F.explode(F.sequence(
+        F.expr("net << (16 - plen)"), F.expr("((net + 1) << (16 - plen)) - 1"))).alias("bucket")).distinct()
+    wide = wide.select("bucket", F.expr("bucket << 16").alias("lo"), F.expr("((bucket + 1) << 16) - 1").alias("hi"))
+    thin = keys.where("plen > 16").select(F.expr("net << (32 - plen)").alias("lo"), F.expr("((net + 1) << (32 - plen)) - 1").alias("hi"))
+    thin = thin.withColumn("bucket", F.shiftright("lo", 16)).select("bucket", "lo", "hi")
+    order = Window.partitionBy("bucket").orderBy("lo", F.desc("hi"))
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = wide.unionByName(thin).withColumn("_new", (F.col("lo") > F.coalesce(reach, F.lit(-2)) + 1).cast("int"))
+    cut = cut.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy("bucket", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+
+
 def cidr_member_flag(df: DataFrame, ip: str, cidrs: DataFrame, prefix_lengths: list[int] | None = None,
                      flag: str = "in_set") -> DataFrame:
-    """Flag rows whose IP lies in any CIDR of a (data-derived) table.
-
-    The prefix lengths are taken from the table (33 at most);
-    ``prefix_lengths`` restricts the table to some of them. Equi-join on (plen, ip >> (32 - plen)) for each prefix length present
-    (a handful; at most 33), each as a left join of the distinct
-    (plen, net) keys, so no range join and no row duplication."""
+    """Flag rows whose IP lies in any CIDR of a (data-derived) table of any
+    size; ``prefix_lengths`` restricts the table to some lengths.
+
+    One equi-join on the /16 bucket of the address, with one row per bucket:
+    whether it is covered whole, else its intervals by /24, so a row is tested
+    against the (at most 128) intervals of its own /24. Rows are never repeated; columns of ``df`` pass
+    through, whatever their names, but one named as ``flag`` is replaced. A
+    null or malformed address is in no set."""
+    pieces = cidr_intervals(cidrs, prefix_lengths=prefix_lengths).withColumn("whole", F.expr("hi - lo = 65535"))
+    pieces = pieces.withColumn("sub", F.explode(F.expr("sequence(lo >> 8, if(whole, lo, hi) >> 8)")))
+    pieces = pieces.groupBy("bucket", "sub", "whole").agg(F.collect_list(F.struct("lo", "hi")).alias("held"))
+    table = pieces.groupBy(F.col("bucket").alias("__cidr_bucket")).agg(
+        F.max("whole").alias("__cidr_whole"), F.map_from_entries(F.collect_list(F.struct("sub", "held"))).alias("__cidr_subs"))
     v = ipv4_to_long(F.col(ip))
-    out = df.withColumn("_ipv", v)
-    keys = cidr_table(cidrs)
-    hit = F.lit(False)
-    present = {r[0] for r in keys.select("plen").distinct().collect()} & set(range(33))
-    for i, p in enumerate(sorted(present if prefix_lengths is None else present & set(prefix_lengths))):
-        k = keys.filter(F.col("plen") == p).select(F.col("net").alias(f"_n{i}"), F.lit(True).alias(f"_h{i}"))
-        out = out.join(k, F.shiftright(out["_ipv"], 32 - p) == k[f"_n{i}"], "left").drop(f"_n{i}")
-        hit = hit | F.coalesce(F.col(f"_h{i}"), F.lit(False))
-    cols = [c for c in out.columns if c.startswith("_h")]
-    return out.withColumn(flag, hit).drop("_ipv", *cols)
+    out = df.drop(flag).select("*", v.alias("__cidr_v")).join(table, F.shiftright("__cidr_v", 16) == F.col("__cidr_bucket"), "left")
+    near = F.try_element_at("__cidr_subs", F.shiftright("__cidr_v", 8))
+    inside = F.exists(near, lambda r: (F.col("__cidr_v") >= r["lo"]) & (F.col("__cidr_v") <= r["hi"]))
+    return out.withColumn(flag, F.coalesce(F.col("__cidr_whole") | inside, F.col("__cidr_whole"), F.lit(False))).drop(
+        "__cidr_v", "__cidr_bucket", "__cidr_whole", "__cidr_subs")
 
 
 def ip_member_flag(df: DataFrame, ip: str, ips: DataFrame, ip_col: str = "ip",

@@ -214,6 +214,23 @@ def cidr_trusted(spark, sf):
     return f.select("row_id", "trusted", "in_block_cidrs")
 
 
+@query("cidr_nested", with_(WAF) + """
+, c AS (SELECT concat(client_ip, '/', CAST(CASE WHEN row_id % 97 = 0 THEN 32 WHEN row_id % 89 = 0 THEN 30 WHEN row_id % 701 = 0 THEN 25
+                                                WHEN row_id % 1999 = 0 THEN 23 END AS VARCHAR)) AS cidr, client_ip,
+               CASE WHEN row_id % 97 = 0 THEN 32 WHEN row_id % 89 = 0 THEN 30 WHEN row_id % 701 = 0 THEN 25 WHEN row_id % 1999 = 0 THEN 23 END AS plen FROM waf)
+, k AS (SELECT DISTINCT plen, (""" + _ipv_sql("client_ip") + """) >> (32 - plen) AS net FROM c WHERE plen IS NOT NULL)
+, a AS (SELECT DISTINCT client_ip, """ + _ipv_sql("client_ip") + """ AS v FROM waf)
+SELECT row_id, client_ip, client_ip IN (SELECT client_ip FROM a JOIN k ON (a.v >> (32 - k.plen)) = k.net) AS in_set FROM waf""")
+def cidr_nested(spark, sf):
+    """Requests inside a derived CIDR table of overlapping and nested entries
+    (/32 to /23): disjoint intervals per /16 bucket, one equi-join."""
+    w = waf_logs(table(spark, sf, "events")).select("row_id", F.col("httprequest.clientip").alias("client_ip"))
+    r = F.col("row_id")
+    plen = F.when(r % 97 == 0, 32).when(r % 89 == 0, 30).when(r % 701 == 0, 25).when(r % 1999 == 0, 23)
+    cidrs = w.where(plen.isNotNull()).select(F.concat_ws("/", "client_ip", plen.cast("string")).alias("cidr")).distinct()
+    return P.cidr_member_flag(w, "client_ip", cidrs)
+
+
 @query("blocklist_append", with_(SCORED) + """
 , daily AS (SELECT year, month, day, ip, cnt, first_ts FROM (
   SELECT year, month, day, ip, COUNT(*) AS cnt, min(event_ts) AS first_ts,

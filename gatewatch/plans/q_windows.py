@@ -101,6 +101,9 @@ def mitigation(spark, sf):
     return c.select("row_id", F.round("t", 6).alias("t"), "mode", RK.mitigation_ladder("t").alias("ladder_level"))
 
 
+#: What the latch reads; a scan stores no other column.
+LATCH_COLS = ["row_id", "ip", "event_ts", "pred_risk", "mode", "t"]
+
 LATCH_SQL = with_(SCORED) + _bounds_sql() + f"""
 , c AS (SELECT *, {T_SQL} AS t FROM scored)
 , m AS (SELECT *, {_mode_sql('t')} AS mode,
@@ -129,7 +132,7 @@ def premit_latch(spark, sf):
     c = _clocked(spark, sf)
     b = RK.score_bounds(c, "raw_score")
     c = c.withColumn("obs_risk", RK.risk_from_score("raw_score", b["threshold"], b["min"], b["max"], digits=None))
-    lat = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], None)
+    lat = RK.premitigation(c.select(*LATCH_COLS, "obs_risk"), ["ip"], ["event_ts", "row_id"], None)
     return lat.select("row_id", "ip", "mode", "premit_on", "trigger", "mitigation_level",
                       F.round(RK.capped_obs_risk(), 6).alias("obs_risk"))
 
@@ -143,7 +146,7 @@ FROM scored WINDOW w AS (PARTITION BY ip ORDER BY event_ts, row_id ROWS BETWEEN
 def running_counters(spark, sf):
     """Monotone counters per IP (blocked, passed, anomalies) as running totals."""
     sc = _scored(spark, sf)
-    out = prefix_scan(sc, ["ip"], ["event_ts", "row_id"], None, {
+    out = prefix_scan(sc.select("row_id", "ip", "event_ts", "action", "anomaly"), ["ip"], ["event_ts", "row_id"], None, {
         "blocked_total": ("sum", (F.col("action") == "BLOCK").cast("long")),
         "passed_total": ("sum", (F.col("action") == "ALLOW").cast("long")),
         "anomalies_total": ("sum", F.col("anomaly").cast("long")),
@@ -161,13 +164,47 @@ FROM z WHERE anomaly = 1 GROUP BY ip, isl""")
 def episodes(spark, sf):
     """Anomaly episodes per IP (gaps and islands): start, end, rows, duration."""
     sc = _scored(spark, sf)
-    e = islands(sc, ["ip"], ["event_ts", "row_id"], "anomaly", "event_ts", None)
+    e = islands(sc.select("row_id", "ip", "event_ts", "anomaly"), ["ip"], ["event_ts", "row_id"], "anomaly", "event_ts", None)
     dur = (F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1e6
     return e.select("ip", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"),
                     F.date_format("end_ts", "yyyy-MM-dd HH:mm:ss").alias("end_ts"), "n_rows",
                     dur.cast("double").alias("duration_s"))
 
 
+HORIZON_S = 86_400
+
+
+@query("incident_lags", with_(SCORED) + f"""
+, z AS (SELECT *, sum(CASE WHEN anomaly = 0 THEN 1 ELSE 0 END)
+          OVER (PARTITION BY ip ORDER BY event_ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM scored)
+, e AS (SELECT ip, min(event_ts) AS start_ts FROM z WHERE anomaly = 1 GROUP BY ip, isl)
+, d AS (SELECT e.ip, e.start_ts, (SELECT min(b.event_ts) FROM scored b WHERE b.ip = e.ip AND b.action = 'BLOCK' AND b.anomaly = 0
+          AND b.event_ts >= e.start_ts AND b.event_ts <= e.start_ts + INTERVAL {HORIZON_S} SECOND) AS detect_ts FROM e)
+, listed AS (SELECT ip, date_trunc('day', max(event_ts)) + INTERVAL 1 DAY AS listed_ts FROM scored WHERE anomaly = 1
+             GROUP BY ip, year, month, day HAVING count(*) >= 2)
+, r AS (SELECT d.*, (SELECT min(l.listed_ts) FROM listed l WHERE l.ip = d.ip AND l.listed_ts >= d.detect_ts
+          AND l.listed_ts <= d.detect_ts + INTERVAL {HORIZON_S} SECOND) AS listed_ts FROM d)
+, s AS (SELECT strftime(start_ts, '%Y-%m-%d') AS day, CAST(epoch_us(detect_ts) - epoch_us(start_ts) AS DOUBLE) / 1e6 AS ttd,
+               CAST(epoch_us(listed_ts) - epoch_us(detect_ts) AS DOUBLE) / 1e6 AS ttr FROM r)
+SELECT day, count(*) AS incidents, count(ttd) AS detected, count(ttr) AS answered, round(avg(ttd), 6) AS mttd_s, round(max(ttd), 6) AS worst_ttd_s,
+       round(avg(ttr), 6) AS mttr_s, round(max(ttr), 6) AS worst_ttr_s FROM s GROUP BY day""")
+def incident_lags(spark, sf):
+    """Per day of start: anomaly episodes, mean and worst time to detect (the
+    address's first request that a rule blocks) and to respond (its entry in
+    the list of addresses with two anomalies on a day, made when the day is over)."""
+    from gatewatch.operators import incidents as I
+    sc = _scored(spark, sf).select("row_id", "ip", "event_ts", "anomaly", "action", "year", "month", "day")
+    starts = islands(sc, ["ip"], ["event_ts", "row_id"], "anomaly", "event_ts", None).select("ip", "start_ts")
+    blocked = sc.where("action = 'BLOCK' AND anomaly = 0").select("ip", "event_ts")
+    days = ["year", "month", "day"]
+    counts = sc.where("anomaly = 1").groupBy(*days, "ip").agg(F.count(F.lit(1)).alias("cnt"), F.max("event_ts").alias("last_ts"))
+    listed = counts.where("cnt >= 2").select("ip", (F.date_trunc("day", F.col("last_ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY")).cast(sc.schema["event_ts"].dataType).alias("listed_ts"))
+    found = I.next_event(starts, blocked, "ip", "start_ts", "event_ts", "detect_ts", HORIZON_S)
+    found = I.next_event(found, listed, "ip", "detect_ts", "listed_ts", "answer_ts", HORIZON_S)
+    s = I.lag_summary(found, F.date_format("start_ts", "yyyy-MM-dd").alias("day"), "start_ts", "detect_ts", "answer_ts")
+    return s.select("day", "incidents", "detected", "answered", *[F.round(c, 6).alias(c) for c in ("mttd_s", "worst_ttd_s", "mttr_s", "worst_ttr_s")])
+
+
 @query("false_positives", with_(SCORED) + _bounds_sql() + f"""
 SELECT year, month, day, CAST(sum(CASE WHEN {_mode_sql(T_SQL)} = 'NORMAL' AND raw_score < thr THEN 1 ELSE 0 END) AS BIGINT) AS false_positives,
        CAST(sum(CASE WHEN {_mode_sql(T_SQL)} = 'NORMAL' THEN 1 ELSE 0 END) AS BIGINT) AS normal_rows
@@ -208,7 +245,7 @@ def premit_alerts(spark, sf):
     alerts per IP with their highest level."""
     from gatewatch.operators import response as RS
     c = _clocked(spark, sf)
-    lat = RK.premitigation(c, ["ip"], ["event_ts", "row_id"], None)
+    lat = RK.premitigation(c.select(*LATCH_COLS), ["ip"], ["event_ts", "row_id"], None)
     return (RS.mitigation_gate(lat).groupBy("ip")
             .agg(F.count(F.lit(1)).alias("count"), F.max("mitigation_level").alias("mitigation_level"))
             .withColumn("reason", F.lit("AI Risk")))

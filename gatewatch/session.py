@@ -151,6 +151,6 @@ def range_partitions(df) -> int:
     spark = df.sparkSession
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = plan_bytes(df)
-    if size is None:  # fall back to the setting
+    if size is None or size >= 1 << 62:  # no estimate (a frame over an RDD): the setting
         return conf
     return max(min(conf, spark.sparkContext.defaultParallelism), -(-size // partition_bytes(spark)), 1)

@@ -96,3 +96,38 @@ def test_random_sample_is_not_the_smallest_id(spark):
     from gatewatch.operators.response import sample_one
     drawn = {sample_one(spark.range(1000), "id", seed=k).first()[0] for k in range(8)}
     assert len(drawn) > 4 and drawn != {0}
+
+
+def test_cidr_sets_of_any_size(spark):
+    """Overlapping, nested, touching, /0 and /32 entries against brute force."""
+    import ipaddress
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gatewatch.operators import policy as P
+    rng = random.Random(5)
+    near = lambda: f"10.{rng.choice([1, 2])}.{rng.randrange(4)}.{rng.randrange(256)}"
+    nets = [f"{near()}/{rng.choice([32, 32, 31, 30, 28, 25, 24, 23, 22])}" for _ in range(300)] + ["10.7.0.0/16", "10.8.0.0/13", "192.168.0.0/17", "172.16.0.1"]
+    ips = [near() for _ in range(400)] + ["10.7.255.255", "10.15.3.4", "10.16.0.0", "192.168.127.255", "192.168.128.0", "172.16.0.1", "255.255.255.255", "0.0.0.0"]
+    bad = ["10.1.0.0/33", "nonsense", "10.1.0.0/-1", None, ""]
+
+    def check(cidrs):
+        held = [ipaddress.ip_network(c, strict=False) for c in cidrs]
+        df = spark.createDataFrame([(i, x, True, 1) for i, x in enumerate(ips)] + [(-1, None, True, 1), (-2, "x", True, 1)], "id int, ip string, in_set boolean, _h0 int")
+        table = spark.createDataFrame([(c,) for c in [*cidrs, *cidrs[:9], *bad]], "cidr string")
+        out = P.cidr_member_flag(df, "ip", table)
+        assert sorted(out.columns) == sorted(df.columns)
+        got = {r["id"]: r["in_set"] for r in out.collect()}
+        assert got == {i: any(ipaddress.ip_address(x) in n for n in held) for i, x in enumerate(ips)} | {-1: False, -2: False}
+        return out, table
+    out, table = check(nets)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    runs = P.cidr_intervals(table).orderBy("lo").collect()
+    assert all(a["hi"] + 1 < b["lo"] or a["bucket"] != b["bucket"] for a, b in zip(runs, runs[1:]))
+    check([*nets, "0.0.0.0/0"])
+    check(["10.1.0.0/24", "10.1.1.0/24", "10.1.0.128/25"])
+    only = P.cidr_member_flag(spark.createDataFrame([("10.7.1.1",), ("172.16.0.1",)], "ip string"), "ip", table, prefix_lengths=[32])
+    assert [r["in_set"] for r in only.orderBy("ip").collect()] == [False, True]
+    assert P.cidr_intervals(table.where(F.lit(False))).count() == 0
