@@ -6,7 +6,7 @@ and lands results with ``foreachBatch`` into folders named by batch id, so a
 replayed batch overwrites its own output (idempotent sinks).
 
 * hourly_counts   — blocks per (hour window, rule), watermark, update mode
-* latch           — pre-mitigation latch per IP (chunked scan per micro-batch)
+* latch           — pre-mitigation latch per IP in event time, late rows aside
 * respond         — running (day, ip) anomaly counts -> top IP per day ->
                     alerts + insert-if-absent /32 block list
 * score_stream    — live scoring with a broadcast forest + edge decision
@@ -25,7 +25,9 @@ from gatewatch import constants as K
 from gatewatch.operators import dashboards as D
 from gatewatch.operators import response as RS
 from gatewatch.operators import risk as RK
+from gatewatch.operators.versioned import VersionedSet
 from gatewatch.session import materialize, scratch_path
+from gatewatch.streaming.state import KeyedState, batch_ids, remove_batches
 
 WATERMARK = "10 minutes"
 
@@ -96,11 +98,7 @@ def batch_folder_sink(out: str) -> Callable[[DataFrame, int], None]:
 def landed(spark: SparkSession, out: str, schema, before: int | None = None, newest: bool = False) -> DataFrame:
     """The batches landed under ``out`` (those with an id under ``before``, or
     the newest of them); empty only when nothing has been landed. Any other failure is raised."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-    ids = sorted(int(x.split("=")[1]) for x in found if x.startswith("batch_id="))
-    ids = [i for i in ids if before is None or i < before]
+    ids = [i for i in batch_ids(spark, out) if before is None or i < before]
     if not ids:
         if schema is None:
             raise FileNotFoundError(f"nothing landed in {out}")
@@ -119,20 +117,6 @@ def latest_by_key(spark: SparkSession, out: str, key: list[str], schema=None, be
     return latest.select(*key, "_v.*")
 
 
-def snapshot(spark: SparkSession, folder: str, schema, before: int) -> DataFrame:
-    """The newest snapshot under ``folder`` of a batch before ``before``: one
-    folder is read, whatever the number of batches."""
-    df = landed(spark, folder, schema, before, newest=True)
-    return df.drop("batch_id")
-
-
-def merge_snapshot(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with the same key."""
-    cols = [c for c in new.columns if c not in key]
-    both = old.select(*key, *cols, F.lit(0).alias("_g")).unionByName(new.select(*key, *cols, F.lit(1).alias("_g")))
-    return both.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("_g")).alias("_v")).select(*key, "_v.*")
-
-
 # ------------------------------------------------------------ hourly counts
 def hourly_counts(spark: SparkSession, events: DataFrame, watermark: str = WATERMARK,
                   root: str | None = None) -> DataFrame:
@@ -150,62 +134,104 @@ def hourly_counts(spark: SparkSession, events: DataFrame, watermark: str = WATER
 
 # -------------------------------------------------------------------- latch
 LATCH_STATE = "ip string, premit_on int, sets long"
+LATCH_INPUT = "row_id long, ip string, event_ts timestamp_ntz, pred_risk double, mode string, t double"
+LATCH_ORDER = ["event_ts", "row_id"]
+
+
+def _latched(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    lat = RK.premitigation(rows, ["ip"], LATCH_ORDER, None, carry=carry, sets="sets")
+    return lat.select("row_id", "ip", "event_ts", "mode", "premit_on", "trigger", "mitigation_level", "sets")
 
 
-def latch(spark: SparkSession, events: DataFrame, cycle: float | None = None, root: str | None = None) -> DataFrame:
-    """Pre-mitigation latch per IP over a stream. Each micro-batch runs the
-    chunked scan (an IP's rows are split over tasks) in (event time, id) order,
-    starting from the state (last value, number of ONs) that the batches before
-    it left per IP; the new state is written as one snapshot per batch. A
-    replayed batch reads the same snapshot and overwrites its own folders."""
+def latch(spark: SparkSession, events: DataFrame, cycle: float | None = None, root: str | None = None,
+          delay: str = WATERMARK) -> DataFrame:
+    """Pre-mitigation latch per IP over a stream, in event time.
+
+    A row is held until the watermark (the latest event time seen, less
+    ``delay``) has passed it, so files that come out of order within the delay
+    give the answer of the batch latch. A micro-batch scans the rows that the
+    watermark has released, in (event time, id) order and in chunks (an IP's
+    rows are split over tasks), from the state (last value, number of ONs) that
+    the rows before left for these IPs; it writes the state of these IPs only.
+    Rows that come after the watermark has passed them, or have no time, are
+    left out and kept aside (``late_rows``). A replayed batch reads what the
+    batches before it left and overwrites its own folders.
+
+    The result has the released rows and, as things stand, the rows still held;
+    with a stable ``root`` a later run may still change the latter."""
     from gatewatch.sources.adapters import scored_events
     sc = scored_events(events).withColumn("t", RK.scenario_clock("event_ts", cycle))
-    sc = sc.withColumn("mode", RK.scenario_phase("t")).select("row_id", "ip", "event_ts", "pred_risk", "mode", "t")
+    sc = sc.withColumn("mode", RK.scenario_phase("t")).select("row_id", "ip", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "pred_risk", "mode", "t")
     ckpt, base = job_paths(spark, "latch", root)
-    out, state = f"{base}/rows", f"{base}/state"
+    out, held_dir, mark_dir, late_dir = (f"{base}/{x}" for x in ("rows", "held", "mark", "late"))
+    state = KeyedState(spark, f"{base}/state", ["ip"], LATCH_STATE)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        carry = snapshot(s, state, LATCH_STATE, batch_id)
-        order = ["event_ts", "row_id"]
-        lat = RK.premitigation(materialize(batch, "latch_batch"), ["ip"], order, None, carry=carry, sets="sets")
-        lat.select("row_id", "ip", "event_ts", "mode", "premit_on", "trigger", "mitigation_level", "sets") \
-            .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        done = s.read.parquet(f"{out}/batch_id={batch_id}")
-        last = done.groupBy("ip").agg(F.max_by(F.struct("premit_on", "sets"), F.struct(*order)).alias("_v"))
-        merge_snapshot(carry, last.select("ip", "_v.*"), ["ip"]) \
-            .write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        new = materialize(batch, "latch_batch")
+        before = landed(s, mark_dir, "mark timestamp_ntz", batch_id, newest=True).agg(F.max("mark").cast("string")).first()[0]
+        ts, mark = F.col("event_ts"), F.lit(before).cast("timestamp_ntz")
+        on_time = ts.isNotNull() & F.coalesce(ts >= mark, F.lit(True))
+        new.where(~on_time).write.mode("overwrite").parquet(f"{late_dir}/batch_id={batch_id}")
+        seen = F.greatest(mark, F.expr(f"max(event_ts) - INTERVAL {delay}")).alias("mark")
+        new.agg(seen).write.mode("overwrite").parquet(f"{mark_dir}/batch_id={batch_id}")
+        after = s.read.parquet(f"{mark_dir}/batch_id={batch_id}").select(F.col("mark").cast("string")).first()[0]
+        held = landed(s, held_dir, LATCH_INPUT, batch_id, newest=True).drop("batch_id")
+        pool = materialize(held.unionByName(new.where(on_time)), "latch_pool")
+        free = F.coalesce(ts < F.lit(after).cast("timestamp_ntz"), F.lit(False))
+        pool.where(~free).write.mode("overwrite").parquet(f"{held_dir}/batch_id={batch_id}")
+        ready = pool.where(free)
+        carry = state.read(batch_id).join(ready.select("ip").distinct(), "ip", "left_semi")
+        _latched(ready, carry).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        done = s.read.parquet(f"{out}/batch_id={batch_id}").where("ip IS NOT NULL")
+        last = done.groupBy("ip").agg(F.max_by(F.struct("premit_on", "sets"), F.struct(*LATCH_ORDER)).alias("_v"))
+        state.write(last.select("ip", "_v.*"), batch_id)
+        for folder in (held_dir, mark_dir):  # the batch before is needed for a replay
+            remove_batches(s, folder, batch_id - 2)
 
     run_available(sc, "latch", sink, output_mode="append", checkpoint=ckpt)
-    return landed(spark, out, "row_id long, ip string, event_ts timestamp_ntz, mode string, premit_on int, trigger int, "
-                  "mitigation_level int, sets long").drop("batch_id", "event_ts", "sets")
+    done = landed(spark, out, "row_id long, ip string, event_ts timestamp_ntz, mode string, premit_on int, trigger int, "
+                  "mitigation_level int, sets long").drop("batch_id")
+    held = landed(spark, held_dir, LATCH_INPUT, newest=True).drop("batch_id")
+    carry = state.read().join(held.select("ip").distinct(), "ip", "left_semi")
+    return done.unionByName(_latched(held, carry)).drop("event_ts", "sets")
+
+
+def late_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Rows that a latch job under ``root`` left out, with their batch_id."""
+    return landed(spark, f"{job_paths(spark, 'latch', root)[1]}/late", LATCH_INPUT)
 
 
 # ------------------------------------------------------------------ respond
+def block_list(spark: SparkSession, root: str) -> VersionedSet:
+    return VersionedSet(spark, root, "cidr", "cidr string, first_seen timestamp_ntz, hits long")
+
+
 def respond(spark: SparkSession, events: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Detect-and-respond loop. A streaming count per (day, ip) of anomalies
     lives in the aggregation state (one row per day and IP); update mode
     hands each micro-batch the (day, ip) rows whose counts changed. Counts
     only grow, so a day's top IP after the batch is the best of its previous
-    top and the batch's updated rows. The sink reads one snapshot of
-    the tops and one of the block list, as the batch before left them, writes
-    alerts for the touched days, and appends the absent /32 entries to the
-    block list. A batch reads only snapshots before it and overwrites its own
-    folders, so a replay gives the same rows. Returns (block list, alerts)."""
+    top and the batch's updated rows. The sink reads the tops as the batches
+    before left them, writes those of the touched days, their alerts, and
+    commits the absent /32 entries to the versioned block list (other writers
+    may extend it too). A batch reads only what came before it and overwrites
+    its own folders, and its commit is named by its id, so a replay changes
+    nothing. Returns (block list, alerts)."""
     from gatewatch.sources.adapters import scored_events
     sc = scored_events(events).filter((F.col("anomaly") == 1) & RS.valid_ip("ip"))
     counts = sc.groupBy("year", "month", "day", "ip").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("event_ts").alias("first_ts"))
     ckpt, out = job_paths(spark, "respond", root)
-    top_dir, block_dir, alert_dir = f"{out}/top", f"{out}/blocklist", f"{out}/alerts"
-    block_schema = "cidr string, first_seen timestamp_ntz, hits long"
-    top_schema = "year string, month string, day string, ip string, cnt long, first_ts timestamp_ntz"
+    top_dir, alert_dir = f"{out}/top", f"{out}/alerts"
     days = ["year", "month", "day"]
+    tops = KeyedState(spark, f"{out}/tops", days, "year string, month string, day string, ip string, cnt long, first_ts timestamp_ntz")
+    block = block_list(spark, f"{out}/blocklist")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         # only batches before this one: a replayed batch must not read its own rows
-        prev = snapshot(s, f"{top_dir}_all", top_schema, batch_id)
+        prev = tops.read(batch_id)
         touched = batch.select(*days).distinct()
         cand = prev.join(touched, days, "left_semi").select(*days, "ip", "cnt", "first_ts") \
             .unionByName(batch.select(*days, "ip", "cnt", "first_ts"))
@@ -214,15 +240,11 @@ def respond(spark: SparkSession, events: DataFrame, root: str | None = None) ->
         top = s.read.parquet(f"{top_dir}/batch_id={batch_id}")
         RS.alerts(top, "first_ts", "ip", "cnt", keep=[F.concat_ws("-", *days).alias("day_key")]) \
             .write.mode("overwrite").parquet(f"{alert_dir}/batch_id={batch_id}")
-        merge_snapshot(prev, top, days).write.mode("overwrite").parquet(f"{top_dir}_all/batch_id={batch_id}")
-        current = snapshot(s, block_dir, block_schema, batch_id)
-        RS.upsert(current, RS.block_candidates(top, ts="first_ts")) \
-            .write.mode("overwrite").parquet(f"{block_dir}/batch_id={batch_id}")
+        tops.write(top, batch_id)
+        block.append_absent(RS.block_candidates(top, ts="first_ts"), ("respond", batch_id))
 
     run_available(counts, "respond", sink, output_mode="update", checkpoint=ckpt)
-    block = landed(spark, block_dir, block_schema, newest=True).drop("batch_id")
-    alerts = latest_by_key(spark, alert_dir, ["day_key"])
-    return block, alerts
+    return block.read(), latest_by_key(spark, alert_dir, ["day_key"])
 
 
 # -------------------------------------------------------------- live scoring
