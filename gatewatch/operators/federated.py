@@ -92,7 +92,6 @@ def merge(node_forests: dict[str, FR.Forest], params: DataFrame, seed: int = 42)
                       "left", "right", "feature", "threshold", "n_node_samples"))
     merged = materialize(merged, "fed_nodes")
     first = next(iter(node_forests.values()))
-    offset = q.select("global_offset").first()["global_offset"]
-    n_sel = sum(f.n_trees for f in node_forests.values())
-    forest = FR.Forest(nodes=merged, features=first.features, max_samples=first.max_samples, n_trees=n_sel)
+    offset, n_sel = q.agg(F.max("global_offset"), F.sum("k")).first()
+    forest = FR.Forest(nodes=merged, features=first.features, max_samples=first.max_samples, n_trees=int(n_sel))
     return Merged(forest=forest, params=q, offset=offset)

@@ -60,6 +60,14 @@ def log_intake(spark, sf):
         F.sum(F.coalesce(F.col("action") == "BLOCK", F.lit(False)).cast("long")).alias("blocks"))
 
 
+@query("log_lines", with_(WAF) + """
+SELECT year, month, day, COUNT(*) AS lines, CAST(sum(CASE WHEN row_id % 13 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS malformed FROM waf GROUP BY 1, 2, 3""")
+def log_lines(spark, sf):
+    """Delivered lines and malformed lines per day, over all folders."""
+    logs = WL.read_json_logs(spark, f"{_delivered(spark, sf)}/*/*/*/*/")
+    return WL.count_malformed(logs, WL.PARTITIONS[:3]).withColumnRenamed("rows", "lines")
+
+
 @query("landed_day_hours", with_(WAF) + """
 SELECT strftime(date_trunc('hour', make_timestamp(ts_ms * 1000)), '%Y-%m-%d %H:%M:%S') AS block_hour,
        terminatingruleid AS rule, COUNT(*) AS cnt

@@ -35,5 +35,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     # importing the plan modules fills the registry
     from gatewatch.plans import (  # noqa: F401
-        q_dashboards, q_text, q_policy, q_stats, q_windows, q_model, q_stream, q_misc, q_intake)
+        q_dashboards, q_text, q_policy, q_stats, q_windows, q_model, q_stream, q_misc, q_intake, q_extra)
     return REGISTRY

@@ -11,6 +11,7 @@ replayed batch overwrites its own output (idempotent sinks).
                     alerts + insert-if-absent /32 block list
 * score_stream    — live scoring with a broadcast forest + edge decision
 * signals         — defense signals per 5-minute window and IP
+* signal_panes    — the panes that sliding windows are summed from
 * sessions        — anomaly sessions per IP (session_window)
 """
 
@@ -288,6 +289,20 @@ def signals(spark: SparkSession, events: DataFrame, width: str = "5 minutes",
     return latest_by_key(spark, out, ["bucket_start", "ip"])
 
 
+def signal_panes(spark: SparkSession, events: DataFrame, slide_s: int, watermark: str = WATERMARK, root: str | None = None) -> DataFrame:
+    """(pane, ip, n): anomalous requests per slide and address, one state row per
+    pane and address; sliding windows are sums of panes (``operators.panes``)."""
+    from gatewatch.sources.adapters import scored_events
+    sc = scored_events(events).filter((F.col("anomaly") == 1) & RS.valid_ip("ip"))
+    sc = sc.withColumn("ts", F.col("event_ts").cast("timestamp"))
+    agg = (sc.withWatermark("ts", watermark).groupBy(F.window("ts", f"{slide_s} seconds").alias("w"), "ip")
+           .agg(F.count(F.lit(1)).alias("n")))
+    flat = agg.select(F.unix_seconds("w.start").alias("pane"), "ip", "n")
+    ckpt, out = job_paths(spark, "panes", root)
+    run_available(flat, "panes", batch_folder_sink(out), output_mode="update", checkpoint=ckpt)
+    return latest_by_key(spark, out, ["pane", "ip"])
+
+
 # ----------------------------------------------------------------- sessions
 def sessions(spark: SparkSession, events: DataFrame, gap: str = "30 minutes",
              watermark: str = WATERMARK, root: str | None = None) -> DataFrame:
