@@ -56,12 +56,24 @@ def chain(conversations: DataFrame) -> DataFrame:
     return rows.select("tree", node.alias("node"), F.when(node > 1, node - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def one_per_node(messages: DataFrame) -> DataFrame:
+    """One row per (tree, node): of repeated ones the smallest by parent (null
+    first), role, text and score. Rows without a node are left out."""
+    rest = ["parent", "role", "text", "score"]
+    least = messages.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("_m"))
+    return least.select("tree", "node", *[F.col(f"_m.{c}") for c in rest])
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for every message on every root-to-leaf path;
-    ``up`` counts from the leaf. Messages whose parent is missing are roots.
-
-    Round k joins the current paths' pieces with pointers that reach 2^k up;
-    only ids are shuffled."""
+    ``up`` counts from the leaf. (tree, node) must be unique. Messages whose
+    parent is missing are roots. A branch whose parents run into a cycle has no
+    root: it is on no path, nor are the messages of the cycle.
+
+    Pointers that reach 2^k up are doubled first; the ones still alive after as
+    many steps as the largest tree has messages mark such branches. Then round k
+    joins the current paths' pieces with the pointers of 2^k. Only ids are
+    shuffled."""
     ids = materialize(messages.select("tree", "node", "parent"), "chat-nodes")
     known = ids.select(F.col("tree").alias("_kt"), F.col("node").alias("_kn"))
     up = ids.join(known, F.col("tree").eqNullSafe(F.col("_kt")) & (F.col("parent") == F.col("_kn")), "left").select(
@@ -69,15 +81,21 @@ def paths(messages: DataFrame) -> DataFrame:
     parents = ids.select(F.col("tree").alias("_kt"), F.col("parent").alias("_kn")).where("_kn IS NOT NULL").distinct()
     grown = ids.join(parents, F.col("tree").eqNullSafe(F.col("_kt")) & (F.col("node") == F.col("_kn")), "left_anti").select(
         "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    most = ids.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    same = F.col("tree").eqNullSafe(F.col("_kt"))
     # pointers that still lead to a message; a message leaves when its pointer passes the root
-    reach, up = 1, materialize(up.where("to IS NOT NULL"), "chat-up")
-    while not up.isEmpty():
-        step = up.select(F.col("tree").alias("_kt"), F.col("node").alias("_kn"), F.col("to").alias("_to"))
-        on = F.col("tree").eqNullSafe(F.col("_kt"))
-        more = grown.join(step, on & (F.col("node") == F.col("_kn"))).select("tree", "leaf", F.col("_to").alias("node"), (F.col("up") + reach).alias("up"))
-        grown = materialize(grown.unionByName(more), "chat-paths")
-        up = materialize(up.join(step, on & (F.col("to") == F.col("_kn"))).select("tree", "node", F.col("_to").alias("to")), "chat-up")
+    ups, reach = [materialize(up.where("to IS NOT NULL"), "chat-up")], 1
+    while not ups[-1].isEmpty() and reach <= most:
+        step = ups[-1].select(F.col("tree").alias("_kt"), F.col("node").alias("_kn"), F.col("to").alias("_to"))
+        ups.append(materialize(ups[-1].join(step, same & (F.col("to") == F.col("_kn"))).select("tree", "node", F.col("_to").alias("to")), "chat-up"))
         reach *= 2
+    lost = ups.pop().select(F.col("tree").alias("_kt"), F.col("node").alias("_kn"))
+    if not lost.isEmpty():
+        grown = grown.join(lost, same & (F.col("leaf") == F.col("_kn")), "left_anti")
+    for k, step in enumerate(ups):
+        step = step.select(F.col("tree").alias("_kt"), F.col("node").alias("_kn"), F.col("to").alias("_to"))
+        more = grown.join(step, same & (F.col("node") == F.col("_kn"))).select("tree", "leaf", F.col("_to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        grown = materialize(grown.unionByName(more), "chat-paths")
     return grown
 
 
@@ -110,9 +128,10 @@ def format_paths(messages: DataFrame, grown: DataFrame, chosen: DataFrame) -> Da
                        F.array_compact(F.transform("ts", lambda t: t["span"])).alias("loss"))
 
 
-def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
-    """Reply trees -> formatted conversations."""
-    messages = materialize(messages, "chat-messages")
+def format_trees(messages: DataFrame, top: int | None = None, unique: bool = False) -> DataFrame:
+    """Reply trees -> formatted conversations. ``unique`` says that (tree, node)
+    does not repeat, as in ``chain``; else one row of each counts."""
+    messages = materialize(messages if unique else one_per_node(messages), "chat-messages")
     grown = paths(messages)
     return format_paths(messages, grown, choose_paths(messages, grown, top))
 

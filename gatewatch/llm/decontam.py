@@ -45,37 +45,42 @@ SHARE = 20
 
 
 class TestBlock:
-    """Distinct suffixes of some test items, as a matrix of word ids."""
+    """Suffixes of some test items: one flat array of word ids with a 0 after
+    every item, and where each suffix begins and ends. Memory is linear in the
+    words (a window's words are held once per distinct window)."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-        suffixes: dict[tuple, int] = {}
-        windows: dict[tuple, tuple[set, set]] = {}
-        self.places = []  # (item_id, offset, suffix row)
-        for item, ws in items:
-            ids, w = tuple(self.vocab[x] for x in ws), min(window, len(ws))
-            for k in range(len(ids)):
-                row = suffixes.setdefault(ids[k:], len(suffixes))
-                self.places.append((item, k, row))
-                if len(ids) - k >= w:
-                    found, rows = windows.setdefault(ids[k:k + w], (set(), set()))
-                    found.add(item)
-                    rows.add(row)
-        self.rows = list(suffixes)
-        self.depth = max([len(x) for x in self.rows], default=1)
-        self.matrix = np.zeros((len(self.rows), self.depth), np.int32)
-        for k, x in enumerate(self.rows):
-            self.matrix[k, :len(x)] = x
-        self.lens = np.array([len(x) for x in self.rows], np.int64)
-        self.width = max([len(x) for x in windows], default=1)
-        self.wmatrix = np.zeros((len(windows), self.width), np.int32)
-        for k, x in enumerate(windows):
-            self.wmatrix[k, :len(x)] = x
-        self.wlens = np.array([len(x) for x in windows], np.int64)
-        self.witems = [sorted(x, key=str) for x, _ in windows.values()]
-        self.wrows = [sorted(x) for _, x in windows.values()]  # suffixes that start with the window
+        sizes = np.array([len(ws) for _, ws in items], np.int64)
+        begin = np.cumsum(sizes + 1) - sizes - 1 if len(items) else np.empty(0, np.int64)
+        self.depth = int(sizes.max()) if len(items) else 1
+        self.flat = np.zeros(int((sizes + 1).sum()), np.int32)
+        for (_, ws), a in zip(items, begin.tolist()):
+            self.flat[a:a + len(ws)] = [self.vocab[x] for x in ws]
+        self.names = [i for i, _ in items]
+        self.starts = np.concatenate([np.arange(a, a + n) for a, n in zip(begin, sizes)]) if len(items) else np.empty(0, np.int64)
+        self.owner = np.repeat(np.arange(len(items)), sizes)  # item of a suffix
+        self.ends = np.repeat(begin + sizes, sizes)
+        self.offset = self.starts - np.repeat(begin, sizes)
+        self.lens = self.ends - self.starts
+        # distinct windows, and the suffixes that start with each
+        width = np.minimum(window, np.repeat(sizes, sizes))
+        full = np.flatnonzero(self.lens >= width)
+        self.width = int(width.max()) if len(width) else 1
+        words = self.words(full, width[full], self.width)
+        self.wmatrix, back = np.unique(words, axis=0, return_inverse=True) if len(full) else (words, np.empty(0, np.int64))
+        order = np.argsort(back.reshape(-1), kind="stable")
+        self.wrows = full[order]
+        self.wbegin = np.concatenate([[0], np.cumsum(np.bincount(back.reshape(-1), minlength=len(self.wmatrix)))]).astype(np.int64)
+        self.wlens = (self.wmatrix > 0).sum(1).astype(np.int64)
+
+    def words(self, rows: np.ndarray, lens: np.ndarray, width: int) -> np.ndarray:
+        """The first ``lens`` words of some suffixes as a matrix, 0 beyond."""
+        span = np.arange(width)
+        at = np.minimum(self.starts[rows][:, None] + span, max(len(self.flat) - 1, 0))
+        return np.where(span < lens[:, None], self.flat[at], 0).astype(np.int32) if len(rows) else np.zeros((0, width), np.int32)
 
 
 class SuffixArray:
@@ -162,28 +167,47 @@ class SuffixArray:
             todo = todo[lo[todo] < hi[todo]]
         return np.where(done_hi & right, hi, lo)
 
-    def common(self, q: np.ndarray, lens: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """Words that each row of ``q`` shares with the text at ``pos``."""
-        out, span = np.zeros(len(q), np.int64), np.arange(q.shape[1])
-        for a in range(0, len(q), 8192):
-            b = slice(a, a + 8192)
-            differs = (self.ids[pos[b][:, None] + span] != q[b]) | (span >= lens[b][:, None])
-            out[b] = np.where(differs.any(1), differs.argmax(1), q.shape[1])
+    def common(self, block: TestBlock, rows: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Words that each suffix shares with the text at its place, compared in
+        stretches that double as long as they agree."""
+        out, width = np.zeros(len(rows), np.int64), 32
+        live = np.arange(len(rows))
+        while len(live):
+            going = []
+            for a in range(0, len(live), max(1, (1 << 20) // width)):
+                k = live[a:a + max(1, (1 << 20) // width)]
+                n = np.minimum(width, block.lens[rows[k]] - out[k])
+                span = np.arange(width)
+                x = block.flat[np.minimum(block.starts[rows[k]][:, None] + out[k][:, None] + span, len(block.flat) - 1)]
+                t = self.ids[np.minimum(pos[k][:, None] + out[k][:, None] + span, len(self.ids) - 1)]
+                differs = (t != x) | (span >= n[:, None])
+                same = np.where(differs.any(1), differs.argmax(1), width)
+                out[k] += same
+                going.append(k[(same == width) & (out[k] < block.lens[rows[k]])])
+            live = np.concatenate(going)
+            width *= 2
         return out
 
-    def longest(self, q: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Length and place of each row's longest match."""
-        best, where = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-        if not len(self.sa) or not len(q):
+    def longest(self, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
+        """Length and place of every suffix's longest match: binary search for
+        its place in the array, whose neighbours share the most with it."""
+        best, where = np.zeros(len(block.starts), np.int64), np.zeros(len(block.starts), np.int64)
+        if not len(self.sa):
             return best, where
-        low, _ = self._packed(q, np.maximum(lens, self.packed))
-        lo, hi = np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, low, "right")
-        at = self._search(q, np.maximum(lens, self.packed + 1), lo, hi, False)
-        for k in (at - 1, at):
-            ok = (k >= 0) & (k < len(self.sa))
-            p = self.sa[np.clip(k, 0, len(self.sa) - 1)]
-            n = np.where(ok, self.common(q, lens, p), 0)
-            where, best = np.where(n > best, p, where), np.maximum(n, best)
+        step = max(1, (1 << 20) // block.depth)
+        for a in range(0, len(best), step):
+            rows = np.arange(a, min(a + step, len(best)))
+            lens = block.lens[rows]
+            q = block.words(rows, lens, int(lens.max()))
+            low, _ = self._packed(q, np.maximum(lens, self.packed))
+            lo, hi = np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, low, "right")
+            at = self._search(q, np.maximum(lens, self.packed + 1), lo, hi, False)
+            for k in (at - 1, at):
+                ok = (k >= 0) & (k < len(self.sa))
+                p = self.sa[np.clip(k, 0, len(self.sa) - 1)]
+                n = np.where(ok, self.common(block, rows, p), 0)
+                where[rows] = np.where(n > best[rows], p, where[rows])
+                best[rows] = np.maximum(n, best[rows])
         return best, where
 
 
@@ -224,16 +248,17 @@ def search_shard(docs: list[list[bytes]], block: TestBlock):
         return hit, items, longest, place
     lo, hi = sa.bounds(block.wmatrix, block.wlens)
     delta = np.zeros(len(ids) + 1, np.int32)
-    sa.ids = np.concatenate([ids, np.zeros(block.depth + 64, np.int32)])
     for w in np.flatnonzero(hi > lo):  # all places of one window at a time
         pos = np.sort(sa.sa[lo[w]:hi[w]])
         np.add.at(delta, pos, 1)
         np.add.at(delta, pos + block.wlens[w], -1)
         owner = np.searchsorted(starts, pos, "right") - 1
+        rows = block.wrows[block.wbegin[w]:block.wbegin[w + 1]]
+        found = {block.names[i] for i in np.unique(block.owner[rows])}
         for d in np.unique(owner):
-            items[d].update(block.witems[w])
-        for r in block.wrows[w]:
-            n = sa.common(np.broadcast_to(block.matrix[r], (len(pos), block.depth)), np.full(len(pos), block.lens[r]), pos)
+            items[d].update(found)
+        for r in rows:
+            n = sa.common(block, np.full(len(pos), r), pos)
             for k in np.flatnonzero(n > longest[owner]):
                 if n[k] > longest[owner[k]]:
                     longest[owner[k]], place[owner[k]] = n[k], pos[k] - starts[owner[k]]
@@ -330,9 +355,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text
                 for begin, words in _shards(batch.column(1).to_pylist()):
                     ids, starts = _ids(words, block.vocab)
                     sa = SuffixArray(ids, len(block.vocab), block.depth)
-                    n, at = sa.longest(block.matrix, block.lens)
+                    n, at = sa.longest(block)
                     d = np.searchsorted(starts, at, "right") - 1
-                    rows = [(i, k, int(n[r]), owners[begin + int(d[r])], int(at[r] - starts[d[r]])) for i, k, r in block.places if n[r]]
+                    rows = [(block.names[block.owner[r]], int(block.offset[r]), int(n[r]), owners[begin + int(d[r])], int(at[r] - starts[d[r]])) for r in np.flatnonzero(n)]
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(5)], names=[f.name for f in schema.fields])
 
         part = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)

@@ -31,7 +31,8 @@ map-side-combined minima and by joins that AQE splits; blocks are salted.
 Documents without words form classes by equal text only; null texts are equal
 to each other. Null ids are allowed. A class carries its smallest id (null when
 all are), which does not identify it: an id may occur with unrelated texts. Its
-key is its smallest text digest. Repeated rows are copies. Extra columns are ignored or passed through.
+key is its smallest text digest. Repeated rows are copies. Extra columns are
+ignored or passed through; only names that begin ``__near_`` are taken.
 """
 
 from __future__ import annotations
@@ -296,15 +297,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One document of every class, the one with the smallest id (any before
-    null), then the smallest digest; columns of ``docs``. Rows repeated with
-    that id and text leave one."""
+    null), then the smallest digest; columns of ``docs``, whose names must not
+    begin ``__near_``. Rows repeated with that id and text leave one."""
     found = near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id")))
-    keep = found.groupBy("class_key").agg(F.first("class_id").alias("__near_c"), F.min("digest").alias("_d"), F.count(F.lit(1)).alias("_n"))
+    keep = found.groupBy("class_key").agg(F.first("class_id").alias("__near_c"), F.min("digest").alias("__near_k"), F.count(F.lit(1)).alias("__near_n"))
     keep = materialize(keep.drop("class_key"), "near-keep")
     digest = F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))
     hit = docs.withColumn("__near_d", digest).join(
-        broadcast_if_small(keep, 40), (F.col("__near_d") == F.col("_d")) & F.col(id_col).eqNullSafe(F.col("__near_c")))
+        broadcast_if_small(keep, 40), (F.col("__near_d") == F.col("__near_k")) & F.col(id_col).eqNullSafe(F.col("__near_c")))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    once = hit.where("_n = 1").select(*cols)
-    more = hit.where("_n > 1").dropDuplicates(["__near_d"]).select(*cols)  # a digest is in one class only
+    once = hit.where("__near_n = 1").select(*cols)
+    more = hit.where("__near_n > 1").dropDuplicates(["__near_d"]).select(*cols)  # a digest is in one class only
     return once.unionByName(more)

@@ -78,7 +78,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("""SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text
                          FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)""")
     rows = source_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    made = materialize(chat.format_trees(chat.chain(rows)), "chat-formatted")
+    made = materialize(chat.format_trees(chat.chain(rows), unique=True), "chat-formatted")
     back = chat.read_back(made)
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(

@@ -71,7 +71,8 @@ def directory(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
 def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   limit: int = MAX_SHARD_BYTES) -> DataFrame:
     """All columns of ``df`` plus ``shard`` ('s' and the bits of its prefix),
-    ``shard_bytes`` and ``shard_docs``."""
+    ``shard_bytes`` and ``shard_docs``; columns of ``df`` with these names are
+    replaced. Names that begin ``__shard_`` are taken."""
     h = hash_of(F.col(id_col), F.col(text_col))
     sizes = materialize(df.select(h.alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")),
                         "shard-sizes")
@@ -86,7 +87,7 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depth = leaf["depth"]
     bits = F.expr(f"shiftright(__shard_h, {HASH_BITS} - coalesce({', '.join(found)}).depth)")
     return out.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "shard_bytes", "shard_docs")],
         F.when(depth == 0, F.lit("s")).otherwise(F.concat(F.lit("s"), F.lpad(F.bin(bits), depth, "0"))).alias("shard"),
         leaf["bytes"].alias("shard_bytes"), leaf["docs"].alias("shard_docs"))
 

@@ -79,3 +79,16 @@ def test_longest_matches(spark):
     r = got[(5, 0)]
     w = [t for j, t, _ in rows if j == r["doc_id"]][0]
     assert [x.decode() for x in tokens(w)][r["at"]:r["at"] + r["length"]] == [x.decode() for x in tokens(items[5][1])][:r["length"]]
+
+
+def test_long_items_take_linear_memory(spark):
+    """An item of 30,000 words, one of them in a document; beside brute force
+    on the place and length of the longest match."""
+    rng = random.Random(8)
+    x = [f"w{rng.randrange(9000)}" for _ in range(30_000)]
+    block = D.TestBlock([(1, [w.encode() for w in x]), (2, [b"two", b"words"])])
+    assert sum(v.nbytes for v in vars(block).values() if isinstance(v, np.ndarray)) < 5_000_000
+    docs = [["own"] * 5 + x[12_000:15_000] + ["end"], ["two", "words"], x[:12], x[-13:], []]
+    hit, items, longest, place = D.search_shard([[w.encode() for w in d] for d in docs], block)
+    assert [int(h.sum()) for h in hit] == [3000, 2, 0, 13, 0] and items == [{1}, {2}, set(), {1}, set()]
+    assert longest.tolist() == [3000, 2, 0, 13, 0] and place[0] == 5
