@@ -3,6 +3,14 @@
 Each stage is one of the operators of ``gatewatch.llm`` over all that the
 stage before has kept; its result is written as Parquet and read back as the
 next one's documents.
+
+The stages take a table with the columns of ``documents`` and return these
+columns; others are left out, whatever their names. Null and empty texts have
+no words: they are not toxic by their text, are copies of each other, hold no
+benchmark window, weigh nothing in the mix (so it never takes them), and lie in
+a shard of their hash. Null ids are allowed. Repeated rows are copies, of which
+near_dedup keeps one. Ties are broken by id, then by the text's digest. An empty
+table stays empty in every stage.
 """
 
 from __future__ import annotations
