@@ -1,29 +1,40 @@
-"""Line dedup by content-defined, overlapping chunks.
-
-Every MIN_LINES neighbouring lines are a chunk, so chunks overlap. They are cut
-by their lines alone, shift along with the text, and are the same wherever a
-passage stands; none of a passage's lines hangs on where a boundary falls. A
-chunk that occurs again anywhere is removed, except its first occurrence
-(smallest id, then text digest, then line), after their bytes are compared.
-So every later copy of a passage of MIN_LINES lines or more goes whole. A
-repeated line between lines that do not repeat with it stays. The text of a
-removed line always stays at an earlier place.
+"""Line dedup by content-defined chunks of lines.
+
+Only lines with a word count; blank ones are neither hashed nor compared. A
+hash rolls over the hashes of WINDOW neighbouring lines. Wherever a stretch of
+lines holds more than PASSAGE_WORDS words (and WINDOW lines), the place of its
+smallest rolling hash is a boundary: the stretch alone decides, so boundaries
+shift along with the text, and every passage of that size has the same ones
+wherever it stands. At each boundary a chunk of WINDOW lines begins. A chunk
+that occurs again anywhere is compared byte by byte with its first occurrence
+(smallest id, then text digest, then line), then extended to both sides, line
+by line, as long as the lines there are the same bytes. A copy's neighbours
+further out than PASSAGE_WORDS words have a chunk of their own, so extending
+that far joins the chunks of a passage without a gap.
+
+The matched lines of every later copy go, with blank lines between them. The
+two lines of a first occurrence that others are compared with stay, so no
+chunk is torn apart in the place where it is kept. So every later copy of a
+passage of WINDOW lines and more than PASSAGE_WORDS words goes whole, but for
+such lines; of a shorter one, if its boundary falls alike. A line that repeats
+without its neighbours stays, and the text of a removed line always stays at
+an earlier place.
 
 Steps: one pass emits (chunk hash, document, line); a map-side-combined
-aggregate finds repeated hashes and each one's first occurrence; chunk texts
-are made for those only, from the documents that hold them, and compared byte
-by byte with the first occurrence's, by a join that AQE splits when a chunk is
-in very many documents; overlapping removals of a document are merged into
-runs and joined back to its text.
-
-Null texts stay null, empty ones empty; both have no chunk to remove (an empty
-text has one empty line). Rows equal in id and text are one document and are
-treated alike. Extra columns pass through; internal ones begin ``__ld_``.
+aggregate finds repeated hashes and each one's first occurrence; the lines of
+those only, and the few around them, are read from the documents that hold
+them and compared by a join that AQE splits when a chunk is in very many
+documents; a document's removed lines become runs and are joined back to it.
+
+Null texts stay null, empty ones empty; both have no chunk. Rows equal in id
+and text are one document and are treated alike. Extra columns pass through;
+internal ones begin ``__ld_``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,40 +43,87 @@ from pyspark.sql import types as T
 
 from gatewatch.llm.common import broadcast_if_small, materialize, prepare
 
-MIN_LINES = 2
-
-
-def chunks(text: str | None) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of the chunks of a text."""
-    if text is None:
-        return []
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    cut = ((a, lines[a:a + MIN_LINES]) for a in range(len(lines) - MIN_LINES + 1))
-    return [(a, MIN_LINES, b"\n".join(x)) for a, x in cut if any(y.strip() for y in x)]
+WINDOW = 2
+PASSAGE_WORDS = 16
+BASE = 0x9E3779B97F4A7C15
+MASK = (1 << 64) - 1
+
+
+def worded_lines(text: str | None) -> tuple[list[int], list[bytes], list[int]]:
+    """Number, bytes and word count of the lines that have a word."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+    n = [len(x.split()) for x in lines]
+    at = [k for k, m in enumerate(n) if m]
+    return at, [lines[k] for k in at], [n[k] for k in at]
+
+
+def rolling(lines: list[bytes]) -> list[int]:
+    """The hash of every WINDOW neighbouring lines, rolled over line hashes."""
+    each = [zlib.crc32(x) + 1 for x in lines]
+    top, h, out = pow(BASE, WINDOW, 1 << 64), 0, []
+    for k, x in enumerate(each):
+        h = (h * BASE + x - (each[k - WINDOW] * top if k >= WINDOW else 0)) & MASK
+        if k >= WINDOW - 1:
+            out.append(((h ^ (h >> 31)) * BASE & MASK) >> 16)
+    return out
+
+
+def boundaries(lines: list[bytes], words: list[int], passage_words: int = PASSAGE_WORDS) -> list[int]:
+    """Where chunks begin: the place of the smallest rolling hash (the first
+    of equals) of every shortest stretch over ``passage_words``."""
+    roll, out, end, held = rolling(lines), set(), 0, 0
+    for a in range(len(roll)):
+        while end < len(lines) and (held <= passage_words or end < a + WINDOW):
+            held += words[end]
+            end += 1
+        if held <= passage_words or end < a + WINDOW:
+            break
+        out.add(min(range(a, end - WINDOW + 1), key=roll.__getitem__))
+        held -= words[a]
+    return sorted(out)
+
+
+def around(words: list[int], at: int, passage_words: int = PASSAGE_WORDS) -> tuple[int, int]:
+    """How many lines before and after the chunk at ``at`` are within
+    ``passage_words`` words of it."""
+    left, held = at, 0
+    while left > 0 and held + words[left - 1] <= passage_words:
+        left -= 1
+        held += words[left]
+    end = right = at + WINDOW
+    held = 0
+    while right < len(words) and held + words[right] <= passage_words:
+        held += words[right]
+        right += 1
+    return at - left, right - end
 
 
 def _digest(c: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(c, F.lit(""))))
 
 
-def removals(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, digest, gone): documents with chunks to remove; gone is an array of
+def removals(docs: DataFrame, id_col="doc_id", text_col="text", passage_words: int = PASSAGE_WORDS, digest_bytes: int = 16) -> DataFrame:
+    """(id, d, gone): documents with lines to remove; gone is an array of
     (first line, lines)."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("d"), F.col(text_col).alias("t")).where("t IS NOT NULL")
 
     def narrow(batches):
         for batch in batches:
-            at, h, line, n = [], [], [], []
+            at, h, line = [], [], []
             for k, t in enumerate(batch.column(2).to_pylist()):
-                for a, m, b in chunks(t):
-                    at.append(k), h.append(hashlib.blake2b(b, digest_size=16).digest()), line.append(a), n.append(m)
+                place, lines, words = worded_lines(t)
+                for a in boundaries(lines, words, passage_words):
+                    at.append(k), line.append(place[a])
+                    h.append(hashlib.blake2b(b"\n".join(lines[a:a + WINDOW]), digest_size=digest_bytes).digest())
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32())], names=["h", "id", "d", "line"])
 
     id_type = src.schema["id"].dataType
     found = src.mapInArrow(narrow, T.StructType().add("h", "binary").add("id", id_type).add("d", "binary").add("line", "integer"))
-    first = found.groupBy("h").agg(F.min(F.struct("id", "d", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # two places or more: a repeated row is one document
+    place = F.struct("id", "d", "line")
+    first = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT first <=> last")
     first = materialize(first.select("h", "first"), "lines-repeated")
 
     hits = materialize(found.join(broadcast_if_small(first, 64), "h").withColumn(
@@ -74,33 +132,47 @@ def removals(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     def bodies(batches):
         for batch in batches:
-            at, h, line, first, body = [], [], [], [], []
+            at, rows = [], []
             for k, (t, want) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                own = t.encode("utf-8", "surrogatepass").split(b"\n")
+                place, lines, words = worded_lines(t)
+                number = {x: a for a, x in enumerate(place)}
                 for x in want:
-                    at.append(k), h.append(x["h"]), line.append(x["line"]), first.append(x["is_first"])
-                    body.append(b"\n".join(own[x["line"]:x["line"] + MIN_LINES]))
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()),
-                                              pa.array(first, pa.bool_()), pa.array(body, pa.binary())], names=["h", "id", "d", "line", "is_first", "body"])
-
+                    a = number[x["line"]]
+                    b = a + WINDOW
+                    before, after = around(words, a, passage_words)
+                    at.append(k)
+                    rows.append({"h": x["h"], "is_first": x["is_first"], "body": b"\n".join(lines[a:b]),
+                                 "before": lines[a - before:a][::-1], "after": lines[b:b + after], "place": place[a - before:b + after], "own": before})
+            at, made = pa.array(at, pa.int64()), pa.RecordBatch.from_pylist(rows, made_schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made.columns], names=["id", "d", *made_schema.names])
+
+    made_schema = pa.schema([("h", pa.binary()), ("is_first", pa.bool_()), ("body", pa.binary()), ("before", pa.list_(pa.binary())),
+                             ("after", pa.list_(pa.binary())), ("place", pa.list_(pa.int32())), ("own", pa.int32())])
+    lists = T.ArrayType(T.BinaryType())
     held = src.join(want, F.col("id").eqNullSafe(F.col("wi")) & (F.col("d") == F.col("wd"))).select("id", "d", "t", "want")
-    text = materialize(held.mapInArrow(bodies, T.StructType().add("h", "binary").add("id", id_type).add("d", "binary").add("line", "integer")
-                                       .add("is_first", "boolean").add("body", "binary")), "lines-chunks")
-    keeper = text.where("is_first").select("h", F.col("body").alias("kept")).dropDuplicates(["h"])
-    gone = text.where("NOT is_first").select("h", "id", "d", "line", "body").join(keeper, "h").where("body = kept")
-    gone = gone.groupBy("id", "d").agg(F.sort_array(F.collect_set("line")).alias("s"))
-    # chunks that overlap or touch are one run
-    return gone.select("id", "d", F.expr(f"""zip_with(
-        filter(s, (x, k) -> k = 0 OR x - s[k - 1] > {MIN_LINES}),
-        filter(s, (x, k) -> k = size(s) - 1 OR s[k + 1] - x > {MIN_LINES}),
-        (a, b) -> named_struct('line', a, 'n', b + {MIN_LINES} - a))""").alias("gone"))
-
-
-def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    text = materialize(held.mapInArrow(bodies, T.StructType().add("id", id_type).add("d", "binary").add("h", "binary").add("is_first", "boolean").add("body", "binary")
+                                       .add("before", lists).add("after", lists).add("place", T.ArrayType(T.IntegerType())).add("own", "integer")), "lines-chunks")
+    keeper = text.where("is_first").select("h", F.struct("body", "before", "after").alias("kept")).dropDuplicates(["h"])
+    # lines alike from the chunk outwards: up to the first pair that differs
+    alike = lambda side: f"array_position(zip_with({side}, kept.{side}, (x, y) -> x <=> y), false)"
+    reach = lambda side: F.expr(f"CAST(if({alike(side)} = 0, size({side}), {alike(side)} - 1) AS int)")
+    copies = (text.where("NOT is_first").join(keeper, "h").where("body = kept.body")
+              .select("id", "d", "place", "own", reach("before").alias("l"), reach("after").alias("r"))
+              .select("id", "d", F.expr(f"struct(place[own - l] AS a, place[own + {WINDOW - 1} + r] AS b)").alias("gone"), F.lit(None).alias("safe")))
+    firsts = text.where("is_first").select("id", "d", F.lit(None).alias("gone"), F.expr(f"struct(place[own] AS a, place[own + {WINDOW - 1}] AS b)").alias("safe"))
+    spread = lambda c: F.flatten(F.transform(F.collect_set(c), lambda x: F.sequence(x["a"], x["b"])))
+    gone = copies.unionByName(firsts).groupBy("id", "d").agg(F.sort_array(F.array_except(spread("gone"), spread("safe"))).alias("s")).where("size(s) > 0")
+    # neighbouring lines are one run
+    return gone.select("id", "d", F.expr("""zip_with(
+        filter(s, (x, k) -> k = 0 OR x - s[k - 1] > 1),
+        filter(s, (x, k) -> k = size(s) - 1 OR s[k + 1] - x > 1),
+        (a, b) -> named_struct('line', a, 'n', b + 1 - a))""").alias("gone"))
+
+
+def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", passage_words: int = PASSAGE_WORDS, digest_bytes: int = 16) -> DataFrame:
     """All columns of ``docs`` with the text cleaned, plus ``__ld_lines``,
-    ``__ld_removed_lines`` and ``__ld_removed_chunks`` (runs of chunks)."""
-    gone = materialize(removals(docs, id_col, text_col).select(F.col("id").alias("__ld_i"), F.col("d").alias("__ld_d"), F.col("gone").alias("__ld_gone")), "lines-gone")
+    ``__ld_removed_lines`` and ``__ld_removed_chunks`` (runs of removed lines)."""
+    gone = materialize(removals(docs, id_col, text_col, passage_words, digest_bytes).select(F.col("id").alias("__ld_i"), F.col("d").alias("__ld_d"), F.col("gone").alias("__ld_gone")), "lines-gone")
     t = F.col(text_col)
     out = docs.withColumn("__ld_k", _digest(t)).join(
         broadcast_if_small(gone, 64, "__ld_gone", 24), F.col(id_col).eqNullSafe(F.col("__ld_i")) & (F.col("__ld_k") == F.col("__ld_d")) & t.isNotNull(), "left")

@@ -1,4 +1,5 @@
 """Line dedup, near-duplicates, toxicity, the pipeline."""
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -15,32 +16,87 @@ SF = "/root/testdata/sf0.01"
 
 
 def _clean(rows):
-    """Brute force of line dedup over distinct (id, text) rows."""
+    """Brute force over distinct (id, text) rows, every two neighbouring worded lines a chunk."""
     places = defaultdict(list)
     for i, t in set(rows):
-        for a, n, b in L.chunks(t):
-            places[b].append((i is not None, i or 0, __import__("hashlib").md5(t.encode()).digest(), a, n, t, i))
-    gone = defaultdict(set)
+        lines = (t or "").split("\n")
+        worded = [k for k, x in enumerate(lines) if x.split()]
+        for a, b in zip(worded, worded[1:]):
+            places[lines[a], lines[b]].append((i is not None, i or 0, hashlib.md5(t.encode()).digest(), a, b, (i, t)))
+    gone, safe = defaultdict(set), defaultdict(set)
     for v in places.values():
-        for _, _, _, a, n, t, i in sorted(v, key=lambda x: x[:4])[1:]:
-            gone[(i, t)] |= set(range(a, a + n))
-    return Counter((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[(i, t)])) for i, t in rows)
+        for k, (*_, a, b, doc) in enumerate(sorted(v, key=lambda x: x[:4])):
+            if k:
+                gone[doc] |= set(range(a, b + 1))
+            elif len(v) > 1:
+                safe[doc] |= set(range(a, b + 1))
+    return Counter((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[(i, t)] - safe[(i, t)])) for i, t in rows)
 
 
-def test_line_dedup(spark):
+def _repeating(pad):
     rng = random.Random(3)
-    block = [f"shared line {k} of a passage" for k in range(30)]
-    rows = [(k, "\n".join([f"own {k} {j}" for j in range(rng.randrange(6))] + block + [f"end {k}"])) for k in range(12)]
-    rows += [(50, None), (51, ""), (52, "\n\n\n"), (53, "\n".join(block[:3])), (None, rows[0][1]), (3, rows[3][1]), (54, "z\n" * 50_000), (55, rows[0][1])]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, line int")
-    out = L.drop_repeated_chunks(docs)
-    got = out.collect()
-    assert out.columns[:3] == docs.columns
-    assert Counter((r["doc_id"], r["text"]) for r in got) == _clean(rows)
-    lines = lambda rs: sum((t or "").count("shared line") for t in rs)
-    # shift resistant: most of the passage goes, wherever it stands (row 3 is there twice)
-    assert lines(r["text"] for r in got) <= 0.8 * lines(t for _, t in rows)
-    assert L.drop_repeated_chunks(docs.limit(0)).count() == 0
+    block = [f"shared line {k} of a passage{pad}" for k in range(30)]
+    rows = [(k, "\n".join([f"own {k} {j}{pad}" for j in range(rng.randrange(6))] + block[:rng.choice([30, 30, 7])] + [f"end {k}{pad}"])) for k in range(12)]
+    rows += [(50, None), (51, ""), (52, "\n\n\n"), (53, "\n \n".join(block[:3])), (None, rows[0][1]), (3, rows[3][1]), (54, f"z{pad}\n" * 20_000), (55, rows[0][1])]
+    # a line alone between blank ones, a line before and after a passage that repeat elsewhere
+    rows += [(60 + k, f"own {k}{pad}\n\nalone{pad}\n\nmore {k}{pad}") for k in range(3)]
+    rows += [(70 + k, "\n".join(x + pad for x in t.split())) for k, t in enumerate(("Z A q1", "Z A B q2", "w3 A B q3"))]
+    return rows
+
+
+def test_line_dedup(spark):
+    for pad, words in (("", 0), (" as a rather long line of ten words", L.PASSAGE_WORDS)):
+        rows = _repeating(pad)
+        docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, line int")
+        out = L.drop_repeated_chunks(docs, passage_words=words)
+        got = out.collect()
+        assert out.columns[:3] == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in got) == _clean(rows)
+        text = {r["doc_id"]: r["text"] for r in got}
+        assert all(text[i] == t for i, t in rows if i in (60, 61, 62, 70))
+        assert [text[k].replace(pad, "").split() for k in (71, 72)] == [["A", "B", "q2"], ["w3", "q3"]]
+        assert L.drop_repeated_chunks(docs.limit(0)).count() == 0
+
+
+def test_boundaries_shift_with_the_text_and_every_passage_has_one():
+    rng = random.Random(5)
+    for _ in range(300):
+        passage = [rng.randrange(1, 9) for _ in range(rng.randrange(2, 12))]
+        lines = [b" ".join(b"%d_%d" % (rng.randrange(10**9), j) for j in range(n)) for n in passage]
+        found = []
+        for _ in range(2):
+            head, tail = ([b"w%d" % rng.randrange(10**9)] * rng.randrange(5) for _ in range(2))
+            text = head + lines + tail
+            n = [len(x.split()) for x in text]
+            cut = {a - len(head) for a in L.boundaries(text, n)}
+            found.append({a for a in cut if 0 <= a <= len(lines) - L.WINDOW})
+            if sum(passage) > L.PASSAGE_WORDS:
+                # chunks and what they are extended by leave no gap in the passage
+                held = set()
+                for a in found[-1]:
+                    l, r = L.around(n, a + len(head))
+                    held |= set(range(a - l, a + L.WINDOW + r))
+                assert held >= set(range(len(lines)))
+        if sum(passage) > L.PASSAGE_WORDS:
+            assert found[0] & found[1]
+    roll = L.rolling([b"a", b"b", b"c", b"a", b"b"])
+    assert roll[0] == roll[3] and len(set(roll)) == 3
+
+
+def test_later_copies_of_passages_of_short_lines_go_whole(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for p in range(40):
+        passage = [line(rng.randrange(1, 7)) for _ in range(3)]
+        while sum(len(x.split()) for x in passage) <= L.PASSAGE_WORDS:
+            passage.append(line(rng.randrange(1, 7)))
+        for copy in range(3):
+            head, tail = [line(3) for _ in range(rng.randrange(9))], [line(4) for _ in range(rng.randrange(9))]
+            rows.append((10 * p + copy, "\n".join(head + passage + tail)))
+            want[10 * p + copy] = "\n".join(head + tail) if copy else rows[-1][1]
+    got = L.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
 
 
 def test_later_copies_of_short_passages_go_whole(spark):
@@ -62,24 +118,20 @@ def test_later_copies_of_short_passages_go_whole(spark):
 
 def test_removed_runs_count_against_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr("gatewatch.llm.common.BROADCAST_BYTES", 20_000)
-    text = lambda k, runs: "\n".join(x for j in range(runs) for x in (f"p{j}", f"q{j}", f"own {k} {j}"))
+    text = lambda k, runs: "\n".join(x for j in range(runs) for x in (f"p{j} " * 9, f"q{j} " * 9, f"own {k} {j}"))
     for runs, hinted in ((500, False), (5, True)):
         out = L.drop_repeated_chunks(spark.createDataFrame([(k, text(k, runs)) for k in range(3)], "doc_id long, text string"))
         assert ("strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()) == hinted
         assert sorted(r["__ld_removed_chunks"] for r in out.collect()) == [0, runs, runs]
 
 
-def test_same_hash_other_bytes_stays(spark, monkeypatch):
-    class Same:
-        def __init__(self, b, digest_size):
-            self.b, self.n = b, digest_size
-
-        def digest(self):
-            return b"0" * 16 if self.n == 16 else zlib.crc32(self.b).to_bytes(7, "big")
-
-    import types
-    monkeypatch.setattr(L, "hashlib", types.SimpleNamespace(blake2b=lambda b, digest_size: Same(b, digest_size)))
-    assert L.chunks("a\nb\nc\nd") and L.hashlib.blake2b(b"x", digest_size=16).digest() == L.hashlib.blake2b(b"y", digest_size=16).digest()
+def test_same_hash_other_bytes_stays(spark):
+    line = lambda k: " ".join(f"v{k}_{j}" for j in range(12))
+    rows = [(k, "\n".join(line((k, j)) for j in range(6))) for k in range(200)]  # 1000 chunks in 256 hashes
+    docs = spark.createDataFrame(rows + [(300, rows[0][1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.drop_repeated_chunks(docs, digest_bytes=1).collect()}
+    assert all(got[k] == t for k, t in rows) and got[300] != rows[0][1]
+    assert L.drop_repeated_chunks(docs).where("doc_id = 300").first()["text"] == ""
 
 
 def test_components(spark):
