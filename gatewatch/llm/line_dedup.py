@@ -13,8 +13,9 @@ further out than PASSAGE_WORDS words have a chunk of their own, so extending
 that far joins the chunks of a passage without a gap.
 
 The matched lines of every later copy go, with blank lines between them. The
-two lines of a first occurrence that others are compared with stay, so no
-chunk is torn apart in the place where it is kept. So every later copy of a
+lines of a first occurrence that others are compared with stay (unless both
+lie inside one match with an earlier place), so no chunk is torn apart in the
+place where it is kept. So every later copy of a
 passage of WINDOW lines and more than PASSAGE_WORDS words goes whole, but for
 such lines; of a shorter one, if its boundary falls alike. A line that repeats
 without its neighbours stays, and the text of a removed line always stays at
@@ -157,11 +158,20 @@ def removals(docs: DataFrame, id_col="doc_id", text_col="text", passage_words: i
     alike = lambda side: f"array_position(zip_with({side}, kept.{side}, (x, y) -> x <=> y), false)"
     reach = lambda side: F.expr(f"CAST(if({alike(side)} = 0, size({side}), {alike(side)} - 1) AS int)")
     copies = (text.where("NOT is_first").join(keeper, "h").where("body = kept.body")
-              .select("id", "d", "place", "own", reach("before").alias("l"), reach("after").alias("r"))
-              .select("id", "d", F.expr(f"struct(place[own - l] AS a, place[own + {WINDOW - 1} + r] AS b)").alias("gone"), F.lit(None).alias("safe")))
-    firsts = text.where("is_first").select("id", "d", F.lit(None).alias("gone"), F.expr(f"struct(place[own] AS a, place[own + {WINDOW - 1}] AS b)").alias("safe"))
-    spread = lambda c: F.flatten(F.transform(F.collect_set(c), lambda x: F.sequence(x["a"], x["b"])))
-    gone = copies.unionByName(firsts).groupBy("id", "d").agg(F.sort_array(F.array_except(spread("gone"), spread("safe"))).alias("s")).where("size(s) > 0")
+              .select("id", "d", "place", F.expr("own").alias("o"), reach("before").alias("l"), reach("after").alias("r"))
+              .select("id", "d", F.expr(f"slice(place, o - l + 1, l + r + {WINDOW})").alias("gone"), F.lit(None).alias("safe")))
+    firsts = text.where("is_first").select("id", "d", F.lit(None).alias("gone"), F.expr(f"slice(place, own + 1, {WINDOW})").alias("safe"))
+    # two neighbouring lines as one number; those inside one match need no keeping
+    pairs = lambda c: F.expr(f"transform(sequence(0, size({c}) - 2), k -> {c}[k] * 4294967296L + {c}[k + 1])")
+    both = copies.unionByName(firsts).select("id", "d", *[f(c) for c in ("gone", "safe") for f in (
+        lambda c: F.expr(f"IF({c} IS NOT NULL, struct({c}[0] AS a, element_at({c}, -1) AS b), NULL)").alias(c),
+        lambda c: F.when(F.col(c).isNotNull(), pairs(c)).alias(f"{c}_pairs"))])
+    every = lambda c: F.flatten(F.collect_set(c))
+    span = lambda a, b: F.sequence(a.cast("int"), b.cast("int"))
+    gone = (both.groupBy("id", "d").agg(F.flatten(F.transform(F.collect_set("gone"), lambda x: span(x["a"], x["b"]))).alias("s"),
+                                        F.array_except(every("safe_pairs"), every("gone_pairs")).alias("safe"))
+            .select("id", "d", F.sort_array(F.array_except("s", F.flatten(F.transform("safe", lambda x: span(F.shiftright(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))))))).alias("s"))
+            .where("size(s) > 0"))
     # neighbouring lines are one run
     return gone.select("id", "d", F.expr("""zip_with(
         filter(s, (x, k) -> k = 0 OR x - s[k - 1] > 1),
