@@ -26,6 +26,7 @@ from gatewatch.plans.registry import REGISTRY, query, table
 from gatewatch.plans.sqlviews import SCORED, WAF, entropy_sql, restore_args_sql, with_
 from gatewatch.session import materialize, scratch_path
 from gatewatch.sources import files as FS
+from gatewatch.sources import projection as PJ
 from gatewatch.sources import waflogs as WL
 from gatewatch.sources.adapters import scored_events, stand_in_ip, waf_logs
 
@@ -68,6 +69,18 @@ def log_lines(spark, sf):
     return WL.count_malformed(logs, WL.PARTITIONS[:3]).withColumnRenamed("rows", "lines")
 
 
+@query("projected_hours", with_(WAF) + """
+SELECT year, month, day, hour, COUNT(*) AS lines, CAST(sum(CASE WHEN row_id % 13 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS malformed,
+       CAST(sum(CASE WHEN row_id % 13 <> 0 AND action = 'BLOCK' THEN 1 ELSE 0 END) AS BIGINT) AS blocks
+FROM waf GROUP BY 1, 2, 3, 4""")
+def projected_hours(spark, sf):
+    """Lines, malformed lines and blocks of every delivered folder, read
+    through the projecting source over the whole calendar."""
+    logs = PJ.read_projected_logs(spark, _delivered(spark, sf), {"year": (2023, 2025), "month": (1, 12), "day": (1, 31), "hour": (0, 23)}, {"year": 4})
+    out = WL.count_malformed(logs.withColumn("block", F.coalesce(F.col("action") == "BLOCK", F.lit(False)).cast("long")), WL.PARTITIONS, F.sum("block").alias("blocks"))
+    return out.withColumnRenamed("rows", "lines")
+
+
 @query("landed_day_hours", with_(WAF) + """
 SELECT strftime(date_trunc('hour', make_timestamp(ts_ms * 1000)), '%Y-%m-%d %H:%M:%S') AS block_hour,
        terminatingruleid AS rule, COUNT(*) AS cnt

@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,12 +60,12 @@ def read_json_logs(spark: SparkSession, paths, with_corrupt: bool = True,
     return df
 
 
-def count_malformed(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rows and malformed lines, in all or per group (raw text kept, parsed fields null). The
+def count_malformed(df: DataFrame, by: list[str] | None = None, *more: Column) -> DataFrame:
+    """Rows and malformed lines (and ``more`` aggregates), in all or per group (raw text kept, parsed fields null). The
     parsed ``timestamp`` is referenced too: Spark refuses queries that read
     only the corrupt-record column of raw JSON."""
     bad = F.col("_corrupt_record").isNotNull() & F.col("timestamp").isNull()
-    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("rows"), F.sum(bad.cast("long")).alias("malformed"))
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("rows"), F.sum(bad.cast("long")).alias("malformed"), *more)
 
 
 def valid_logs(df: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Sources and sinks: WAF JSON logs, path partitions, projection, reports, CSV."""
 
+import io
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan
 
 from gatewatch.sources import files as FS
+from gatewatch.sources import projection as PJ
 from gatewatch.sources import waflogs as WL
 
 
@@ -82,3 +86,53 @@ def test_api_access_logs(spark, tmp_path):
     assert df.columns == [f.name for f in FS.API_LOG_SCHEMA.fields]
     rows = df.filter(F.col("requestId").isNotNull()).collect()
     assert len(rows) == 1 and rows[0]["status"] == "200"
+
+
+def _folders(root, hours, days=("01", "02")):
+    for day in days:
+        for hour in hours:
+            d = root / "2026" / "05" / day / hour
+            d.mkdir(parents=True)
+            good = json.dumps(_record(1777600000000, "GeoBlock-Non-KR", "BLOCK", "1.2.3.4", "US"))
+            (d / "a.json").write_text(f"{good}\r\n{{not json\n\n{good}")  # no line end at the end
+            (d / "b.json").write_text("" if hour == "05" else f"{good}\n")
+            (d / "_SUCCESS").write_text("no data\n")
+
+
+def test_projection_source_counts_every_folder_and_pushes_key_filters(spark, tmp_path):
+    _folders(tmp_path, ("05", "06", "23"))
+    values = {"year": ["2026"], "month": (4, 6), "day": (1, 31), "hour": (0, 22)}  # hour 23 is not declared
+    for root, splits in ((str(tmp_path), 1), (f"file://{tmp_path}/", 3)):
+        logs = PJ.read_projected_logs(spark, root, values, splits=splits)
+        got = {tuple(r) for r in WL.count_malformed(logs, WL.PARTITIONS).collect()}
+        assert got == {("2026", "05", d, h, 3 + (h == "06"), 1) for d in ("01", "02") for h in ("05", "06")}
+    one = logs.where("day = '02' AND hour IN ('05', '06', '23') AND hour >= '06' AND action = 'BLOCK'")
+    assert [(r["day"], r["hour"], r["httprequest"]["clientip"]) for r in one.collect()] == [("02", "06", "1.2.3.4")] * 3
+    plan = spark._jvm.PythonSQLUtils.explainString(one._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [EqualTo(day,02), In(hour, [05,06,23]), GreaterThanOrEqual(hour,06)]" in plan
+    assert logs.where("day > '31'").count() == 0
+    assert logs.where("hour = '23'").count() == 0
+
+
+def test_projection_names_only_the_folders_that_filters_leave():
+    options = {"path": "/nowhere", "year.enum": "2025,2026", "month.range": "1,12", "day.range": "1,31", "hour.range": "0,23"}
+    r = PJ.ProjectedReader(options)
+    assert sum(len(p.values) for p in r.partitions()) == 2 * 12 * 31 * 24
+    assert max(len(p.values) for p in r.partitions()) == PJ.FOLDERS_PER_TASK
+    unknown = EqualTo(("value",), "x")
+    left = list(r.pushFilters([EqualTo(("year",), "2026"), In(("month",), ("02", "13")), LessThan(("day",), "03"), GreaterThan(("hour",), "20"), unknown]))
+    assert left == [unknown]
+    assert [v for p in r.partitions() for v in p.values] == [("2026", "02", d, h) for d in ("01", "02") for h in ("21", "22", "23")]
+    assert list(r.pushFilters([EqualTo(("year",), "1999")])) == [] and [p.values for p in r.partitions()] == [[]]
+    assert list(r.read(r.partitions()[0])) == []
+    with pytest.raises(ValueError):
+        PJ.ProjectedReader({"path": "/nowhere", "year.enum": "2025"})
+
+
+def test_line_blocks_are_the_lines_whatever_the_block():
+    text = "a\nbb\r\n\nlong line " * 7 + "\nend é"
+    want = [x.rstrip("\r") for x in text.split("\n")]
+    for size in (1, 2, 3, 7, 50, 10_000):
+        assert [x for b in PJ.line_blocks(io.BytesIO(text.encode()), size) for x in b] == want
+        assert [x for b in PJ.line_blocks(io.BytesIO(text.encode() + b"\n"), size) for x in b] == want
+    assert list(PJ.line_blocks(io.BytesIO(b""))) == []
