@@ -144,4 +144,5 @@ def read_projected_logs(spark: SparkSession, root: str, values: dict[str, list[s
     schema = T.StructType([*WAF_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     lines = reader.load(root).where(F.length(F.trim("value")) > 0)
-    return lines.select(parsed.alias("r"), *values).select("r.*", *values)
+    whole = F.col("r._corrupt_record").isNull()  # from_json keeps what came before the fault, the file reader does not
+    return lines.select(parsed.alias("r"), *values).select(*[F.when(whole, F.col(f"r.{c}")).alias(c) for c in WAF_SCHEMA.names], "r._corrupt_record", *values)

@@ -94,7 +94,7 @@ def _folders(root, hours, days=("01", "02")):
             d = root / "2026" / "05" / day / hour
             d.mkdir(parents=True)
             good = json.dumps(_record(1777600000000, "GeoBlock-Non-KR", "BLOCK", "1.2.3.4", "US"))
-            (d / "a.json").write_text(f"{good}\r\n{{not json\n\n{good}")  # no line end at the end
+            (d / "a.json").write_text(f"{good}\r\n{good[:150]}\n\n{good}")  # no line end at the end
             (d / "b.json").write_text("" if hour == "05" else f"{good}\n")
             (d / "_SUCCESS").write_text("no data\n")
 
@@ -108,6 +108,8 @@ def test_projection_source_counts_every_folder_and_pushes_key_filters(spark, tmp
         assert got == {("2026", "05", d, h, 3 + (h == "06"), 1) for d in ("01", "02") for h in ("05", "06")}
     one = logs.where("day = '02' AND hour IN ('05', '06', '23') AND hour >= '06' AND action = 'BLOCK'")
     assert [(r["day"], r["hour"], r["httprequest"]["clientip"]) for r in one.collect()] == [("02", "06", "1.2.3.4")] * 3
+    cut = logs.where("_corrupt_record IS NOT NULL").first()
+    assert cut["timestamp"] is None and cut["action"] is None and cut["_corrupt_record"].startswith('{"timestamp": 1777600000000')
     plan = spark._jvm.PythonSQLUtils.explainString(one._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [EqualTo(day,02), In(hour, [05,06,23]), GreaterThanOrEqual(hour,06)]" in plan
     assert logs.where("day > '31'").count() == 0
