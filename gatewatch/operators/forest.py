@@ -5,11 +5,12 @@ Every random choice is an md5 of (seed, forest, what, tree, ...), so a fit is
 the same under any partitioning, retry or engine.
 
 Sample
-  * the draw of a row for a tree is the first 52 bits of such an md5; a tree
-    takes the psi rows of smallest draw, exactly. The cut is found by counting
-    draws per leading bits and ranking only the rows of the bucket it falls in;
-  * a tree sees a subset of the features; equal rows of a tree are merged into
-    one with a weight, before the shuffle.
+  * equal rows are merged into one with a weight before any tree is drawn;
+  * a tree takes exactly psi rows, those of smallest draw. A draw is a string
+    of hex digits, and one md5 holds a digit for up to 32 equal rows, so digits
+    are counted, not rows ranked: level by level, only the rows on the digit
+    in which the cut falls are drawn for again;
+  * a tree sees a subset of the features; rows equal in these merge further.
 Build, level by level
   * one aggregate per level (rows, min and max per feature) over the nodes that
     hold more than ``LOCAL_ROWS`` distinct rows; their rows move to the child
@@ -59,6 +60,9 @@ LOCAL_ROWS = 1 << 16
 #: Digits of the features a fit sees: equal values must compare equal.
 DIGITS = 9
 _DRAW_BITS = 52
+#: Digits of an md5, and so the rows that one md5 draws for.
+HEX = "0123456789abcdef"
+PIECE_ROWS = 32
 _H_UNIT = 10 ** 12
 #: A node's bytes on the driver, and the most that may be sent there.
 NODE_BYTES = 48
@@ -128,45 +132,93 @@ def tree_features(seed: int, forest: str, tree: int, d: int, k: int) -> list[boo
 
 
 # ------------------------------------------------------------------- sampling
-def tree_samples(df: DataFrame, row_id: str, n_rows: int, n_trees: int, psi: int, seed: int,
-                 forest: str | None = None, per_forest: dict | None = None) -> DataFrame:
-    """(forest_id, tree_id, row): each tree gets exactly min(psi, n) rows, those
-    of smallest draw (ties by row id). ``per_forest`` = {forest value: (n_rows,
-    psi, n_trees)} samples several forests (one per value of ``forest``) at once.
-
-    The cut per tree is found in two counting passes and sent back as one row
-    per tree; the last pass is a filter, without a shuffle."""
-    spark = df.sparkSession
-    prm = per_forest or {"": (n_rows, psi, n_trees)}
+def weighted_rows(df: DataFrame, row_id: str, xs: list[str], forest: str | None = None) -> DataFrame:
+    """Equal rows of a forest as one: forest_id, ``xs``, _w rows, smallest row
+    id _v. Everything a tree needs; the rows themselves are not read again."""
     fid = F.col(forest).cast("string") if forest else F.lit("")
-    bits = min(20, max(0, math.ceil(math.log2(max(n for n, _, _ in prm.values()) / 1000 + 1))))
-    rid = F.col(row_id).cast("long")
-
-    def pairs(cuts: DataFrame) -> DataFrame:
-        # one row per tree of a forest: bounded by the parameters
-        trees = cuts.groupBy("forest_id").agg(F.collect_list(F.struct(
-            *[c for c in cuts.columns if c != "forest_id"])).alias("_t"))
-        return (df.withColumn("forest_id", fid).join(F.broadcast(trees), "forest_id")
-                .select(*[c for c in df.columns if c != "forest_id"], "forest_id", F.explode("_t").alias("_c"))
-                .select("*", "_c.*").drop("_c")
-                .withColumn("_u", _draw(seed, F.col("forest_id"), "s", F.col("tree_id"), rid))
-                .withColumn("_b", F.shiftright("_u", _DRAW_BITS - bits)))
-
+    return (df.groupBy(fid.alias("forest_id"), *xs)
+            .agg(F.min(F.col(row_id).cast("long")).alias("_v"), F.count(F.lit(1)).alias("_w")))
+
+
+def _pieces(vectors: DataFrame) -> DataFrame:
+    """A vector's _w rows as pieces (_k) of at most PIECE_ROWS rows (_open). A
+    hot vector is cut in two steps, dealt anew between them, so that neither a
+    task nor an array holds all its pieces."""
+    step = PIECE_ROWS << 15
+    cut = vectors.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_w") - 1) / step))).alias("_c"))
+    first = F.col("_c") * (1 << 15)
+    last = F.least(first + (1 << 15) - 1, F.floor((F.col("_w") - 1) / PIECE_ROWS))
+    return (cut.repartition("_v", "_c").select("*", F.explode(F.sequence(first, last)).alias("_k"))
+            .withColumn("_open", F.least(F.lit(PIECE_ROWS), F.col("_w") - F.col("_k") * PIECE_ROWS).cast("int"))
+            .drop("_w", "_c"))
+
+
+def _digits(digit: Column) -> Column:
+    """How many rows of a piece drew ``digit``."""
+    return F.length("_u") - F.length(F.replace("_u", digit, F.lit("")))
+
+
+def _cut(counts: list[int], need: int) -> tuple[int, int, bool]:
+    """The digit in which the ``need``-th smallest row lies, how many rows of
+    that digit are still needed, and whether those are all it has."""
+    below = 0
+    for d, c in enumerate(counts):
+        if below + c >= need:
+            return d, need - below, need - below == c
+        below += c
+    raise ValueError(f"{need} rows wanted of {below}")
+
+
+def tree_samples(vectors: DataFrame, params: dict, seed: int) -> DataFrame:
+    """(forest_id, tree_id, columns of ``vectors``, _w): every tree takes exactly
+    min(psi, n) of its forest's n rows, each subset of rows being as likely as
+    any other; _w counts the rows taken of a vector, so the counts of a tree are
+    multivariate hypergeometric. ``params`` = {forest_id: (n, psi, trees)}.
+
+    A row's draw is a string of hex digits; a tree takes the rows of smallest
+    draws. One md5 gives the digit of a level for all open rows of a piece. Rows
+    under the digit of the cut are taken, those over it are out, those on it
+    stay open for the next level, a sixteenth of them. The cut needs 16 counts
+    per tree, combined map-side and sent back. The work is pieces x trees, not rows x trees."""
+    from gatewatch.operators.features import spread
+    from gatewatch.session import materialize
+    spark = vectors.sparkSession
     keys = ["forest_id", "tree_id"]
-    w = Window.partitionBy(*keys)
-    goal = spark.createDataFrame([(k, t, min(p, n)) for k, (n, p, nt) in prm.items() for t in range(nt)],
-                                 "forest_id string, tree_id int, _psi long")
-    hist = (pairs(goal).groupBy(*keys, "_psi", "_b").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_cum", F.sum("_n").over(w.orderBy("_b"))))
-    buckets = hist.filter("_cum >= _psi AND _cum - _n < _psi").select(
-        *keys, F.col("_b").alias("_cut"), (F.col("_psi") - F.col("_cum") + F.col("_n")).alias("_need")).collect()
-    buckets = spark.createDataFrame(buckets, "forest_id string, tree_id int, _cut long, _need long")
-    last = (pairs(buckets).filter("_b = _cut").withColumn("_rid", rid)
-            .withColumn("_rn", F.row_number().over(w.orderBy("_u", "_rid"))).filter("_rn = _need")
-            .select(*keys, F.col("_u").alias("_cu"), F.col("_rid").alias("_cr"))).collect()
-    cuts = spark.createDataFrame(last, "forest_id string, tree_id int, _cu long, _cr long")
-    return (pairs(cuts).filter((F.col("_u") < F.col("_cu")) | ((F.col("_u") == F.col("_cu")) & (rid <= F.col("_cr"))))
-            .drop("_u", "_b", "_cu", "_cr"))
+    need = {(k, t): min(psi, n) for k, (n, psi, trees) in params.items() for t in range(trees) if min(psi, n) > 0}
+    values = [c for c in vectors.columns if c not in ("forest_id", "_v", "_w")]
+    empty = vectors.limit(0).select("forest_id", F.lit(0).alias("tree_id"), *values, F.lit(0).cast("long").alias("_w"))
+    if not need:
+        return empty
+    # one row per tree, bounded by the parameters
+    trees = spark.createDataFrame(list(need), "forest_id string, tree_id int")
+    state = spread(materialize(_pieces(vectors), "forest_pieces")).join(F.broadcast(trees), "forest_id")
+    taken, level = [], 0
+    while need:
+        drawn = state.withColumn("_u", F.substring(
+            _md5(seed, F.col("forest_id"), "s", F.col("tree_id"), F.col("_v"), F.col("_k"), level), F.lit(1), F.col("_open")))
+        seen: dict = {}
+        digits = F.explode(F.array(*[F.lit(x) for x in HEX])).alias("_x")
+        for r in drawn.select(*keys, "_u", digits).groupBy(*keys, "_x").agg(F.sum(_digits(F.col("_x"))).alias("_n")).collect():
+            seen.setdefault((r["forest_id"], r["tree_id"]), {})[r["_x"]] = r["_n"]
+        cuts, left = [], {}
+        for t, counts in seen.items():
+            digit, rest, whole = _cut([counts[x] for x in HEX], need[t])
+            cuts.append((*t, HEX[:digit + whole], "-" if whole else HEX[digit]))
+            if not whole:
+                left[t] = rest
+        cut = spark.createDataFrame(cuts, "forest_id string, tree_id int, _under string, _on string")
+        drawn = drawn.join(F.broadcast(cut), keys)
+        under = F.length("_u") - F.length(F.expr("translate(_u, _under, '')"))
+        taken.append(drawn.select(*keys, *values, under.cast("long").alias("_w")).filter("_w > 0"))
+        need = left
+        if need:
+            state = materialize(drawn.withColumn("_open", _digits(F.col("_on"))).filter("_open > 0").drop("_u", "_under", "_on"),
+                                "forest_open")
+        level += 1
+    out = empty
+    for t in taken:
+        out = out.unionByName(t)
+    return out
 
 
 # ------------------------------------------------------------------ tree build
@@ -276,9 +328,10 @@ def _fit(df: DataFrame, features: list[str], prm: dict, max_features: float, see
          forest: str | None, local_rows: int | None) -> DataFrame:
     d = len(features)
     k = min(d, max(1, int(max_features * d)) if isinstance(max_features, float) else int(max_features))
+    xs = [f"_x{j}" for j in range(d)]
     base = df.select(F.col(row_id).alias("_row"), *([F.col(forest).cast("string").alias("_forest")] if forest else []),
-                     *[F.round(F.col(c).cast("double"), DIGITS).alias(f"_x{j}") for j, c in enumerate(features)])
-    samples = tree_samples(base, "_row", 0, 0, 0, seed, "_forest" if forest else None, per_forest=prm)
+                     *[F.round(F.col(c).cast("double"), DIGITS).alias(x) for x, c in zip(xs, features)])
+    samples = tree_samples(weighted_rows(base, "_row", xs, "_forest" if forest else None), prm, seed)
     trees = df.sparkSession.createDataFrame(
         [(f, t, max(1, math.ceil(math.log2(max(min(psi, n), 2)))), tree_features(seed, f, t, d, k))
          for f, (n, psi, n_trees) in prm.items() for t in range(n_trees)],
@@ -286,8 +339,8 @@ def _fit(df: DataFrame, features: list[str], prm: dict, max_features: float, see
     # a feature the tree does not see is constant: its rows merge
     seen = samples.join(F.broadcast(trees), ["forest_id", "tree_id"]).select(
         "forest_id", "tree_id", "_depth",
-        *[F.when(F.col("_use")[j], F.col(f"_x{j}")).otherwise(F.lit(0.0)).alias(f"_x{j}") for j in range(d)])
-    rows = seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("_w"))
+        *[F.when(F.col("_use")[j], F.col(x)).otherwise(F.lit(0.0)).alias(x) for j, x in enumerate(xs)], "_w")
+    rows = seen.groupBy("forest_id", "tree_id", "_depth", *xs).agg(F.sum("_w").alias("_w"))
     return grow(rows, d, seed, local_rows)
 
 

@@ -1,7 +1,7 @@
 """The fitted isolation forest as DuckDB SQL, for the oracle strings: the same
 md5 draws as ``operators.forest``, one pair of CTEs per level."""
 
-from gatewatch.operators.forest import _DRAW_BITS, _H_UNIT, DIGITS
+from gatewatch.operators.forest import _DRAW_BITS, _H_UNIT, DIGITS, HEX, PIECE_ROWS
 
 _DRAW = f"CAST('0x' || substr(md5({{}}), 1, {_DRAW_BITS // 4}) AS BIGINT)"
 
@@ -18,6 +18,27 @@ def scaled_sql(src: str, features: list[str], scale: bool = True) -> str:
             f", scaled AS MATERIALIZED (SELECT row_id, '' AS forest, {xs} FROM {src}, stats)")
 
 
+def _sample_sql(key: str, levels: int = 10) -> str:
+    """CTE ``smp`` (forest, tree, vid, w): the psi rows of smallest hex-digit
+    draws of every tree, as counts per vector, over pieces of equal rows."""
+    rows = "length(u) - length(replace(u, {}, ''))"
+    q = f"""
+, sp0 AS MATERIALIZED (SELECT forest, tree, psi AS need, vid, v, k, least({PIECE_ROWS}, w - {PIECE_ROWS} * k) AS open
+  FROM (SELECT *, unnest(range((w + {PIECE_ROWS - 1}) // {PIECE_ROWS})) AS k FROM vw) JOIN tr USING (forest))
+, hex AS (SELECT unnest(string_split('{HEX}', '')) AS d)"""
+    for i in range(levels):
+        q += f"""
+, su{i} AS MATERIALIZED (SELECT *, left(md5({key.format('s')}, ':', v, ':', k, ':{i}')), CAST(open AS BIGINT)) AS u FROM sp{i} WHERE open > 0)
+, sc{i} AS MATERIALIZED (SELECT forest, tree, d, need - cum + c AS rest FROM (
+    SELECT *, sum(c) OVER (PARTITION BY forest, tree ORDER BY d) AS cum FROM (
+      SELECT forest, tree, need, d, sum({rows.format('d')}) AS c FROM su{i}, hex GROUP BY ALL)) WHERE cum >= need AND cum - c < need)
+, sp{i + 1} AS MATERIALIZED (SELECT forest, tree, rest AS need, vid, v, k, {rows.format('d')} AS open,
+    len(list_filter(string_split(u, ''), lambda x: x < d)) AS took FROM su{i} JOIN sc{i} USING (forest, tree))"""
+    taken = " UNION ALL ".join(f"SELECT forest, tree, vid, took AS w FROM sp{i + 1}" for i in range(levels))
+    return q + f"""
+, smp AS (SELECT * FROM ({taken} UNION ALL SELECT forest, tree, vid, open FROM sp{levels}) WHERE w > 0)"""
+
+
 def forest_sql(d: int, k: int, psi: str, trees: str, seed: int = 42, levels: int = 18, src: str = "scaled") -> str:
     """CTEs over ``src`` (row_id, forest, x0..) with ``psi`` and ``trees`` as SQL
     of n. The last, ``path`` (forest, tree, vid, h), has the path length of
@@ -34,14 +55,13 @@ def forest_sql(d: int, k: int, psi: str, trees: str, seed: int = 42, levels: int
 , vec AS MATERIALIZED (SELECT {', '.join(xs)}, row_number() OVER (ORDER BY {', '.join(xs)}) AS vid
   FROM (SELECT DISTINCT {', '.join(xs)} FROM {src}))
 , vrow AS MATERIALIZED (SELECT row_id, forest, vid FROM {src} JOIN vec USING ({', '.join(xs)}))
-, draws AS (SELECT forest, tree, psi, row_id, vid, {_DRAW.format(key.format('s') + ", ':', row_id)")} AS u
-  FROM vrow JOIN tr USING (forest))
-, smp AS (SELECT * FROM draws QUALIFY row_number() OVER (PARTITION BY forest, tree ORDER BY u, row_id) <= psi)
+, vw AS MATERIALIZED (SELECT forest, vid, min(row_id) AS v, COUNT(*) AS w FROM vrow GROUP BY forest, vid)
+{_sample_sql(key)}
 , use AS MATERIALIZED (SELECT forest, tree, {', '.join(f'bool_or(j = {j}) AS u{j}' for j in range(d))} FROM (
     SELECT forest, tree, j FROM tr, (SELECT unnest(range({d})) AS j)
     QUALIFY row_number() OVER (PARTITION BY forest, tree ORDER BY md5({key.format('f')}, ':', j)), j) <= {k})
   GROUP BY forest, tree)
-, seen AS (SELECT forest, tree, vid, COUNT(*) AS w FROM smp GROUP BY forest, tree, vid)
+, seen AS (SELECT forest, tree, vid, sum(w) AS w FROM smp GROUP BY forest, tree, vid)
 , l0 AS MATERIALIZED (SELECT tr.forest, tr.tree, depth, vec.vid, coalesce(w, 0) AS w, CAST(1 AS BIGINT) AS node
   FROM tr CROSS JOIN vec LEFT JOIN seen ON seen.forest = tr.forest AND seen.tree = tr.tree AND seen.vid = vec.vid)"""
     for i in range(levels):

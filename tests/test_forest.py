@@ -1,5 +1,6 @@
 """Isolation forest: exact scoring of a fixed forest, fitted-forest properties."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -78,11 +79,69 @@ def test_fit_partition_independent(spark, blob):
 
 
 def test_tree_samples_exact_size(spark, blob):
-    s = FR.tree_samples(blob, "row_id", 3000, 30, 100, 9)
-    sizes = [r["count"] for r in s.groupBy("tree_id").count().collect()]
+    v = FR.weighted_rows(blob, "row_id", ["x", "y", "z"])
+    s = FR.tree_samples(v, {"": (3000, 100, 30)}, 9)
+    sizes = [r["n"] for r in s.groupBy("tree_id").agg(F.sum("_w").alias("n")).collect()]
     assert len(sizes) == 30 and set(sizes) == {100}
 
 
+def _drawn(pieces, need, seed, forest, tree):
+    """Rows taken of every piece (v, k, rows), row by row."""
+    taken, level = dict.fromkeys(((v, k) for v, k, _ in pieces), 0), 0
+    rows = [(v, k) for v, k, n in pieces for _ in range(n)]
+    while rows and len(rows) > need:
+        draws, slot = [], {}
+        for v, k in rows:
+            i = slot[v, k] = slot.get((v, k), -1) + 1
+            draws.append((hashlib.md5(f"{seed}:{forest}:s:{tree}:{v}:{k}:{level}".encode()).hexdigest()[i], v, k))
+        cut = sorted(draws)[need - 1][0]
+        for d, v, k in draws:
+            taken[v, k] += d < cut
+        need -= sum(d < cut for d, _, _ in draws)
+        rows, level = [(v, k) for d, v, k in draws if d == cut], level + 1
+    for p in rows:
+        taken[p] += 1
+    return taken
+
+
+def test_weighted_samples_against_rows(spark):
+    """Two forests, a vector of a third of all rows, vectors of one row, a tree
+    that takes all rows: the counts are those of drawing row by row."""
+    sizes = {"a": [70, 1, 1, 33, 32, 64, 5, 1], "b": [40, 1, 2]}
+    rows = [(f, 100 * j + i, float(j)) for f, w in sizes.items() for j, n in enumerate(w) for i in range(n)]
+    df = spark.createDataFrame(rows, "f string, row_id long, x double")
+    prm = {"a": (207, 124, 6), "b": (43, 50, 2)}
+    got = FR.tree_samples(FR.weighted_rows(df, "row_id", ["x"], "f"), prm, 5)
+    got = {tuple(r[:3]): r[3] for r in got.groupBy("forest_id", "tree_id", "x").agg(F.sum("_w")).collect()}
+    want = {}
+    for f, (n, psi, trees) in prm.items():
+        pieces = [(100 * j, k, min(32, w - 32 * k)) for j, w in enumerate(sizes[f]) for k in range((w + 31) // 32)]
+        for t in range(trees):
+            for (v, _), c in _drawn(pieces, min(psi, n), 5, f, t).items():
+                key = (f, t, v / 100)
+                want[key] = want.get(key, 0) + c
+    assert got == {k: c for k, c in want.items() if c}
+
+
+def test_weighted_samples_are_hypergeometric(spark):
+    """Mean and variance of a vector's count over trees: p w and
+    p (1 - p) w (n - w) / (n - 1)."""
+    w, n, psi, trees = [500, 300, 150, 50], 1000, 600, 600
+    v = spark.createDataFrame([("", float(j), 10 * j, c) for j, c in enumerate(w)], "forest_id string, x double, _v long, _w long")
+    s = FR.tree_samples(v, {"": (n, psi, trees)}, 11).groupBy("tree_id").pivot("x", [0.0, 1.0, 2.0, 3.0]).agg(F.sum("_w")).toPandas()
+    p = psi / n
+    for j, c in enumerate(w):
+        x, var = s[str(float(j))].fillna(0), p * (1 - p) * c * (n - c) / (n - 1)
+        assert abs(x.mean() - p * c) < 4 * math.sqrt(var / trees)
+        assert 0.75 < x.var() / var < 1.3
+
+
+def test_sampling_without_rows(spark):
+    none = spark.createDataFrame([], "row_id long, x double")
+    assert FR.tree_samples(FR.weighted_rows(none, "row_id", ["x"]), {"": (0, 0, 3)}, 1).count() == 0
+    assert FR.fit(none, ["x"], n_trees=2).nodes.count() == 0
+
+
 def test_hyperparams():
     assert FR.safe_hyperparams(1800) == {"max_samples": 1080, "max_features": 0.7, "n_estimators": 200}
     assert FR.safe_hyperparams(50)["n_estimators"] == 300
