@@ -136,6 +136,14 @@ def test_weighted_samples_are_hypergeometric(spark):
         assert 0.75 < x.var() / var < 1.3
 
 
+def test_pieces_hold_every_row_once(spark):
+    """Vectors around a piece and around the first step of a hot one's cut."""
+    sizes = [1, 31, 32, 33, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, 3_000_001]
+    v = spark.createDataFrame([("", float(j), j, w) for j, w in enumerate(sizes)], "forest_id string, x double, _v long, _w long")
+    got = FR._pieces(v).groupBy("_v").agg(F.sum("_open"), F.count("_k"), F.countDistinct("_k"), F.max("_k"), F.min("_open")).collect()
+    assert {tuple(r) for r in got} == {(j, w, -(-w // 32), -(-w // 32), (w - 1) // 32, (w - 1) % 32 + 1) for j, w in enumerate(sizes)}
+
+
 def test_sampling_without_rows(spark):
     none = spark.createDataFrame([], "row_id long, x double")
     assert FR.tree_samples(FR.weighted_rows(none, "row_id", ["x"]), {"": (0, 0, 3)}, 1).count() == 0
