@@ -1,8 +1,8 @@
 """Text features of request paths, query strings and documents.
 
-All functions return Columns built from native Spark expressions (higher-order
-array functions, regexp_count, contains) so they stay inside whole-stage
-codegen; no Python runs per row.
+Lengths, counts, keywords and classifiers are native Spark expressions
+(regexp_count, contains) inside whole-stage codegen. The class entropy of a whole
+text counts characters by numpy over Arrow batches (``codepoints``).
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatewatch import constants as K
+from gatewatch.functions import codepoints as CP
 
 
 def _col(c) -> Column:
@@ -34,6 +36,11 @@ def shannon_entropy_counts(text) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.abs(h))
 
 
+def _per_batch(of, text) -> Column:
+    """A function of Arrow batches over the UTF-8 bytes of ``text``."""
+    return F.arrow_udf(of, T.DoubleType())(_col(text).cast("string").cast("binary"))
+
+
 def shannon_entropy(text) -> Column:
     """-sum p*log2(p) over the code points of ``text``; null/'' give 0.0.
 
@@ -58,15 +65,6 @@ def shannon_entropy(text) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.abs(F.log2(n) - total / n))
 
 
-def entropy_of_counts(counts: list[Column], total: Column) -> Column:
-    """Entropy of a fixed list of class counts (zero counts contribute 0)."""
-    h = F.lit(0.0)
-    for c in counts:
-        p = c / total
-        h = h - F.when(c > 0, p * F.log2(p)).otherwise(F.lit(0.0))
-    return F.when(total > 0, F.abs(h)).otherwise(F.lit(0.0))
-
-
 #: Digits outside the decimal class (superscripts, circled digits, ...): every
 #: character with a digit value that is not of class Nd.
 OTHER_DIGITS = "".join(chr(c) for c in range(0x110000)
@@ -75,17 +73,7 @@ OTHER_DIGITS = "".join(chr(c) for c in range(0x110000)
 
 def class_entropy(text) -> Column:
     """Entropy over four character classes: letters, digits, space/tab, other."""
-    s = F.coalesce(_col(text), F.lit(""))
-    n = F.char_length(s)
-
-    def kept(cls_complement: str) -> Column:
-        # characters of a class = length after removing runs of everything else
-        return F.char_length(F.regexp_replace(s, cls_complement, ""))
-    alpha = kept(r"\P{L}+")
-    digit = kept(r"[^\p{Nd}" + OTHER_DIGITS + "]+")
-    special = n - F.char_length(F.regexp_replace(s, r"[^\p{L}\p{N} \t]+", ""))
-    space = kept(r"[^ \t]+")
-    return entropy_of_counts([alpha, digit, special, space], n)
+    return _per_batch(CP.class_entropies, text)
 
 
 def rule_code_entropy(code) -> Column:

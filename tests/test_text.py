@@ -115,3 +115,23 @@ def test_class_entropy_counts_every_digit(spark):
     want = -sum(k / len(u) * math.log2(k / len(u)) for k in classes if k)
     got = spark.createDataFrame([(u,)], "u string").select(X.class_entropy("u")).first()[0]
     assert classes == [2, 4, 1] and abs(got - want) < 1e-12
+
+
+def test_batch_counts_dense_sorted_and_in_pieces(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from gatewatch.functions import codepoints as CP
+    rng = random.Random(11)
+    texts = [None, "", "a", "aaaa", "  \t1²Ⅷ٣é", "<>" * 50] + [
+        "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x4E00, 0x9000)])) for _ in range(rng.randrange(0, 400)))
+        for _ in range(60)]
+    raw = pa.array([t if t is None else t.encode() for t in texts], pa.binary())
+    want = [(py_entropy(t or ""), py_class_entropy(t or "")) for t in texts]
+    for chars, dense in ((1 << 20, 8), (1 << 20, 0), (100, 8), (1, 0)):
+        monkeypatch.setattr(CP, "CHARS", chars)
+        monkeypatch.setattr(CP, "DENSE", dense)
+        got = zip(CP.entropies(raw).to_pylist(), CP.class_entropies(raw).to_pylist())
+        assert [pytest.approx(w, abs=1e-9) for w in want] == list(got)
+    assert len(CP.entropies(raw.slice(0, 0))) == 0 and CP.entropies(pa.array([b"\xff\xffa"], pa.binary())).to_pylist()[0] > 0
