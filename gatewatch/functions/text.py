@@ -1,8 +1,8 @@
 """Text features of request paths, query strings and documents.
 
 Lengths, counts, keywords and classifiers are native Spark expressions
-(regexp_count, contains) inside whole-stage codegen. The class entropy of a whole
-text counts characters by numpy over Arrow batches (``codepoints``).
+(regexp_count, contains) inside whole-stage codegen. The entropies of whole
+texts count characters by numpy over Arrow batches (``codepoints``).
 """
 
 from __future__ import annotations
@@ -42,27 +42,8 @@ def _per_batch(of, text) -> Column:
 
 
 def shannon_entropy(text) -> Column:
-    """-sum p*log2(p) over the code points of ``text``; null/'' give 0.0.
-
-    From run lengths: sort the characters once, fold
-    the runs into S = sum(c * log2 c) with a struct accumulator, then
-    H = log2(n) - S / n. O(n log n) per string; the fold's lambdas refer
-    only to their own arguments (an outer column inside a lambda is
-    re-evaluated per element)."""
-    s = F.coalesce(_col(text), F.lit(""))
-    n = F.char_length(s).cast("double")
-    init = F.struct(F.lit("").alias("p"), F.lit(0).cast("long").alias("r"), F.lit(0.0).alias("acc"))
-
-    def clog(r):
-        return F.when(r > 0, r.cast("double") * F.log2(r.cast("double"))).otherwise(F.lit(0.0))
-
-    def step(acc, x):
-        same = x == acc["p"]
-        return F.struct(x.alias("p"), F.when(same, acc["r"] + 1).otherwise(F.lit(1).cast("long")).alias("r"),
-                        F.when(same, acc["acc"]).otherwise(acc["acc"] + clog(acc["r"])).alias("acc"))
-
-    total = F.aggregate(F.array_sort(F.split(s, "")), init, step, lambda acc: acc["acc"] + clog(acc["r"]))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.abs(F.log2(n) - total / n))
+    """-sum p*log2(p) over the code points of ``text``; null/'' give 0.0."""
+    return _per_batch(CP.entropies, text)
 
 
 #: Digits outside the decimal class (superscripts, circled digits, ...): every
@@ -80,7 +61,7 @@ def rule_code_entropy(code) -> Column:
     """Entropy of Python's ``bin(code)`` text ('0b101', '-0b11')."""
     c = _col(code).cast("long")
     text = F.when(c < 0, F.concat(F.lit("-0b"), F.bin(-c))).otherwise(F.concat(F.lit("0b"), F.bin(c)))
-    return shannon_entropy(text)
+    return shannon_entropy_counts(text)
 
 
 def text_length(text) -> Column:

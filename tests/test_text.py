@@ -135,3 +135,12 @@ def test_batch_counts_dense_sorted_and_in_pieces(monkeypatch):
         got = zip(CP.entropies(raw).to_pylist(), CP.class_entropies(raw).to_pylist())
         assert [pytest.approx(w, abs=1e-9) for w in want] == list(got)
     assert len(CP.entropies(raw.slice(0, 0))) == 0 and CP.entropies(pa.array([b"\xff\xffa"], pa.binary())).to_pylist()[0] > 0
+
+
+def test_a_text_is_counted_once_in_one_pass(spark):
+    df = spark.range(3).select(F.col("id").cast("string").alias("t"))
+    ent = X.shannon_entropy("t")
+    plan = df.select(ent.alias("e"), X.class_entropy("t").alias("c"), X.classify_threat("t", "t", ent).alias("k"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("entropies(cast(") - text.count("class_entropies(cast(") == 1
+    assert "lambda" not in text and "regexp_replace" not in text
