@@ -38,6 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,7 +156,46 @@ def _pieces(vectors: DataFrame) -> DataFrame:
 
 def _digits(digit: Column) -> Column:
     """How many rows of a piece drew ``digit``."""
-    return F.length("_u") - F.length(F.replace("_u", digit, F.lit("")))
+    return F.octet_length("_u") - F.octet_length(F.replace("_u", digit, F.lit("")))
+
+
+def _digit_counter(seed: int, level: int, trees: dict | None):
+    """Arrow batches of pieces -> (forest_id, tree_id, digit counts) per batch.
+    With ``trees`` = {forest_id: tree ids} every tree draws for every piece of
+    its forest, else a piece names its tree."""
+    def groups(batch):
+        forest = np.array(batch.column("forest_id").to_pylist(), object)
+        if trees is not None:
+            for f in trees:
+                at = np.flatnonzero(forest == f)
+                yield from ((f, t, at) for t in (trees[f] if len(at) else ()))
+            return
+        tree = batch.column("tree_id").to_numpy()
+        order = np.lexsort((tree, forest))
+        new = np.flatnonzero((forest[order][1:] != forest[order][:-1]) | (tree[order][1:] != tree[order][:-1])) + 1
+        yield from ((forest[at[0]], int(tree[at[0]]), at) for at in np.split(order, new))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [f"{v}:{k}:{level}".encode() for v, k in zip(batch.column("_v").to_pylist(), batch.column("_k").to_pylist())]
+            rows = batch.column("_open").to_numpy()
+            out, last = [], None
+            for f, t, at in groups(batch):
+                if at is not last:
+                    own, last = [names[i] for i in at], at
+                    open_ = np.flatnonzero((np.arange(PIECE_ROWS) < rows[at][:, None]).ravel())
+                head = f"{seed}:{f}:s:{t}:".encode()
+                drawn = np.frombuffer(b"".join([hashlib.md5(head + x).digest() for x in own]), np.uint8)
+                digits = np.stack([drawn >> 4, drawn & 15], 1).ravel()
+                out.append((f, t, np.bincount(digits[open_], minlength=len(HEX))))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f for f, _, _ in out], pa.string()), pa.array([t for _, t, _ in out], pa.int32()),
+                     *[pa.array([int(c[x]) for _, _, c in out], pa.int64()) for x in range(len(HEX))]],
+                    names=["forest_id", "tree_id", *[f"_n{x}" for x in HEX]])
+    return run
 
 
 def _cut(counts: list[int], need: int) -> tuple[int, int, bool]:
@@ -179,7 +219,7 @@ def tree_samples(vectors: DataFrame, params: dict, seed: int) -> DataFrame:
     draws. One md5 gives the digit of a level for all open rows of a piece. Rows
     under the digit of the cut are taken, those over it are out, those on it
     stay open for the next level, a sixteenth of them. The cut needs 16 counts
-    per tree, combined map-side and sent back. The work is pieces x trees, not rows x trees."""
+    per tree, counted per batch of pieces and sent back. The work is pieces x trees, not rows x trees."""
     from gatewatch.operators.features import spread
     from gatewatch.session import materialize
     spark = vectors.sparkSession
@@ -191,24 +231,29 @@ def tree_samples(vectors: DataFrame, params: dict, seed: int) -> DataFrame:
         return empty
     # one row per tree, bounded by the parameters
     trees = spark.createDataFrame(list(need), "forest_id string, tree_id int")
-    state = spread(materialize(_pieces(vectors), "forest_pieces")).join(F.broadcast(trees), "forest_id")
+    pieces = spread(materialize(_pieces(vectors), "forest_pieces"))
+    every: dict = {}
+    for k, t in need:
+        every.setdefault(k, []).append(t)
+    state = pieces.join(F.broadcast(trees), "forest_id")
+    schema = "forest_id string, tree_id int, " + ", ".join(f"_n{x} long" for x in HEX)
     taken, level = [], 0
     while need:
         drawn = state.withColumn("_u", F.substring(
             _md5(seed, F.col("forest_id"), "s", F.col("tree_id"), F.col("_v"), F.col("_k"), level), F.lit(1), F.col("_open")))
-        seen: dict = {}
-        digits = F.explode(F.array(*[F.lit(x) for x in HEX])).alias("_x")
-        for r in drawn.select(*keys, "_u", digits).groupBy(*keys, "_x").agg(F.sum(_digits(F.col("_x"))).alias("_n")).collect():
-            seen.setdefault((r["forest_id"], r["tree_id"]), {})[r["_x"]] = r["_n"]
+        counts = (state if level else pieces).select("forest_id", *(["tree_id"] if level else []), "_v", "_k", "_open")
+        counted = (counts.mapInArrow(_digit_counter(seed, level, None if level else every), schema)
+                   .groupBy(*keys).agg(*[F.sum(f"_n{x}").alias(f"_n{x}") for x in HEX]).collect())
         cuts, left = [], {}
-        for t, counts in seen.items():
-            digit, rest, whole = _cut([counts[x] for x in HEX], need[t])
+        for r in counted:
+            t = (r["forest_id"], r["tree_id"])
+            digit, rest, whole = _cut([r[f"_n{x}"] for x in HEX], need[t])
             cuts.append((*t, HEX[:digit + whole], "-" if whole else HEX[digit]))
             if not whole:
                 left[t] = rest
         cut = spark.createDataFrame(cuts, "forest_id string, tree_id int, _under string, _on string")
         drawn = drawn.join(F.broadcast(cut), keys)
-        under = F.length("_u") - F.length(F.expr("translate(_u, _under, '')"))
+        under = F.octet_length("_u") - F.octet_length(F.expr("translate(_u, _under, '')"))
         taken.append(drawn.select(*keys, *values, under.cast("long").alias("_w")).filter("_w > 0"))
         need = left
         if need:
@@ -384,37 +429,42 @@ def pack(nodes_pdf: pd.DataFrame) -> dict:
         inner = np.flatnonzero(~leaf[s:e]) + s
         left_g[inner] = s + np.searchsorted(ids[s:e], left[inner])
         right_g[inner] = s + np.searchsorted(ids[s:e], right[inner])
-    depth, frontier = 0, starts.astype(np.int64)
-    while True:
+    depth, frontier, level = np.zeros(len(p), np.int64), starts.astype(np.int64), 0
+    of_tree = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(p)]))
+    depths = np.zeros(len(starts), np.int64)
+    while frontier.size:
+        depth[frontier] = level
+        depths[of_tree[frontier]] = level
         frontier = frontier[~leaf[frontier]]
-        if frontier.size == 0:
-            break
         frontier = np.concatenate([left_g[frontier], right_g[frontier]])
-        depth += 1
-    return {"left": left_g.astype(np.int32), "right": right_g.astype(np.int32),
-            "feature": np.where(leaf, 0, p["feature"].to_numpy(np.int64)).astype(np.int32),
+        level += 1
+    h = np.rint(c_factor_np(p["n_node_samples"].to_numpy()) * _H_UNIT).astype(np.int64)
+    return {"child": np.concatenate([right_g, left_g]),
+            "feature": np.where(leaf, 0, p["feature"].to_numpy(np.int64)),
             "threshold": np.where(leaf, np.inf, p["threshold"].to_numpy(np.float64)),
-            "leaf_h": np.rint(c_factor_np(p["n_node_samples"].to_numpy()) * _H_UNIT).astype(np.int64), "roots": starts.astype(np.int32),
-            "max_depth": depth}
+            "length": depth * _H_UNIT + h, "roots": starts.astype(np.int64), "depths": depths,
+            "max_depth": int(depths.max(initial=0))}
 
 
-def path_lengths(arr: dict, X: np.ndarray, block: int = 4096) -> np.ndarray:
-    """Mean path length E[h(x)] over all trees for each row of X: all trees
-    advance one level per step over a (rows x trees) node matrix."""
+def path_lengths(arr: dict, X: np.ndarray, block: int = 8192) -> np.ndarray:
+    """Mean path length E[h(x)] over all trees for each row of X: a block of
+    rows walks one tree at a time, so that the rows' nodes and the tree stay in
+    the processor's cache; a leaf holds its whole path length."""
     out = np.empty(X.shape[0])
-    left, right, feat, thr = arr["left"], arr["right"], arr["feature"], arr["threshold"]
+    child, feat, thr, length = arr["child"], arr["feature"], arr["threshold"], arr["length"]
+    n = len(feat)
     for s in range(0, X.shape[0], block):
-        xs = X[s:s + block]
-        m = xs.shape[0]
-        flat = np.ascontiguousarray(xs.T).ravel()  # feature-major: value of (row r, feature f) at f*m + r
-        node = np.broadcast_to(arr["roots"], (m, arr["roots"].size)).copy()
-        depth = np.zeros(node.shape, dtype=np.int16)
-        row = np.arange(m, dtype=np.int32)[:, None]
-        for _ in range(arr["max_depth"]):
-            nxt = np.where(flat[feat[node] * m + row] <= thr[node], left[node], right[node])
-            depth += nxt != node
-            node = nxt
-        out[s:s + m] = depth.sum(axis=1, dtype=np.int64) * _H_UNIT + arr["leaf_h"][node].sum(axis=1)
+        xs = np.ascontiguousarray(X[s:s + block])
+        flat, m = xs.ravel(), xs.shape[0]
+        row = np.arange(m) * xs.shape[1]
+        total = np.zeros(m, np.int64)
+        for root, depth in zip(arr["roots"].tolist(), arr["depths"].tolist()):
+            node = np.full(m, root)
+            for _ in range(depth):
+                go_left = flat[row + feat[node]] <= thr[node]
+                node = child[node + go_left * n]
+            total += length[node]
+        out[s:s + m] = total
     out /= float(_H_UNIT) * arr["roots"].size
     return out
 

@@ -69,7 +69,7 @@ def _waf_training(spark, sf):
     w = waf_logs(table(spark, sf, "events"))
     flat = w.select("row_id", "terminatingruleid", "action", F.col("httprequest.country").alias("country"),
                     F.col("httprequest.uri").alias("uri"))
-    return spread(training_frame(flat))
+    return training_frame(spread(flat))
 
 
 def _codes_sql(expr, codes, default):

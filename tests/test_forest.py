@@ -215,3 +215,34 @@ def test_score_by_join_equals_broadcast(spark, blob, monkeypatch):
     b = {r["row_id"]: r["score"] for r in FR.score(rows, f).collect()}
     assert a.keys() == b.keys() and a[4] is None and b[4] is None
     assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a if k != 4)
+
+
+def test_digit_counts_per_batch_equal_the_drawn_digits(spark):
+    v = spark.createDataFrame([("a", 0.5, 3, 70), ("a", 1.5, 9, 1), ("b", 0.5, 4, 33)], "forest_id string, _x0 double, _v long, _w long")
+    pieces = FR._pieces(v)
+    trees = spark.createDataFrame([("a", 0), ("a", 2), ("b", 1)], "forest_id string, tree_id int")
+    each = pieces.join(trees, "forest_id")
+    drawn = each.withColumn("_u", F.substring(
+        FR._md5(7, F.col("forest_id"), "s", F.col("tree_id"), F.col("_v"), F.col("_k"), 2), F.lit(1), F.col("_open")))
+    cols = [f"_n{x}" for x in FR.HEX]
+    want = drawn.groupBy("forest_id", "tree_id").agg(*[F.sum(FR._digits(F.lit(x))).alias(c) for x, c in zip(FR.HEX, cols)])
+    want = sorted(map(tuple, want.collect()))
+    schema = "forest_id string, tree_id int, " + ", ".join(f"{c} long" for c in cols)
+    for rows, named in ((pieces, {"a": [0, 2], "b": [1], "c": [5]}), (each, None)):
+        got = rows.mapInArrow(FR._digit_counter(7, 2, named), schema).groupBy("forest_id", "tree_id").agg(*[F.sum(c).alias(c) for c in cols])
+        assert sorted(map(tuple, got.collect())) == want
+    assert [sum(r[2:]) for r in want] == [71, 71, 33]
+
+
+def test_walk_of_uneven_trees_in_blocks():
+    """Trees of different depth, children that do not lie side by side."""
+    import pandas as pd
+    rows = [(0, 1, -1, -1, -2, -2.0, 7), (1, 0, 1, 4, 0, 5.0, 9), (1, 1, 2, 3, 1, 2.0, 5), (1, 2, -1, -1, -2, -2.0, 3),
+            (1, 3, -1, -1, -2, -2.0, 2), (1, 4, -1, -1, -2, -2.0, 4)]
+    arr = FR.pack(pd.DataFrame(rows, columns=["tree_id", "node_id", "left", "right", "feature", "threshold", "n_node_samples"]))
+    assert arr["depths"].tolist() == [0, 2]
+    X = np.array([[5.0, 2.0], [5.0, 2.1], [5.1, 0.0], [-1.0, 9.0]])
+    c = FR.c_factor
+    want = [(c(7) + h) / 2 for h in (2 + c(3), 2 + c(2), 1 + c(4), 2 + c(2))]
+    for block in (1, 3, 8192):
+        assert np.allclose(FR.path_lengths(arr, X, block), want, atol=1e-11)
