@@ -11,7 +11,8 @@ link when 100 * |both| >= PERCENT * |either|; components of links are classes.
    two nodes hold. The order is by hash, but shingles held by more than ``HOT``
    nodes (boilerplate; at most ``MOST_HOT`` of them, the most frequent) come
    last, so a tree is large only for documents that consist of boilerplate.
-   Which shingles come last changes the work, never the result.
+   Which shingles come last changes the work, never the result. Shingles held
+   by the same nodes, as copies have many, make one tree.
 3. Signature trees: leaves are documents with a bitmap of ``BITS`` bits of their
    shingles and their set size, ordered by size; a node holds the OR of its
    children's bitmaps, their size range, and the largest number of shingles
@@ -20,14 +21,19 @@ link when 100 * |both| >= PERCENT * |either|; components of links are classes.
    in common. The dual traversal goes down pairs of nodes and prunes those
    whose size ranges are too far apart, or where that maximum is under the
    overlap that the smallest sizes need.
-4. Surviving pairs are tested once more, by the same bound, with bitmaps of at
-   least twice as many bits as shingles (folded to one length), which keeps
-   texts out of the shuffle; the rest is verified exactly on the whole sets.
-5. The traversal runs twice. First every tree is met by its first document
-   only, and what links is joined to components. Then the
-   trees that still hold more than one component are traversed against
-   themselves, where node pairs of one and the same component are pruned too.
-   So copies are not expanded into pairs and no link between components is lost.
+4. Pairs of leaves are tested once more before they leave the task, by the same
+   bound, with bitmaps of at least twice as many bits as shingles (folded to one
+   length; ``LEAF_BITS`` at most), and longer texts again with bitmaps of any
+   length, which keeps texts out of the shuffle; the rest is verified exactly on
+   the whole sets.
+5. The traversal runs twice. First every document that is the first of trees
+   meets all that share one of them, each once, and what links is joined to
+   components. Then the trees that still hold more than one component are
+   traversed against themselves, where node pairs of one and the same component
+   are pruned too. So copies are not expanded into pairs and no link between
+   components is lost. A pair that shares several trees leaves one of them only:
+   documents carry the ``TOPS`` largest of their trees, and a tree passes over a
+   pair that has met in a larger one of these.
 
 Trees of more than ``BLOCK`` documents are cut into blocks by a hash of the
 node; a task holds one or two blocks. Many small trees are walked at once,
@@ -60,6 +66,8 @@ MOST_HOT = 1 << 18
 HOT_ROUNDS = 4
 BLOCK = 1024
 FAN = 4
+LEAF_BITS = 4096
+TOPS = 8
 #: Node pairs that a traversal expands at a time.
 CHUNK = 1 << 14
 
@@ -105,15 +113,22 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.
     return np.concatenate([shingles[~is_hot], shingles[is_hot]])[:size]
 
 
+def fresh(shingles: np.ndarray, order: np.ndarray, more: np.ndarray, before: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles by which a set is dealt with ``order`` last but was not with
+    ``before`` last, and those of them that became hot by now (``more``)."""
+    now = prefix(shingles, order, percent)
+    return now[np.isin(now, more) | ~np.isin(now, prefix(shingles, before, percent))]
+
+
 def bitmap(shingles: np.ndarray) -> bytes:
-    seen = np.zeros(BITS, np.uint8)
-    seen[(shingles >> _U(20)) % _U(BITS)] = 1
-    return np.packbits(seen).tobytes()
+    return fine_bitmap(shingles, BITS)
 
 
-def fine_bitmap(shingles: np.ndarray) -> bytes:
-    """As many bits as the next power of two over twice the set's size."""
+def fine_bitmap(shingles: np.ndarray, most: int | None = None) -> bytes:
+    """As many bits as the next power of two over twice the set's size, but not
+    more than ``most``, a power of two."""
     width = max(BITS, 1 << (2 * len(shingles)).bit_length())
+    width = min(width, most or width)
     seen = np.zeros(width, np.uint8)
     seen[(shingles >> _U(8)) & _U(width - 1)] = 1
     return np.packbits(seen, bitorder="little").tobytes()
@@ -139,6 +154,59 @@ def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 # ---- signature trees -----------------------------------------------------------
 
+class Bitmaps:
+    """Fine bitmaps of several lengths, each folded to all shorter ones;
+    ``coarse`` has them at BITS bits."""
+
+    def __init__(self, bits: list[bytes], size: np.ndarray):
+        words = np.array([len(b) // 8 for b in bits])
+        flat, start = np.frombuffer(b"".join(bits), _U), np.cumsum(words) - words
+        self.size, self.level = size, np.round(np.log2(words * 64 / BITS)).astype(np.int64)
+        self.folded: dict = {}
+        for k in range(int(self.level.max()), -1, -1):
+            rows, width = np.flatnonzero(self.level == k), BITS // 64 << k
+            held = flat[start[rows][:, None] + np.arange(width)]
+            if k + 1 in self.folded:
+                longer = self.folded[k + 1]
+                rows, held = np.concatenate([rows, longer["rows"]]), np.concatenate([held, longer["bits"][:, :width] | longer["bits"][:, width:]])
+            at = np.zeros(len(words), np.int64)
+            at[rows] = np.arange(len(rows))
+            self.folded[k] = dict(rows=rows, bits=held, at=at, excess=size[rows] - np.bitwise_count(held).sum(1, dtype=np.int64))
+        self.coarse = self.folded[0]["bits"][self.folded[0]["at"]]
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows may link; BITS bits are not tested again."""
+        ok, level = np.ones(len(a), bool), np.minimum(self.level[a], self.level[b])
+        for k in range(1, int(level.max(initial=0)) + 1):
+            of, x = np.flatnonzero(level == k), self.folded[k]
+            for c in range(0, len(of), CHUNK):
+                p = of[c:c + CHUNK]
+                i, j = x["at"][a[p]], x["at"][b[p]]
+                most = np.bitwise_count(x["bits"][i] & x["bits"][j]).sum(1, dtype=np.int64) + np.minimum(x["excess"][i], x["excess"][j])
+                ok[p] = (100 + percent) * most >= percent * (self.size[a[p]] + self.size[b[p]])
+        return ok
+
+
+class Tops:
+    """The first trees of each row, in an order that all rows share, up to the
+    tree that the row stands in."""
+
+    def __init__(self, tree: np.ndarray, first: np.ndarray, count: np.ndarray):
+        here = np.arange(TOPS) < count[:, None]
+        self.first = np.zeros((len(tree), TOPS), np.int64)
+        self.first[here] = first
+        self.before = here & ~np.logical_or.accumulate(here & (self.first == tree[:, None]), axis=1)
+
+    def met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows of one tree share a tree before it."""
+        out = np.zeros(len(a), bool)
+        for c in range(0, len(a), CHUNK):
+            i, j = a[c:c + CHUNK], b[c:c + CHUNK]
+            for k in range(TOPS):
+                out[c:c + CHUNK] |= self.before[i, k] & ((self.first[j] == self.first[i, k][:, None]) & self.before[j]).any(1)
+        return out
+
+
 class Forest:
     """Signature trees over documents sorted by (tree, size); ``levels`` goes
     from documents to roots, with one root per tree."""
@@ -197,9 +265,10 @@ class Forest:
 
 
 def tree_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray, comp: np.ndarray,
-               percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+               percent: int = PERCENT, keep=None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of nodes that may link, of many groups at once. In a
-    group, side 2 is one tree against itself; sides 0 and 1 are two trees."""
+    group, side 2 is one tree against itself; sides 0 and 1 are two trees.
+    ``keep`` tells which pairs of rows to return."""
     order = np.lexsort((node, size, side, group))
     group, side, node = group[order], side[order], node[order]
     tree = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (side[1:] != side[:-1])]))
@@ -208,7 +277,10 @@ def tree_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, size: np.n
     of, kind = group[first], side[first]
     alone = np.flatnonzero(kind == 2)
     left = np.flatnonzero((kind[:-1] == 0) & (kind[1:] == 1) & (of[1:] == of[:-1]))
-    found = [(node[i], node[j]) for i, j in forest.traverse(np.concatenate([alone, left]), np.concatenate([alone, left + 1]), percent)]
+    found = []
+    for i, j in forest.traverse(np.concatenate([alone, left]), np.concatenate([alone, left + 1]), percent):
+        ok = keep(order[i], order[j]) if keep else slice(None)
+        found.append((node[i[ok]], node[j[ok]]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     x, y = (np.concatenate(p) for p in zip(*found))
@@ -216,11 +288,25 @@ def tree_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, size: np.n
     return pairs[:, 0], pairs[:, 1]
 
 
+def leaf_pairs(tree: np.ndarray, group: np.ndarray, side: np.ndarray, node: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes],
+               first: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """``tree_pairs`` by fine bitmaps, without the pairs that met in a tree
+    before; ``first`` has the ``count`` first trees of all rows."""
+    fine, tops = Bitmaps(bits, size), Tops(tree, first, count)
+
+    def keep(a, b):
+        ok = np.flatnonzero(~tops.met(a, b))
+        return ok[fine.may_link(a[ok], b[ok], percent)]
+
+    return tree_pairs(group, side, node, size, fine.coarse, comp, percent, keep)
+
+
 # ---- Spark ---------------------------------------------------------------------
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(id, text_key, key, n, tokens, bits, fine) of every row: digests of the
-    text and of the set, set size, the shingles it is dealt by, its bitmaps."""
+    text and of the set, set size, the shingles it is dealt by, its bitmap of up
+    to LEAF_BITS bits and, where that is shorter than the whole one, the latter."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("text_key"), F.col(text_col).alias("t"))
     none = np.empty(0, _U)
@@ -230,7 +316,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
             made: list = [[], [], [], [], []]
             for text in batch.column(2):
                 s = shingle_set(text.as_py())
-                for out, v in zip(made, (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), prefix(s, none, percent).view(np.int64), bitmap(s), fine_bitmap(s))):
+                for out, v in zip(made, (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), prefix(s, none, percent).view(np.int64), fine_bitmap(s, LEAF_BITS), fine_bitmap(s) if 2 * len(s) >= LEAF_BITS else None)):
                     out.append(v)
             kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(made, kinds)]],
@@ -255,22 +341,21 @@ def dealt(docs: DataFrame, nodes: DataFrame, rows: DataFrame, id_col: str, text_
     """(node, token) rows of the shingles that may have a tree, after the hot
     ones were put last: shingles that too many nodes are dealt by are found,
     the nodes they touch are dealt anew, and again for what has become hot by
-    that. ``rows`` is (node, token) in the order of hashes. At most MOST_HOT
-    shingles are collected."""
+    that. A round makes only the rows that a node did not have; rows that hot
+    ones push out later may stay, they add no pair that does not link. ``rows``
+    is (node, token) in the order of hashes. At most MOST_HOT shingles are
+    collected."""
     spark = docs.sparkSession
     counts = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "join-counts")
     hot, often, moved = np.empty(0, np.int64), counts, None
     named = lambda values: F.broadcast(spark.createDataFrame([(int(v),) for v in values], "token long"))
 
-    def anew(order):
+    def anew(order, more, before):
         def run(batches):
-            none = np.empty(0, _U)
             for batch in batches:
                 node, token = [], []
                 for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    s = shingle_set(text.as_py())
-                    now = prefix(s, order, percent)
-                    now = now[np.isin(now, order) | ~np.isin(now, prefix(s, none, percent))]
+                    now = fresh(shingle_set(text.as_py()), order, more, before, percent)
                     node.append(np.full(len(now), k, np.int64))
                     token.append(now.view(np.int64))
                 if node:
@@ -282,31 +367,32 @@ def dealt(docs: DataFrame, nodes: DataFrame, rows: DataFrame, id_col: str, text_
         more = np.setdiff1d(np.array([r["token"] for r in top], np.int64), hot)[:MOST_HOT - len(hot)]
         if not len(more):
             break
-        hot = np.union1d(hot, more)
+        before, hot = hot, np.union1d(hot, more)
         now = rows if moved is None else rows.unionByName(moved)
         touched = materialize(now.join(named(more), "token", "left_semi").select("node").distinct(), "join-touched")
-        # what a touched node is dealt by besides its smallest hashes
-        fresh = texts_of(docs, nodes, touched, id_col, text_col).mapInArrow(anew(np.sort(hot.view(_U))), "node long, token long")
-        kept = None if moved is None else moved.join(broadcast_if_small(touched, 8), "node", "left_anti")
-        moved = materialize(fresh if kept is None else kept.unionByName(fresh), "join-moved")
+        # what a touched node is dealt by besides what it was dealt by
+        made = texts_of(docs, nodes, touched, id_col, text_col).mapInArrow(
+            anew(*(np.sort(v.view(_U)) for v in (hot, more, before))), "node long, token long")
+        moved = materialize(made if moved is None else moved.join(named(more), "token", "left_anti").unionByName(made), "join-moved")
         often = moved.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     if moved is None:
         return rows.join(counts.select("token"), "token", "left_semi")
     cold = rows.join(named(hot), "token", "left_anti")
     alive = counts.select("token").union(moved.select("token")).distinct()
-    return cold.unionByName(moved).join(alive, "token", "left_semi")
+    return cold.unionByName(moved.distinct()).join(alive, "token", "left_semi")
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct (x, y) that may link, from rows (token, i, j, side, node, n,
-    bits, comp): one pair of trees per (token, i, j)."""
-    cols = ["token", "i", "j", "side", "node", "n", "comp", "bits"]
+    comp, bits, tops): one pair of trees per (token, i, j)."""
+    cols = ["token", "i", "j", "side", "node", "n", "comp", "bits", "tops"]
 
     def walk(parts):
         token, i, j, side, node, n, comp = (np.concatenate([np.asarray(p.column(c).to_numpy(zero_copy_only=False), np.int64) for p in parts]) for c in range(7))
-        bits = np.frombuffer(b"".join(v for p in parts for v in p.column(7).to_pylist()), _U).reshape(len(token), BITS // 64)
+        bits = [v for p in parts for v in p.column(7).to_pylist()]
+        first, count = (np.concatenate([np.asarray(f(p.column(8)), np.int64) for p in parts]) for f in (lambda c: c.flatten(), lambda c: c.value_lengths()))
         group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        x, y = tree_pairs(group, side, node, n, bits, comp, percent)
+        x, y = leaf_pairs(token, group, side, node, n, comp, bits, first, count, percent)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
     def run(batches):
@@ -382,30 +468,38 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_nodes = rows.withColumnRenamed("row", "node").join(broadcast_if_small(nodes.select("node"), 8), "node", "left_semi")
     dealt_rows = dealt(docs, nodes, of_nodes.select("node", F.explode("tokens").alias("token")), id_col, text_col, percent, hot_size)
     dealt_rows = materialize(dealt_rows, "join-dealt")
-    trees = dealt_rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low")).where("c > 1")
+    # shingles held by the same nodes are one tree
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    trees = dealt_rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), *marks).where("c > 1")
+    trees = trees.groupBy("c", "low", "m0", "m1").agg(F.min("token").alias("token")).select("token", "c", "low")
     trees = materialize(trees, "join-trees")
     members = materialize(dealt_rows.join(trees, "token").withColumn("nb", F.ceil(F.col("c") / block)).withColumn("blk", F.expr("pmod(xxhash64(node), nb)")), "join-members")
     held = of_nodes.select("node", "n", "bits", "fine").join(broadcast_if_small(members.select("node").distinct(), 8), "node", "left_semi")
     held = materialize(held, "join-signatures")
-    signed, fine = broadcast_if_small(held.select("node", "n", "bits"), 96), held.select("node", "n", "fine")
+    signed, fine = held.select("node", "n", "bits"), held.select("node", "n", F.coalesce("fine", "bits").alias("fine"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(refine(pairs, fine, percent), "join-refined")
         ends = pairs.select(F.col("x").alias("node")).union(pairs.select("y"))
         return materialize(verify(pairs, texts_of(docs, nodes, ends, id_col, text_col), percent), "join-links")
 
-    # first: a tree's first document against the blocks of the tree
-    firsts = trees.select("token", F.col("low").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / block) - 1)).alias("i"), F.lit(0).alias("side"))
-    others = members.where("node <> low").select("token", "node", F.col("blk").alias("i"), F.lit(1).alias("side"))
+    # first: the first document of trees against all that share one of them
+    near = materialize(members.where("node <> low").select(F.col("low").alias("token"), "node").distinct(), "join-near")
+    stars = near.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb"))
+    firsts = stars.select("token", F.col("token").alias("node"), F.explode(F.expr("sequence(0L, nb - 1)")).alias("i"), F.lit(0).alias("side"))
+    others = near.join(stars, "token").select("token", "node", F.expr("pmod(xxhash64(node), nb)").alias("i"), F.lit(1).alias("side"))
     seed = firsts.unionByName(others).withColumn("j", F.col("i")).join(signed, "node").withColumn("comp", F.col("node"))
-    pairs = materialize(candidates(seed, percent), "join-pairs")
+    pairs = materialize(candidates(seed.withColumn("tops", F.expr("cast(array() as array<long>)")), percent), "join-pairs")
     first = linked(pairs)
     label = components(first)
     # then: trees of more than one component against themselves
     named = members.where("c > 2").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = materialize(named.select("token", "node", "nb", "blk", "comp"), "join-named")
+    named = materialize(named.select("token", "node", "c", "nb", "blk", "comp"), "join-named")
     mixed = named.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    rest = named.join(mixed, "token", "left_semi").withColumn("o", F.explode(F.expr("sequence(0L, nb - 1)")))
+    mixed = materialize(named.join(mixed, "token", "left_semi"), "join-mixed")
+    tops = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "token"))), 1, TOPS)["token"]
+    signed = signed.join(mixed.groupBy("node").agg(tops.alias("tops")), "node")
+    rest = mixed.withColumn("o", F.explode(F.expr("sequence(0L, nb - 1)")))
     rest = rest.select("token", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "comp",
                        F.when(F.col("blk") == F.col("o"), F.lit(2)).when(F.col("blk") < F.col("o"), F.lit(0)).otherwise(F.lit(1)).alias("side"))
     more = linked(candidates(rest.join(signed, "node"), percent).join(pairs, ["x", "y"], "left_anti"))

@@ -108,3 +108,84 @@ def test_prefixes_of_linked_sets_meet():
         hot = np.unique(rng.integers(0, 500, rng.integers(0, 200), dtype=np.uint64))
         if len(x) and len(y) and J.links(x, y):
             assert set(J.prefix(x, hot).tolist()) & set(J.prefix(y, hot).tolist())
+
+
+def _cluster(rng, count=24, length=600):
+    base = np.unique(rng.integers(0, 2**63, length, dtype=np.uint64))
+    return [np.unique(np.concatenate([base[rng.random(len(base)) > .04], rng.integers(0, 2**63, 8, dtype=np.uint64)])) for _ in range(count)]
+
+
+def test_pair_of_many_trees_leaves_one():
+    rng = np.random.default_rng(6)
+    sets = _cluster(rng) + [s for _ in range(6) for s in _cluster(rng, 1, 3000)]
+    none = np.empty(0, np.uint64)
+    trees: dict = {}
+    for k, s in enumerate(sets):
+        for t in J.prefix(s, none).view(np.int64).tolist():
+            trees.setdefault(t, []).append(k)
+    trees[7] = list(range(24, 30))  # long texts that share one shingle by chance
+    order = sorted((t for t in trees if len(trees[t]) > 1), key=lambda t: (-len(trees[t]), t))
+    tops = [[t for t in order if k in trees[t]][:J.TOPS] for k in range(len(sets))]
+    bits = [J.fine_bitmap(s, J.LEAF_BITS) for s in sets]
+    seen, plain = [], 0
+    for t in order:  # each tree alone, as in tasks of their own
+        of = np.array(trees[t])
+        n = np.array([len(sets[k]) for k in of])
+        zero, two = np.zeros(len(of), int), np.full(len(of), 2)
+        coarse = np.stack([np.frombuffer(J.bitmap(sets[k]), np.uint64) for k in of])
+        plain += len(J.tree_pairs(zero, two, of, n, coarse, of)[0])
+        x, y = J.leaf_pairs(np.full(len(of), t), zero, two, of, n, of, [bits[k] for k in of],
+                            np.array([u for k in of for u in tops[k]]), np.array([len(tops[k]) for k in of]))
+        seen += list(zip(x.tolist(), y.tolist()))
+    want = _pairs(sets, 85)
+    assert len(want) > 100 and want <= set(seen)
+    assert len(seen) < 1.2 * len(set(seen)) and len(seen) < plain / 20
+    assert not any(x >= 24 for x, _ in seen)
+
+
+def test_bitmaps_of_several_lengths_agree_with_the_pairwise_test():
+    rng = np.random.default_rng(8)
+    sets = [s for n in (3, 100, 240, 300, 700, 1500, 2500, 6000) for s in _cluster(rng, 3, n)]
+    bits, n = [J.fine_bitmap(s, J.LEAF_BITS) for s in sets], np.array([len(s) for s in sets])
+    fine = J.Bitmaps(bits, n)
+    assert max(map(len, bits)) == J.LEAF_BITS // 8 and (fine.coarse == np.stack([np.frombuffer(J.bitmap(s), np.uint64) for s in sets])).all()
+    a, b = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    ok = fine.may_link(a, b, 85)
+    for i, j, k in zip(a.tolist(), b.tolist(), ok.tolist()):
+        if min(len(bits[i]), len(bits[j])) > J.BITS // 8:
+            assert k == J.may_overlap(bits[i], bits[j], n[i], n[j])
+        else:
+            assert k
+
+
+def test_rounds_of_dealing_make_a_row_once():
+    rng = np.random.default_rng(2)
+    none = np.empty(0, np.uint64)
+    for s in _cluster(rng, 20, 200):
+        before, held, made = none, set(J.prefix(s, none).tolist()), 0
+        for round_ in range(4):  # most of what it is dealt by becomes hot
+            cold = np.setdiff1d(J.prefix(s, before), before)
+            more = cold[rng.random(len(cold)) < .8]
+            hot = np.union1d(before, more)
+            now = J.fresh(s, hot, more, before)
+            held = held - set(more.tolist())
+            assert not held & set(now.tolist())
+            held |= set(now.tolist())
+            made += len(now)
+            assert set(J.prefix(s, hot).tolist()) <= held
+            before = hot
+        assert made < 4 * len(J.prefix(s, none))
+
+
+def test_shingles_of_the_same_nodes_are_one_tree(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    rows = []
+    for g in range(20):
+        base = text(300)
+        rows += [(10 * g + k, f"{base} {text(5)}") for k in range(3)]
+    kept, real = {}, J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, name: kept.setdefault(name, real(df, name)) if name in ("join-trees", "join-dealt") else real(df, name))
+    out = J.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["id"] // 10 * 10 for r in out)
+    assert kept["join-dealt"].count() > 1000 and kept["join-trees"].count() < 60
