@@ -120,6 +120,14 @@ def fresh(shingles: np.ndarray, order: np.ndarray, more: np.ndarray, before: np.
     return now[np.isin(now, more) | ~np.isin(now, prefix(shingles, before, percent))]
 
 
+def shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least two and an eighth of the sets hold, and how
+    many hold them."""
+    token, count = np.unique(np.concatenate([np.empty(0, _U), *sets]), return_counts=True)
+    often = count >= max(2, len(sets) // 8)
+    return token[often], count[often]
+
+
 def bitmap(shingles: np.ndarray) -> bytes:
     return fine_bitmap(shingles, BITS)
 
@@ -341,7 +349,9 @@ def dealt(docs: DataFrame, nodes: DataFrame, rows: DataFrame, id_col: str, text_
     """(node, token) rows of the shingles that may have a tree, after the hot
     ones were put last: shingles that too many nodes are dealt by are found,
     the nodes they touch are dealt anew, and again for what has become hot by
-    that. A round makes only the rows that a node did not have; rows that hot
+    that. Groups of near copies would meet in other shingles each time: at the
+    first round the shingles that many touched nodes share, dealt by them or
+    not, are hot too. A round makes only the rows that a node did not have; rows that hot
     ones push out later may stay, they add no pair that does not link. ``rows``
     is (node, token) in the order of hashes. At most MOST_HOT shingles are
     collected."""
@@ -362,13 +372,24 @@ def dealt(docs: DataFrame, nodes: DataFrame, rows: DataFrame, id_col: str, text_
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(token))], names=["node", "token"])
         return run
 
+    def together(batches):
+        for batch in batches:
+            token, c = shared([shingle_set(text.as_py()) for text in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c, pa.int64())], names=["token", "c"])
+
     for _ in range(HOT_ROUNDS):
         top = often.where(F.col("c") > hot_size).orderBy(F.desc("c"), "token").limit(MOST_HOT).select("token").collect()
         more = np.setdiff1d(np.array([r["token"] for r in top], np.int64), hot)[:MOST_HOT - len(hot)]
         if not len(more):
             break
-        before, hot = hot, np.union1d(hot, more)
         now = rows if moved is None else rows.unionByName(moved)
+        if moved is None:
+            touched = now.join(named(more), "token", "left_semi").select("node")
+            wide = texts_of(docs, nodes, touched, id_col, text_col).mapInArrow(together, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+            top = wide.where(F.col("c") > hot_size).orderBy(F.desc("c"), "token").limit(MOST_HOT).select("token").collect()
+            also = np.array([r["token"] for r in top], np.int64)
+            more = np.union1d(more, also[~np.isin(also, more)][:MOST_HOT - len(more)])
+        before, hot = hot, np.union1d(hot, more)
         touched = materialize(now.join(named(more), "token", "left_semi").select("node").distinct(), "join-touched")
         # what a touched node is dealt by besides what it was dealt by
         made = texts_of(docs, nodes, touched, id_col, text_col).mapInArrow(

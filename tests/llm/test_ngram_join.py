@@ -189,3 +189,16 @@ def test_shingles_of_the_same_nodes_are_one_tree(spark, monkeypatch):
     out = J.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["component_id"] == r["id"] // 10 * 10 for r in out)
     assert kept["join-dealt"].count() > 1000 and kept["join-trees"].count() < 60
+
+
+def test_near_copies_are_dealt_anew_once():
+    rng = np.random.default_rng(11)
+    sets, none = _cluster(rng, 400, 200), np.empty(0, np.uint64)
+    token, count = J.shared(sets)
+    hot = np.sort(token[count > 100])
+    assert len(hot) > 150 and not len(J.shared(sets[:1])[0]) and not len(J.shared([])[0])
+    dealt = [J.prefix(s, hot) for s in sets]
+    # all that they are dealt by is their own or known as hot: nothing is left for a second round
+    token, count = np.unique(np.concatenate([p[~np.isin(p, hot)] for p in dealt]), return_counts=True)
+    assert count.max() <= 100
+    assert sum(len(J.fresh(s, hot, hot, none)) for s in sets) <= sum(map(len, dealt))
